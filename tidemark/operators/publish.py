@@ -65,7 +65,7 @@ def _create_view(spark: SparkSession, database: str, final: str, parts: list[str
               f"TBLPROPERTIES ('{PARTS_PROPERTY}' = '{','.join(parts)}') AS {body}")
 
 
-def publish(spark: SparkSession, database: str, final: str, staged: str, mode: str) -> list[str]:
+def publish_staged(spark: SparkSession, database: str, final: str, staged: str, mode: str) -> list[str]:
     """Flip the published view in one catalog call (W2 append / W3 replace)."""
     if not spark.catalog.tableExists(fq(database, staged)):
         raise IngestError(f"staged table does not exist: {fq(database, staged)}")
@@ -85,7 +85,7 @@ def compact(spark: SparkSession, database: str, final: str) -> list[str]:
     if not parts or len(parts) == 1:
         return parts or []
     staged = stage(spark.table(fq(database, final)), database, final, new_run_id())
-    return publish(spark, database, final, staged, "replace")
+    return publish_staged(spark, database, final, staged, "replace")
 
 
 def analyze(spark: SparkSession, database: str, table: str, columns: bool = False) -> None:

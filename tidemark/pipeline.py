@@ -132,7 +132,7 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
                 pub.cleanup_best_effort(spark, pub.fq(db, staged))
                 return {"status": "skipped", "table": fq_final}
             raise TableExistsError(f"{fq_final} was published by another run")
-        parts = pub.publish(spark, db, final, staged, mode)
+        parts = pub.publish_staged(spark, db, final, staged, mode)
         _hook("publish")
         if compact_after and len(parts) > compact_after:
             parts = pub.compact(spark, db, final)

@@ -106,3 +106,7 @@ def q_rows(spark, sf):
 @register("q_sample")  # no order: only count and schema are checkable
 def q_sample(spark, sf):
     return Q.sample_rows(read_table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"])
+
+
+# load operators register themselves on import
+from tidemark import registry_load  # noqa: E402,F401

@@ -52,9 +52,9 @@ def scratch_root(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or local).rstrip("/")
 
 
-def scratch_path(spark: SparkSession, *parts: str) -> str:
+def scratch_path(spark: SparkSession, *parts: str, suffix: str = "") -> str:
     """A fresh, unique folder name under the shared scratch root."""
-    return "/".join([scratch_root(spark), *parts, uuid.uuid4().hex[:12]])
+    return "/".join([scratch_root(spark), *parts, uuid.uuid4().hex[:12] + suffix])
 
 
 def scratch_database(spark: SparkSession, name: str = "tidemark_scratch") -> str:
