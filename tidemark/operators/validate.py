@@ -37,8 +37,12 @@ def detect_datetime_column(columns: list[str]) -> str | None:
 def exceeds_expr(outside: Column, rowcount: Column, max_rows: int = MAX_OUTSIDE_ROWS,
                  max_ratio: float = MAX_OUTSIDE_RATIO) -> Column:
     """Verdict (V7): strictly more than ``max_rows`` or a ratio above ``max_ratio``."""
-    ratio = outside.cast("double") / rowcount
-    return (outside > F.lit(max_rows)) | (ratio > F.lit(max_ratio))
+    return (outside > F.lit(max_rows)) | (outside_ratio(outside, rowcount) > F.lit(max_ratio))
+
+
+def outside_ratio(outside: Column, rowcount: Column) -> Column:
+    """Outside rows over ALL rows; 0.0 for an empty load (never a division by zero)."""
+    return F.when(rowcount > 0, outside.cast("double") / rowcount).otherwise(F.lit(0.0))
 
 
 def validation_metrics(df: DataFrame, dt_col: str | None = None, month: str | None = None,
@@ -66,7 +70,7 @@ def validation_metrics(df: DataFrame, dt_col: str | None = None, month: str | No
     m = df.agg(*aggs).withColumn("datetime_col", F.lit(dt_col).cast("string"))
     if dt_col is not None and month is not None:
         m = (m.withColumn("expected_month", F.lit(month))
-              .withColumn("outside_ratio", F.col("outside_month").cast("double") / F.col("rowcount"))
+              .withColumn("outside_ratio", outside_ratio(F.col("outside_month"), F.col("rowcount")))
               .withColumn("exceeds", exceeds_expr(F.col("outside_month"), F.col("rowcount"), max_rows, max_ratio)))
     return m
 
