@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 # Accepted text shapes.
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY_PATTERN = r"^(?i)[+-]?(inf|infinity)$"
+# the two above as one pattern, so a value is matched once
+NUMBER_OR_INF_PATTERN = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 DATETIME_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?)?$"
 # Whitespace a numeric parser skips around a value (C isspace).
-_EDGE_WS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
+EDGE_WS = " \t\n\x0b\x0c\r"
 # Tolerance under which a parsed value counts as whole.
 WHOLE_TOLERANCE = 1e-9
 
@@ -38,13 +40,11 @@ def _col(c: Column | str) -> Column:
 
 
 def strip_ws(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), _EDGE_WS, "")
+    return F.btrim(_col(c), F.lit(EDGE_WS))
 
 
 def is_number_text(c: Column | str, allow_inf: bool = True) -> Column:
-    s = strip_ws(c)
-    ok = s.rlike(NUMBER_PATTERN)
-    return (ok | s.rlike(INFINITY_PATTERN)) if allow_inf else ok
+    return strip_ws(c).rlike(NUMBER_OR_INF_PATTERN if allow_inf else NUMBER_PATTERN)
 
 
 def is_integer_text(c: Column | str) -> Column:
@@ -53,7 +53,7 @@ def is_integer_text(c: Column | str) -> Column:
 
 def _parsed_double(c: Column | str) -> Column:
     s = strip_ws(c)
-    return F.when(s.rlike(NUMBER_PATTERN) | s.rlike(INFINITY_PATTERN), s.cast("double"))
+    return F.when(s.rlike(NUMBER_OR_INF_PATTERN), s.cast("double"))
 
 
 def to_number(c: Column | str, target: T.DataType = T.DoubleType()) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.coerce import DATETIME_PAIRS, INTEGER_PATTERN, INFINITY_PATTERN, NUMBER_PATTERN, strip_ws
+from tidemark.functions.coerce import DATETIME_PAIRS, INTEGER_PATTERN, NUMBER_OR_INF_PATTERN, strip_ws
 from tidemark.functions.identifiers import quote_ident, sanitize_ident
 from tidemark.functions.nulls import na_to_null
 
@@ -67,8 +67,8 @@ def infer_text_schema(df: DataFrame) -> T.StructType:
         s = strip_ws(v)
         aggs += [
             F.count(v).alias(f"n{i}"),
-            F.count_if(s.rlike(INTEGER_PATTERN) & (F.length(F.regexp_replace(s, "^[+-]", "")) <= _MAX_INT_DIGITS)).alias(f"i{i}"),
-            F.count_if(s.rlike(NUMBER_PATTERN) | s.rlike(INFINITY_PATTERN)).alias(f"d{i}"),
+            F.count_if(s.rlike(INTEGER_PATTERN) & (F.length(F.ltrim(s, F.lit("+-"))) <= _MAX_INT_DIGITS)).alias(f"i{i}"),
+            F.count_if(s.rlike(NUMBER_OR_INF_PATTERN)).alias(f"d{i}"),
             F.count_if(v.isin(*BOOLEAN_TOKENS)).alias(f"b{i}"),
         ]
     row = df.agg(*aggs).first()

@@ -546,3 +546,25 @@ def w_ingest(spark, sf):
     fx.as_text(g).write.option("header", "true").option("compression", "gzip").csv(path)
     m = ingest_month(spark, "green", 1997, 3, base=base, fmt="csv", database=db)
     return spark.table(m["table"])
+
+
+# -------------------------------------------------------------- streaming --
+@register("st_landing", "SELECT * FROM orders")
+def st_landing(spark, sf):
+    """Two text files land in a folder; the stream appends each once: the whole table."""
+    from tidemark.session import scratch_path
+    from tidemark.streaming import landing_stream
+
+    db, t = scratch_database(spark), _name("st_landing")
+    o = fx.orders(spark, sf)
+    early, late = fx.split_early(o)
+    landing = scratch_path(spark, "landing")
+    # the first month defines the table (types from Parquet), later months stream in as text
+    first = fx.write_parquet(spark, early, "orders_early")
+    ingest(spark, first, t, database=db)
+    fx.as_text(late).write.option("header", "true").csv(landing + "/m1")
+    q = landing_stream(spark, landing + "/*", t, fmt="csv", database=db)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.table(f"{db}.{t}")
