@@ -13,6 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.errors import (
     IngestError, TableExistsError, UnsupportedFormatError, UnsupportedStrategyError,
@@ -45,6 +46,23 @@ def _fmt_of(sources: list[str], fmt: str | None) -> FileFormat:
     return f
 
 
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Spread rows of few unsplittable files (one ``.gz`` = one task) over all cores.
+
+    Parsing stays one task per file, but the per-value checks and casts that
+    follow, and the Parquet write, run on every core. Many-file inputs
+    already have enough splits and are left alone. Rows are hashed on their
+    position in the input (unique, so even a file of identical rows spreads
+    evenly, and no sort is needed as for round-robin); a file split is read in
+    the same order when a task is retried after a lost executor, so every
+    row goes to the same partition again.
+    """
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, F.monotonically_increasing_id())
+
+
 def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
                    target=None, *, sep: str | None = None, encoding: str = "UTF-8",
                    multi_line: bool = True, observe: bool = True):
@@ -59,7 +77,7 @@ def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
             raw = raw.observe(obs, *aggs)
             observations.append(obs)
         return conform_typed(raw, target), target, observations
-    groups = read_delimited(spark, sources, fmt.value, sep, encoding, multi_line)
+    groups = [(h, spread(spark, g)) for h, g in read_delimited(spark, sources, fmt.value, sep, encoding, multi_line)]
     if target is None:
         first = groups[0][1]
         target = infer_text_schema(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
