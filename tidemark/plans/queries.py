@@ -125,3 +125,29 @@ def row_count(df: DataFrame) -> DataFrame:
 def sample_rows(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
     """Q6: first ``n`` rows of some columns, no order (the limit is the feature)."""
     return df.select(*columns).limit(n)
+
+
+def run_sql(spark, text: str, args: dict | None = None, views: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run SQL text with bound named parameters (``:name``) over temp views.
+
+    Parameters are bound, never spliced into the text.
+    """
+    for name, df in (views or {}).items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(text, args=args or {})
+
+
+SHORT_TRIPS_SQL = """
+WITH month_trips AS (
+  SELECT trip_distance FROM trips
+  WHERE lpep_pickup_datetime >= CAST(:start AS TIMESTAMP_NTZ)
+    AND lpep_pickup_datetime < CAST(:end AS TIMESTAMP_NTZ))
+SELECT count(*) AS short_trip_count FROM month_trips WHERE trip_distance <= :max_distance
+"""
+
+
+def short_trips_sql(spark, trips: DataFrame, start: str = MONTH_START, end: str = MONTH_END,
+                    max_distance: float = SHORT_TRIP_MAX) -> DataFrame:
+    """Q1 as SQL text with a CTE and bound parameters; same plan as :func:`short_trips`."""
+    return run_sql(spark, SHORT_TRIPS_SQL, {"start": start, "end": end, "max_distance": max_distance},
+                   {"trips": trips})

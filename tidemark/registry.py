@@ -46,6 +46,12 @@ def q_short_trips(spark, sf):
     return Q.short_trips(trips_from_tables(spark, sf))
 
 
+@register("q_short_trips_sql", _TRIPS_CTE + f"""
+SELECT count(*) AS short_trip_count FROM trips WHERE {_RANGE} AND trip_distance <= 1""")
+def q_short_trips_sql(spark, sf):
+    return Q.short_trips_sql(spark, trips_from_tables(spark, sf))
+
+
 @register("q_longest_days", _TRIPS_CTE + f"""
 SELECT CAST(lpep_pickup_datetime AS DATE) AS pickup_day FROM trips
 WHERE trip_distance < 100 AND {_RANGE} ORDER BY trip_distance DESC""")
