@@ -8,7 +8,9 @@ put NULLs last and break ties by name so the answer is deterministic.
 Full ordered results use extra tie-breakers after the stated keys: ties are
 unordered in the statement anyway, and a unique tail keeps a hot sort key
 (one value holding a large share of rows) from landing in one range
-partition of the global sort.
+partition of the global sort. The tail is the trip's row identity
+(``trip_file``, ``trip_row``) when the fact carries it: deterministic, so a
+sort stage re-run after a lost executor routes every row as before.
 """
 
 from __future__ import annotations
@@ -50,18 +52,25 @@ def short_trips(trips: DataFrame, start: str = MONTH_START, end: str = MONTH_END
                  .agg(F.count(F.lit(1)).alias("short_trip_count")))
 
 
+ROW_IDENTITY = ("trip_file", "trip_row")
+
+
+def _identity(df: DataFrame) -> list[str]:
+    return [c for c in ROW_IDENTITY if c in df.columns]
+
+
 def _valid_long(trips: DataFrame, start: str, end: str, limit: float) -> DataFrame:
     return (trips.filter((F.col("trip_distance") < limit)
                          & _in_range(F.col("lpep_pickup_datetime"), start, end))
                  .select(F.to_date("lpep_pickup_datetime").alias("pickup_day"), "trip_distance",
-                         "lpep_pickup_datetime"))
+                         "lpep_pickup_datetime", *_identity(trips)))
 
 
 def longest_days(trips: DataFrame, start: str = MONTH_START, end: str = MONTH_END,
                  limit: float = LONG_TRIP_LIMIT) -> DataFrame:
     """Q2: pickup day of every trip under ``limit``, longest first."""
-    v = _valid_long(trips, start, end, limit).withColumn("_tie", F.monotonically_increasing_id())
-    return (v.orderBy(F.col("trip_distance").desc_nulls_first(), "lpep_pickup_datetime", "_tie")
+    v = _valid_long(trips, start, end, limit)
+    return (v.orderBy(F.col("trip_distance").desc_nulls_first(), "lpep_pickup_datetime", *_identity(v))
              .select("pickup_day"))
 
 
@@ -97,7 +106,7 @@ def _tips(trips: DataFrame, zones: DataFrame, zone: str, start: str, end: str) -
     pu = dimension_join_side(zones.filter(F.col("Zone") == zone).select(F.col("LocationID").alias("pu_id")))
     eh = (trips.filter(_in_range(F.col("lpep_pickup_datetime"), start, end))
                .join(pu, F.col("PULocationID") == F.col("pu_id"))
-               .select("DOLocationID", "tip_amount", "lpep_pickup_datetime"))
+               .select("DOLocationID", "tip_amount", "lpep_pickup_datetime", *_identity(trips)))
     do = dimension_join_side(zones.select(F.col("LocationID").alias("do_id"), F.col("Zone").alias("dropoff_zone")))
     return eh.join(do, eh.DOLocationID == do.do_id)
 
@@ -105,8 +114,9 @@ def _tips(trips: DataFrame, zones: DataFrame, zone: str, start: str, end: str) -
 def tip_dropoff(trips: DataFrame, zones: DataFrame, zone: str = PICKUP_ZONE,
                 start: str = MONTH_START, end: str = MONTH_END) -> DataFrame:
     """Q4: drop-off zone and tip of every trip picked up in ``zone``, largest tip first."""
-    t = _tips(trips, zones, zone, start, end).withColumn("_tie", F.monotonically_increasing_id())
-    return (t.orderBy(F.col("tip_amount").desc_nulls_first(), "dropoff_zone", "lpep_pickup_datetime", "_tie")
+    t = _tips(trips, zones, zone, start, end)
+    return (t.orderBy(F.col("tip_amount").desc_nulls_first(), "dropoff_zone", "lpep_pickup_datetime",
+                      *_identity(t))
              .select("dropoff_zone", "tip_amount"))
 
 
