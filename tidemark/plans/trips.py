@@ -6,8 +6,9 @@ distance = (quantity - 1) * 3, pickup zone = customer nation, drop-off zone
 columns a query touches are read, and filters on pickup time or distance are
 pushed below the joins into the ``orders`` / ``lineitem`` scans by Catalyst.
 
-``trip_file`` / ``trip_row`` (the line item's file and row position) identify a
-trip; they are read only when a query uses them, as a deterministic tie-breaker.
+With ``with_identity``, ``trip_file`` / ``trip_row`` (the line item's file and
+row position) identify a trip; ordered full results use them as a
+deterministic tie-breaker. Other queries leave them out of the scan.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trips_from_tables(spark: SparkSession, sf_dir: str, with_identity: bool = False) -> DataFrame:
+    ident = ([F.col("_metadata.file_path").alias("trip_file"), F.col("_metadata.row_index").alias("trip_row")]
+             if with_identity else [])
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
-        F.col("_metadata.file_path").alias("trip_file"), F.col("_metadata.row_index").alias("trip_row"))
+        "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", *ident)
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -38,7 +40,7 @@ def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("s_nationkey").alias("DOLocationID"),
                      F.col("l_extendedprice").alias("total_amount"),
                      F.col("o_totalprice").alias("tip_amount"),
-                     "trip_file", "trip_row"))
+                     *(["trip_file", "trip_row"] if with_identity else [])))
 
 
 def zones_from_nation(spark: SparkSession, sf_dir: str) -> DataFrame:

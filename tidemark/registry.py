@@ -56,7 +56,7 @@ def q_short_trips_sql(spark, sf):
 SELECT CAST(lpep_pickup_datetime AS DATE) AS pickup_day FROM trips
 WHERE trip_distance < 100 AND {_RANGE} ORDER BY trip_distance DESC""")
 def q_longest_days(spark, sf):
-    return Q.longest_days(trips_from_tables(spark, sf))
+    return Q.longest_days(trips_from_tables(spark, sf, with_identity=True))
 
 
 @register("q_longest_day_top1", _TRIPS_CTE + f"""
@@ -94,7 +94,7 @@ eh AS (SELECT t.DOLocationID, t.tip_amount FROM trips t JOIN zones z ON t.PULoca
 SELECT z.Zone AS dropoff_zone, eh.tip_amount AS tip_amount
 FROM eh JOIN zones z ON eh.DOLocationID = z.LocationID ORDER BY eh.tip_amount DESC""")
 def q_tip_dropoff(spark, sf):
-    return Q.tip_dropoff(*_tz(spark, sf))
+    return Q.tip_dropoff(trips_from_tables(spark, sf, with_identity=True), zones_from_nation(spark, sf))
 
 
 @register("q_tip_dropoff_top1", _TIPS + """
