@@ -102,3 +102,22 @@ def test_table_name_from_url(spark, url, name):
     assert table_name_from_url(url) == name
     df = spark.createDataFrame([(url,)], "u string")
     assert df.select(table_name_from_url_col("u")).first()[0] == name
+
+
+def test_folder_with_disagreeing_headers_fails(spark, tmp_path):
+    d = tmp_path / "month"
+    d.mkdir()
+    (d / "part-0.csv").write_text("a,b\n1,2\n")
+    (d / "part-1.csv").write_text("b,a\n20,10\n")
+    (_, df), = read_delimited(spark, [str(d)])
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        df.collect()
+
+
+def test_folder_with_same_padded_headers(spark, tmp_path):
+    d = tmp_path / "month2"
+    d.mkdir()
+    (d / "part-0.csv").write_text(" a , b\n1,2\n")
+    (d / "part-1.csv").write_text(" a , b\n3,4\n")
+    (names, df), = read_delimited(spark, [str(d)])
+    assert names == ["a", "b"] and sorted(df.collect()) == [("1", "2"), ("3", "4")]

@@ -57,10 +57,10 @@ def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     the same order when a task is retried after a lost executor, so every
     row goes to the same partition again.
     """
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
         return df
-    return df.repartition(target, F.monotonically_increasing_id())
+    # no fixed count: shuffle partitions, coalesced by AQE to the data's size
+    return df.repartition(F.monotonically_increasing_id())
 
 
 def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,

@@ -1,9 +1,10 @@
 """Delimited text scans (S1 CSV, S2 TSV) with raw-header handling.
 
 Every field is read as text; typing happens in ``operators.conform``.
-Spark binds an explicit schema by position and ignores the header, so each
-file's own header line is read first (one record) and files are grouped by
-header; each group is read with a schema of its trimmed header names.
+Spark binds an explicit schema by position, so each given path's header line
+is read first (one record) and paths are grouped by header; each group is
+read with a schema of its header names, which Spark checks against the
+header of every file it opens (files inside one folder included).
 """
 
 from __future__ import annotations
@@ -37,6 +38,16 @@ def _reader(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
             .option("mode", "PERMISSIVE"))
 
 
+def read_raw_header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+                    multi_line: bool = True) -> list[str]:
+    """First record of one file (or of the first file of a folder), as written."""
+    first = (_reader(spark, sep, encoding, multi_line).option("header", "false")
+             .csv(path).limit(1).collect())
+    if not first:
+        raise EmptyLoadError(f"no header row in {path}")
+    return ["" if v is None else v for v in first[0]]
+
+
 def read_header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
                 multi_line: bool = True) -> list[str]:
     """First record of one file, parsed with the data's quoting rules, names trimmed.
@@ -44,11 +55,11 @@ def read_header(spark: SparkSession, path: str, sep: str = ",", encoding: str =
     Reads a single record (the scan stops after it). Duplicate names after
     trimming are an error, in CSV and TSV alike.
     """
-    first = (_reader(spark, sep, encoding, multi_line).option("header", "false")
-             .csv(path).limit(1).collect())
-    if not first:
-        raise EmptyLoadError(f"no header row in {path}")
-    names = [("" if v is None else v).strip(WHITESPACE_CHARS) for v in first[0]]
+    return _trimmed_unique(read_raw_header(spark, path, sep, encoding, multi_line), path)
+
+
+def _trimmed_unique(raw: list[str], path: str) -> list[str]:
+    names = [v.strip(WHITESPACE_CHARS) for v in raw]
     seen, dups = set(), []
     for n in names:
         if n in seen:
@@ -72,11 +83,15 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv"
     paths = [paths] if isinstance(paths, str) else list(paths)
     groups: OrderedDict[tuple[str, ...], list[str]] = OrderedDict()
     for p in paths:
-        groups.setdefault(tuple(read_header(spark, p, sep, encoding, multi_line)), []).append(p)
+        groups.setdefault(tuple(read_raw_header(spark, p, sep, encoding, multi_line)), []).append(p)
     out = []
-    for header, group in groups.items():
-        schema = T.StructType([T.StructField(n, T.StringType(), True) for n in header])
+    for raw, group in groups.items():
+        names = _trimmed_unique(list(raw), group[0])
+        # the schema carries the names as written and Spark checks every file's
+        # header against it while reading (a folder whose files disagree fails
+        # instead of binding columns by position); then names are trimmed
+        schema = T.StructType([T.StructField(n, T.StringType(), True) for n in raw])
         df = (_reader(spark, sep, encoding, multi_line).option("header", "true")
-              .option("enforceSchema", "true").schema(schema).csv(group))
-        out.append((list(header), df))
+              .option("enforceSchema", "false").schema(schema).csv(group))
+        out.append((names, df.toDF(*names)))
     return out
