@@ -357,7 +357,26 @@ def p_missing(spark, sf):
             .select(F.lit(outcome).alias("outcome"), F.lit(missing).alias("missing"), "source_rows"))
 
 
-@register("p_nested")
+# JSON text of a float the way the JVM prints it: shortest digits, plain for
+# 1e-3 <= |x| < 1e7, else d.dddE<exp>. DuckDB gives the same shortest digits.
+_S = "CAST(x AS VARCHAR)"
+_JVM_FLOAT = f"""CASE
+  WHEN x = 0 OR (abs(x) >= 0.001 AND abs(x) < 1e7 AND {_S} NOT LIKE '%e%') THEN {_S}
+  WHEN {_S} LIKE '%e%' THEN
+    regexp_extract({_S}, '^(-?[0-9]+)', 1) || '.' ||
+    coalesce(nullif(regexp_extract({_S}, '^-?[0-9]+[.]([0-9]+)e', 1), ''), '0') ||
+    'E' || CAST(CAST(regexp_extract({_S}, 'e([-+]?[0-9]+)$', 1) AS INTEGER) AS VARCHAR)
+  ELSE
+    CASE WHEN x < 0 THEN '-' ELSE '' END ||
+    substr(regexp_extract({_S}, '0[.]0*([0-9]+)$', 1), 1, 1) || '.' ||
+    coalesce(nullif(substr(regexp_extract({_S}, '0[.]0*([0-9]+)$', 1), 2), ''), '0') ||
+    'E-' || CAST(length(regexp_extract({_S}, '0[.](0*)[0-9]+$', 1)) + 1 AS VARCHAR)
+END"""
+
+
+@register("p_nested", f"""
+SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: {_JVM_FLOAT}), ',') || ']' AS embedding,
+  label FROM embeddings""")
 def p_nested(spark, sf):
     """Nested Parquet values are conformed to JSON text."""
     e = read_table(spark, sf, "embeddings")
