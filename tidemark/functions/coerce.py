@@ -52,8 +52,12 @@ def is_integer_text(c: Column | str) -> Column:
 
 
 def _parsed_double(c: Column | str) -> Column:
+    """Number text -> double. Only the words inf/infinity give an infinity: a
+    numeral beyond the double range (``1e400``) is NULL, as pandas makes it."""
     s = strip_ws(c)
-    return F.when(s.rlike(NUMBER_OR_INF_PATTERN), s.cast("double"))
+    d = s.cast("double")
+    return (F.when(s.rlike(NUMBER_PATTERN), F.when(F.abs(d) < F.lit(float("inf")), d))
+             .when(s.rlike(INFINITY_PATTERN), d))
 
 
 def to_number(c: Column | str, target: T.DataType = T.DoubleType()) -> Column:
@@ -64,7 +68,7 @@ def to_number(c: Column | str, target: T.DataType = T.DoubleType()) -> Column:
     """
     s = strip_ws(c)
     if isinstance(target, T.DecimalType):
-        return F.when(s.rlike(NUMBER_PATTERN), s).cast(target)
+        return F.when(s.rlike(NUMBER_PATTERN) & _parsed_double(c).isNotNull(), s).cast(target)
     return _parsed_double(c).cast(target)
 
 

@@ -99,8 +99,13 @@ def p_na(spark, sf):
     return _dirty(spark, sf, DIRTY_NUMBERS).select("id", na_to_null("s").alias("s"))
 
 
+# numerals beyond the double range are missing; only the infinity words are infinite
+_PARSED = (f"CASE WHEN regexp_matches(trim(s), '{_NUM_RE}') AND isfinite(CAST(trim(s) AS DOUBLE)) "
+           f"THEN CAST(trim(s) AS DOUBLE) WHEN {_INF} THEN CAST(trim(s) AS DOUBLE) END")
+
+
 @register("p_num", f"""
-SELECT id, CASE WHEN regexp_matches(trim(s), '{_NUM_RE}') OR {_INF} THEN CAST(trim(s) AS DOUBLE) END AS value
+SELECT id, {_PARSED} AS value
 FROM (SELECT id, {_CLEAN} AS s FROM ({_dirty_sql(DIRTY_NUMBERS)}))""")
 def p_num(spark, sf):
     return _dirty(spark, sf, DIRTY_NUMBERS).select("id", to_number(na_to_null("s")).alias("value"))
@@ -127,8 +132,7 @@ def p_int(spark, sf):
 @register("p_int_report", f"""
 SELECT 's' AS column_name, count(*) FILTER (WHERE x - floor(x) > 1e-9) AS fractions,
        min(CASE WHEN x - floor(x) > 1e-9 THEN x END) AS example
-FROM (SELECT CASE WHEN (regexp_matches(trim(s), '{_NUM_RE}') OR {_INF})
-                   AND NOT regexp_matches(trim(s), '^[+-]?[0-9]+$') THEN {_X} END AS x
+FROM (SELECT CASE WHEN NOT regexp_matches(trim(s), '^[+-]?[0-9]+$') THEN {_PARSED} END AS x
       FROM (SELECT {_CLEAN} AS s FROM ({_dirty_sql(DIRTY_NUMBERS)})))""")
 def p_int_report(spark, sf):
     df = _dirty(spark, sf, DIRTY_NUMBERS).select("s")

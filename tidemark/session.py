@@ -39,17 +39,24 @@ def scratch_root(spark: SparkSession) -> str:
     Uses the folder the cluster names in ``spark.checkpoint.dir``. Only when
     none is configured (local tests) is a private one created and registered.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions have no SparkContext
+        sc = None
+    d = sc.getCheckpointDir() if sc is not None else None
     if d:
         return d.rstrip("/")
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
-        sc.setCheckpointDir(conf)
-        return (sc.getCheckpointDir() or conf).rstrip("/")
+        if sc is not None:
+            sc.setCheckpointDir(conf)
+            return (sc.getCheckpointDir() or conf).rstrip("/")
+        return conf.rstrip("/")
     local = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-    sc.setCheckpointDir(local)
-    return (sc.getCheckpointDir() or local).rstrip("/")
+    if sc is not None:
+        sc.setCheckpointDir(local)
+        return (sc.getCheckpointDir() or local).rstrip("/")
+    return local
 
 
 def scratch_path(spark: SparkSession, *parts: str, suffix: str = "") -> str:
