@@ -155,3 +155,20 @@ def test_parquet_source_types(spark, db, tmp_path):
     assert dict(t.dtypes) == {"small": "smallint", "arr": "string", "txt": "string", "d": "double"}
     rows = sorted(t.collect())
     assert rows[0] == (0, "[0]", None, 2.5) and rows[1] == (1, "[1]", "NA", None)
+
+
+def test_database_created_and_names_checked(spark, tmp_path):
+    import uuid
+    from tidemark.errors import UnsafeIdentifierError
+    from tidemark.operators.schema import table_exists
+    db = "new_" + uuid.uuid4().hex[:6]
+    p = write_file(tmp_path, "z.csv", "LocationID,Zone\n1,Airport\n")
+    assert not spark.catalog.databaseExists(db)
+    ingest(spark, p, "taxi_zone_lookup", database=db)
+    assert spark.catalog.databaseExists(db) and table_exists(spark, f"{db}.taxi_zone_lookup")
+    with pytest.raises(ValueError):
+        ingest(spark, p, "z", database="  ")
+    with pytest.raises(UnsafeIdentifierError):
+        ingest(spark, p, "bad-name", database=db)
+    with pytest.raises(UnsafeIdentifierError):
+        ingest(spark, write_file(tmp_path, "y.csv", "bad col\n1\n"), "y", database=db)

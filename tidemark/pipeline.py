@@ -121,7 +121,10 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
     if if_exists not in POLICIES:
         raise UnsupportedStrategyError(f"unsupported if_exists strategy: {if_exists!r}")
     final = sanitize_ident(table or table_name_from_url(sources[0]))
+    if database is not None and not database.strip():
+        raise ValueError("database name must not be blank")
     db = sanitize_ident(database or spark.catalog.currentDatabase())
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")          # C7
     fq_final = pub.fq(db, final)
     f = _fmt_of(sources, fmt)
 
