@@ -34,14 +34,22 @@ def _in_range(ts: Column, start: str, end: str) -> Column:
     return (ts >= F.lit(start).cast("timestamp_ntz")) & (ts < F.lit(end).cast("timestamp_ntz"))
 
 
-def dimension_join_side(dim: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS) -> DataFrame:
+def is_bounded(dim: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS) -> bool:
+    """Proof that ``dim`` has at most ``max_rows`` rows; reads at most ``max_rows + 1``."""
+    return dim.limit(max_rows + 1).count() <= max_rows
+
+
+def dimension_join_side(dim: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS,
+                        bounded: bool | None = None) -> DataFrame:
     """Broadcast-hint a dimension only after proving it has at most ``max_rows`` rows.
 
-    The proof reads at most ``max_rows + 1`` rows. Beyond the bound the join is
-    left to the planner (sort-merge, or AQE's runtime broadcast if the side
-    turns out small after filters).
+    ``bounded`` passes a proof already made for the table ``dim`` is derived
+    from (a filter or projection of a bounded table is bounded). Beyond the
+    bound the join is left to the planner (sort-merge, or AQE's runtime
+    broadcast if the side turns out small after filters).
     """
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
+    ok = is_bounded(dim, max_rows) if bounded is None else bounded
+    return F.broadcast(dim) if ok else dim
 
 
 def short_trips(trips: DataFrame, start: str = MONTH_START, end: str = MONTH_END,
@@ -103,11 +111,14 @@ def zone_revenue_top1(trips: DataFrame, zones: DataFrame, day: str = REVENUE_DAY
 
 
 def _tips(trips: DataFrame, zones: DataFrame, zone: str, start: str, end: str) -> DataFrame:
-    pu = dimension_join_side(zones.filter(F.col("Zone") == zone).select(F.col("LocationID").alias("pu_id")))
+    small = is_bounded(zones)               # one proof serves both roles of the dimension
+    pu = dimension_join_side(zones.filter(F.col("Zone") == zone).select(F.col("LocationID").alias("pu_id")),
+                             bounded=small)
     eh = (trips.filter(_in_range(F.col("lpep_pickup_datetime"), start, end))
                .join(pu, F.col("PULocationID") == F.col("pu_id"))
                .select("DOLocationID", "tip_amount", "lpep_pickup_datetime", *_identity(trips)))
-    do = dimension_join_side(zones.select(F.col("LocationID").alias("do_id"), F.col("Zone").alias("dropoff_zone")))
+    do = dimension_join_side(zones.select(F.col("LocationID").alias("do_id"), F.col("Zone").alias("dropoff_zone")),
+                             bounded=small)
     return eh.join(do, eh.DOLocationID == do.do_id)
 
 

@@ -6,8 +6,8 @@ distance = (quantity - 1) * 3, pickup zone = customer nation, drop-off zone
 columns a query touches are read, and filters on pickup time or distance are
 pushed below the joins into the ``orders`` / ``lineitem`` scans by Catalyst.
 
-With ``with_identity``, ``trip_file`` / ``trip_row`` (the line item's file and
-row position) identify a trip; ordered full results use them as a
+With ``with_identity``, ``trip_file`` / ``trip_row`` (a 64-bit hash of the line
+item's file and its row position) identify a trip; ordered full results use them as a
 deterministic tie-breaker. Other queries leave them out of the scan.
 """
 
@@ -22,7 +22,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def trips_from_tables(spark: SparkSession, sf_dir: str, with_identity: bool = False) -> DataFrame:
-    ident = ([F.col("_metadata.file_path").alias("trip_file"), F.col("_metadata.row_index").alias("trip_row")]
+    ident = ([F.xxhash64("_metadata.file_path").alias("trip_file"), F.col("_metadata.row_index").alias("trip_row")]
              if with_identity else [])
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", *ident)

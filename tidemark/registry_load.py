@@ -6,7 +6,9 @@ from them into the shared scratch folder, and returns a DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +21,7 @@ from tidemark.functions.identifiers import (
 from tidemark.functions.months import expected_month_col, month_end_col, month_start_col
 from tidemark.functions.nulls import NA_TOKENS, na_to_null
 from tidemark.operators import publish as pub
-from tidemark.operators.conform import conform_text, conform_typed, integer_report
+from tidemark.operators.conform import conform_typed, integer_report
 from tidemark.operators.schema import (
     infer_text_schema, parquet_target_schema, schema_rows, table_columns,
 )
@@ -32,7 +34,6 @@ from tidemark.sources.paths import (
     FileFormat, detect_format_col, month_path_col, month_table_col, table_name_from_url_col,
 )
 from tidemark.sources.text import read_delimited
-import uuid
 
 
 def _name(kind: str) -> str:
@@ -119,11 +120,6 @@ SELECT id, CASE WHEN regexp_matches(trim(s), '^[+-]?[0-9]+$') THEN CAST(trim(s)
 FROM (SELECT id, {_CLEAN} AS s FROM ({_dirty_sql(DIRTY_NUMBERS)}))"""
 
 
-def _no_overflow(df: DataFrame) -> DataFrame:
-    # the dirty set holds 1e400 (-> inf) which is nulled, never cast; all else fits bigint
-    return df
-
-
 @register("p_int", _P_INT_SQL)
 def p_int(spark, sf):
     return _dirty(spark, sf, DIRTY_NUMBERS).select("id", to_integer(na_to_null("s")).alias("value"))
@@ -150,10 +146,6 @@ def p_dt(spark, sf):
 
 
 # ------------------------------------------------------- delimited scans --
-def _orders_target(spark, sf) -> T.StructType:
-    return parquet_target_schema(fx.orders(spark, sf).schema)
-
-
 def _read_back(spark, path, fmt, target) -> DataFrame:
     df, _, _ = read_conformed(spark, [path], FileFormat(fmt), target, observe=False)
     return df
