@@ -10,6 +10,7 @@ header of every file it opens (files inside one folder included).
 from __future__ import annotations
 
 from collections import OrderedDict
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -81,9 +82,13 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv"
     """
     sep = check_delimiter(sep if sep is not None else DEFAULT_SEP.get(fmt, ","), fmt)
     paths = [paths] if isinstance(paths, str) else list(paths)
+    # one single-record job per given path, submitted concurrently (a folder or
+    # glob is one path: its files are checked by Spark while reading)
+    with ThreadPoolExecutor(max_workers=min(16, len(paths))) as pool:
+        headers = list(pool.map(lambda p: read_raw_header(spark, p, sep, encoding, multi_line), paths))
     groups: OrderedDict[tuple[str, ...], list[str]] = OrderedDict()
-    for p in paths:
-        groups.setdefault(tuple(read_raw_header(spark, p, sep, encoding, multi_line)), []).append(p)
+    for p, h in zip(paths, headers):
+        groups.setdefault(tuple(h), []).append(p)
     out = []
     for raw, group in groups.items():
         names = _trimmed_unique(list(raw), group[0])
