@@ -40,3 +40,31 @@ def test_replayed_batch_is_not_published_twice(spark, db):
     assert published_parts(spark, db, "replay_t") == [_batch_table("replay_t", "ckpt-x", 0)]
     load(batch, 1)
     assert spark.table(f"{db}.replay_t").count() == 4
+
+
+def test_stream_file_with_other_column_order_fails(spark, db, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "a.csv").write_text("id,v\n1,x\n")
+    ckpt = str(tmp_path / "ckpt")
+    q = landing_stream(spark, str(landing) + "/*.csv", "order_t", database=db, checkpoint=ckpt)
+    q.awaitTermination()
+    (landing / "b.csv").write_text("v,id\ny,2\n")
+    q = landing_stream(spark, str(landing) + "/*.csv", "order_t", database=db, checkpoint=ckpt)
+    try:
+        q.awaitTermination()
+        failed = q.exception() is not None
+    except Exception:  # noqa: BLE001
+        failed = True
+    assert failed
+    assert spark.table(f"{db}.order_t").collect() == [(1, "x")]
+
+
+def test_parquet_stream_takes_footer_schema(spark, db, tmp_path):
+    landing = tmp_path / "pq"
+    spark.range(5).selectExpr("id", "cast(id as tinyint) AS small").write.parquet(str(landing / "m1"))
+    q = landing_stream(spark, str(landing) + "/*", "pq_t", fmt="parquet", database=db,
+                       checkpoint=str(tmp_path / "ck"))
+    q.awaitTermination()
+    t = spark.table(f"{db}.pq_t")
+    assert dict(t.dtypes) == {"id": "bigint", "small": "smallint"} and t.count() == 5

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.identifiers import sanitize_ident
+from tidemark.functions.identifiers import WHITESPACE_CHARS, sanitize_ident
 from tidemark.operators import publish as pub
 from tidemark.operators.conform import conform_text, conform_typed
 from tidemark.operators.schema import infer_text_schema, parquet_target_schema
 from tidemark.operators.validate import MAX_OUTSIDE_RATIO, MAX_OUTSIDE_ROWS, validate
 from tidemark.session import scratch_path
 from tidemark.sources.paths import FileFormat
-from tidemark.sources.text import DEFAULT_SEP, check_delimiter, read_header
+from tidemark.sources.text import DEFAULT_SEP, check_delimiter, read_raw_header
 
 
 def _batch_table(final: str, checkpoint: str, batch_id: int) -> str:
@@ -42,13 +42,15 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
                    ) -> StreamingQuery:
     """Start the stream; ``available_now`` takes every file present, then stops.
 
-    Text files must share one header: ``header``, else the published table's
-    column order, else the header of a file already in the folder. The target
-    schema is the published table's, else ``target``, else inferred from the
-    first micro-batch.
+    Text files must share one header: ``header``, else the header of a file
+    already in the folder, else the published table's column order; Spark
+    checks every new file's header against it. The target schema is the
+    published table's, else ``target``, else (Parquet) the footer of a landed
+    file or (text) inferred from the first micro-batch.
     """
     final = sanitize_ident(table)
     db = sanitize_ident(database or spark.catalog.currentDatabase())
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
     fq_final = pub.fq(db, final)
     f = FileFormat(fmt)
     checkpoint = checkpoint or scratch_path(spark, "streams", final)
@@ -59,18 +61,26 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if f is FileFormat.PARQUET:
-        if target is None:
-            raise ValueError("a Parquet stream needs a published table or an explicit target schema")
+        if target is None:          # footer of a file already landed (no data read)
+            target = parquet_target_schema(spark.read.parquet(landing_dir).schema)
         src = reader.schema(target).parquet(landing_dir)
     else:
         s = check_delimiter(sep if sep is not None else DEFAULT_SEP[f.value], f.value)
-        names = header or (target.fieldNames() if target is not None else None)
+        names = header
         if names is None:
-            names = read_header(spark, landing_dir, s, encoding)
+            try:                    # the files' own header, when one has landed
+                names = read_raw_header(spark, landing_dir, s, encoding)
+            except Exception:  # noqa: BLE001 - empty folder: fall back to the table's order
+                if target is None:
+                    raise
+                names = target.fieldNames()
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        src = (reader.schema(schema).option("header", "true").option("sep", s).option("quote", '"')
-               .option("escape", '"').option("multiLine", "true").option("encoding", encoding)
-               .csv(landing_dir))
+        # Spark checks each new file's header against these names (no silent
+        # positional binding of a file whose columns are in another order)
+        src = (reader.schema(schema).option("header", "true").option("enforceSchema", "false")
+               .option("sep", s).option("quote", '"').option("escape", '"').option("multiLine", "true")
+               .option("encoding", encoding).csv(landing_dir)
+               .toDF(*[n.strip(WHITESPACE_CHARS) for n in names]))
 
     load_batch = batch_loader(db, final, checkpoint, f, target, max_outside_rows, max_outside_ratio,
                               fail_on_outside_month)
