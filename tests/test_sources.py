@@ -121,3 +121,24 @@ def test_folder_with_same_padded_headers(spark, tmp_path):
     (d / "part-1.csv").write_text(" a , b\n3,4\n")
     (names, df), = read_delimited(spark, [str(d)])
     assert names == ["a", "b"] and sorted(df.collect()) == [("1", "2"), ("3", "4")]
+
+
+def test_encoding_and_split_plain_file(spark, tmp_path):
+    p = tmp_path / "latin.csv"
+    p.write_bytes("name,n\ncaf\xe9,1\nna\xefve,2\n".encode("latin-1"))
+    (_, df), = read_delimited(spark, [str(p)], encoding="ISO-8859-1", multi_line=False)
+    assert sorted(df.collect()) == [("café", "1"), ("naïve", "2")]
+
+
+def test_large_plain_file_splits_without_multiline(spark, tmp_path):
+    p = tmp_path / "big.csv"
+    p.write_text("a,b\n" + "".join(f"{i},{i * 2}\n" for i in range(200_000)))
+    (_, one), = read_delimited(spark, [str(p)], multi_line=True)
+    (_, many), = read_delimited(spark, [str(p)], multi_line=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
+    try:
+        assert one.rdd.getNumPartitions() == 1
+        assert many.rdd.getNumPartitions() > 1
+        assert many.count() == one.count() == 200_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
