@@ -172,3 +172,20 @@ def test_database_created_and_names_checked(spark, tmp_path):
         ingest(spark, p, "bad-name", database=db)
     with pytest.raises(UnsafeIdentifierError):
         ingest(spark, write_file(tmp_path, "y.csv", "bad col\n1\n"), "y", database=db)
+
+
+def test_foreign_table_is_refused_before_any_work(spark, db, tmp_path):
+    spark.sql(f"CREATE TABLE {db}.foreign_t (a BIGINT) USING parquet")
+    with pytest.raises(IngestError, match="not published by this library"):
+        ingest(spark, write_file(tmp_path, "f.csv", "a\n1\n"), "foreign_t", database=db, if_exists="append")
+    assert not [r for r in spark.sql(f"SHOW TABLES IN {db}").collect() if "__r_" in r.tableName]
+
+
+def test_failed_write_leaves_no_staged_table(spark, db, tmp_path):
+    ingest(spark, write_file(tmp_path, "ok.csv", "k\n1\n"), "wf", database=db)
+    # 20 digits overflow the table's bigint under ANSI: the staging job itself fails
+    with pytest.raises(Exception):
+        ingest(spark, write_file(tmp_path, "bad.csv", "k\n99999999999999999999\n"), "wf", database=db,
+               if_exists="append")
+    assert spark.table(f"{db}.wf").collect() == [(1,)]
+    assert len([r for r in spark.sql(f"SHOW TABLES IN {db}").collect() if "wf__r_" in r.tableName]) == 1

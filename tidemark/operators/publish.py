@@ -40,9 +40,15 @@ def fq(database: str, name: str) -> str:
     return f"{sanitize_ident(database)}.{sanitize_ident(name)}"
 
 
-def stage(df: DataFrame, database: str, final: str, run_id: str) -> str:
-    """Write the conformed rows as a new physical table (W1). Returns its name."""
-    name = physical_name(final, run_id)
+def stage(df: DataFrame, database: str, final: str, name: str | None = None) -> str:
+    """Write the conformed rows as a new physical table (W1). Returns its name.
+
+    ``name`` is a physical name from :func:`physical_name`; a fresh run id is
+    used when it is not given.
+    """
+    name = name or physical_name(final, new_run_id())
+    if not name.startswith(final + RUN_MARK):
+        raise IngestError(f"staged name {name!r} does not belong to {final!r}")
     df.write.format("parquet").mode("errorifexists").saveAsTable(fq(database, name))
     return name
 
@@ -84,8 +90,14 @@ def compact(spark: SparkSession, database: str, final: str) -> list[str]:
     parts = published_parts(spark, database, final)
     if not parts or len(parts) == 1:
         return parts or []
-    staged = stage(spark.table(fq(database, final)), database, final, new_run_id())
-    return publish_staged(spark, database, final, staged, "replace")
+    staged = physical_name(final, new_run_id())
+    try:
+        stage(spark.table(fq(database, final)), database, final, staged)
+        return publish_staged(spark, database, final, staged, "replace")
+    except BaseException:
+        if staged not in (published_parts(spark, database, final) or []):
+            cleanup_best_effort(spark, fq(database, staged))
+        raise
 
 
 def analyze(spark: SparkSession, database: str, table: str, columns: bool = False) -> None:

@@ -129,6 +129,8 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
     f = _fmt_of(sources, fmt)
 
     exists = spark.catalog.tableExists(fq_final)
+    if exists:
+        pub.published_parts(spark, db, final)      # fails fast on a table not published here
     if exists and if_exists == "skip":
         return {"status": "skipped", "table": fq_final}
     if exists and if_exists == "fail":
@@ -145,7 +147,8 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
         conformed, target, observations = read_conformed(
             spark, sources, f, target, sep=sep, encoding=encoding, multi_line=multi_line)
         _hook("read")
-        staged = pub.stage(conformed, db, final, pub.new_run_id())
+        staged = pub.physical_name(final, pub.new_run_id())   # known before the write, for cleanup
+        pub.stage(conformed, db, final, staged)
         _hook("stage")
         metrics = validate(spark.table(pub.fq(db, staged)), final, max_outside_rows,
                            max_outside_ratio, fail_on_outside_month)

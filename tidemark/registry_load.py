@@ -472,7 +472,7 @@ def _orders_files(spark, sf, kind: str = "parquet"):
 def w_stage(spark, sf):
     db = scratch_database(spark)
     o = fx.orders(spark, sf)
-    staged = pub.stage(conform_typed(o, parquet_target_schema(o.schema)), db, _name("w_stage"), pub.new_run_id())
+    staged = pub.stage(conform_typed(o, parquet_target_schema(o.schema)), db, _name("w_stage"))
     return spark.table(f"{db}.{staged}")
 
 
