@@ -18,7 +18,7 @@ from tidemark.functions.coerce import to_datetime, to_integer, to_number
 from tidemark.functions.identifiers import (
     WHITESPACE_CHARS, is_safe_ident_col, normalize_ident_col,
 )
-from tidemark.functions.months import expected_month_col, month_end_col, month_start_col
+from tidemark.functions.months import expected_month, expected_month_col, month_end_col, month_start_col
 from tidemark.functions.nulls import NA_TOKENS, na_to_null
 from tidemark.operators import publish as pub
 from tidemark.operators.conform import conform_typed, integer_report
@@ -416,6 +416,22 @@ def v_month_spill(spark, sf):
     return validation_metrics(df, "lpep_pickup_datetime", "1997_03")
 
 
+@register("v_month_events", """
+SELECT count(*) AS rowcount, 'pickup_datetime' AS datetime_col, min(ts) AS min_dt, max(ts) AS max_dt,
+  count(*) FILTER (WHERE ts IS NULL) AS null_dt,
+  count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-01' OR ts >= TIMESTAMP '2024-02-01') AS outside_month,
+  count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01') AS inside_month,
+  '2024_01' AS expected_month,
+  CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-01' OR ts >= TIMESTAMP '2024-02-01') AS DOUBLE) / count(*) AS outside_ratio,
+  (count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-01' OR ts >= TIMESTAMP '2024-02-01') > 200 OR
+   CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-01' OR ts >= TIMESTAMP '2024-02-01') AS DOUBLE) / count(*) > 0.005) AS exceeds
+FROM events""")
+def v_month_events(spark, sf):
+    """A table whose rows all fall in its month: the event stream as ``fhv_tripdata_2024_01``."""
+    ev = read_table(spark, sf, "events").select(F.col("ts").alias("pickup_datetime"), "event_type", "value")
+    return validation_metrics(ev, detect_datetime_column(ev.columns), expected_month("fhv_tripdata_2024_01"))
+
+
 @register("v_month", f"""
 SELECT o_orderkey, table_name, nullif(regexp_extract(table_name, '([0-9]{{4}})_([0-9]{{2}})', 0), '') AS expected_month
 FROM (SELECT o_orderkey, {_MONTH_TABLE_SQL} AS table_name FROM orders)""")
