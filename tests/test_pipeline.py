@@ -189,3 +189,15 @@ def test_failed_write_leaves_no_staged_table(spark, db, tmp_path):
                if_exists="append")
     assert spark.table(f"{db}.wf").collect() == [(1,)]
     assert len([r for r in spark.sql(f"SHOW TABLES IN {db}").collect() if "wf__r_" in r.tableName]) == 1
+
+
+def test_parquet_paths_each_checked(spark, db, tmp_path):
+    from tidemark.errors import MissingColumnsError
+    a, b = str(tmp_path / "a.parquet"), str(tmp_path / "b.parquet")
+    spark.range(2).selectExpr("id", "id * 2 AS v").write.parquet(a)
+    spark.range(2).selectExpr("id").write.parquet(b)
+    with pytest.raises(MissingColumnsError, match="b.parquet"):
+        ingest(spark, [a, b], "pq_multi", database=db)
+    assert not spark.catalog.tableExists(f"{db}.pq_multi")
+    ingest(spark, [a, a], "pq_multi", database=db)
+    assert spark.table(f"{db}.pq_multi").count() == 4

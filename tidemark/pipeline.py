@@ -10,6 +10,7 @@ per file, one row of validation metrics, and catalog metadata.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -20,7 +21,7 @@ from tidemark.errors import (
 )
 from tidemark.functions.identifiers import sanitize_ident
 from tidemark.operators import publish as pub
-from tidemark.operators.conform import conform_text, conform_typed, fraction_aggregates
+from tidemark.operators.conform import conform_text, conform_typed, fraction_aggregates, require_columns
 from tidemark.operators.schema import infer_text_schema, parquet_target_schema
 from tidemark.operators.validate import MAX_OUTSIDE_RATIO, MAX_OUTSIDE_ROWS, validate
 from tidemark.sources.parquet import read_parquet
@@ -74,6 +75,13 @@ def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
     if fmt is FileFormat.PARQUET:
         raw = read_parquet(spark, sources)
         target = target or parquet_target_schema(raw.schema)
+        if len(sources) > 1:
+            # Spark takes one footer's schema for all paths; check every given
+            # path's own footer (metadata only, concurrently) for the columns
+            with ThreadPoolExecutor(max_workers=min(16, len(sources))) as pool:
+                cols = list(pool.map(lambda p: spark.read.parquet(p).columns, sources))
+            for p, c in zip(sources, cols):
+                require_columns(c, target, what=f"Parquet source {p}")
         aggs = fraction_aggregates(raw, target, text=False) if observe else []
         if aggs:
             obs = Observation("fractions")
