@@ -12,7 +12,8 @@ from tidemark.errors import UnsafeIdentifierError
 # Whitespace as Python's str.isspace() defines it (all such code points lie
 # below U+3001); these are trimmed and folded when a raw name is normalized.
 WHITESPACE_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
-# Separators folded to one underscore, besides whitespace.
+# Separators folded to one underscore, besides whitespace, and
+# the shape of a safe identifier.
 SEPARATOR_CHARS = "-.:/"
 SAFE_IDENT_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*"
 

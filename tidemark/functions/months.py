@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A table name's month is its first "YYYY_MM".
 MONTH_PATTERN = r"([0-9]{4})_([0-9]{2})"
 
 
