@@ -1,6 +1,7 @@
 """Properties: coercions agree with pandas / a Python model on generated text; conform is idempotent."""
 
 import math
+from datetime import datetime
 
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
@@ -76,3 +77,22 @@ def test_conform_is_idempotent(spark):
     once = conform_text(text, target)
     twice = conform_text(once.select(*[F.col(n).cast("string").alias(n) for n in names]), target)
     assert sorted(once.collect(), key=str) == sorted(twice.collect(), key=str)
+
+
+_ts = st.one_of(st.none(), st.datetimes(min_value=datetime(2023, 11, 1), max_value=datetime(2024, 3, 1)))
+
+
+@_settings
+@given(st.lists(_ts, min_size=1, max_size=400), st.sampled_from(["2023_12", "2024_01", "2024_02"]))
+def test_spill_counts_partition_the_rows(spark, values, month):
+    from tidemark.functions.months import month_window
+    from tidemark.operators.validate import validation_metrics
+
+    df = spark.createDataFrame([(v,) for v in values], "pickup_datetime timestamp_ntz")
+    m = validation_metrics(df, "pickup_datetime", month).first()
+    start, end = month_window(month)
+    inside = sum(1 for v in values if v is not None and start <= v < end)
+    nulls = sum(1 for v in values if v is None)
+    assert (m.inside_month, m.null_dt, m.rowcount) == (inside, nulls, len(values))
+    assert m.inside_month + m.outside_month + m.null_dt == m.rowcount
+    assert m.exceeds == (m.outside_month > 200 or m.outside_month / m.rowcount > 0.005)
