@@ -50,9 +50,11 @@ def test_integer_rejects(spark):
     assert _apply(spark, vals, to_integer) == [None] * len(vals)
 
 
-def test_integer_overflow_fails(spark):
+@pytest.mark.parametrize("text,target", [("70000", T.ShortType()), ("1e100", T.LongType()),
+                                         ("99999999999999999999", T.LongType())])
+def test_integer_overflow_fails(spark, text, target):
     with pytest.raises(Exception):
-        _apply(spark, ["70000"], lambda c: to_integer(c, T.ShortType()))
+        _apply(spark, [text], lambda c: to_integer(c, target))
 
 
 def test_datetime(spark):
