@@ -142,3 +142,10 @@ def test_large_plain_file_splits_without_multiline(spark, tmp_path):
         assert many.count() == one.count() == 200_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_bom_and_crlf(spark, tmp_path):
+    p = tmp_path / "bom.csv"
+    p.write_bytes(b"\xef\xbb\xbfVendorID,b\r\n1,2\r\n3,4\r\n")
+    (names, df), = read_delimited(spark, [str(p)])
+    assert names == ["VendorID", "b"] and sorted(df.collect()) == [("1", "2"), ("3", "4")]
