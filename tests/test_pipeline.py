@@ -201,3 +201,14 @@ def test_parquet_paths_each_checked(spark, db, tmp_path):
     assert not spark.catalog.tableExists(f"{db}.pq_multi")
     ingest(spark, [a, a], "pq_multi", database=db)
     assert spark.table(f"{db}.pq_multi").count() == 4
+
+
+def test_compaction_keeps_big_parts(spark, db, tmp_path):
+    big = write_file(tmp_path, "big.csv", "a\n" + "".join(f"{i}\n" for i in range(20000)))
+    small = write_file(tmp_path, "small.csv", "a\n7\n")
+    first = ingest(spark, big, "tier", database=db)["parts"][0]
+    for _ in range(4):
+        ingest(spark, small, "tier", database=db, if_exists="append", compact_after=3)
+    parts = published_parts(spark, db, "tier")
+    assert first in parts and len(parts) <= 3
+    assert spark.table(f"{db}.tier").count() == 20004

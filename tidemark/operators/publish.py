@@ -7,7 +7,7 @@ property. Both publish modes are a single ``CREATE OR REPLACE VIEW``:
 * replace: the view becomes the new staged table alone; old parts are dropped
   after the flip.
 * append: the new staged table is added to the view's parts (no data copied).
-  ``compact`` folds many parts back into one table when they pile up.
+  ``compact`` merges the smaller parts when they pile up.
 
 Staged tables are ordinary Parquet tables, written by one Spark job with the
 file commit protocol: task retries after a lost executor never duplicate or
@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.errors import IngestError
 from tidemark.functions.identifiers import sanitize_ident
 
+PROPERTY_PREFIX = "tidemark."
 PARTS_PROPERTY = "tidemark.parts"
 RUN_MARK = "__r_"
 
@@ -53,8 +55,8 @@ def stage(df: DataFrame, database: str, final: str, name: str | None = None) ->
     return name
 
 
-def published_parts(spark: SparkSession, database: str, final: str) -> list[str] | None:
-    """Physical tables behind a published view; None when nothing is published."""
+def published_state(spark: SparkSession, database: str, final: str) -> tuple[list[str], dict[str, str]] | None:
+    """(physical parts, our view properties) of a published table; None if absent."""
     name = fq(database, final)
     if not spark.catalog.tableExists(name):
         return None
@@ -62,22 +64,36 @@ def published_parts(spark: SparkSession, database: str, final: str) -> list[str]
     props = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
     if tbl.tableType != "VIEW" or PARTS_PROPERTY not in props:
         raise IngestError(f"{name} exists but was not published by this library")
-    return [p for p in props[PARTS_PROPERTY].split(",") if p]
+    ours = {k: v for k, v in props.items() if k.startswith(PROPERTY_PREFIX) and k != PARTS_PROPERTY}
+    return [p for p in props[PARTS_PROPERTY].split(",") if p], ours
 
 
-def _create_view(spark: SparkSession, database: str, final: str, parts: list[str]) -> None:
+def published_parts(spark: SparkSession, database: str, final: str) -> list[str] | None:
+    """Physical tables behind a published view; None when nothing is published."""
+    state = published_state(spark, database, final)
+    return None if state is None else state[0]
+
+
+def _create_view(spark: SparkSession, database: str, final: str, parts: list[str],
+                 props: dict[str, str] | None = None) -> None:
     body = " UNION ALL ".join(f"SELECT * FROM {fq(database, p)}" for p in parts)
-    spark.sql(f"CREATE OR REPLACE VIEW {fq(database, final)} "
-              f"TBLPROPERTIES ('{PARTS_PROPERTY}' = '{','.join(parts)}') AS {body}")
+    allp = {**(props or {}), PARTS_PROPERTY: ",".join(parts)}
+    text = ", ".join(f"'{k}' = '{v}'" for k, v in sorted(allp.items()))
+    spark.sql(f"CREATE OR REPLACE VIEW {fq(database, final)} TBLPROPERTIES ({text}) AS {body}")
+
 
+def publish_staged(spark: SparkSession, database: str, final: str, staged: str, mode: str,
+                   props: dict[str, str] | None = None) -> list[str]:
+    """Flip the published view in one catalog call (W2 append / W3 replace).
 
-def publish_staged(spark: SparkSession, database: str, final: str, staged: str, mode: str) -> list[str]:
-    """Flip the published view in one catalog call (W2 append / W3 replace)."""
+    ``props`` are recorded on the view in the same call (a stream's last
+    published batch id, so publish and bookkeeping change together).
+    """
     if not spark.catalog.tableExists(fq(database, staged)):
         raise IngestError(f"staged table does not exist: {fq(database, staged)}")
-    old = published_parts(spark, database, final) or []
+    old, old_props = published_state(spark, database, final) or ([], {})
     parts = old + [staged] if mode == "append" else [staged]
-    _create_view(spark, database, final, parts)
+    _create_view(spark, database, final, parts, {**old_props, **(props or {})})
     if mode != "append":
         for p in old:
             if p not in parts:
@@ -85,19 +101,43 @@ def publish_staged(spark: SparkSession, database: str, final: str, staged: str,
     return parts
 
 
-def compact(spark: SparkSession, database: str, final: str) -> list[str]:
-    """Rewrite a multi-part published table as one part, then flip to it."""
-    parts = published_parts(spark, database, final)
-    if not parts or len(parts) == 1:
-        return parts or []
-    staged = physical_name(final, new_run_id())
+def part_bytes(spark: SparkSession, database: str, part: str) -> int:
+    """Size of a physical part from its catalog statistics (metadata only; 0 if unknown)."""
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {fq(database, part)}").collect():
+        if r[0] == "Statistics" and r[1]:
+            head = str(r[1]).split(" ", 1)[0]
+            return int(head) if head.isdigit() else 0
+    return 0
+
+
+def compact(spark: SparkSession, database: str, final: str, max_parts: int = 1) -> list[str]:
+    """Merge parts once there are more than ``max_parts`` of them; returns the parts.
+
+    The smaller half of the parts (by stored size) is rewritten as one new part
+    and the view flipped to it in one catalog call; big parts stay as they
+    are. A row is thus rewritten only when its part is among the smaller
+    half, so repeated appends cost a logarithmic number of rewrites per row,
+    not a rewrite of the whole table each time. ``max_parts=1`` merges all.
+    """
+    parts, props = published_state(spark, database, final) or ([], {})
+    if len(parts) <= max(1, max_parts):
+        return parts
+    by_size = sorted(parts, key=lambda p: part_bytes(spark, database, p))
+    merge = parts if max_parts <= 1 else by_size[: max(2, len(parts) // 2 + 1)]
+    keep = [p for p in parts if p not in merge]
+    merged = physical_name(final, new_run_id())
     try:
-        stage(spark.table(fq(database, final)), database, final, staged)
-        return publish_staged(spark, database, final, staged, "replace")
+        union = reduce(DataFrame.unionAll, [spark.table(fq(database, p)) for p in merge])
+        stage(union, database, final, merged)
+        analyze(spark, database, merged)
+        _create_view(spark, database, final, keep + [merged], props)
     except BaseException:
-        if staged not in (published_parts(spark, database, final) or []):
-            cleanup_best_effort(spark, fq(database, staged))
+        if merged not in (published_parts(spark, database, final) or []):
+            cleanup_best_effort(spark, fq(database, merged))
         raise
+    for p in merge:
+        drop_if_exists(spark, fq(database, p))
+    return keep + [merged]
 
 
 def analyze(spark: SparkSession, database: str, table: str, columns: bool = False) -> None:

@@ -169,9 +169,9 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
             raise TableExistsError(f"{fq_final} was published by another run")
         parts = pub.publish_staged(spark, db, final, staged, mode)
         _hook("publish")
+        pub.analyze(spark, db, staged, analyze_columns)
         if compact_after and len(parts) > compact_after:
-            parts = pub.compact(spark, db, final)
-        pub.analyze(spark, db, parts[-1], analyze_columns)
+            parts = pub.compact(spark, db, final, compact_after)
         _hook("analyze")
     except BaseException:
         if staged is not None:

@@ -4,10 +4,11 @@ Files dropped into a folder (one per month, say) are picked up once each by
 Spark's file source; the checkpoint records which files were taken, so a
 restarted job resumes where it stopped. Every micro-batch goes through the
 same steps as a batch load: conform -> staged table -> one validation
-aggregate -> append to the published view. The staged table of batch ``n``
-has a deterministic name, so a batch replayed after a failure is recognised
-and never appended twice (exactly-once publish on top of at-least-once
-``foreachBatch``).
+aggregate -> append to the published view. The view records the last batch
+id each stream published, in the same catalog call that appends the batch,
+so a batch replayed after a failure is recognised and never appended twice
+(exactly-once publish on top of at-least-once ``foreachBatch``), even after
+compaction has merged the batch's table away.
 """
 
 from __future__ import annotations
@@ -28,9 +29,17 @@ from tidemark.sources.paths import FileFormat
 from tidemark.sources.text import DEFAULT_SEP, check_delimiter, read_raw_header
 
 
+def _token(checkpoint: str) -> str:
+    return hashlib.sha1(checkpoint.encode()).hexdigest()[:8]
+
+
 def _batch_table(final: str, checkpoint: str, batch_id: int) -> str:
-    token = hashlib.sha1(checkpoint.encode()).hexdigest()[:8]
-    return pub.physical_name(final, f"s{token}_{batch_id:08d}")
+    return pub.physical_name(final, f"s{_token(checkpoint)}_{batch_id:08d}")
+
+
+def batch_property(checkpoint: str) -> str:
+    """View property holding the last batch id this stream (checkpoint) published."""
+    return f"{pub.PROPERTY_PREFIX}batch.{_token(checkpoint)}"
 
 
 def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: str = "csv",
@@ -38,8 +47,8 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
                    header: list[str] | None = None, target: T.StructType | None = None,
                    sep: str | None = None, encoding: str = "UTF-8", max_files_per_trigger: int | None = None,
                    available_now: bool = True, max_outside_rows: int = MAX_OUTSIDE_ROWS,
-                   max_outside_ratio: float = MAX_OUTSIDE_RATIO, fail_on_outside_month: bool = False
-                   ) -> StreamingQuery:
+                   max_outside_ratio: float = MAX_OUTSIDE_RATIO, fail_on_outside_month: bool = False,
+                   compact_after: int | None = 64) -> StreamingQuery:
     """Start the stream; ``available_now`` takes every file present, then stops.
 
     Text files must share one header: ``header``, else the header of a file
@@ -83,7 +92,7 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
                .toDF(*[n.strip(WHITESPACE_CHARS) for n in names]))
 
     load_batch = batch_loader(db, final, checkpoint, f, target, max_outside_rows, max_outside_ratio,
-                              fail_on_outside_month)
+                              fail_on_outside_month, compact_after)
     w = src.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
@@ -91,16 +100,18 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
 
 def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.StructType | None,
                  max_outside_rows: int = MAX_OUTSIDE_ROWS, max_outside_ratio: float = MAX_OUTSIDE_RATIO,
-                 fail_on_outside_month: bool = False):
+                 fail_on_outside_month: bool = False, compact_after: int | None = 64):
     """The ``foreachBatch`` function: conform, stage, validate and append one micro-batch."""
     state = {"target": target}
 
+    mark = batch_property(checkpoint)
+
     def load_batch(batch: DataFrame, batch_id: int) -> None:
+        sess = batch.sparkSession
         staged = _batch_table(final, checkpoint, batch_id)
-        parts = pub.published_parts(batch.sparkSession, db, final) or []
-        if staged in parts:                 # replayed batch: already published
+        parts, props = pub.published_state(sess, db, final) or ([], {})
+        if int(props.get(mark, "-1")) >= batch_id:      # replayed batch: already published
             return
-        sess = batch.sparkSession
         pub.drop_if_exists(sess, pub.fq(db, staged))     # half-done earlier attempt
         if batch.isEmpty():
             return
@@ -113,9 +124,12 @@ def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.
         try:
             validate(sess.table(pub.fq(db, staged)), final, max_outside_rows, max_outside_ratio,
                      fail_on_outside_month)
-            pub.publish_staged(sess, db, final, staged, "append" if parts else "replace")
+            pub.publish_staged(sess, db, final, staged, "append" if parts else "replace",
+                               {mark: str(batch_id)})
         except BaseException:
             pub.cleanup_best_effort(sess, pub.fq(db, staged))
             raise
         pub.analyze(sess, db, staged)
+        if compact_after and len(parts) + 1 > compact_after:
+            pub.compact(sess, db, final, compact_after)
     return load_batch
