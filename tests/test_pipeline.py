@@ -212,3 +212,15 @@ def test_compaction_keeps_big_parts(spark, db, tmp_path):
     parts = published_parts(spark, db, "tier")
     assert first in parts and len(parts) <= 3
     assert spark.table(f"{db}.tier").count() == 20004
+
+
+def test_raw_text_copy_is_dropped(spark, db, tmp_path):
+    from tidemark.session import scratch_database
+    p = write_file(tmp_path, "raw.csv.gz", "a,b\n1,x\n2,y\n")
+    ingest(spark, p, "rawcopy", database=db)
+    q = write_file(tmp_path, "bad.csv.gz", "a,b\n1,x\n")
+    with pytest.raises(IngestError):
+        ingest(spark, q, "rawcopy2", database=db, fail_after="stage")
+    sdb = scratch_database(spark)
+    assert not [r for r in spark.sql(f"SHOW TABLES IN {sdb}").collect() if r.tableName.startswith("raw_text")]
+    assert sorted(spark.table(f"{db}.rawcopy").collect()) == [(1, "x"), (2, "y")]

@@ -28,6 +28,7 @@ from tidemark.sources.parquet import read_parquet
 from tidemark.sources.paths import (
     FileFormat, detect_format, month_path, month_table, table_name_from_url,
 )
+from tidemark.session import scratch_database
 from tidemark.sources.text import read_delimited
 
 POLICIES = ("skip", "fail", "replace", "append")
@@ -47,6 +48,13 @@ def _fmt_of(sources: list[str], fmt: str | None) -> FileFormat:
     return f
 
 
+def needs_spread(spark: SparkSession, df: DataFrame) -> bool:
+    try:
+        return df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no RDD view (Connect): leave the splits alone
+        return False
+
+
 def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Spread rows of few unsplittable files (one ``.gz`` = one task) over all cores.
 
@@ -58,19 +66,35 @@ def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     the same order when a task is retried after a lost executor, so every
     row goes to the same partition again.
     """
-    try:
-        if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (Connect): leave the splits alone
+    if not needs_spread(spark, df):
         return df
     # no fixed count: shuffle partitions, coalesced by AQE to the data's size
     return df.repartition(F.monotonically_increasing_id())
 
 
+def stage_raw_text(spark: SparkSession, df: DataFrame, cleanup: list[str]) -> DataFrame:
+    """Write spread text once as Parquet in the shared scratch database; read it back.
+
+    Used on a first load of few unsplittable files: the type inference and
+    the conform then both read this columnar copy in parallel instead of
+    parsing the compressed text twice in one task per file. The table name
+    is added to ``cleanup``; the caller drops it when the load ends.
+    """
+    db = scratch_database(spark)
+    name = pub.physical_name("raw_text", pub.new_run_id())
+    cleanup.append(pub.fq(db, name))
+    spread(spark, df).write.format("parquet").saveAsTable(pub.fq(db, name))
+    return spark.table(pub.fq(db, name))
+
+
 def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
                    target=None, *, sep: str | None = None, encoding: str = "UTF-8",
-                   multi_line: bool = True, observe: bool = True):
-    """(conformed DataFrame, target schema, observations) for the given sources."""
+                   multi_line: bool = True, observe: bool = True, cleanup: list[str] | None = None):
+    """(conformed DataFrame, target schema, observations) for the given sources.
+
+    With ``cleanup`` given, a first text load of few unsplittable files goes
+    through :func:`stage_raw_text`; the caller drops the tables listed there.
+    """
     observations: list[Observation] = []
     if fmt is FileFormat.PARQUET:
         raw = read_parquet(spark, sources)
@@ -88,7 +112,12 @@ def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
             raw = raw.observe(obs, *aggs)
             observations.append(obs)
         return conform_typed(raw, target), target, observations
-    groups = [(h, spread(spark, g)) for h, g in read_delimited(spark, sources, fmt.value, sep, encoding, multi_line)]
+    groups = []
+    for h, g in read_delimited(spark, sources, fmt.value, sep, encoding, multi_line):
+        if target is None and cleanup is not None and needs_spread(spark, g):
+            groups.append((h, stage_raw_text(spark, g, cleanup)))
+        else:
+            groups.append((h, spread(spark, g)))
     if target is None:
         first = groups[0][1]
         target = infer_text_schema(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
@@ -150,10 +179,11 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
             raise IngestError(f"injected failure after {stage_name}")
 
     staged = None
+    scratch: list[str] = []
     try:
         target = spark.table(fq_final).schema if exists else None
         conformed, target, observations = read_conformed(
-            spark, sources, f, target, sep=sep, encoding=encoding, multi_line=multi_line)
+            spark, sources, f, target, sep=sep, encoding=encoding, multi_line=multi_line, cleanup=scratch)
         _hook("read")
         staged = pub.physical_name(final, pub.new_run_id())   # known before the write, for cleanup
         pub.stage(conformed, db, final, staged)
@@ -179,6 +209,9 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
             if not still or staged not in still:
                 pub.cleanup_best_effort(spark, pub.fq(db, staged))
         raise
+    finally:
+        for t in scratch:
+            pub.cleanup_best_effort(spark, t)
     metrics.update(status=mode, table=fq_final, parts=parts,
                    fraction_nulls=_fraction_warnings(observations))
     return metrics
