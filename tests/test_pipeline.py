@@ -224,3 +224,23 @@ def test_raw_text_copy_is_dropped(spark, db, tmp_path):
     sdb = scratch_database(spark)
     assert not [r for r in spark.sql(f"SHOW TABLES IN {sdb}").collect() if r.tableName.startswith("raw_text")]
     assert sorted(spark.table(f"{db}.rawcopy").collect()) == [(1, "x"), (2, "y")]
+
+
+def test_spread_decision(spark, tmp_path, monkeypatch):
+    import gzip
+    from tidemark import pipeline as P
+    par = spark.sparkContext.defaultParallelism
+    d = tmp_path / "files"
+    d.mkdir()
+    for i in range(par + 2):                       # more files than cores, similar sizes
+        with gzip.open(d / f"f{i}.csv.gz", "wt") as f:
+            f.write("a\n" + "".join(f"{j}\n" for j in range(50)))
+    paths = sorted(str(p) for p in d.iterdir())
+    monkeypatch.setattr(P, "HOT_FILE_FLOOR_BYTES", 0)
+    assert not P.needs_spread(spark, paths, multi_line=True)
+    with gzip.open(d / "hot.csv.gz", "wt") as f:   # one source holding most rows
+        f.write("a\n" + "".join(f"{j * 7919 % 100003}\n" for j in range(200_000)))
+    assert P.needs_spread(spark, paths + [str(d / "hot.csv.gz")], multi_line=True)
+    assert P.needs_spread(spark, paths[:1], multi_line=True)          # fewer files than cores
+    plain = write_file(tmp_path, "plain.csv", "a\n1\n")
+    assert not P.needs_spread(spark, [plain], multi_line=False)       # Spark splits it itself

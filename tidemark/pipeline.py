@@ -29,7 +29,7 @@ from tidemark.sources.paths import (
     FileFormat, detect_format, month_path, month_table, table_name_from_url,
 )
 from tidemark.session import scratch_database
-from tidemark.sources.text import read_delimited
+from tidemark.sources.text import file_stats, is_splittable, read_delimited
 
 POLICIES = ("skip", "fail", "replace", "append")
 STAGES = ("read", "stage", "validate", "publish", "analyze")
@@ -48,27 +48,48 @@ def _fmt_of(sources: list[str], fmt: str | None) -> FileFormat:
     return f
 
 
-def needs_spread(spark: SparkSession, df: DataFrame) -> bool:
+# A file this many times the mean file size is a straggler worth spreading,
+# once it is also bigger than the floor (small inputs are not worth a shuffle).
+HOT_FILE_FACTOR = 4
+HOT_FILE_FLOOR_BYTES = 32 * 1024 * 1024
+
+
+def _parallelism(spark: SparkSession) -> int:
     try:
-        return df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no RDD view (Connect): leave the splits alone
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext (Connect)
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def needs_spread(spark: SparkSession, sources: list[str], multi_line: bool) -> bool:
+    """Should parsed rows of unsplittable text be spread before the per-value work?
+
+    Yes when there are fewer files than cores, or when one file is a hot
+    source (several times the mean file size): its single task would
+    otherwise conform and write that whole share alone. Splittable input is
+    split by Spark itself. Decided from file sizes (listing only).
+    """
+    if is_splittable(sources, multi_line):
+        return False
+    n, total, largest = file_stats(spark, sources)
+    if n == 0:
         return False
+    if n < _parallelism(spark):
+        return True
+    return largest > HOT_FILE_FLOOR_BYTES and largest > HOT_FILE_FACTOR * (total / n)
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Spread rows of few unsplittable files (one ``.gz`` = one task) over all cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Spread parsed rows of unsplittable files (one ``.gz`` = one task) over all cores.
 
     Parsing stays one task per file, but the per-value checks and casts that
-    follow, and the Parquet write, run on every core. Many-file inputs
-    already have enough splits and are left alone. Rows are hashed on their
+    follow, and the Parquet write, run on every core. Rows are hashed on their
     position in the input (unique, so even a file of identical rows spreads
     evenly, and no sort is needed as for round-robin); a file split is read in
     the same order when a task is retried after a lost executor, so every
-    row goes to the same partition again.
+    row goes to the same partition again. No fixed partition count: shuffle
+    partitions, coalesced by AQE to the data's size.
     """
-    if not needs_spread(spark, df):
-        return df
-    # no fixed count: shuffle partitions, coalesced by AQE to the data's size
     return df.repartition(F.monotonically_increasing_id())
 
 
@@ -83,7 +104,7 @@ def stage_raw_text(spark: SparkSession, df: DataFrame, cleanup: list[str]) -> Da
     db = scratch_database(spark)
     name = pub.physical_name("raw_text", pub.new_run_id())
     cleanup.append(pub.fq(db, name))
-    spread(spark, df).write.format("parquet").saveAsTable(pub.fq(db, name))
+    spread(df).write.format("parquet").saveAsTable(pub.fq(db, name))
     return spark.table(pub.fq(db, name))
 
 
@@ -112,12 +133,13 @@ def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
             raw = raw.observe(obs, *aggs)
             observations.append(obs)
         return conform_typed(raw, target), target, observations
+    hot = needs_spread(spark, sources, multi_line)
     groups = []
     for h, g in read_delimited(spark, sources, fmt.value, sep, encoding, multi_line):
-        if target is None and cleanup is not None and needs_spread(spark, g):
+        if hot and target is None and cleanup is not None:
             groups.append((h, stage_raw_text(spark, g, cleanup)))
         else:
-            groups.append((h, spread(spark, g)))
+            groups.append((h, spread(g) if hot else g))
     if target is None:
         first = groups[0][1]
         target = infer_text_schema(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),

@@ -13,6 +13,7 @@ from collections import OrderedDict
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.errors import DuplicateColumnsError, EmptyLoadError, UnsupportedFormatError
@@ -100,3 +101,20 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv"
               .option("enforceSchema", "false").schema(schema).csv(group))
         out.append((names, df.toDF(*names)))
     return out
+
+
+def file_stats(spark: SparkSession, paths: list[str]) -> tuple[int, int, int]:
+    """(files, total bytes, largest file bytes) behind ``paths``.
+
+    Spark's ``binaryFile`` source lists the files; the content column is
+    never read, so this is one metadata-only job returning one row.
+    """
+    row = (spark.read.format("binaryFile").load(list(paths))
+           .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.max("length").alias("largest"))
+           .first())
+    return int(row["n"] or 0), int(row["total"] or 0), int(row["largest"] or 0)
+
+
+def is_splittable(paths: list[str], multi_line: bool) -> bool:
+    """Plain text read line by line splits; gzip or quoted-newline parsing does not."""
+    return not multi_line and not any(p.lower().endswith(".gz") for p in paths)
