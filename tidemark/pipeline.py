@@ -32,6 +32,7 @@ from tidemark.session import scratch_database
 from tidemark.sources.text import file_stats, is_splittable, read_delimited
 
 POLICIES = ("skip", "fail", "replace", "append")
+# Stages after which ``fail_after`` can inject a failure (tests).
 STAGES = ("read", "stage", "validate", "publish", "analyze")
 
 
@@ -196,6 +197,9 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
         raise TableExistsError(f"{fq_final} already exists")
     mode = "append" if (exists and if_exists == "append") else "replace"
 
+    if fail_after is not None and fail_after not in STAGES:
+        raise ValueError(f"fail_after must be one of {STAGES}")
+
     def _hook(stage_name: str) -> None:
         if fail_after == stage_name:
             raise IngestError(f"injected failure after {stage_name}")
