@@ -24,6 +24,7 @@ from tidemark.operators import publish as pub
 from tidemark.operators.conform import conform_text, conform_typed
 from tidemark.operators.schema import infer_text_schema, parquet_target_schema
 from tidemark.operators.validate import MAX_OUTSIDE_RATIO, MAX_OUTSIDE_ROWS, validate
+from tidemark.pipeline import spread
 from tidemark.session import scratch_path
 from tidemark.sources.paths import FileFormat
 from tidemark.sources.text import DEFAULT_SEP, check_delimiter, read_raw_header
@@ -98,6 +99,13 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
     return w.start()
 
 
+def _few_splits(spark: SparkSession, df: DataFrame) -> bool:
+    try:
+        return df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no RDD view (Connect): leave the splits alone
+        return False
+
+
 def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.StructType | None,
                  max_outside_rows: int = MAX_OUTSIDE_ROWS, max_outside_ratio: float = MAX_OUTSIDE_RATIO,
                  fail_on_outside_month: bool = False, compact_after: int | None = 64):
@@ -119,7 +127,10 @@ def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.
         if tgt is None:
             tgt = state["target"] = (parquet_target_schema(batch.schema) if f is FileFormat.PARQUET
                                      else infer_text_schema(batch))
-        conformed = conform_typed(batch, tgt) if f is FileFormat.PARQUET else conform_text(batch, tgt)
+        if f is FileFormat.PARQUET:
+            conformed = conform_typed(batch, tgt)
+        else:   # a batch of few unsplittable files: spread before the per-value work
+            conformed = conform_text(spread(batch) if _few_splits(sess, batch) else batch, tgt)
         conformed.write.format("parquet").saveAsTable(pub.fq(db, staged))
         try:
             validate(sess.table(pub.fq(db, staged)), final, max_outside_rows, max_outside_ratio,
