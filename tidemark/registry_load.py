@@ -281,6 +281,24 @@ def c_infer(spark, sf):
     return schema_rows(spark, infer_text_schema(groups[0][1]))
 
 
+@register("c_exists", f"""
+SELECT DISTINCT {_MONTH_TABLE_SQL} AS table_name,
+  {_MONTH_TABLE_SQL} = 'green_tripdata_1997_03' AS table_exists FROM orders""")
+def c_exists(spark, sf):
+    """Which monthly tables named by the data exist (C6; the published one is a view)."""
+    import uuid as _uuid
+    from tidemark.session import scratch_root
+    db = f"tidemark_exists_{_uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{scratch_root(spark)}/warehouse/{db}.db'")
+    early, _ = fx.split_early(fx.orders(spark, sf))
+    ingest(spark, fx.write_parquet(spark, early, "orders_early"), "green_tripdata_1997_03", database=db)
+    listed = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(db)] or [("",)],
+                                   "table_name string").distinct()
+    names = s_month_table(spark, sf).select("table_name").distinct()
+    return (names.join(F.broadcast(listed.withColumn("table_exists", F.lit(True))), "table_name", "left")
+                 .select("table_name", F.coalesce("table_exists", F.lit(False)).alias("table_exists")))
+
+
 @register("c_columns", _SCHEMA_ROWS_SQL.format(t="orders"))
 def c_columns(spark, sf):
     db = scratch_database(spark)
