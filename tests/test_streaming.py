@@ -84,3 +84,21 @@ def test_parquet_stream_takes_footer_schema(spark, db, tmp_path):
     q.awaitTermination()
     t = spark.table(f"{db}.pq_t")
     assert dict(t.dtypes) == {"id": "bigint", "small": "smallint"} and t.count() == 5
+
+
+def test_archive_processed_files(spark, db, tmp_path):
+    import os
+    landing, archive = tmp_path / "in", tmp_path / "archive"
+    landing.mkdir()
+    (landing / "a.csv").write_text("id\n1\n")
+    ckpt = str(tmp_path / "ck")
+    q = landing_stream(spark, str(landing), "arch_t", database=db, checkpoint=ckpt,
+                       clean_source="archive", archive_dir=str(archive))
+    q.awaitTermination()
+    (landing / "b.csv").write_text("id\n2\n")      # archiving happens as later batches commit
+    q = landing_stream(spark, str(landing), "arch_t", database=db, checkpoint=ckpt,
+                       clean_source="archive", archive_dir=str(archive))
+    q.awaitTermination()
+    assert sorted(r.id for r in spark.table(f"{db}.arch_t").collect()) == [1, 2]
+    archived = [f for _, _, fs in os.walk(archive) for f in fs]
+    assert "a.csv" in archived

@@ -49,14 +49,17 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
                    sep: str | None = None, encoding: str = "UTF-8", max_files_per_trigger: int | None = None,
                    available_now: bool = True, max_outside_rows: int = MAX_OUTSIDE_ROWS,
                    max_outside_ratio: float = MAX_OUTSIDE_RATIO, fail_on_outside_month: bool = False,
-                   compact_after: int | None = 64) -> StreamingQuery:
+                   compact_after: int | None = 64, clean_source: str = "off",
+                   archive_dir: str | None = None) -> StreamingQuery:
     """Start the stream; ``available_now`` takes every file present, then stops.
 
     Text files must share one header: ``header``, else the header of a file
     already in the folder, else the published table's column order; Spark
     checks every new file's header against it. The target schema is the
     published table's, else ``target``, else (Parquet) the footer of a landed
-    file or (text) inferred from the first micro-batch.
+    file or (text) inferred from the first micro-batch. ``clean_source``
+    (``archive`` to ``archive_dir``, or ``delete``) lets Spark move or remove
+    files once their batch is committed; by default sources are kept.
     """
     final = sanitize_ident(table)
     db = sanitize_ident(database or spark.catalog.currentDatabase())
@@ -67,7 +70,13 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
     if spark.catalog.tableExists(fq_final):
         target = spark.table(fq_final).schema
 
-    reader = spark.readStream
+    if clean_source not in ("off", "archive", "delete"):
+        raise ValueError("clean_source must be off, archive or delete")
+    reader = spark.readStream.option("cleanSource", clean_source)
+    if clean_source == "archive":
+        if not archive_dir:
+            raise ValueError("clean_source='archive' needs archive_dir")
+        reader = reader.option("sourceArchiveDir", archive_dir)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if f is FileFormat.PARQUET:
