@@ -244,3 +244,14 @@ def test_spread_decision(spark, tmp_path, monkeypatch):
     assert P.needs_spread(spark, paths[:1], multi_line=True)          # fewer files than cores
     plain = write_file(tmp_path, "plain.csv", "a\n1\n")
     assert not P.needs_spread(spark, [plain], multi_line=False)       # Spark splits it itself
+
+
+def test_warnings_are_logged(spark, db, tmp_path, caplog):
+    import logging
+    caplog.set_level(logging.WARNING, logger="tidemark")
+    ingest(spark, write_file(tmp_path, "k.csv", "k\n1\n"), "warn_t", database=db)
+    ingest(spark, write_file(tmp_path, "k2.csv", "k\n1.5\n"), "warn_t", database=db, if_exists="append")
+    df = spark.createDataFrame([(datetime(2023, 1, 1),)] * 3, "pickup_datetime timestamp_ntz")
+    validate(df, "fhv_tripdata_2024_01")
+    text = caplog.text
+    assert "non-integer values in integer column 'k'" in text and "spill-over exceeds" in text

@@ -8,6 +8,8 @@ input. The driver only reads the one result row to decide.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ from tidemark.functions.coerce import to_datetime
 from tidemark.functions.identifiers import quote_ident
 from tidemark.functions.months import expected_month, month_window
 
+log = logging.getLogger("tidemark.validate")
+
 # Pickup-datetime columns looked for, in order of preference.
 DATETIME_CANDIDATES = ("lpep_pickup_datetime", "tpep_pickup_datetime", "pickup_datetime")
 # Default spill-over thresholds (rows, ratio) and failure policy.
@@ -85,9 +89,14 @@ def validate(df: DataFrame, table_name: str, max_rows: int = MAX_OUTSIDE_ROWS,
     result = row.asDict()
     if result["rowcount"] == 0:
         raise EmptyLoadError(f"validation failed: staged load of {table_name} has 0 rows")
-    if result.get("exceeds") and fail_on_outside_month:
-        raise MonthSpillError(
-            f"month spill-over exceeds thresholds for {month}: outside={result['outside_month']}"
-            f"/{result['rowcount']} ({result['outside_ratio']:.4%}); "
-            f"min={result.get('min_dt')}, max={result.get('max_dt')}")
+    if result.get("exceeds"):
+        msg = (f"month spill-over exceeds thresholds for {month}: outside={result['outside_month']}"
+               f"/{result['rowcount']} ({result['outside_ratio']:.4%}); "
+               f"min={result.get('min_dt')}, max={result.get('max_dt')}")
+        if fail_on_outside_month:
+            raise MonthSpillError(msg)
+        log.warning(msg)
+    elif result.get("expected_month"):
+        log.info("month spill-over within tolerance for %s: outside=%s/%s", month,
+                 result["outside_month"], result["rowcount"])
     return result

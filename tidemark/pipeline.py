@@ -10,6 +10,7 @@ per file, one row of validation metrics, and catalog metadata.
 
 from __future__ import annotations
 
+import logging
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -32,6 +33,8 @@ from tidemark.session import scratch_database
 from tidemark.sources.text import file_stats, is_splittable, read_delimited
 
 POLICIES = ("skip", "fail", "replace", "append")
+log = logging.getLogger("tidemark.ingest")
+
 # Stages after which ``fail_after`` can inject a failure (tests).
 STAGES = ("read", "stage", "validate", "publish", "analyze")
 
@@ -238,8 +241,11 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
     finally:
         for t in scratch:
             pub.cleanup_best_effort(spark, t)
-    metrics.update(status=mode, table=fq_final, parts=parts,
-                   fraction_nulls=_fraction_warnings(observations))
+    fractions = _fraction_warnings(observations)
+    for col, n in fractions.items():
+        log.warning("non-integer values in integer column %r set to NULL: %d", col, n)
+    metrics.update(status=mode, table=fq_final, parts=parts, fraction_nulls=fractions)
+    log.info("loaded %s (%s): %s rows", fq_final, mode, metrics.get("rowcount"))
     return metrics
 
 
