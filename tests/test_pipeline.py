@@ -255,3 +255,16 @@ def test_warnings_are_logged(spark, db, tmp_path, caplog):
     validate(df, "fhv_tripdata_2024_01")
     text = caplog.text
     assert "non-integer values in integer column 'k'" in text and "spill-over exceeds" in text
+
+
+def test_staged_files_sorted_by_pickup_time(spark, db, tmp_path):
+    from pyspark.sql import functions as F
+    rows = "".join(f"2024-01-{(i * 7) % 28 + 1:02d} {(i * 5) % 24:02d}:00:00,{i}\n" for i in range(500))
+    p = write_file(tmp_path, "yellow_tripdata_2024-01.csv", "tpep_pickup_datetime,x\n" + rows)
+    m = ingest(spark, p, database=db)
+    part = spark.table(f"{db}.{m['parts'][-1]}").select(
+        "tpep_pickup_datetime", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    for f in [r.f for r in part.select("f").distinct().collect()]:
+        ts = [r[0] for r in part.filter(F.col("f") == f).orderBy("r").select("tpep_pickup_datetime").collect()]
+        assert ts == sorted(ts)
+    assert spark.table(f"{db}.yellow_tripdata_2024_01").count() == 500
