@@ -28,7 +28,7 @@ from tidemark.operators.schema import (
 from tidemark.operators.validate import detect_datetime_column, exceeds_expr, validation_metrics
 from tidemark.pipeline import ingest, ingest_month, read_conformed
 from tidemark.plans.trips import read_table
-from tidemark.registry import register
+from tidemark.registry import _ZR, register
 from tidemark.session import scratch_database
 from tidemark.sources.paths import (
     FileFormat, detect_format_col, month_path_col, month_table_col, table_name_from_url_col,
@@ -617,3 +617,16 @@ def st_landing(spark, sf):
     if q.exception():
         raise q.exception()
     return spark.table(f"{db}.{t}")
+
+
+# ------------------------------------------------- queries over a load --
+@register("q_zone_revenue_published", _ZR + " ORDER BY rev DESC")
+def q_zone_revenue_published(spark, sf):
+    """The source's flow end to end: publish the trips as a table, then run Q3 over it."""
+    from tidemark.plans import queries as Q
+    from tidemark.plans.trips import trips_from_tables, zones_from_nation
+
+    db = scratch_database(spark)
+    trips_file = fx.write_parquet(spark, trips_from_tables(spark, sf), "green_trips")
+    m = ingest(spark, trips_file, _name("green_tripdata"), database=db)
+    return Q.zone_revenue(spark.table(m["table"]), zones_from_nation(spark, sf))
