@@ -11,6 +11,8 @@ Layout:
 
 from tidemark.session import build_session, scratch_root, scratch_database
 from tidemark.pipeline import ingest, ingest_month, read_conformed
+from tidemark.operators.publish import compact, drop_published, published_parts
+from tidemark.streaming import landing_stream
 
 __all__ = ["build_session", "scratch_root", "scratch_database", "ingest", "ingest_month",
-           "read_conformed"]
+           "read_conformed", "compact", "drop_published", "published_parts", "landing_stream"]
