@@ -268,3 +268,14 @@ def test_staged_files_sorted_by_pickup_time(spark, db, tmp_path):
         ts = [r[0] for r in part.filter(F.col("f") == f).orderBy("r").select("tpep_pickup_datetime").collect()]
         assert ts == sorted(ts)
     assert spark.table(f"{db}.yellow_tripdata_2024_01").count() == 500
+
+
+def test_compact_all_and_drop_published(spark, db, tmp_path):
+    from tidemark import compact, drop_published
+    p = write_file(tmp_path, "d.csv", "a\n1\n")
+    ingest(spark, p, "dp", database=db)
+    ingest(spark, p, "dp", database=db, if_exists="append")
+    ingest(spark, p, "dp", database=db, if_exists="append")
+    assert len(compact(spark, db, "dp")) == 1 and spark.table(f"{db}.dp").count() == 3
+    drop_published(spark, db, "dp")
+    assert not [r for r in spark.sql(f"SHOW TABLES IN {db}").collect() if r.tableName.startswith("dp")]
