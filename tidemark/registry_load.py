@@ -470,28 +470,34 @@ def v_window(spark, sf):
 
 
 @register("v_verdict", """
-SELECT month, inside_month, n - nulls - inside_month AS outside_month,
-  CAST(n - nulls - inside_month AS DOUBLE) / n AS outside_ratio,
-  (n - nulls - inside_month > 200 OR CAST(n - nulls - inside_month AS DOUBLE) / n > 0.005) AS exceeds
-FROM (SELECT strftime(o_orderdate, '%Y_%m') AS month, count(*) AS inside_month FROM orders
-      WHERE o_orderdate IS NOT NULL GROUP BY 1) m
-CROSS JOIN (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderdate IS NULL) AS nulls FROM orders) t""")
+SELECT month, cnt AS inside_month, n - nulls - cnt AS outside_month,
+  CAST(n - nulls - cnt AS DOUBLE) / n AS outside_ratio,
+  (n - nulls - cnt > 200 OR CAST(n - nulls - cnt AS DOUBLE) / n > 0.005) AS exceeds
+FROM (SELECT month, cnt, sum(cnt) OVER () AS n,
+             coalesce(sum(CASE WHEN month IS NULL THEN cnt END) OVER (), 0) AS nulls
+      FROM (SELECT strftime(o_orderdate, '%Y_%m') AS month, count(*) AS cnt FROM orders GROUP BY 1))
+WHERE month IS NOT NULL""")
 def v_verdict(spark, sf):
     """Spill-over verdict of the whole table against each month it touches.
 
-    One grouped aggregate (partial per task) plus a one-row total; the total
-    is broadcast, its size bound being one row by construction.
+    One grouped aggregate (partial per task; NULL dates form their own group),
+    then totals as window sums over the per-month rows: one row per calendar
+    month, so the window's single partition stays small. No join.
     """
+    from pyspark.sql import Window
+
     o = fx.orders(spark, sf).select("o_orderdate")
-    per_month = (o.filter(F.col("o_orderdate").isNotNull())
-                  .groupBy(F.date_format("o_orderdate", "yyyy_MM").alias("month"))
-                  .agg(F.count(F.lit(1)).alias("inside_month")))
-    totals = o.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderdate").isNull()).alias("nulls"))
-    j = per_month.join(F.broadcast(totals), how="cross")
+    per_month = (o.groupBy(F.date_format("o_orderdate", "yyyy_MM").alias("month"))
+                  .agg(F.count(F.lit(1)).alias("cnt")))
+    every = Window.partitionBy()
+    n = F.sum("cnt").over(every)
+    nulls = F.coalesce(F.sum(F.when(F.col("month").isNull(), F.col("cnt"))).over(every), F.lit(0))
+    j = per_month.select("month", F.col("cnt").alias("inside_month"), n.alias("n"), nulls.alias("nulls"))
     outside = F.col("n") - F.col("nulls") - F.col("inside_month")
-    return j.select("month", "inside_month", outside.alias("outside_month"),
-                    (outside.cast("double") / F.col("n")).alias("outside_ratio"),
-                    exceeds_expr(outside, F.col("n")).alias("exceeds"))
+    return (j.filter(F.col("month").isNotNull())
+             .select("month", "inside_month", outside.alias("outside_month"),
+                     (outside.cast("double") / F.col("n")).alias("outside_ratio"),
+                     exceeds_expr(outside, F.col("n")).alias("exceeds")))
 
 
 # ---------------------------------------------------------------- publish --
