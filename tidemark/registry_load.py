@@ -295,6 +295,7 @@ def c_exists(spark, sf):
     listed = spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(db)] or [("",)],
                                    "table_name string").distinct()
     names = s_month_table(spark, sf).select("table_name").distinct()
+    # bound: the listing of a database this call created (one view, one part)
     return (names.join(F.broadcast(listed.withColumn("table_exists", F.lit(True))), "table_name", "left")
                  .select("table_name", F.coalesce("table_exists", F.lit(False)).alias("table_exists")))
 
