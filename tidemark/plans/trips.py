@@ -40,12 +40,31 @@ def _star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name, STAR_COLUMNS[name])
 
 
-def trips_from_tables(spark: SparkSession, sf_dir: str, with_identity: bool = False) -> DataFrame:
+# Largest set of orders broadcast into the order/line-item join once proven
+# (about 64 MB of hash table); a bigger set is joined by shuffle.
+ORDERS_BROADCAST_ROWS = 2_000_000
+
+
+def trips_from_tables(spark: SparkSession, sf_dir: str, with_identity: bool = False,
+                      pickup_day: str | None = None) -> DataFrame:
+    """The trip view; ``pickup_day`` keeps only that day's orders.
+
+    With a day, that day's orders are broadcast into the join with line
+    items once a bounded count proves they are few (``ORDERS_BROADCAST_ROWS``):
+    line items are then joined where they are read, with no shuffle of the
+    largest table. Without a proof (or without a day) the planner decides.
+    """
     ident = ([F.xxhash64("_metadata.file_path").alias("trip_file"), F.col("_metadata.row_index").alias("trip_row")]
              if with_identity else [])
     li = _star(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", *ident)
     o = _star(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    if pickup_day is not None:
+        day = F.lit(pickup_day).cast("date")
+        o = o.filter((F.col("o_orderdate") >= day.cast("timestamp_ntz"))
+                     & (F.col("o_orderdate") < F.date_add(day, 1).cast("timestamp_ntz")))
+        from tidemark.plans.queries import dimension_join_side  # noqa: PLC0415 (cycle)
+        o = dimension_join_side(o, ORDERS_BROADCAST_ROWS)
     c = _star(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = _star(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     # orders first: date filters land on the smaller side of the biggest join

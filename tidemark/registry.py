@@ -40,6 +40,10 @@ def _tz(spark, sf):
     return trips_from_tables(spark, sf), zones_from_nation(spark, sf)
 
 
+def _tz_day(spark, sf):
+    return trips_from_tables(spark, sf, pickup_day=Q.REVENUE_DAY), zones_from_nation(spark, sf)
+
+
 @register("q_short_trips", _TRIPS_CTE + f"""
 SELECT count(*) AS short_trip_count FROM trips WHERE {_RANGE} AND trip_distance <= 1""")
 def q_short_trips(spark, sf):
@@ -76,12 +80,12 @@ FROM zr JOIN zones ON PULocationID = LocationID"""
 
 @register("q_zone_revenue", _ZR + " ORDER BY rev DESC")
 def q_zone_revenue(spark, sf):
-    return Q.zone_revenue(*_tz(spark, sf))
+    return Q.zone_revenue(*_tz_day(spark, sf))
 
 
 @register("q_zone_revenue_top1", _ZR + " ORDER BY rev DESC NULLS LAST, pickup_zone LIMIT 1")
 def q_zone_revenue_top1(spark, sf):
-    return Q.zone_revenue_top1(*_tz(spark, sf))
+    return Q.zone_revenue_top1(*_tz_day(spark, sf))
 
 
 _TIPS = _TRIPS_CTE + f""",
