@@ -474,8 +474,8 @@ def v_window(spark, sf):
 SELECT month, cnt AS inside_month, n - nulls - cnt AS outside_month,
   CAST(n - nulls - cnt AS DOUBLE) / n AS outside_ratio,
   (n - nulls - cnt > 200 OR CAST(n - nulls - cnt AS DOUBLE) / n > 0.005) AS exceeds
-FROM (SELECT month, cnt, sum(cnt) OVER () AS n,
-             coalesce(sum(CASE WHEN month IS NULL THEN cnt END) OVER (), 0) AS nulls
+FROM (SELECT month, cnt, CAST(sum(cnt) OVER () AS BIGINT) AS n,
+             CAST(coalesce(sum(CASE WHEN month IS NULL THEN cnt END) OVER (), 0) AS BIGINT) AS nulls
       FROM (SELECT strftime(o_orderdate, '%Y_%m') AS month, count(*) AS cnt FROM orders GROUP BY 1))
 WHERE month IS NOT NULL""")
 def v_verdict(spark, sf):
