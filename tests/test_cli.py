@@ -18,3 +18,14 @@ def test_cli_exit_codes(spark, db, tmp_path):
     assert main(["ingest-url", "--url", write_file(tmp_path, "a.json", "{}"), "--database", db]) == 1
     assert main(["ingest-url", "--url", src, "--database", db, "--if-exists", "append"]) == 0
     assert spark.table(f"{db}.green_tripdata_2024_01").count() == 2
+
+
+def test_cli_folder_needs_format(spark, db, tmp_path):
+    d = tmp_path / "month"
+    d.mkdir()
+    (d / "part-0.csv").write_text("a\n1\n")
+    (d / "part-1.csv").write_text("a\n2\n")
+    assert main(["ingest-url", "--url", str(d), "--table-name", "folder_t", "--database", db]) == 1
+    assert main(["ingest-url", "--url", str(d), "--format", "csv", "--table-name", "folder_t",
+                 "--database", db]) == 0
+    assert spark.table(f"{db}.folder_t").count() == 2

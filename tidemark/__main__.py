@@ -32,6 +32,8 @@ def _parser() -> argparse.ArgumentParser:
     u = sub.add_parser("ingest-url", parents=[common], help="load one file (or folder) by path")
     u.add_argument("--url", required=True)
     u.add_argument("--table-name", default=None)
+    u.add_argument("--format", default=None, choices=("csv", "tsv", "parquet"),
+                   help="needed when the path has no data-file suffix (e.g. a folder)")
     return p
 
 
@@ -47,7 +49,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "ingest":
             m = ingest_month(spark, args.taxi, args.year, args.month, base=args.base, fmt=args.file_format, **kw)
         else:
-            m = ingest(spark, args.url, args.table_name, **kw)
+            m = ingest(spark, args.url, args.table_name, fmt=args.format, **kw)
     except TableExistsError as e:
         print(f"table exists: {e}", file=sys.stderr)
         return 2
