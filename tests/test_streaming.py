@@ -102,3 +102,13 @@ def test_archive_processed_files(spark, db, tmp_path):
     assert sorted(r.id for r in spark.table(f"{db}.arch_t").collect()) == [1, 2]
     archived = [f for _, _, fs in os.walk(archive) for f in fs]
     assert "a.csv" in archived
+
+
+def test_default_checkpoint_is_stable(spark, db, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    (landing / "a.csv").write_text("id\n1\n")
+    for _ in range(2):      # no checkpoint given: the second run resumes, nothing is re-appended
+        q = landing_stream(spark, str(landing), "stable_t", database=db)
+        q.awaitTermination()
+    assert spark.table(f"{db}.stable_t").count() == 1

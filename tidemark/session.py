@@ -79,3 +79,11 @@ def is_local_path(p: str) -> bool:
 def ensure_dir(p: str) -> None:
     if is_local_path(p):
         os.makedirs(p.replace("file:", ""), exist_ok=True)
+
+
+def stable_root(spark: SparkSession) -> str:
+    """A shared folder that is the same for every application: the configured
+    ``spark.checkpoint.dir`` itself (Spark adds a per-application subfolder
+    under it for checkpoints). Falls back to :func:`scratch_root` when unset."""
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    return conf.rstrip("/") if conf else scratch_root(spark)

@@ -25,7 +25,7 @@ from tidemark.operators.conform import conform_text, conform_typed
 from tidemark.operators.schema import infer_text_schema, parquet_target_schema
 from tidemark.operators.validate import MAX_OUTSIDE_RATIO, MAX_OUTSIDE_ROWS, validate
 from tidemark.pipeline import spread
-from tidemark.session import scratch_path
+from tidemark.session import stable_root
 from tidemark.sources.paths import FileFormat
 from tidemark.sources.text import DEFAULT_SEP, check_delimiter, read_raw_header
 
@@ -60,13 +60,16 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
     file or (text) inferred from the first micro-batch. ``clean_source``
     (``archive`` to ``archive_dir``, or ``delete``) lets Spark move or remove
     files once their batch is committed; by default sources are kept.
+    ``checkpoint`` defaults to a fixed folder per table under
+    ``spark.checkpoint.dir``, so restarting the stream resumes it.
     """
     final = sanitize_ident(table)
     db = sanitize_ident(database or spark.catalog.currentDatabase())
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
     fq_final = pub.fq(db, final)
     f = FileFormat(fmt)
-    checkpoint = checkpoint or scratch_path(spark, "streams", final)
+    # default: one fixed place per table, so a restarted stream resumes
+    checkpoint = checkpoint or f"{stable_root(spark)}/tidemark-streams/{db}.{final}"
     if spark.catalog.tableExists(fq_final):
         target = spark.table(fq_final).schema
 
