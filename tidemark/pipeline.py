@@ -5,7 +5,8 @@ source -> target schema -> conform -> job 1: write staged table
        -> one catalog call publishes (append or replace) -> statistics.
 
 Nothing of the data passes through the driver: it reads one header record
-per file, one row of validation metrics, and catalog metadata.
+per given path, single aggregate rows (validation metrics, inferred types,
+file-size stats) and catalog metadata.
 """
 
 from __future__ import annotations
