@@ -113,9 +113,10 @@ def q_rows(spark, sf):
     return Q.row_count(read_table(spark, sf, "orders"))
 
 
-@register("q_sample")  # no order: only count and schema are checkable
+# first rows as stored; DuckDB keeps insertion order for a query without ORDER BY
+@register("q_sample", "SELECT o_orderdate, o_orderkey FROM orders LIMIT 5")
 def q_sample(spark, sf):
-    return Q.sample_rows(read_table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"])
+    return Q.sample_rows(read_table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], in_file_order=True)
 
 
 # load operators register themselves on import
