@@ -56,3 +56,20 @@ def test_conform_prunes_source_columns(spark, tmp_path):
     spark.range(3).selectExpr("id", "id * 2 AS v", "'x' AS wide").write.parquet(path)
     target = T.StructType([T.StructField("v", T.LongType())])
     assert _read_schemas(_plan(conform_typed(spark.read.parquet(path), target))) == ["v:bigint"]
+
+
+def _extended(df) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(extended=True)
+    return buf.getvalue()
+
+
+def test_day_orders_broadcast_only_with_proof(spark, monkeypatch):
+    from tidemark.plans import trips as T
+    day = "1997-03-18"
+    hinted = _extended(T.trips_from_tables(spark, SF_SMALL, pickup_day=day))
+    assert "ResolvedHint" in hinted and "broadcast" in hinted
+    monkeypatch.setattr(T, "ORDERS_BROADCAST_ROWS", 0)     # bound not met: the planner decides
+    unhinted = _extended(T.trips_from_tables(spark, SF_SMALL, pickup_day=day))
+    assert "ResolvedHint" not in unhinted
