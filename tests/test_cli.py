@@ -29,3 +29,18 @@ def test_cli_folder_needs_format(spark, db, tmp_path):
     assert main(["ingest-url", "--url", str(d), "--format", "csv", "--table-name", "folder_t",
                  "--database", db]) == 0
     assert spark.table(f"{db}.folder_t").count() == 2
+
+
+def test_cli_monthly_ingest(spark, db, tmp_path):
+    import gzip
+    base = tmp_path / "land"
+    (base / "yellow").mkdir(parents=True)
+    with gzip.open(base / "yellow" / "yellow_tripdata_2024-02.csv.gz", "wt") as f:
+        f.write("tpep_pickup_datetime,tpep_dropoff_datetime,passenger_count\n"
+                "2024-02-01 08:00:00,2024-02-01 08:20:00,1\n2024-02-03 09:00:00,2024-02-03 09:05:00,2\n")
+    assert main(["ingest", "--taxi", "yellow", "--year", "2024", "--month", "2", "--file-format", "csv",
+                 "--base", str(base), "--database", db]) == 0
+    t = spark.table(f"{db}.yellow_tripdata_2024_02")
+    assert dict(t.dtypes)["tpep_pickup_datetime"] == "timestamp_ntz" and t.count() == 2
+    assert main(["ingest", "--taxi", "yellow", "--year", "2024", "--month", "13", "--base", str(base),
+                 "--database", db]) == 1
