@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ranges, slices
+from tidemark.llm.common import frequent, slices, stored
 
 #: The published pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -389,15 +389,14 @@ def word_counts(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFra
 
 
 def build_lexicon(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORDS, text: str = "text") -> bytes:
-    """Automaton of the ``words`` most frequent words of the whole corpus.
+    """Automaton of the most frequent words of the whole corpus, at most ``words``.
 
-    Ties go to the smaller word. Which words it holds never changes a result,
-    only how many words are merged by rank instead.
+    Which words it holds never changes a result, only how many words are
+    merged by rank instead.
     """
-    top = (word_counts(docs, vocab_path, text)
-           .where(F.octet_length("word").between(1, LEXICON_BYTES))
-           .orderBy(F.desc("n"), "word").limit(words).select("word").collect())
-    raw = [r.word.encode() for r in top]
+    counts = stored(word_counts(docs, vocab_path, text)
+                    .where((F.col("n") > 1) & F.octet_length("word").between(1, LEXICON_BYTES)), "words")
+    raw = [r.word.encode() for r in frequent(counts, "word", "n", words)]
     return compile_lexicon(dict(zip(raw, vocabulary(vocab_path).merge(raw))))
 
 

@@ -71,3 +71,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
+
+
+def frequent(counts: DataFrame, key: str, n: str, limit: int) -> list:
+    """The most frequent rows of ``counts``, at most ``limit`` of them, collected.
+
+    A histogram over the logarithm of ``n`` finds the cut first, so the driver
+    only ever receives rows that it keeps: every key from some frequency on.
+    """
+    level = F.floor(F.log2(F.col(n).cast("double")) * 16).cast("int")
+    cut, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        if total + r["count"] > limit:
+            break
+        cut, total = r.level, total + r["count"]
+    if cut is None:
+        return []
+    return counts.where(level >= cut).select(key, n).orderBy(F.desc(n), key).collect()
