@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, gam
+from tidemark.llm import bpe, gam, suffix
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return gam.score(docs, gam.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_report(table(spark, sf_dir, "documents"))
