@@ -412,13 +412,14 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text: str =
 
 
 def encode_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text: str = "text",
-                   lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+                   lexicon_words: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
     """The operator with its ids and texts reduced, inside the task, to
-    (id, n_tokens, ids_sha256, decoded_sha256): bulky columns never leave it."""
-    return _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests=True)
+    (id, n_tokens, ids_sha256, decoded_sha256): bulky columns never leave it,
+    but for the ids where asked for."""
+    return _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests=True, with_ids=with_ids)
 
 
-def _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests):
+def _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests, with_ids=False):
     held = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, vocab_path, lexicon_words, text))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -433,11 +434,15 @@ def _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests):
                         pa.array([hashlib.sha256(",".join(map(join, ids)).encode()).hexdigest() for ids in found]),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    cols.append(pa.array(found, pa.list_(pa.int32())))
+                    names.append("ids")
             else:
                 cols = [pa.array(found, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names = [id_col, "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
 
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+    out += ", ids array<int>" if with_ids else ""
     return (docs.select(F.col(id_col), F.col(text).alias("text"))
             .mapInArrow(run, f"`{id_col}` {id_type}, {out}"))

@@ -378,13 +378,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     those are dropped, so that the text stays valid UTF-8. A null text stays
     null, and a text that repeats as a whole becomes empty.
     """
-    at = docs.columns.index(text)
+    names, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             kept = [None if null else _kept(t, r).decode("utf-8", "ignore") for t, r, null in
                     zip(as_bytes(b.column(at)), _runs(b.column(b.num_columns - 1)), b.column(at).is_null().to_pylist())]
             cols = [pa.array(kept, b.column(at).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return _with_spans(docs, id_col, text, width, hot).mapInArrow(run, docs.schema)
