@@ -30,7 +30,7 @@ TEMPERATURE = 0.7
 #: Sources that the schedule takes; more are an error.
 MAX_SOURCES = 10_000
 #: Rows numbered by one task at a time.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def shares(weights: np.ndarray, period: int) -> np.ndarray:
