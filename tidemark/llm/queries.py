@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, gam, jaccard, mixing, rules, suffix
+from tidemark.llm import bpe, gam, jaccard, lbl, mixing, rules, suffix
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.log_ratios(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(table(spark, sf_dir, "documents"))
