@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, gam, jaccard, lbl, mixing, rules, suffix
+from tidemark.llm import bpe, gam, jaccard, kmtree, lbl, mixing, rules, suffix, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +60,28 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+b AS (SELECT *, list_reduce(list_transform(range(0, 40), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+    CAST(4 * instr('0123456789abcdef', substr(h, CAST(i + 1 AS INT), 1)) - 3 AS INT), 4)), lambda x, y: x || y) AS bits FROM t)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS INT), 1) AS INT) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS INT), 1) AS INT)
+           + 4 * CAST(substr(bits, CAST(5 * i + 3 AS INT), 1) AS INT) + 2 * CAST(substr(bits, CAST(5 * i + 4 AS INT), 1) AS INT)
+           + CAST(substr(bits, CAST(5 * i + 5 AS INT), 1) AS INT) AS INT), 1)), lambda x, y: x || y) AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM b"""
+
+
+@query
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmtree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
