@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, gam, jaccard, kmtree, lbl, mixing, rules, suffix, warc
+from tidemark.llm import bpe, gam, jaccard, kmtree, lbl, mixing, rules, suffix, tokens, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ FROM b"""
 @query
 def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmtree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip(table(spark, sf_dir, "documents"), vocab_path())
