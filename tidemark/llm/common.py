@@ -88,3 +88,9 @@ def frequent(counts: DataFrame, key: str, n: str, limit: int) -> list:
     if cut is None:
         return []
     return counts.where(level >= cut).select(key, n).orderBy(F.desc(n), key).collect()
+
+
+def spread(df: DataFrame, *keys: str, most: int = 10_000) -> DataFrame:
+    """Deal small rows that stand for much work, such as places in files, to
+    about a task each; a given number of partitions is not coalesced."""
+    return df.repartition(max(1, min(most, df.count())), *keys)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import Encoder, vocabulary
-from tidemark.llm.common import NULL_ID, slices, stored
+from tidemark.llm.common import NULL_ID, slices, spread, stored
 from tidemark.llm.files import new_folder, open_folder, unique_name
 
 #: Ids of a block (a longer document makes a longer one), and lanes at most.
@@ -293,7 +293,8 @@ def read(blocks: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     starts = blocks.groupBy("part", "file").agg(F.sum("ids").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     placed = (blocks.withColumn("first", F.coalesce(F.sum("ids").over(inside), F.lit(0))).join(starts, "file")
-              .select("file", "offset", "bytes", (F.col("first") + F.col("base")).alias("first")).repartition("file", "offset"))
+              .select("file", "offset", "bytes", (F.col("first") + F.col("base")).alias("first")))
+    placed = spread(placed, "file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(folder)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, slices, stored
+from tidemark.llm.common import as_bytes, slices, spread, stored
 from tidemark.llm.files import new_folder, open_folder, unique_name
 
 #: Bytes after which a task starts another archive, and of a reader's range.
@@ -173,7 +173,7 @@ def read(archives: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> Da
     computed from its payload and must be the one in its header; a revisit has
     no payload of its own and reports its header's digest and length."""
     ranges = (archives.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(range_bytes))).alias("start")))
-    ranges = ranges.repartition("file", "start")
+    ranges = spread(ranges, "file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(folder)
