@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ SAMPLE_ROWS = 50_000
 BRANCH, LEAF_ROWS, ROUNDS = 8, 48, 8
 #: Mean recall that the number of visited leaves is widened to, and how many
 #: sample queries measure it.
-RECALL, PROBES = 0.98, 200
+RECALL, PROBES = 0.96, 200
 #: Rows of a bin.
 BIN_ROWS = 4096
 
@@ -125,17 +126,19 @@ class Tree:
         return float(found[self.visits])
 
 
-def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors of ``dim`` components each, as rows; a null component is NaN."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
+def usable(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, vectors) of the rows that take part: of ``dim`` finite
     components, not all zero."""
-    rows, at = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim and None not in v:
-            rows.append(v)
-            at.append(i)
-    x = np.array(rows, np.float64).reshape(len(rows), dim)
+    at = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False) == dim)
+    x = matrix(column.take(pa.array(at)), dim)
     ok = np.isfinite(x).all(1) & (x != 0).any(1)
-    return np.array(at, np.int64)[ok], x[ok]
+    return at[ok], x[ok]
 
 
 def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector: str = "embedding", k: int = 20,
@@ -159,8 +162,9 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector: str = "e
     if not dim:
         return spark.createDataFrame([], out_type)
     share = min(1.0, sample_rows / common["count"])
-    picked = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").orderBy(F.xxhash64("v")).collect()
-    x = usable(pa.array([r.v for r in picked], pa.list_(pa.float64())), dim)[1]
+    picked = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow()
+    x = usable(picked["v"], dim)[1]
+    x = x[np.lexsort(x.T)]  # the same tree, however the rows arrive
     if not len(x):
         return spark.createDataFrame([], out_type)
     tree = Tree.fit(x)
@@ -194,9 +198,9 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector: str = "e
         first, parts = bins.value
         for b in slices(batches, 512):
             out: list[tuple] = []
-            for i, q in enumerate(b.column(1).to_pylist()):
+            for i, q in enumerate(matrix(b.column(1), dim)):
                 goes: dict[int, list[int]] = {}
-                for leaf in held.value.visit(np.array(q), held.value.visits):
+                for leaf in held.value.visit(q, held.value.visits):
                     for p in range(parts.get(leaf, 0)):
                         goes.setdefault(first[leaf] + p, []).append(leaf)
                 out += [(bin_, i, leaves) for bin_, leaves in goes.items()]
@@ -212,34 +216,48 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector: str = "e
            .sortWithinPartitions("bin", F.col("leaf").isNull(), "leaf", "id"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, vecs, leaf = None, [], [], []
-        table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        now, rows, table = None, [], {}
         for b in batches:
-            out: list[tuple] = []
-            for bin_, id_, v, lf, leaves in zip(*(b.column(c).to_pylist() for c in range(5))):
-                if bin_ != now:
-                    now, ids, vecs, leaf, table = bin_, [], [], [], {}
-                if leaves is None:  # rows of a bin come before its queries
-                    ids.append(id_)
-                    vecs.append(v)
-                    leaf.append(lf)
+            bins, ids, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), dim)
+            leaf, asked_ = b.column(3).to_numpy(zero_copy_only=False), b.column(3).is_null().to_numpy(zero_copy_only=False)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            edges = np.flatnonzero(np.r_[True, (bins[1:] != bins[:-1]) | (asked_[1:] != asked_[:-1]), True]) if len(bins) else []
+            for a, z in zip(edges, edges[1:]):
+                if bins[a] != now:
+                    now, rows, table = bins[a], [], {}
+                if not asked_[a]:  # rows of a bin come before its queries
+                    rows.append((ids[a:z], x[a:z], leaf[a:z].astype(np.int64)))
                     continue
-                if not table and ids:
-                    edges = np.flatnonzero(np.r_[True, np.diff(leaf) != 0, True])
-                    all_v, all_i = np.array(vecs), np.array(ids)
-                    table = {leaf[a]: (all_i[a:z], all_v[a:z]) for a, z in zip(edges, edges[1:])}
-                own = [table[x] for x in leaves if x in table]
-                if own:
-                    cand, x = np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own])
-                    keep = cand != id_
-                    cand, x = cand[keep], x[keep]
-                    score = np.einsum("ij,j->i", x, np.array(v))  # same sum for equal vectors
-                    top = np.lexsort((cand, -score))[:k]
-                    out += zip([id_] * len(top), cand[top].tolist(), score[top].tolist())
-            cols = list(zip(*out)) or [()] * 3
-            id_type = b.column(1).type
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), pa.array(cols[1], id_type), pa.array(cols[2], pa.float64())],
-                                             ["query_id", "vec_id", "score"])
+                if not table and rows:
+                    all_i, all_x, all_l = (np.concatenate(c) for c in zip(*rows))
+                    cuts = np.flatnonzero(np.r_[True, all_l[1:] != all_l[:-1], True])
+                    table = {int(all_l[c]): (all_i[c:d], all_x[c:d]) for c, d in zip(cuts, cuts[1:])}
+                lists = b.column(4).slice(a, z - a)
+                lens = pc.list_value_length(lists).to_numpy()
+                who, wants = np.repeat(np.arange(a, z), lens), lists.flatten().to_numpy()
+                found += [near(ids, x, who[wants == lf], *table[lf]) for lf in np.unique(wants).tolist() if lf in table]
+            yield best_of(found, b.column(1).type)
+
+    def near(ids: np.ndarray, x: np.ndarray, who: np.ndarray, cand: np.ndarray, rows: np.ndarray):
+        """(query, candidate, score) of the best rows of a leaf for its queries."""
+        score = np.einsum("ij,kj->ik", x[who], rows)  # the same sum for equal vectors
+        score[ids[who][:, None] == cand[None]] = -np.inf  # not the query itself
+        by_id = np.argsort(cand, kind="stable")
+        top = by_id[np.argsort(-score[:, by_id], 1, kind="stable")[:, :k]]
+        at = np.repeat(np.arange(len(who)), top.shape[1])
+        value = score[at, top.ravel()]
+        ok = value > -np.inf
+        return ids[who][at[ok]], cand[top.ravel()[ok]], value[ok]
+
+    def best_of(found: list, id_type: pa.DataType) -> pa.RecordBatch:
+        q, c, s = (np.concatenate(z) if found else np.zeros(0) for z in (zip(*found) if found else ((), (), ())))
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        if len(q):
+            head = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            ok = np.arange(len(q)) - np.repeat(head, np.diff(np.r_[head, len(q)])) < k
+            q, c, s = q[ok], c[ok], s[ok]
+        return pa.RecordBatch.from_arrays([pa.array(q, id_type), pa.array(c, id_type), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (met.mapInArrow(compare, f"query_id {kind}, vec_id {kind}, score double").dropDuplicates(["query_id", "vec_id"])
