@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ OWN_WORDS, ENDINGS, ENDING_BYTES = 767, 256, 3
 SENT_WORDS = 1 << 17
 #: Vector size; shards that train side by side; rounds, after each of which
 #: their parameters are averaged; steps of a round; samples and noise of a step.
-SIZE, SHARDS, ROUNDS, STEPS, SAMPLES, NOISE = 32, 8, 4, 160, 2048, 64
+SIZE, SHARDS, ROUNDS, STEPS, SAMPLES, NOISE = 32, 8, 3, 160, 2048, 64
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -209,7 +210,7 @@ class Model:
 def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
     """Train on all class trigrams: shards hold disjoint trigrams, train side by
     side, and their parameters are averaged, weighted by tokens, after a round."""
-    v = corpus.classes
+    grams, v = stored(grams, "trigrams"), corpus.classes
     unigram = np.ones(v)
     for r in grams.groupBy((F.col("gram") % v).alias("w")).agg(F.sum("n").alias("n")).collect():  # one row for each class
         unigram[r.w] += r.n
@@ -217,22 +218,21 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
     model = Model.start(unigram, seed)
     if not corpus.tokens:
         return model
-    shards = stored(grams.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(SHARDS)).cast("int")), "trigrams")
-    # one task for each shard: a fixed number of partitions is not coalesced
-    shards = shards.repartitionByRange(SHARDS, "shard")
+    shards = grams.coalesce(SHARDS)  # scans only: no shuffle in a round
     context = grams.sparkSession.sparkContext
     for k in range(ROUNDS):
         held = context.broadcast((model, unigram))
 
-        def one(key, table):
-            start, noise = held.value
-            m = Model(*(x.copy() for x in (start.r, start.q, start.b, start.c)))
-            table = table.sort_by("gram")
-            g, n = table["gram"].to_numpy(), table["n"].to_numpy()
-            m.train(g, n, noise, seed * 1000 + k * SHARDS + key[0].as_py(), 0.08 / (1 + k))
-            return pa.table({"tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+            if parts:
+                g, n = (np.concatenate(x) for x in zip(*parts))
+                start, noise = held.value
+                m = Model(*(x.copy() for x in (start.r, start.q, start.b, start.c)))
+                m.train(g, n, noise, seed * 1000 + k * SHARDS + TaskContext.get().partitionId(), 0.08 / (1 + k))
+                yield pa.RecordBatch.from_pydict({"tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
 
-        got = (shards.groupBy("shard").applyInArrow(one, "tokens long, model binary").collect())  # SHARDS rows
+        got = shards.select("gram", "n").mapInArrow(one, "tokens long, model binary").collect()  # at most SHARDS rows
         got = sorted(((r.tokens, pickle.loads(r.model)) for r in got), key=lambda x: (x[0], x[1].b[0]))
         total = sum(n for n, _ in got)
         model = Model(*(sum(getattr(m, f) * (n / total) for n, m in got) for f in ("r", "q", "b", "c")))
