@@ -254,7 +254,7 @@ def test_warnings_are_logged(spark, db, tmp_path, caplog):
     df = spark.createDataFrame([(datetime(2023, 1, 1),)] * 3, "pickup_datetime timestamp_ntz")
     validate(df, "fhv_tripdata_2024_01")
     text = caplog.text
-    assert "non-integer values in integer column 'k'" in text and "spill-over exceeds" in text
+    assert "non-integer values in integer column 'k'" in text and "3 of 3 rows (share 1.000000) are not in 2024_01" in text
 
 
 def test_staged_files_sorted_by_pickup_time(spark, db, tmp_path):

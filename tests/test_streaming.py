@@ -1,3 +1,5 @@
+from pyspark.sql import types as T
+
 """Landing-folder stream: each file published once, restarts resume, replays do not duplicate."""
 
 from tidemark.operators.publish import published_parts
@@ -32,7 +34,7 @@ def test_replayed_batch_is_not_published_twice(spark, db):
     from tidemark.sources.paths import FileFormat
     from tidemark.streaming.landing import _batch_table, batch_loader
 
-    load = batch_loader(db, "replay_t", "ckpt-x", FileFormat.CSV, None)
+    load = batch_loader(db, "replay_t", "ckpt-x", FileFormat.CSV, T.StructType([T.StructField("id", T.LongType())]))
     batch = spark.createDataFrame([("1",), ("2",)], "id string")
     load(batch, 0)
     load(batch, 0)
@@ -46,7 +48,7 @@ def test_replay_after_compaction_is_still_recognised(spark, db):
     from tidemark.sources.paths import FileFormat
     from tidemark.streaming.landing import batch_loader
 
-    load = batch_loader(db, "cmp_stream", "ckpt-y", FileFormat.CSV, None, compact_after=2)
+    load = batch_loader(db, "cmp_stream", "ckpt-y", FileFormat.CSV, T.StructType([T.StructField("id", T.LongType())]), compact_after=2)
     batch = spark.createDataFrame([("1",)], "id string")
     for i in range(5):
         load(batch, i)

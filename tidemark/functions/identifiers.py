@@ -25,29 +25,25 @@ def _java_class(chars: str) -> str:
                    else re.escape(ch) for ch in chars)
 
 
-_WS_CLASS = _java_class(WHITESPACE_CHARS)
-_SEP_CLASS = "[" + _WS_CLASS + _java_class(SEPARATOR_CHARS) + "]+"
-_EDGE = "^[" + _WS_CLASS + "]+|[" + _WS_CLASS + "]+$"
+# whatever stands between the pieces of a name: separators and underscores
+_BETWEEN = "[" + _java_class(WHITESPACE_CHARS) + _java_class(SEPARATOR_CHARS) + "_]+"
+_PIECE_RE = re.compile("[^" + re.escape(WHITESPACE_CHARS + SEPARATOR_CHARS) + "_]+")
 
 
 def normalize_ident(name: str) -> str:
-    """Raw name -> ``lower_snake``; e.g. ``Rate Code`` -> ``rate_code``. Empty -> error."""
-    s = str(name).strip(WHITESPACE_CHARS)
-    s = re.sub("[" + re.escape(WHITESPACE_CHARS + SEPARATOR_CHARS) + "]+", "_", s)
-    s = re.sub("_+", "_", s).strip("_").lower()
-    if not s:
+    """The pieces of a raw name in lower case, joined by single underscores
+    (``Trip.Distance`` -> ``trip_distance``); a name without any is an error."""
+    pieces = _PIECE_RE.findall(str(name))
+    if not pieces:
         raise UnsafeIdentifierError(f"identifier normalizes to empty: {name!r}")
-    return s
+    return "_".join(pieces).lower()
 
 
 def normalize_ident_col(c: Column | str) -> Column:
     """Column form of :func:`normalize_ident`; an empty result is NULL."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(c, _EDGE, "")
-    s = F.regexp_replace(s, _SEP_CLASS, "_")
-    s = F.regexp_replace(s, "_+", "_")
-    s = F.regexp_replace(s, "^_+|_+$", "")
-    return F.nullif(F.lower(s), F.lit(""))
+    joined = F.btrim(F.regexp_replace(c, _BETWEEN, "_"), F.lit("_"))
+    return F.nullif(F.lower(joined), F.lit(""))
 
 
 def is_safe_ident(name: str) -> bool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column
@@ -12,19 +13,37 @@ from pyspark.sql import functions as F
 MONTH_PATTERN = r"([0-9]{4})_([0-9]{2})"
 
 
+@dataclass(frozen=True)
+class Month:
+    """A calendar month by its number since year 0; adding one gives the next."""
+
+    index: int
+
+    @classmethod
+    def parse(cls, text: str) -> Month:
+        year, _, month = text.partition("_")
+        if not (year.isdigit() and month.isdigit() and 1 <= int(month) <= 12):
+            raise ValueError(f"month out of range: {text!r}")
+        return cls(int(year) * 12 + int(month) - 1)
+
+    @property
+    def start(self) -> datetime:
+        return datetime(self.index // 12, self.index % 12 + 1, 1)
+
+    @property
+    def end(self) -> datetime:
+        return Month(self.index + 1).start
+
+
 def expected_month(table_name: str) -> str | None:
-    """``yellow_tripdata_2024_01`` -> ``2024_01``; no match -> None."""
-    m = re.search(MONTH_PATTERN, table_name)
-    return f"{m.group(1)}_{m.group(2)}" if m else None
+    """Month text in a table's name (``..._2024_01`` -> ``2024_01``), None without one."""
+    return next((found[0] for found in re.finditer(MONTH_PATTERN, table_name)), None)
 
 
 def month_window(month: str) -> tuple[datetime, datetime]:
     """``2024_12`` -> [2024-12-01, 2025-01-01)."""
-    y, m = (int(p) for p in month.split("_"))
-    if not 1 <= m <= 12:
-        raise ValueError(f"month out of range: {month!r}")
-    start = datetime(y, m, 1)
-    return start, datetime(y + (m == 12), m % 12 + 1, 1)
+    parsed = Month.parse(month)
+    return parsed.start, parsed.end
 
 
 def expected_month_col(c: Column | str) -> Column:

@@ -72,6 +72,8 @@ def _from_typed(c: Column, st: T.DataType, f: T.StructField, is_pair: bool) -> C
         if is_integral_type(t):
             frac = F.pmod(c.cast("double"), F.lit(1.0))
             return F.when(frac <= WHOLE_TOLERANCE, (c.cast("double") - frac)).cast(t)
+    if isinstance(st, T.DecimalType) and is_integral_type(t):
+        return F.when(c == F.floor(c), c).cast(t)     # a fraction is NULL, never cut off
     if isinstance(st, T.BinaryType) and isinstance(t, T.StringType):
         return F.base64(c)
     return c.cast(t)
@@ -87,8 +89,23 @@ def conform_typed(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
+def _fraction(c: Column, st: T.DataType, text: bool) -> tuple[Column, Column] | None:
+    """(value is nulled for its fraction, value as double), None where a source
+    of this type has no fractions."""
+    if isinstance(st, T.StringType):
+        raw = na_to_null(c) if text else empty_to_null(c)
+        return fraction_flag(raw), _parsed_double(raw)
+    if isinstance(st, T.DecimalType):
+        return c != F.floor(c), c.cast("double")
+    if isinstance(st, (T.FloatType, T.DoubleType)):
+        d = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+        return ~F.coalesce(F.pmod(d, F.lit(1.0)) <= WHOLE_TOLERANCE, F.lit(False)) & d.isNotNull(), d
+    return None
+
+
 def fraction_aggregates(df: DataFrame, target: T.StructType, text: bool = True) -> list[Column]:
-    """Per integer target column fed by text: values nulled for a fraction.
+    """Per integer target column fed by text, floats or decimals: values nulled
+    for a fraction (P8).
 
     Returns aggregate Columns ``<col>__fractions`` and ``<col>__example``; the
     example is the smallest offending value, so it is deterministic.
@@ -98,21 +115,20 @@ def fraction_aggregates(df: DataFrame, target: T.StructType, text: bool = True)
     for f in target.fields:
         if not is_integral_type(f.dataType) or f.name not in src:
             continue
-        if not isinstance(src[f.name], T.StringType):
+        found = _fraction(F.col(quote_ident(f.name)), src[f.name], text)
+        if found is None:
             continue
-        c = F.col(quote_ident(f.name))
-        raw = na_to_null(c) if text else empty_to_null(c)
-        bad = fraction_flag(raw)
+        bad, value = found
         aggs += [F.count_if(bad).alias(f"{f.name}__fractions"),
-                 F.min(F.when(bad, _parsed_double(raw))).alias(f"{f.name}__example")]
+                 F.min(F.when(bad, value)).alias(f"{f.name}__example")]
     return aggs
 
 
 def integer_report(df: DataFrame, target: T.StructType, text: bool = True) -> DataFrame:
     """(column_name, fractions, example) per integer column, from one aggregate."""
     aggs = fraction_aggregates(df, target, text)
-    cols = [f.name for f in target.fields if is_integral_type(f.dataType)
-            and f.name in df.columns and isinstance(df.schema[f.name].dataType, T.StringType)]
+    cols = [f.name for f in target.fields if is_integral_type(f.dataType) and f.name in df.columns
+            and _fraction(F.lit(None), df.schema[f.name].dataType, text) is not None]
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, fractions bigint, example double")
     agg = df.agg(*aggs)

@@ -16,6 +16,8 @@ half-write files, and a failed job leaves no table behind.
 
 from __future__ import annotations
 
+import sys
+
 import time
 import uuid
 from functools import reduce
@@ -102,12 +104,13 @@ def publish_staged(spark: SparkSession, database: str, final: str, staged: str,
 
 
 def part_bytes(spark: SparkSession, database: str, part: str) -> int:
-    """Size of a physical part from its catalog statistics (metadata only; 0 if unknown)."""
+    """Size of a physical part from its catalog statistics (metadata only). A part
+    of unknown size counts as the largest, so that it is not rewritten by chance."""
     for r in spark.sql(f"DESCRIBE TABLE EXTENDED {fq(database, part)}").collect():
         if r[0] == "Statistics" and r[1]:
             head = str(r[1]).split(" ", 1)[0]
-            return int(head) if head.isdigit() else 0
-    return 0
+            return int(head) if head.isdigit() else sys.maxsize
+    return sys.maxsize
 
 
 def compact(spark: SparkSession, database: str, final: str, max_parts: int = 1) -> list[str]:

@@ -17,8 +17,8 @@ from tidemark.functions.nulls import na_to_null
 
 # Text a reader takes as a boolean.
 BOOLEAN_TOKENS = ("True", "False", "true", "false", "TRUE", "FALSE")
-# Integer text longer than this may not fit in bigint; it is typed as double.
-_MAX_INT_DIGITS = 18
+# Integers beyond bigint keep every digit in this type; beyond it they stay text.
+WIDE_INTEGER = T.DecimalType(38, 0)
 
 
 def parquet_column_type(t: T.DataType) -> T.DataType:
@@ -52,9 +52,11 @@ def datetime_pair_columns(columns: list[str]) -> set[str]:
 def infer_text_schema(df: DataFrame) -> T.StructType:
     """Type every text column from the whole input in one aggregate.
 
-    Rule, over the non-missing values of a column: all integer text of at most
-    18 digits -> bigint; all numbers -> double; all boolean words -> boolean;
-    a known datetime pair -> timestamp_ntz; else (incl. all missing) string.
+    Rule, over the non-missing values of a column: all integer text -> bigint
+    if every value fits it, else decimal(38,0) if every value fits that, else
+    string, so no digit is lost; all numbers -> double; all boolean words ->
+    boolean; a known datetime pair -> timestamp_ntz; else (incl. all missing)
+    string.
     One map-side partial aggregate per task, a single tiny final merge.
     """
     cols = df.columns
@@ -65,9 +67,12 @@ def infer_text_schema(df: DataFrame) -> T.StructType:
     for i, c in enumerate(cols):
         v = na_to_null(F.col(quote_ident(c)))
         s = strip_ws(v)
+        whole = F.when(s.rlike(INTEGER_PATTERN), s)
         aggs += [
             F.count(v).alias(f"n{i}"),
-            F.count_if(s.rlike(INTEGER_PATTERN) & (F.length(F.ltrim(s, F.lit("+-"))) <= _MAX_INT_DIGITS)).alias(f"i{i}"),
+            F.count(whole).alias(f"w{i}"),
+            F.count(whole.try_cast("bigint")).alias(f"i{i}"),
+            F.count(whole.try_cast(WIDE_INTEGER)).alias(f"x{i}"),
             F.count_if(s.rlike(NUMBER_OR_INF_PATTERN)).alias(f"d{i}"),
             F.count_if(v.isin(*BOOLEAN_TOKENS)).alias(f"b{i}"),
         ]
@@ -79,6 +84,8 @@ def infer_text_schema(df: DataFrame) -> T.StructType:
             t: T.DataType = T.TimestampNTZType()
         elif n and ni == n:
             t = T.LongType()
+        elif n and row[f"w{i}"] == n:
+            t = WIDE_INTEGER if row[f"x{i}"] == n else T.StringType()
         elif n and nd == n:
             t = T.DoubleType()
         elif n and nb == n:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -36,8 +36,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for run-scoped tables.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``. Only when
-    none is configured (local tests) is a private one created and registered.
+    Uses the folder the cluster names in ``spark.checkpoint.dir``. Where none
+    is configured, a local master gets a private one; on a cluster that is an
+    error, since executors would not see a folder of the driver's machine.
     """
     try:
         sc = spark.sparkContext
@@ -52,6 +53,9 @@ def scratch_root(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf)
             return (sc.getCheckpointDir() or conf).rstrip("/")
         return conf.rstrip("/")
+    master = sc.master if sc is not None else ""
+    if not re.fullmatch(r"local(\[(\*|\d+)(,\s*\d+)?\])?", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="tidemark-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(local)
@@ -72,15 +76,6 @@ def scratch_database(spark: SparkSession, name: str = "tidemark_scratch") -> str
     return name
 
 
-def is_local_path(p: str) -> bool:
-    return "://" not in p or p.startswith("file:")
-
-
-def ensure_dir(p: str) -> None:
-    if is_local_path(p):
-        os.makedirs(p.replace("file:", ""), exist_ok=True)
-
-
 def stable_root(spark: SparkSession) -> str:
     """A shared folder that is the same for every application: the configured
     ``spark.checkpoint.dir`` itself (Spark adds a per-application subfolder

@@ -27,10 +27,9 @@ DEFAULT_SEP = {"csv": ",", "tsv": "\t"}
 def check_delimiter(sep: str, fmt: str = "csv") -> str:
     if fmt not in _FORBIDDEN:
         raise UnsupportedFormatError(f"not a delimited format: {fmt!r}")
-    if not isinstance(sep, str) or len(sep) != 1:
-        raise ValueError("delimiter must be a single character")
-    if sep in _FORBIDDEN[fmt]:
-        raise ValueError(f"delimiter {sep!r} is not allowed for {fmt}")
+    usable = isinstance(sep, str) and len(sep) == 1 and sep not in _FORBIDDEN[fmt]
+    if not usable:
+        raise ValueError(f"{sep!r} cannot separate the fields of a {fmt} file: one character, no quote or line break")
     return sep
 
 

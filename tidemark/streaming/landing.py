@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.errors import EmptyLoadError
 from tidemark.functions.identifiers import WHITESPACE_CHARS, sanitize_ident
 from tidemark.operators import publish as pub
 from tidemark.operators.conform import conform_text, conform_typed
@@ -57,7 +59,7 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
     already in the folder, else the published table's column order; Spark
     checks every new file's header against it. The target schema is the
     published table's, else ``target``, else (Parquet) the footer of a landed
-    file or (text) inferred from the first micro-batch. ``clean_source``
+    file or (text) inferred from all files in the folder at the start. ``clean_source``
     (``archive`` to ``archive_dir``, or ``delete``) lets Spark move or remove
     files once their batch is committed; by default sources are kept.
     ``checkpoint`` defaults to a fixed folder per table under
@@ -92,8 +94,10 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
         if names is None:
             try:                    # the files' own header, when one has landed
                 names = read_raw_header(spark, landing_dir, s, encoding)
-            except Exception:  # noqa: BLE001 - empty folder: fall back to the table's order
-                if target is None:
+            except (AnalysisException, EmptyLoadError) as e:
+                # nothing has landed: the table's own order; other faults are real
+                nothing = isinstance(e, EmptyLoadError) or any(k in str(e) for k in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"))
+                if target is None or not nothing:
                     raise
                 names = target.fieldNames()
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -103,6 +107,12 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
                .option("sep", s).option("quote", '"').option("escape", '"').option("multiLine", "true")
                .option("encoding", encoding).csv(landing_dir)
                .toDF(*[n.strip(WHITESPACE_CHARS) for n in names]))
+        if target is None:      # all files present decide, however small a batch is
+            present = (spark.read.schema(schema).option("header", "true").option("enforceSchema", "false")
+                       .option("sep", s).option("quote", '"').option("escape", '"').option("multiLine", "true")
+                       .option("encoding", encoding).csv(landing_dir)
+                       .toDF(*[n.strip(WHITESPACE_CHARS) for n in names]))
+            target = infer_text_schema(present)
 
     load_batch = batch_loader(db, final, checkpoint, f, target, max_outside_rows, max_outside_ratio,
                               fail_on_outside_month, compact_after)
@@ -118,12 +128,10 @@ def _few_splits(spark: SparkSession, df: DataFrame) -> bool:
         return False
 
 
-def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.StructType | None,
+def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.StructType,
                  max_outside_rows: int = MAX_OUTSIDE_ROWS, max_outside_ratio: float = MAX_OUTSIDE_RATIO,
                  fail_on_outside_month: bool = False, compact_after: int | None = 64):
     """The ``foreachBatch`` function: conform, stage, validate and append one micro-batch."""
-    state = {"target": target}
-
     mark = batch_property(checkpoint)
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
@@ -135,10 +143,7 @@ def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.
         pub.drop_if_exists(sess, pub.fq(db, staged))     # half-done earlier attempt
         if batch.isEmpty():
             return
-        tgt = state["target"]
-        if tgt is None:
-            tgt = state["target"] = (parquet_target_schema(batch.schema) if f is FileFormat.PARQUET
-                                     else infer_text_schema(batch))
+        tgt = target
         if f is FileFormat.PARQUET:
             conformed = conform_typed(batch, tgt)
         else:   # a batch of few unsplittable files: spread before the per-value work
