@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, gam, jaccard, mixing, suffix
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import ship_package, stored, table
 from tidemark.llm.queries import vocab_path
 
 
@@ -50,6 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that all stages make of ``documents``."""
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))

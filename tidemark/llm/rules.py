@@ -21,7 +21,7 @@ from tidemark.llm.common import as_bytes, concat, ranges, slices
 #: Bytes of an n-gram, and buckets that they are hashed to (a power of two).
 GRAM, BUCKET_BITS = 3, 14
 #: Least mean log-likelihood ratio of a text that is kept.
-THRESHOLD = -0.1
+THRESHOLD = -0.5
 #: Characters counted as symbols (fixed value).
 SYMBOLS = b"#*$%&|<>"
 #: Fewest words, and most words in repeated windows, in percent (fixed values).
