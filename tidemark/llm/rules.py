@@ -77,7 +77,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
     """
     trusted = (labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_key"))
                .agg(F.avg(label).alias("_q")).where("_q >= 0.5").select("_key", F.lit(True).alias("_trusted")))
-    rows = (docs.select(F.col(id_col).alias("_key"), F.col(text).alias("_text")).join(trusted, "_key", "left")
+    # labels grow with the corpus: joined by a shuffle at every size, not only where they no longer fit a broadcast
+    rows = (docs.select(F.col(id_col).alias("_key"), F.col(text).alias("_text")).join(trusted.hint("merge"), "_key", "left")
             .select("_text", F.coalesce("_trusted", F.lit(False)).alias("_trusted")))
     size = 1 << BUCKET_BITS
 
