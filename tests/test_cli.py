@@ -1,9 +1,38 @@
 """Command line exit codes (0 ok/skip, 2 exists with fail, 1 error)."""
 
+import os
+import subprocess
+import sys
+
+import pytest
+
 from conftest import write_file
 from tidemark.__main__ import main
 
 
+@pytest.fixture(autouse=True)
+def one_process(request, monkeypatch):
+    """These tests call main() within one session, where the catalog does last."""
+    monkeypatch.setattr("tidemark.session.has_persistent_catalog", lambda spark: True)
+
+
+def _command(path, *extra):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    return subprocess.run([sys.executable, "-m", "tidemark", "ingest-url", "--url", path, "--table-name", "two", *extra],
+                          cwd=repo, capture_output=True, text=True, timeout=120)
+
+
+def test_a_catalog_of_the_process_alone_is_refused(tmp_path):
+    done = _command(write_file(tmp_path, "a.csv", "a\n1\n"))
+    assert done.returncode == 1 and "persistent" in done.stderr
+
+
+@pytest.mark.skip(reason="needs a persistent metastore, which this environment does not offer")
+def test_policies_hold_across_processes(tmp_path):
+    path = write_file(tmp_path, "a.csv", "a\n1\n")
+    assert [_command(path, "--if-exists", p).returncode for p in ("replace", "skip", "fail", "append")] == [0, 0, 2, 0]
+
+
 def test_cli_exit_codes(spark, db, tmp_path):
     base = tmp_path / "land"
     (base / "green").mkdir(parents=True)

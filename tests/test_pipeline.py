@@ -125,14 +125,75 @@ def test_bad_value_fails_whole_load(spark, db, tmp_path):
     assert spark.table(f"{db}.b").collect() == [(1, True)]
 
 
-def test_replace_drops_old_parts(spark, db, tmp_path):
+def test_replace_keeps_one_generation_for_running_readers(spark, db, tmp_path):
+    def physical():
+        return [r.tableName for r in spark.sql(f"SHOW TABLES IN {db}").collect() if r.tableName.startswith("rep__r_")]
+
     p = write_file(tmp_path, "r.csv", "a\n1\n")
     ingest(spark, p, "rep", database=db)
     ingest(spark, p, "rep", database=db, if_exists="append")
+    reader = spark.table(f"{db}.rep")
+    assert reader.schema.names == ["a"]                    # planned before the replace
     ingest(spark, write_file(tmp_path, "r2.csv", "a\n5\n"), "rep", database=db, if_exists="replace")
     assert spark.table(f"{db}.rep").collect() == [(5,)]
-    phys = [r.tableName for r in spark.sql(f"SHOW TABLES IN {db}").collect() if r.tableName.startswith("rep__r_")]
-    assert len(phys) == 1
+    assert reader.collect() == [(1,), (1,)] and len(physical()) == 3
+    ingest(spark, write_file(tmp_path, "r3.csv", "a\n6\n"), "rep", database=db, if_exists="replace")
+    assert spark.table(f"{db}.rep").collect() == [(6,)] and len(physical()) == 2
+
+
+def test_a_lost_append_is_noticed(spark, db, tmp_path, monkeypatch):
+    from tidemark.errors import LostPublishError
+    from tidemark.operators import publish as pub
+    p = write_file(tmp_path, "l.csv", "a\n1\n")
+    first = ingest(spark, p, "lost", database=db)["parts"]
+    create = pub._create_view
+
+    def overtaken(session, database, final, parts, props=None):
+        create(session, database, final, parts, props)
+        create(session, database, final, first, props)     # another writer, which read the state before
+
+    monkeypatch.setattr(pub, "_create_view", overtaken)
+    with pytest.raises(LostPublishError):
+        ingest(spark, p, "lost", database=db, if_exists="append")
+    assert published_parts(spark, db, "lost") == first
+
+
+def test_parquet_folder_is_conformed_file_by_file(spark, db, tmp_path):
+    from tidemark.errors import MissingColumnsError
+    drift, short = str(tmp_path / "drift.parquet"), str(tmp_path / "short.parquet")
+    ingest(spark, write_file(tmp_path, "v.csv", "id,v\n9,9\n"), "typed", database=db)
+    spark.range(2).selectExpr("id", "id * 2 AS v").write.parquet(drift)
+    spark.range(2, 4).selectExpr("id", "id + IF(id = 3, 0.5D, 0D) AS v").write.mode("append").parquet(drift)
+    m = ingest(spark, drift, "typed", database=db, if_exists="append")
+    assert sorted(spark.table(f"{db}.typed").collect(), key=str) == [(0, 0), (1, 2), (2, 2), (3, None), (9, 9)]
+    assert m["fraction_nulls"] == {"v": 1}
+    spark.range(2).selectExpr("id", "id * 2 AS v").write.parquet(short)
+    spark.range(2).selectExpr("id").write.mode("append").parquet(short)
+    with pytest.raises(MissingColumnsError, match="short.parquet"):
+        ingest(spark, short, "typed", database=db, if_exists="append")
+    parted = str(tmp_path / "parted.parquet")
+    spark.range(4).selectExpr("id", "id % 2 AS v").write.partitionBy("v").parquet(parted)
+    ingest(spark, parted, "typed", database=db)
+    assert sorted(spark.table(f"{db}.typed").collect()) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
+def test_bad_datetimes_are_counted_or_refused(spark, db, tmp_path):
+    from tidemark.errors import BadDatetimeError
+    p = write_file(tmp_path, "d.csv", "pickup_datetime,dropoff_datetime\n"
+                   "01/05/2024 10:00:00 AM,2024-02-01T00:00:00Z\nNA,2024-02-01 01:02:03.123456789\n,2024-02-01 05:00:00+02:00\n")
+    m = ingest(spark, p, "dates", database=db)
+    assert m["datetime_nulls"] == {"pickup_datetime": 1}
+    assert sorted(str(r[1]) for r in spark.table(f"{db}.dates").collect()) == [
+        "2024-02-01 00:00:00", "2024-02-01 01:02:03.123456", "2024-02-01 05:00:00"]
+    with pytest.raises(BadDatetimeError):
+        ingest(spark, p, "dates", database=db, if_exists="append", fail_on_bad_datetimes=True)
+    assert spark.table(f"{db}.dates").count() == 3
+
+
+def test_names_that_differ_by_case(spark, db, tmp_path):
+    from tidemark.errors import DuplicateColumnsError
+    with pytest.raises(DuplicateColumnsError, match="caseSensitive"):
+        ingest(spark, write_file(tmp_path, "fee.csv", "Airport_fee,airport_fee\n1,2\n"), "fees", database=db)
 
 
 def test_compaction(spark, db, tmp_path):

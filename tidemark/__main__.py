@@ -1,7 +1,7 @@
 """Command line: ``python -m tidemark ingest ...`` / ``python -m tidemark ingest-url ...``.
 
 Exit codes: 0 loaded or skipped, 2 the table exists and ``--if-exists fail``,
-1 any other error. Run it with spark-submit on a cluster; the session then
+1 any other error, a catalog that does not outlive the process included. Run it with spark-submit on a cluster; the session then
 takes its master and resources from there.
 """
 
@@ -40,9 +40,13 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     from tidemark.pipeline import ingest, ingest_month
-    from tidemark.session import build_session
+    from tidemark.session import build_session, has_persistent_catalog
 
     spark = build_session()
+    if not has_persistent_catalog(spark):
+        print("ingest failed: this session's catalog ends with the process, so the table would be lost; configure a "
+              "persistent one (spark.sql.catalogImplementation=hive, or a catalog plugin)", file=sys.stderr)
+        return 1
     kw = dict(database=args.database, if_exists=args.if_exists,
               fail_on_outside_month=args.fail_on_outside_month)
     try:

@@ -33,5 +33,13 @@ class MonthSpillError(IngestError):
     """Too many rows outside the expected month and failing was asked for."""
 
 
+class BadDatetimeError(IngestError):
+    """Text in a datetime column is no ISO datetime and failing was asked for."""
+
+
+class LostPublishError(IngestError):
+    """Another writer's publish replaced this one's before it could be confirmed."""
+
+
 class UnsafeIdentifierError(ValueError):
     """A table/column name that is not ``[A-Za-z_][A-Za-z0-9_]*``."""

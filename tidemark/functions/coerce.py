@@ -19,7 +19,8 @@ INFINITY_PATTERN = r"^(?i)[+-]?(inf|infinity)$"
 # the two above as one pattern, so a value is matched once
 NUMBER_OR_INF_PATTERN = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
-DATETIME_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?)?$"
+DATETIME_PATTERN = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,9})?"
+                    r"(Z|[+-][0-9]{2}:[0-9]{2})?)?$")
 # Whitespace a numeric parser skips around a value (C isspace).
 EDGE_WS = " \t\n\x0b\x0c\r"
 # Tolerance under which a parsed value counts as whole.
@@ -96,7 +97,11 @@ def to_integer(c: Column | str, target: T.DataType = T.LongType()) -> Column:
 
 
 def to_datetime(c: Column | str, target: T.DataType = T.TimestampNTZType()) -> Column:
-    """ISO date or datetime text -> timestamp; anything else (incl. 2024-02-30) NULL."""
+    """ISO date or datetime text -> timestamp; anything else (incl. 2024-02-30) NULL.
+
+    A trailing ``Z`` or offset is dropped and the written wall time kept;
+    digits of a second beyond the sixth are cut off.
+    """
     s = strip_ws(c)
     return F.when(s.rlike(DATETIME_PATTERN), s.try_cast(target))
 

@@ -124,6 +124,35 @@ def fraction_aggregates(df: DataFrame, target: T.StructType, text: bool = True)
     return aggs
 
 
+def _dated(df: DataFrame, target: T.StructType) -> list[str]:
+    """Columns of the datetime pairs that the source holds as text."""
+    pairs = datetime_pair_columns(target.fieldNames())
+    src = {f.name: f.dataType for f in df.schema.fields}
+    return [f.name for f in target.fields if f.name in pairs and isinstance(src.get(f.name), T.StringType)
+            and isinstance(f.dataType, _TEMPORAL + (T.StringType,))]
+
+
+def datetime_aggregates(df: DataFrame, target: T.StructType, text: bool = True) -> list[Column]:
+    """Per datetime column fed by text: ``<col>__undated``, the values that are
+    present but become NULL because they are no ISO datetime (P9)."""
+    aggs = []
+    for name in _dated(df, target):
+        c = F.col(quote_ident(name))
+        raw = na_to_null(c) if text else empty_to_null(c)
+        aggs.append(F.count_if(raw.isNotNull() & to_datetime(raw).isNull()).alias(f"{name}__undated"))
+    return aggs
+
+
+def datetime_report(df: DataFrame, target: T.StructType, text: bool = True) -> DataFrame:
+    """(column_name, undated) per datetime column fed by text, from one aggregate."""
+    names = _dated(df, target)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, undated bigint")
+    rows = F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(quote_ident(f"{n}__undated")).alias("undated"))
+                     for n in names])
+    return df.agg(*datetime_aggregates(df, target, text)).select(F.inline(rows))
+
+
 def integer_report(df: DataFrame, target: T.StructType, text: bool = True) -> DataFrame:
     """(column_name, fractions, example) per integer column, from one aggregate."""
     aggs = fraction_aggregates(df, target, text)

@@ -4,8 +4,8 @@ The published name is a catalog *view* over one or more run-scoped physical
 tables ``<final>__r_<run_id>``; the view records its parts in a table
 property. Both publish modes are a single ``CREATE OR REPLACE VIEW``:
 
-* replace: the view becomes the new staged table alone; old parts are dropped
-  after the flip.
+* replace: the view becomes the new staged table alone; the old parts are
+  dropped by the publish after it, so running readers keep their files.
 * append: the new staged table is added to the view's parts (no data copied).
   ``compact`` merges the smaller parts when they pile up.
 
@@ -24,11 +24,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.errors import IngestError
-from tidemark.functions.identifiers import sanitize_ident
+from tidemark.errors import IngestError, LostPublishError
+from tidemark.functions.identifiers import quote_ident, sanitize_ident
+from tidemark.operators.validate import detect_datetime_column
 
 PROPERTY_PREFIX = "tidemark."
 PARTS_PROPERTY = "tidemark.parts"
+GENERATION_PROPERTY = "tidemark.generation"
+PREVIOUS_PROPERTY = "tidemark.previous"
 RUN_MARK = "__r_"
 
 
@@ -95,14 +98,35 @@ def publish_staged(spark: SparkSession, database: str, final: str, staged: str,
         raise IngestError(f"staged table does not exist: {fq(database, staged)}")
     old, old_props = published_state(spark, database, final) or ([], {})
     parts = old + [staged] if mode == "append" else [staged]
-    _create_view(spark, database, final, parts, {**old_props, **(props or {})})
-    if mode != "append":
-        for p in old:
-            if p not in parts:
-                drop_if_exists(spark, fq(database, p))
+    _flip(spark, database, final, old, parts, {**old_props, **(props or {})}, staged)
     return parts
 
 
+def _names(text: str) -> list[str]:
+    return [p for p in text.split(",") if p]
+
+
+def _flip(spark: SparkSession, database: str, final: str, old: list[str], parts: list[str],
+          props: dict[str, str], new_part: str) -> None:
+    """Point the view at ``parts``, confirm it, and drop the generation before the last.
+
+    Parts that leave the view stay on disk until the next publish, so a reader
+    planned just before this call still finds its files.
+    """
+    generation = int(props.get(GENERATION_PROPERTY, "0")) + 1
+    expired = _names(props.get(PREVIOUS_PROPERTY, ""))
+    left = [p for p in old if p not in parts]
+    _create_view(spark, database, final, parts,
+                 {**props, GENERATION_PROPERTY: str(generation), PREVIOUS_PROPERTY: ",".join(left)})
+    now, now_props = published_state(spark, database, final) or ([], {})
+    if new_part not in now:
+        raise LostPublishError(f"{fq(database, final)}: generation {generation} was overwritten by another writer "
+                               f"(now {now_props.get(GENERATION_PROPERTY)}); load again, one writer at a time")
+    for p in expired:
+        if p not in now:
+            drop_if_exists(spark, fq(database, p))
+
+
 def part_bytes(spark: SparkSession, database: str, part: str) -> int:
     """Size of a physical part from its catalog statistics (metadata only). A part
     of unknown size counts as the largest, so that it is not rewritten by chance."""
@@ -131,18 +155,23 @@ def compact(spark: SparkSession, database: str, final: str, max_parts: int = 1)
     merged = physical_name(final, new_run_id())
     try:
         union = reduce(DataFrame.unionAll, [spark.table(fq(database, p)) for p in merge])
-        stage(union, database, final, merged)
+        stage(time_sorted(union), database, final, merged)
         analyze(spark, database, merged)
-        _create_view(spark, database, final, keep + [merged], props)
+        _flip(spark, database, final, parts, keep + [merged], props, merged)
     except BaseException:
         if merged not in (published_parts(spark, database, final) or []):
             cleanup_best_effort(spark, fq(database, merged))
         raise
-    for p in merge:
-        drop_if_exists(spark, fq(database, p))
     return keep + [merged]
 
 
+def time_sorted(df: DataFrame) -> DataFrame:
+    """Rows of each written file in order of the pickup time, where there is one:
+    a local sort, no shuffle, so that row groups cover narrow time ranges."""
+    dt_col = detect_datetime_column(df.columns)
+    return df if dt_col is None else df.sortWithinPartitions(quote_ident(dt_col))
+
+
 def analyze(spark: SparkSession, database: str, table: str, columns: bool = False) -> None:
     """Refresh optimizer statistics of a physical table."""
     what = "FOR ALL COLUMNS" if columns else ""
@@ -155,9 +184,9 @@ def drop_if_exists(spark: SparkSession, name: str) -> None:
 
 def drop_published(spark: SparkSession, database: str, final: str) -> None:
     """Remove a published view and every part behind it."""
-    parts = published_parts(spark, database, final) or []
+    parts, props = published_state(spark, database, final) or ([], {})
     spark.sql(f"DROP VIEW IF EXISTS {fq(database, final)}")
-    for p in parts:
+    for p in parts + _names(props.get(PREVIOUS_PROPERTY, "")):
         drop_if_exists(spark, fq(database, p))
 
 

@@ -12,26 +12,27 @@ file-size stats) and catalog metadata.
 from __future__ import annotations
 
 import logging
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.errors import (
-    IngestError, TableExistsError, UnsupportedFormatError, UnsupportedStrategyError,
+    BadDatetimeError, IngestError, TableExistsError, UnsupportedFormatError, UnsupportedStrategyError,
 )
-from tidemark.functions.identifiers import quote_ident, sanitize_ident
+from tidemark.functions.identifiers import sanitize_ident
 from tidemark.operators import publish as pub
-from tidemark.operators.conform import conform_text, conform_typed, fraction_aggregates, require_columns
+from tidemark.operators.conform import (
+    conform_text, conform_typed, datetime_aggregates, fraction_aggregates, require_columns,
+)
 from tidemark.operators.schema import infer_text_schema, parquet_target_schema
-from tidemark.operators.validate import MAX_OUTSIDE_RATIO, MAX_OUTSIDE_ROWS, detect_datetime_column, validate
-from tidemark.sources.parquet import read_parquet
+from tidemark.operators.validate import MAX_OUTSIDE_RATIO, MAX_OUTSIDE_ROWS, validate
+from tidemark.sources.parquet import read_by_footer
 from tidemark.sources.paths import (
     FileFormat, detect_format, month_path, month_table, table_name_from_url,
 )
 from tidemark.session import scratch_database
-from tidemark.sources.text import file_stats, is_splittable, read_delimited
+from tidemark.sources.text import file_stats, read_delimited
 
 POLICIES = ("skip", "fail", "replace", "append")
 log = logging.getLogger("tidemark.ingest")
@@ -74,10 +75,8 @@ def needs_spread(spark: SparkSession, sources: list[str], multi_line: bool) -> b
     otherwise conform and write that whole share alone. Splittable input is
     split by Spark itself. Decided from file sizes (listing only).
     """
-    if is_splittable(sources, multi_line):
-        return False
-    n, total, largest = file_stats(spark, sources)
-    if n == 0:
+    n, total, largest, gzipped = file_stats(spark, sources)
+    if n == 0 or not (multi_line or gzipped):
         return False
     if n < _parallelism(spark):
         return True
@@ -123,21 +122,12 @@ def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
     """
     observations: list[Observation] = []
     if fmt is FileFormat.PARQUET:
-        raw = read_parquet(spark, sources)
-        target = target or parquet_target_schema(raw.schema)
-        if len(sources) > 1:
-            # Spark takes one footer's schema for all paths; check every given
-            # path's own footer (metadata only, concurrently) for the columns
-            with ThreadPoolExecutor(max_workers=min(16, len(sources))) as pool:
-                cols = list(pool.map(lambda p: spark.read.parquet(p).columns, sources))
-            for p, c in zip(sources, cols):
-                require_columns(c, target, what=f"Parquet source {p}")
-        aggs = fraction_aggregates(raw, target, text=False) if observe else []
-        if aggs:
-            obs = Observation("fractions")
-            raw = raw.observe(obs, *aggs)
-            observations.append(obs)
-        return conform_typed(raw, target), target, observations
+        scans = read_by_footer(spark, sources)
+        target = target or parquet_target_schema(scans[0][1].schema)
+        for files, raw in scans:        # every file's own footer has the columns
+            require_columns(raw.columns, target, what=f"Parquet file {files[0]}")
+        parts = [conform_typed(_observed(raw, target, False, observe, observations), target) for _, raw in scans]
+        return reduce(DataFrame.unionAll, parts), target, observations
     hot = needs_spread(spark, sources, multi_line)
     groups = []
     for h, g in read_delimited(spark, sources, fmt.value, sep, encoding, multi_line):
@@ -149,23 +139,27 @@ def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
         first = groups[0][1]
         target = infer_text_schema(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
                                           [g for _, g in groups[1:]], first))
-    parts = []
-    for i, (_, df) in enumerate(groups):
-        aggs = fraction_aggregates(df, target, text=True) if observe else []
-        if aggs:
-            obs = Observation(f"fractions_{i}")
-            df = df.observe(obs, *aggs)
-            observations.append(obs)
-        parts.append(conform_text(df, target))
+    parts = [conform_text(_observed(df, target, True, observe, observations), target) for _, df in groups]
     return reduce(DataFrame.unionAll, parts), target, observations
 
 
-def _fraction_warnings(observations: list[Observation]) -> dict:
+def _observed(df: DataFrame, target, text: bool, observe: bool, observations: list[Observation]) -> DataFrame:
+    """``df`` with the counts of values that conforming will null, taken as rows pass by."""
+    aggs = fraction_aggregates(df, target, text) + datetime_aggregates(df, target, text) if observe else []
+    if not aggs:
+        return df
+    obs = Observation(f"nulled_{len(observations)}")
+    observations.append(obs)
+    return df.observe(obs, *aggs)
+
+
+def _nulled(observations: list[Observation], suffix: str) -> dict:
+    """Observed counts whose names end in ``suffix``, by column; zeros left out."""
     out: dict = {}
     for obs in observations:
         for k, v in (obs.get or {}).items():
-            if k.endswith("__fractions"):
-                col = k[: -len("__fractions")]
+            if k.endswith(suffix):
+                col = k[: -len(suffix)]
                 out[col] = out.get(col, 0) + (v or 0)
     return {k: v for k, v in out.items() if v}
 
@@ -174,13 +168,15 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
            database: str | None = None, if_exists: str = "replace", fmt: str | None = None,
            sep: str | None = None, encoding: str = "UTF-8", multi_line: bool = True,
            max_outside_rows: int = MAX_OUTSIDE_ROWS, max_outside_ratio: float = MAX_OUTSIDE_RATIO,
-           fail_on_outside_month: bool = False, analyze_columns: bool = False,
-           compact_after: int | None = 64, cluster_by_time: bool = True,
+           fail_on_outside_month: bool = False, fail_on_bad_datetimes: bool = False,
+           analyze_columns: bool = False, compact_after: int | None = 64, cluster_by_time: bool = True,
            fail_after: str | None = None) -> dict:
     """Load ``source`` (one path, a list, or a directory/glob) into ``table``.
 
-    Returns the validation metrics plus ``status``, ``parts`` and
-    ``fraction_nulls``. ``cluster_by_time`` sorts each written file by the
+    Returns the validation metrics plus ``status``, ``parts``,
+    ``fraction_nulls`` and ``datetime_nulls`` (values nulled, by column);
+    ``fail_on_bad_datetimes`` makes the latter an error before anything is
+    published. ``cluster_by_time`` sorts each written file by the
     pickup datetime column (when there is one). ``fail_after`` (tests) raises
     after the named stage.
     """
@@ -218,17 +214,17 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
         conformed, target, observations = read_conformed(
             spark, sources, f, target, sep=sep, encoding=encoding, multi_line=multi_line, cleanup=scratch)
         _hook("read")
-        dt_col = detect_datetime_column(target.fieldNames())
-        if cluster_by_time and dt_col is not None:
-            # local sort, no shuffle: each file's row groups then cover narrow
-            # time ranges, so a day filter on the table skips most of them
-            conformed = conformed.sortWithinPartitions(quote_ident(dt_col))
+        if cluster_by_time:
+            conformed = pub.time_sorted(conformed)
         staged = pub.physical_name(final, pub.new_run_id())   # known before the write, for cleanup
         pub.stage(conformed, db, final, staged)
         _hook("stage")
         metrics = validate(spark.table(pub.fq(db, staged)), final, max_outside_rows,
                            max_outside_ratio, fail_on_outside_month)
         _hook("validate")
+        undated = _nulled(observations, "__undated")
+        if undated and fail_on_bad_datetimes:
+            raise BadDatetimeError(f"text that is no ISO datetime, by column: {undated}")
         # the policy is checked again right before the flip (another run may have published)
         if not exists and spark.catalog.tableExists(fq_final) and if_exists in ("skip", "fail"):
             if if_exists == "skip":
@@ -250,10 +246,12 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
     finally:
         for t in scratch:
             pub.cleanup_best_effort(spark, t)
-    fractions = _fraction_warnings(observations)
+    fractions = _nulled(observations, "__fractions")
     for col, n in fractions.items():
         log.warning("non-integer values in integer column %r set to NULL: %d", col, n)
-    metrics.update(status=mode, table=fq_final, parts=parts, fraction_nulls=fractions)
+    for col, n in undated.items():
+        log.warning("text in datetime column %r that is no ISO datetime set to NULL: %d", col, n)
+    metrics.update(status=mode, table=fq_final, parts=parts, fraction_nulls=fractions, datetime_nulls=undated)
     log.info("loaded %s (%s): %s rows", fq_final, mode, metrics.get("rowcount"))
     return metrics
 

@@ -143,18 +143,14 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("rows_n"))
 
 
-def sample_rows(df: DataFrame, columns: list[str], n: int = 5, in_file_order: bool = False) -> DataFrame:
-    """Q6: first ``n`` rows of some columns (the limit is the feature).
+def sample_rows(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
+    """Q6: ``n`` rows of some columns (the limit is the feature).
 
-    The statement has no order, so any ``n`` rows answer it. With
-    ``in_file_order`` (a DataFrame read straight from files) the answer is the
-    first ``n`` rows as stored, by file and row position: deterministic, and
-    still a per-task top-``n`` merged once, never a sort of the whole table.
+    The statement has no order, so any ``n`` rows answer it. Spark starts with
+    the first partition and stops once it has them, so a table of one small
+    file gives its first rows as stored and a large one is never scanned.
     """
-    if not in_file_order:
-        return df.select(*columns).limit(n)
-    pos = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
-    return df.select(*columns, *pos).orderBy("_file", "_row").limit(n).select(*columns)
+    return df.select(*columns).limit(n)
 
 
 def run_sql(spark, text: str, args: dict | None = None, views: dict[str, DataFrame] | None = None) -> DataFrame:

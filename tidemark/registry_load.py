@@ -21,14 +21,15 @@ from tidemark.functions.identifiers import (
 from tidemark.functions.months import expected_month, expected_month_col, month_end_col, month_start_col
 from tidemark.functions.nulls import NA_TOKENS, na_to_null
 from tidemark.operators import publish as pub
-from tidemark.operators.conform import conform_typed, integer_report
+from tidemark.operators.conform import conform_typed, datetime_report, integer_report
 from tidemark.operators.schema import (
     infer_text_schema, parquet_target_schema, schema_rows, table_columns,
 )
 from tidemark.operators.validate import detect_datetime_column, exceeds_expr, validation_metrics
 from tidemark.pipeline import ingest, ingest_month, read_conformed
-from tidemark.plans.trips import read_table
-from tidemark.registry import _ZR, register
+from tidemark.plans import queries as Q
+from tidemark.plans.trips import read_table, trips_from_tables, zones_from_nation
+from tidemark.registry import ORACLE_SQL, register
 from tidemark.session import scratch_database
 from tidemark.sources.paths import (
     FileFormat, detect_format_col, month_path_col, month_table_col, table_name_from_url_col,
@@ -54,7 +55,8 @@ DIRTY_NUMBERS = (
 )
 DIRTY_DATETIMES = (
     "bad", "{D}", "{TS}", "2024-02-30 00:00:00", "2024", "01/02/2024", "{D}T12:30:45", " {TS} ",
-    "", "{TS}.123456", "2024-13-01", "NA", "{D} 25:00:00", "{TS}",
+    "", "{TS}.123456", "2024-13-01", "NA", "{D} 25:00:00", "{TS}", "{D}T12:30:45Z", "{TS}+02:00", "{TS}.123456789",
+    "01/05/2024 10:00:00 AM",
 )
 
 
@@ -135,16 +137,65 @@ def p_int_report(spark, sf):
     return integer_report(df, T.StructType([T.StructField("s", T.LongType())]), text=True)
 
 
-_DT_RE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?)?$"
+# the expected value of each dirty literal, in order of DIRTY_DATETIMES: o_orderdate, its day, or nothing
+_DAY = "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)"
+_DT_VALUES = (
+    None, _DAY, "o_orderdate", None, None, None, f"{_DAY} + INTERVAL 45045 SECOND", "o_orderdate",
+    None, "o_orderdate + INTERVAL 123456 MICROSECOND", None, None, None, "o_orderdate",
+    f"{_DAY} + INTERVAL 45045 SECOND", "o_orderdate", "o_orderdate + INTERVAL 123456 MICROSECOND", None,
+)
+_DT_MISSING = (8, 11)       # the empty text and NA are missing, not undated
+_DT_CASE = f"CASE CAST(o_orderkey % {len(_DT_VALUES)} AS INT) " + " ".join(
+    f"WHEN {i} THEN {v}" for i, v in enumerate(_DT_VALUES) if v) + " END"
 
 
-@register("p_dt", f"""
-SELECT id, CASE WHEN regexp_matches(trim(s), '{_DT_RE}') THEN TRY_CAST(trim(s) AS TIMESTAMP) END AS ts
-FROM (SELECT id, {_CLEAN} AS s FROM ({_dirty_sql(DIRTY_DATETIMES)}))""")
+@register("p_dt", f"SELECT o_orderkey AS id, {_DT_CASE} AS ts FROM orders")
 def p_dt(spark, sf):
     return _dirty(spark, sf, DIRTY_DATETIMES).select("id", to_datetime(na_to_null("s")).alias("ts"))
 
 
+# a row without an order date has no text in the literals made from it
+@register("p_dt_report", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, count(*) FILTER (WHERE {_DT_CASE} IS NULL
+  AND CAST(o_orderkey % {len(_DT_VALUES)} AS INT) NOT IN {_DT_MISSING}
+  AND ({_dirty_case(DIRTY_DATETIMES, 'VARCHAR')}) IS NOT NULL) AS undated FROM orders"""
+                                            for c in ("lpep_pickup_datetime", "lpep_dropoff_datetime")))
+def p_dt_report(spark, sf):
+    """Datetime text that is present but becomes NULL is counted, not lost without a word."""
+    pair = ("lpep_pickup_datetime", "lpep_dropoff_datetime")
+    df = _dirty(spark, sf, DIRTY_DATETIMES).select(*[F.col("s").alias(c) for c in pair])
+    return datetime_report(df, T.StructType([T.StructField(c, T.TimestampNTZType()) for c in pair]))
+
+
+# prices with and without a fraction, as a decimal and as a double
+_PRICE = "CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice) ELSE o_totalprice END"
+_TYPED = (f"SELECT o_orderkey, CAST({_PRICE} AS DECIMAL(12,2)) AS price_dec, CAST({_PRICE} AS DOUBLE) AS price_dbl "
+          "FROM {t}")
+_TYPED_TARGET = T.StructType([T.StructField(c, T.LongType()) for c in ("o_orderkey", "price_dec", "price_dbl")])
+
+
+def _typed_prices(spark, sf) -> DataFrame:
+    return spark.sql(_TYPED.replace("{t}", "{o}"), o=fx.orders(spark, sf))
+
+
+@register("p_int_decimal", f"""
+SELECT o_orderkey, CASE WHEN price_dec = floor(price_dec) THEN CAST(price_dec AS BIGINT) END AS price_dec,
+  CASE WHEN price_dbl - floor(price_dbl) <= 1e-9 THEN CAST(floor(price_dbl) AS BIGINT) END AS price_dbl
+FROM ({_TYPED.replace("{t}", "orders")})""")
+def p_int_decimal(spark, sf):
+    """Typed fractions going into an integer column are NULL, never cut off."""
+    return conform_typed(_typed_prices(spark, sf), _TYPED_TARGET)
+
+
+@register("p_int_report_typed", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} - floor({c}) > 1e-9) AS fractions,
+  CAST(min({c}) FILTER (WHERE {c} - floor({c}) > 1e-9) AS DOUBLE) AS example
+FROM ({_TYPED.replace("{t}", "orders")})""" for c in ("price_dec", "price_dbl")))
+def p_int_report_typed(spark, sf):
+    """The fraction report covers decimal and double sources too."""
+    return integer_report(_typed_prices(spark, sf), _TYPED_TARGET, text=False)
+
+
 # ------------------------------------------------------- delimited scans --
 def _read_back(spark, path, fmt, target) -> DataFrame:
     df, _, _ = read_conformed(spark, [path], FileFormat(fmt), target, observe=False)
@@ -172,6 +223,16 @@ def s_parquet(spark, sf):
     return _read_back(spark, path, "parquet", parquet_target_schema(o.schema))
 
 
+@register("s_parquet_drift", "SELECT * FROM orders")
+def s_parquet_drift(spark, sf):
+    """One folder whose files hold the customer key as bigint and as double."""
+    o = fx.orders(spark, sf)
+    early, late = fx.split_early(o)
+    path = fx.write_parquet(spark, early, "orders_drift")
+    late.withColumn("o_custkey", F.col("o_custkey").cast("double")).write.mode("append").parquet(path)
+    return _read_back(spark, path, "parquet", parquet_target_schema(o.schema))
+
+
 # Suffixes cycled over page ids to form file names for format routing.
 _SUFFIXES = (".csv", ".CSV.GZ", ".tsv", ".tsv.gz", ".parquet", ".parquet.gz", ".json", "", ".Parquet", ".csv.bz2")
 _SUFFIX_CASE_SQL = "CASE CAST(page_id % {n} AS INT) " + " ".join(
@@ -281,6 +342,18 @@ def c_infer(spark, sf):
     return schema_rows(spark, infer_text_schema(groups[0][1]))
 
 
+@register("c_infer_wide", """
+SELECT CAST(9223372036854775807 - o_orderkey AS BIGINT) AS id,
+  '1' || lpad(CAST(o_orderkey AS VARCHAR), 19, '0') AS wide FROM orders""")
+def c_infer_wide(spark, sf):
+    """Identifiers of 19 and 20 digits keep every digit through the inferred types."""
+    ids = fx.orders(spark, sf).selectExpr("9223372036854775807L - o_orderkey AS id",
+                                          "'1' || lpad(CAST(o_orderkey AS STRING), 19, '0') AS wide")
+    df, target, _ = read_conformed(spark, [fx.write_text(spark, ids, "wide_csv")], FileFormat.CSV, observe=False)
+    assert [f.dataType.simpleString() for f in target.fields] == ["bigint", "decimal(38,0)"], target
+    return df.select("id", F.col("wide").cast("string").alias("wide"))
+
+
 @register("c_exists", f"""
 SELECT DISTINCT {_MONTH_TABLE_SQL} AS table_name,
   {_MONTH_TABLE_SQL} = 'green_tripdata_1997_03' AS table_exists FROM orders""")
@@ -626,14 +699,50 @@ def st_landing(spark, sf):
     return spark.table(f"{db}.{t}")
 
 
+@register("st_landing_batches", "SELECT * FROM orders")
+def st_landing_batches(spark, sf):
+    """All of the table as several text files, taken one a trigger."""
+    from tidemark.session import scratch_path
+    from tidemark.streaming import landing_stream
+
+    db, t = scratch_database(spark), _name("st_batches")
+    o = fx.orders(spark, sf)
+    landing = scratch_path(spark, "landing")
+    fx.as_text(o).repartition(3, "o_orderkey").write.option("header", "true").csv(landing)
+    q = landing_stream(spark, landing, t, fmt="csv", database=db, target=parquet_target_schema(o.schema),
+                       max_files_per_trigger=1)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.table(f"{db}.{t}")
+
+
 # ------------------------------------------------- queries over a load --
-@register("q_zone_revenue_published", _ZR + " ORDER BY rev DESC")
+def _published(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The source's flow: trips and zones loaded from files into published tables."""
+    db = scratch_database(spark)
+    trips = ingest(spark, fx.write_parquet(spark, trips_from_tables(spark, sf), "green_trips"),
+                   _name("green_tripdata"), database=db)
+    zones = ingest(spark, fx.write_text(spark, zones_from_nation(spark, sf), "zones"), _name("taxi_zone_lookup"),
+                   database=db)
+    return spark.table(trips["table"]), spark.table(zones["table"])
+
+
+@register("q_zone_revenue_published", ORACLE_SQL["q_zone_revenue"])
 def q_zone_revenue_published(spark, sf):
-    """The source's flow end to end: publish the trips as a table, then run Q3 over it."""
-    from tidemark.plans import queries as Q
-    from tidemark.plans.trips import trips_from_tables, zones_from_nation
+    return Q.zone_revenue(*_published(spark, sf))
 
-    db = scratch_database(spark)
-    trips_file = fx.write_parquet(spark, trips_from_tables(spark, sf), "green_trips")
-    m = ingest(spark, trips_file, _name("green_tripdata"), database=db)
-    return Q.zone_revenue(spark.table(m["table"]), zones_from_nation(spark, sf))
+
+@register("q_short_trips_published", ORACLE_SQL["q_short_trips"])
+def q_short_trips_published(spark, sf):
+    return Q.short_trips(_published(spark, sf)[0])
+
+
+@register("q_longest_days_published", ORACLE_SQL["q_longest_days"])
+def q_longest_days_published(spark, sf):
+    return Q.longest_days(_published(spark, sf)[0])
+
+
+@register("q_tip_dropoff_published", ORACLE_SQL["q_tip_dropoff"])
+def q_tip_dropoff_published(spark, sf):
+    return Q.tip_dropoff(*_published(spark, sf))

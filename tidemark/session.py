@@ -33,6 +33,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def has_persistent_catalog(spark: SparkSession) -> bool:
+    """Does the current catalog outlive this application? Spark's own in-memory
+    one does not; a Hive metastore or a configured catalog plugin does."""
+    if spark.catalog.currentCatalog() != "spark_catalog":
+        return True
+    return (spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "hive"
+            or spark.conf.get("spark.sql.catalog.spark_catalog", "builtin") != "builtin")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for run-scoped tables.
 

@@ -1,7 +1,16 @@
-"""Parquet scan (S3): vectorized, columns pruned and filters pushed by Catalyst."""
+"""Parquet scan (S3): vectorized, columns pruned and filters pushed by Catalyst.
+
+Spark takes one footer's schema for a whole read: a file that lacks a column
+would read as NULL and one that holds it in another type would fail. Files are
+therefore listed and grouped by their own footer, one scan for each group.
+"""
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,3 +20,40 @@ def read_parquet(spark: SparkSession, paths: str | list[str], merge_schema: bool
     if merge_schema:
         reader = reader.option("mergeSchema", "true")
     return reader.parquet(*paths)
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files behind one path (file, folder or glob); a listing, no job."""
+    files = spark.read.schema("_unused string").parquet(path).inputFiles()
+    return sorted(unquote(f) for f in files)
+
+
+def _base_of(source: str, files: list[str]) -> str | None:
+    """The folder that partition columns are read from; None for a file or a glob."""
+    if any(ch in source for ch in "*?[{"):
+        return None
+    name = source.rstrip("/").rsplit("/", 1)[-1]
+    return None if len(files) == 1 and files[0].rsplit("/", 1)[-1] == name else source
+
+
+def read_by_footer(spark: SparkSession, sources: list[str]) -> list[tuple[list[str], DataFrame]]:
+    """One (files, DataFrame) for each distinct footer schema, in source order.
+
+    Footers are read concurrently by Spark, one small job a file, so any store
+    that Spark reads will do; the driver holds file names and schemas only.
+    """
+    with ThreadPoolExecutor(max_workers=16) as pool:
+        listed = list(pool.map(lambda s: list_files(spark, s), sources))
+        places = [(_base_of(s, files), f) for s, files in zip(sources, listed) for f in files]
+        if len(places) < 2:
+            return [(list(sources), read_parquet(spark, sources))]
+        distinct = list(OrderedDict.fromkeys(f for _, f in places))
+        footers = dict(zip(distinct, pool.map(lambda f: spark.read.parquet(f).schema.simpleString(), distinct)))
+    groups: OrderedDict[tuple[str | None, str], list[str]] = OrderedDict()
+    for base, f in places:
+        groups.setdefault((base, footers[f]), []).append(f)
+    out = []
+    for (base, _), files in groups.items():
+        reader = spark.read.option("basePath", base) if base else spark.read
+        out.append((files, reader.parquet(*files)))
+    return out

@@ -9,7 +9,7 @@ header of every file it opens (files inside one folder included).
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,10 +56,14 @@ def read_header(spark: SparkSession, path: str, sep: str = ",", encoding: str =
     Reads a single record (the scan stops after it). Duplicate names after
     trimming are an error, in CSV and TSV alike.
     """
-    return _trimmed_unique(read_raw_header(spark, path, sep, encoding, multi_line), path)
+    return _trimmed_unique(read_raw_header(spark, path, sep, encoding, multi_line), path, _case_sensitive(spark))
 
 
-def _trimmed_unique(raw: list[str], path: str) -> list[str]:
+def _case_sensitive(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+
+
+def _trimmed_unique(raw: list[str], path: str, case_sensitive: bool) -> list[str]:
     names = [v.strip(WHITESPACE_CHARS) for v in raw]
     seen, dups = set(), []
     for n in names:
@@ -68,6 +72,12 @@ def _trimmed_unique(raw: list[str], path: str) -> list[str]:
         seen.add(n)
     if dups:
         raise DuplicateColumnsError(f"duplicate columns in header of {path}: {sorted(set(dups))}")
+    if not case_sensitive:
+        folded = Counter(n.lower() for n in names)
+        alike = [n for n in names if folded[n.lower()] > 1]
+        if alike:
+            raise DuplicateColumnsError(f"columns of {path} that differ only by case: {alike}; "
+                                        "set spark.sql.caseSensitive=true to load them all")
     return names
 
 
@@ -91,7 +101,7 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv"
         groups.setdefault(tuple(h), []).append(p)
     out = []
     for raw, group in groups.items():
-        names = _trimmed_unique(list(raw), group[0])
+        names = _trimmed_unique(list(raw), group[0], _case_sensitive(spark))
         # the schema carries the names as written and Spark checks every file's
         # header against it while reading (a folder whose files disagree fails
         # instead of binding columns by position); then names are trimmed
@@ -102,18 +112,16 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv"
     return out
 
 
-def file_stats(spark: SparkSession, paths: list[str]) -> tuple[int, int, int]:
-    """(files, total bytes, largest file bytes) behind ``paths``.
+def file_stats(spark: SparkSession, paths: list[str]) -> tuple[int, int, int, int]:
+    """(files, total bytes, largest file bytes, gzip files) behind ``paths``.
+
+    Plain text read line by line splits; gzip text does not.
 
     Spark's ``binaryFile`` source lists the files; the content column is
     never read, so this is one metadata-only job returning one row.
     """
     row = (spark.read.format("binaryFile").load(list(paths))
-           .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.max("length").alias("largest"))
+           .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.max("length").alias("largest"),
+                F.count_if(F.lower("path").endswith(".gz")).alias("gzipped"))
            .first())
-    return int(row["n"] or 0), int(row["total"] or 0), int(row["largest"] or 0)
-
-
-def is_splittable(paths: list[str], multi_line: bool) -> bool:
-    """Plain text read line by line splits; gzip or quoted-newline parsing does not."""
-    return not multi_line and not any(p.lower().endswith(".gz") for p in paths)
+    return int(row["n"] or 0), int(row["total"] or 0), int(row["largest"] or 0), int(row["gzipped"] or 0)

@@ -148,7 +148,7 @@ def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.
             conformed = conform_typed(batch, tgt)
         else:   # a batch of few unsplittable files: spread before the per-value work
             conformed = conform_text(spread(batch) if _few_splits(sess, batch) else batch, tgt)
-        conformed.write.format("parquet").saveAsTable(pub.fq(db, staged))
+        pub.time_sorted(conformed).write.format("parquet").saveAsTable(pub.fq(db, staged))
         try:
             validate(sess.table(pub.fq(db, staged)), final, max_outside_rows, max_outside_ratio,
                      fail_on_outside_month)
