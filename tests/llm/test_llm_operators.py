@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -88,8 +89,13 @@ def test_bpe_hard_texts(library):
     hard = ["", "   a   b  ", "a\n\n b \n", "a \n b", "x<|endoftext|> y<|endoftext|>", "aaaa aaaaaaa", "\x1c a\x1d b", "a　 b\x85c    d",
             "don't I'LL 'sx", "½²٣ x", "\t\t x \t y", "日本語 テキスト", "🙂🙂 a", "​ a᠎ b "]
     lexicon = bpe.Lexicon.mapped(bpe.compile_lexicon({w: bpe.vocabulary(VOCAB).merge([w])[0] for w in (b" a", b" b", b"a", b"don", b" \xf0")}))
-    for enc in (bpe.Encoder(bpe.vocabulary(VOCAB), lexicon), bpe.Encoder(bpe.vocabulary(VOCAB)), tokens.LibraryEncoder(VOCAB)):
-        assert enc.batch(hard) == [library.encode(t, add_special_tokens=False).ids for t in hard]
+    signs = ["a", "b", " ", " ", "\n", "\t", "\xa0", "\x85", "\u3000", "\x1f", "'s", "1", "!", "é", "日", "<|endoftext|>"]
+    g = np.random.default_rng(5)
+    hard += ["".join(signs[k] for k in g.integers(0, len(signs), n)) for n in g.integers(0, 14, 3000)]
+    want = [e.ids for e in library.encode_batch(hard, add_special_tokens=False)]
+    for enc in (bpe.Encoder(bpe.vocabulary(VOCAB), lexicon), bpe.Encoder(bpe.vocabulary(VOCAB))):
+        assert enc.batch(hard) == want
+    assert [x.tolist() for x in tokens.LibraryEncoder(VOCAB).batch(pa.array([None, *hard]))] == [[], *want]
 
 
 def test_lexicon_is_minimal_and_exact():

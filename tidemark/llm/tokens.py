@@ -13,29 +13,34 @@ Checksums over each block's bytes and over its ids guard it.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import Encoder, vocabulary
-from tidemark.llm.common import NULL_ID, slices, spread, stored
+from tidemark.llm.common import NULL_ID, ranges, slices, spread, stored
 from tidemark.llm.files import new_folder, open_folder, unique_name
 
 #: Ids of a block (a longer document makes a longer one), and lanes at most.
 BLOCK_IDS, LANES = 1 << 21, 4096
 #: Id appended to every document.
 END_ID = 0
+END = np.uint32(END_ID)
 #: Fixed values of the format: block magic, and header (crc of what follows,
 #: documents, ids, ids' crc, alphabet, lanes, bytes of documents and of words).
 MAGIC = b"TIB1"
 HEAD = struct.Struct("<4sIIQIIIII")
 
+#: Chunks remembered by one worker before it starts afresh.
+MEMO_CHUNKS = 1 << 19
+
 _BITS2 = 20
 _BOTTOM = np.uint64(1 << 40)
 _16, _48 = np.uint64(16), np.uint64(48)
@@ -84,13 +89,20 @@ class Mixer:
             self._cumulate()
 
 
-def _shrink(low: np.ndarray, size: np.ndarray):
-    """Lanes whose leading 16 bits are settled, or forced to be."""
-    same = (low ^ (low + size)) >> _48 == 0
-    small = ~same & (size < _BOTTOM)
-    if small.any():
-        size[small] = (~low[small] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-    return same | small
+def _settled(low: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Lanes to shift by 16 bits, which the caller does before it asks again:
+    those whose leading 16 bits are settled, or forced to be."""
+    at = None
+    while at is None or len(at):
+        x, y = (low, size) if at is None else (low[at], size[at])
+        out = (x ^ (x + y)) >> _48 == 0
+        small = np.flatnonzero(~out & (y < _BOTTOM))
+        if len(small):
+            size[small if at is None else at[small]] = (~x[small] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
+            out[small] = True
+        at = np.flatnonzero(out) if at is None else at[out]
+        if len(at):
+            yield at
 
 
 def _lanes_for(n: int) -> int:
@@ -107,17 +119,18 @@ def pack(ids: np.ndarray, alphabet: int) -> tuple[int, bytes]:
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     who, words = [], []
 
-    def put(lane, first: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
+    def put(lane: np.ndarray | slice, first: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
         share = size[lane] // total
         x, y = low[lane] + share * first, share * width
-        while (out := _shrink(x, y)).any():
-            who.append(lane[out])
-            words.append((x[out] >> _48).astype(np.uint16))
-            x[out] <<= _16
+        for out in _settled(x, y):
+            settled = x[out]
+            who.append(out if lane is every else lane[out])
+            words.append((settled >> _48).astype(np.uint16))
+            x[out] = settled << _16
             y[out] <<= _16
         low[lane], size[lane] = x, y
 
-    mix, every, blank = Mixer(alphabet), np.arange(lanes), np.zeros(lanes, np.int64)
+    mix, every, blank = Mixer(alphabet), slice(None), np.zeros(lanes, np.int64)
     for t in range(steps):
         now = grid[t]
         mix.look(grid[t - 1] if t else blank, grid[t - 2] if t > 1 else blank)
@@ -131,7 +144,7 @@ def pack(ids: np.ndarray, alphabet: int) -> tuple[int, bytes]:
             put(other, first, mix.cum[now[other] + 1] - first, mix.cum[-1])
         mix.learn(now, outcome)
     for k in range(4):  # the rest of each lane
-        who.append(every)
+        who.append(np.arange(lanes))
         words.append((low >> _48).astype(np.uint16))
         low <<= _16
     who, words = np.concatenate(who), np.concatenate(words)
@@ -156,14 +169,15 @@ def unpack(data: bytes, n: int, alphabet: int, lanes: int) -> np.ndarray:
 
     def drop(lane, share, first, width) -> None:
         x, y, c, p = low[lane] + share * first, share * width, code[lane], nth[lane]
-        while (out := _shrink(x, y)).any():
-            c[out] = (c[out] << _16) | words[np.minimum(p[out], len(words) - 1)]
-            p[out] += 1
+        for out in _settled(x, y):
+            at = p[out]
+            c[out] = (c[out] << _16) | words[np.minimum(at, len(words) - 1)]
+            p[out] = at + 1
             x[out] <<= _16
             y[out] <<= _16
         low[lane], size[lane], code[lane], nth[lane] = x, y, c, p
 
-    mix, every = Mixer(alphabet), np.arange(lanes)
+    mix, every = Mixer(alphabet), slice(None)
     grid = np.zeros((steps + 2, lanes), np.int64)  # two blank steps lead
     for t in range(steps):
         mix.look(grid[t + 1], grid[t])
@@ -211,21 +225,82 @@ def read_block(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     return [(None if z else d, x) for z, d, x in zip(null.tolist(), doc.tolist(), np.split(ids, np.cumsum(lens)[:-1]))] if n_docs else []
 
 
-class LibraryEncoder(Encoder):
-    """Splits texts as its base does; the library encodes the distinct words."""
+class LibraryEncoder:
+    """Encodes whole texts with the library, each distinct chunk of a batch once.
+
+    A text is cut before its single spaces, where the vocabulary's pattern
+    never joins; Arrow cuts and numbers the chunks, and the library encodes
+    those not met before. Texts with longer runs of white space around a space,
+    or with a special token in them, go to the library whole.
+    """
+
+    #: White space as the pattern sees it (Unicode's), written for Arrow.
+    _WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(vocabulary(path))
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-
-    def _learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        self.words.update((w, tuple(e.ids)) for w, e in zip(new, found))
+        vocab = self.library.get_vocab()
+        self.alphabet = max(vocab.values()) + 1
+        self.bytes = np.zeros(self.alphabet, np.int64)  # of each token: one for each character
+        self.bytes[list(vocab.values())] = list(map(len, vocab))
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = "|".join([self._WHITE + " (?:" + self._WHITE + "|$)", *map(re.escape, special)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number = {"": 0}
+        self.ids, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.used = 0
+
+    def _learn(self, chunks: list[str]) -> None:
+        found = self.library.encode_batch_fast([chunks], is_pretokenized=True, add_special_tokens=False)[0]
+        ids, first = np.array(found.ids, np.uint32), len(self.number)
+        # tokens of a chunk hold its bytes, so byte counts tell where each chunk ends
+        ends = np.cumsum(pc.binary_length(pa.array(chunks, pa.large_string()).cast(pa.large_binary())).to_numpy())
+        sizes = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right"), prepend=0)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(chunks) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.at[first:first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:first + len(chunks)] = sizes
+        self.used += len(ids)
+        self.number.update(zip(chunks, range(first, first + len(chunks))))
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Token ids of each text; a null text is empty."""
+        if len(self.number) > MEMO_CHUNKS:
+            self._forget()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, self.whole)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        cut = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        chunks = cut.values.slice(offsets[0], offsets[-1] - offsets[0])
+        coded, heads = chunks.dictionary_encode(), offsets[:-1] - offsets[0]
+        first = chunks.take(pa.array(heads)).to_pylist()
+        keys = [" " + c for c in coded.dictionary.to_pylist()]
+        if new := [c for c in dict.fromkeys(keys + first) if c not in self.number]:
+            self._learn(new)
+        get = self.number.__getitem__
+        at = np.fromiter(map(get, keys), np.int64, len(keys))[coded.indices.to_numpy()]
+        at[heads] = np.fromiter(map(get, first), np.int64, len(first))
+        sizes = self.size[at]
+        ids = self.ids[ranges(self.at[at], sizes)]
+        ends = np.r_[0, np.cumsum(sizes)][offsets[1:] - offsets[0]]
+        out: list = [None] * len(texts)
+        for k, x in zip(np.flatnonzero(~odd.to_numpy(zero_copy_only=False)).tolist(), np.split(ids, ends[:-1]) if len(ends) else []):
+            out[k] = x
+        if len(whole):
+            found = self.library.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
+            for k, e in zip(whole.tolist(), found):
+                out[k] = np.array(e.ids, np.uint32)
+        return out
 
 
 @functools.lru_cache(1)
@@ -248,27 +323,26 @@ def write(docs: DataFrame, vocab_path: str, folder: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = library_encoder(vocab_path)
-        alphabet = len(enc.vocab.token_bytes)
         part, name, out, offset, done = TaskContext.get().partitionId(), None, None, 0, []
         held: list[tuple[int | None, np.ndarray]] = []
 
         def put() -> None:
             nonlocal offset
-            data = write_block(held, alphabet)
+            data = write_block(held, enc.alphabet)
             out.write(data)
             done.append((part, name, len(done), offset, len(data), len(held), sum(len(x) for _, x in held)))
             offset += len(data)
             held.clear()
 
         n = 0
-        for b in slices(batches):
+        for b in slices(batches, 512):
             if out is None and b.num_rows:
                 fs, path = open_folder(folder)
                 fs.create_dir(path, recursive=True)
                 name = unique_name(f"part-{part:06d}", ".tib")
                 out = fs.open_output_stream(f"{path}/{name}", compression=None)
-            for d, ids in zip(b.column(0).to_pylist(), enc.batch([t or "" for t in b.column(1).to_pylist()])):
-                held.append((d, np.array([*ids, END_ID], np.uint32)))
+            for d, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1))):
+                held.append((d, np.append(ids, END)))
                 n += len(ids) + 1
                 if n >= block_ids:
                     put()
