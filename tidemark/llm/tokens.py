@@ -39,7 +39,7 @@ MAGIC = b"TIB1"
 HEAD = struct.Struct("<4sIIQIIIII")
 
 #: Chunks remembered by one worker before it starts afresh.
-MEMO_CHUNKS = 1 << 19
+MEMO_CHUNKS = 1 << 20
 
 _BITS2 = 20
 _BOTTOM = np.uint64(1 << 40)
@@ -51,7 +51,7 @@ class Mixer:
 
     def __init__(self, alphabet: int):
         # an entry is the predicted id and, in its last two bits, the confidence
-        self.table1, self.table2 = np.zeros(alphabet, np.int64), np.zeros(1 << _BITS2, np.int64)
+        self.table1, self.table2 = np.zeros(alphabet, np.int32), np.zeros(1 << _BITS2, np.int32)
         self.odds = np.tile(np.array([8, 8, 16]), (32, 1))
         self.seen, self.fresh, self.step = np.ones(alphabet, np.int64), [], 0
         self._cumulate()
@@ -69,7 +69,8 @@ class Mixer:
         self.at1, self.at2 = last, (key >> np.uint64(64 - _BITS2)).view(np.int64)
         self.entry1, self.entry2 = self.table1[last], self.table2[self.at2]
         self.id1, self.id2 = self.entry1 >> 2, self.entry2 >> 2
-        self.state = ((self.id1 == self.id2) << 4) + ((self.entry1 & 3) << 2) + (self.entry2 & 3)
+        self.sure1, self.sure2 = self.entry1 & 3, self.entry2 & 3
+        self.state = ((self.id1 == self.id2).astype(np.int64) << 4) + (self.sure1 << 2) + self.sure2
         edges = np.zeros((32, 4), np.int64)
         np.cumsum(self.odds, 1, out=edges[:, 1:])
         self.edges, self.base = edges.ravel().view(np.uint64), self.state << 2
@@ -79,10 +80,11 @@ class Mixer:
         self.odds += 24 * np.bincount(self.state * 3 + outcome, minlength=96).reshape(32, 3)
         heavy = self.odds.sum(1) > 1 << 16
         self.odds[heavy] = self.odds[heavy] // 2 + 1
-        blank = ids << 2
-        for table, at, guess, old in ((self.table1, self.at1, self.id1, self.entry1), (self.table2, self.at2, self.id2, self.entry2)):
-            sure = old & 3
-            table[at] = np.where(guess == ids, old + (sure < 3), np.where(sure > 0, old - 1, blank))
+        ids32 = ids.astype(np.int32)
+        blank = ids32 << 2
+        for table, at, guess, old, sure in ((self.table1, self.at1, self.id1, self.entry1, self.sure1),
+                                            (self.table2, self.at2, self.id2, self.entry2, self.sure2)):
+            table[at] = np.where(guess == ids32, old + (sure < 3), np.where(sure > 0, old - 1, blank))
         self.fresh.append(ids[outcome == 2])
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 16 == 0:
@@ -190,7 +192,9 @@ def unpack(data: bytes, n: int, alphabet: int, lanes: int) -> np.ndarray:
         other = np.flatnonzero(outcome == 2)
         if len(other):
             share, v = value(other, mix.cum[-1])
-            sym = np.searchsorted(mix.cum, v, side="right") - 1
+            order = np.argsort(v)  # a sorted search stays in the cache
+            sym = np.empty(len(v), np.int64)
+            sym[order] = np.searchsorted(mix.cum, v[order], side="right") - 1
             now[other] = sym
             drop(other, share, mix.cum[sym], mix.cum[sym + 1] - mix.cum[sym])
         mix.learn(now, outcome)
@@ -252,13 +256,15 @@ class LibraryEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number = {"": 0}
+        # numbers of chunks at the start of a text and after a space
+        self.first, self.later = {"": 0}, {}
         self.ids, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.used, self.known = 0, 1
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> range:
+        """Numbers of new chunks, each with the space before it if there is one."""
         found = self.library.encode_batch_fast([chunks], is_pretokenized=True, add_special_tokens=False)[0]
-        ids, first = np.array(found.ids, np.uint32), len(self.number)
+        ids, first = np.array(found.ids, np.uint32), self.known
         # tokens of a chunk hold its bytes, so byte counts tell where each chunk ends
         ends = np.cumsum(pc.binary_length(pa.array(chunks, pa.large_string()).cast(pa.large_binary())).to_numpy())
         sizes = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right"), prepend=0)
@@ -270,11 +276,12 @@ class LibraryEncoder:
         self.at[first:first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
         self.size[first:first + len(chunks)] = sizes
         self.used += len(ids)
-        self.number.update(zip(chunks, range(first, first + len(chunks))))
+        self.known += len(chunks)
+        return range(first, self.known)
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """Token ids of each text; a null text is empty."""
-        if len(self.number) > MEMO_CHUNKS:
+        if self.known > MEMO_CHUNKS:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, self.whole)
@@ -283,13 +290,13 @@ class LibraryEncoder:
         offsets = cut.offsets.to_numpy().astype(np.int64)
         chunks = cut.values.slice(offsets[0], offsets[-1] - offsets[0])
         coded, heads = chunks.dictionary_encode(), offsets[:-1] - offsets[0]
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = chunks.take(pa.array(heads)).to_pylist()
-        keys = [" " + c for c in coded.dictionary.to_pylist()]
-        if new := [c for c in dict.fromkeys(keys + first) if c not in self.number]:
-            self._learn(new)
-        get = self.number.__getitem__
-        at = np.fromiter(map(get, keys), np.int64, len(keys))[coded.indices.to_numpy()]
-        at[heads] = np.fromiter(map(get, first), np.int64, len(first))
+        for memo, found, space in ((self.later, keys, " "), (self.first, dict.fromkeys(first), "")):
+            if new := [c for c in found if c not in memo]:
+                memo.update(zip(new, self._learn([space + c for c in new])))
+        at = np.fromiter(map(self.later.__getitem__, keys), np.int64, len(keys))[coded.indices.to_numpy()]
+        at[heads] = np.fromiter(map(self.first.__getitem__, first), np.int64, len(first))
         sizes = self.size[at]
         ids = self.ids[ranges(self.at[at], sizes)]
         ends = np.r_[0, np.cumsum(sizes)][offsets[1:] - offsets[0]]
