@@ -17,14 +17,17 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import PATTERN
 from tidemark.llm.common import NULL_ID, ranges, slices, spread, stored
 from tidemark.llm.files import new_folder, open_folder, unique_name
 
@@ -38,7 +41,7 @@ END = np.uint32(END_ID)
 MAGIC = b"TIB1"
 HEAD = struct.Struct("<4sIIQIIIII")
 
-#: Chunks remembered by one worker before it starts afresh.
+#: Chunks and words remembered by one worker before it starts afresh.
 MEMO_CHUNKS = 1 << 20
 
 _BITS2 = 20
@@ -230,11 +233,11 @@ def read_block(data: bytes) -> list[tuple[int | None, np.ndarray]]:
 
 
 class LibraryEncoder:
-    """Encodes whole texts with the library, each distinct chunk of a batch once.
+    """Encodes whole texts with the library, each distinct word once.
 
     A text is cut before its single spaces, where the vocabulary's pattern
-    never joins; Arrow cuts and numbers the chunks, and the library encodes
-    those not met before. Texts with longer runs of white space around a space,
+    never joins; Arrow cuts and numbers the chunks, the pattern splits new ones
+    into words, and the library encodes words not met before. Texts with longer runs of white space around a space,
     or with a special token in them, go to the library whole.
     """
 
@@ -242,11 +245,14 @@ class LibraryEncoder:
     _WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.by_word = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for library in (self.library, self.by_word):
+            library.no_padding()
+            library.no_truncation()
+        self.by_word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pattern = regex.compile(PATTERN)
         vocab = self.library.get_vocab()
         self.alphabet = max(vocab.values()) + 1
         self.bytes = np.zeros(self.alphabet, np.int64)  # of each token: one for each character
@@ -256,32 +262,47 @@ class LibraryEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        # numbers of chunks at the start of a text and after a space
-        self.first, self.later = {"": 0}, {}
+        # numbers of chunks at the start of a text and after a space, and of words
+        self.first, self.later, self.words = {"": 0}, {}, {}
         self.ids, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.used, self.known = 0, 1
 
-    def _learn(self, chunks: list[str]) -> range:
-        """Numbers of new chunks, each with the space before it if there is one."""
-        found = self.library.encode_batch_fast([chunks], is_pretokenized=True, add_special_tokens=False)[0]
-        ids, first = np.array(found.ids, np.uint32), self.known
-        # tokens of a chunk hold its bytes, so byte counts tell where each chunk ends
-        ends = np.cumsum(pc.binary_length(pa.array(chunks, pa.large_string()).cast(pa.large_binary())).to_numpy())
-        sizes = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right"), prepend=0)
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Numbers under which the ids are found from now on."""
+        first, end = self.known, self.known + len(sizes)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while first + len(chunks) > len(self.at):
+        while end > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
         self.ids[self.used:self.used + len(ids)] = ids
-        self.at[first:first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.size[first:first + len(chunks)] = sizes
+        self.at[first:end] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:end] = sizes
         self.used += len(ids)
-        self.known += len(chunks)
-        return range(first, self.known)
+        self.known = end
+        return range(first, end)
+
+    def _learn(self, chunks: list[str]) -> list[int]:
+        """Numbers of new chunks, each with the space before it if there is one."""
+        split = list(map(self.pattern.findall, chunks))
+        if new := [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.words]:
+            ids = np.array(self.by_word.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            # tokens of a word hold its bytes, so byte counts tell where each word ends
+            ends = np.cumsum(pc.binary_length(pa.array(new, pa.large_string()).cast(pa.large_binary())).to_numpy())
+            sizes = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right"), prepend=0)
+            self.words.update(zip(new, self._store(ids, sizes)))
+        # a chunk of one word is found where the word is
+        numbers = [self.words[w[0]] if len(w) == 1 else -1 for w in split]
+        if several := [k for k, n in enumerate(numbers) if n < 0]:
+            at = np.array([self.words[w] for k in several for w in split[k]], np.int64)
+            ends = np.cumsum([len(split[k]) for k in several])
+            sizes = np.diff(np.cumsum(self.size[at])[ends - 1], prepend=0)
+            for k, n in zip(several, self._store(self.ids[ranges(self.at[at], self.size[at])], sizes)):
+                numbers[k] = n
+        return numbers
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """Token ids of each text; a null text is empty."""
-        if self.known > MEMO_CHUNKS:
+        if len(self.first) + len(self.later) + len(self.words) > MEMO_CHUNKS:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, self.whole)
