@@ -176,7 +176,7 @@ def unpack(data: bytes, n: int, alphabet: int, lanes: int) -> np.ndarray:
         x, y, c, p = low[lane] + share * first, share * width, code[lane], nth[lane]
         for out in _settled(x, y):
             at = p[out]
-            c[out] = (c[out] << _16) | words[np.minimum(at, len(words) - 1)]
+            c[out] = (c[out] << _16) | words[at]
             p[out] = at + 1
             x[out] <<= _16
             y[out] <<= _16
@@ -363,7 +363,7 @@ def write(docs: DataFrame, vocab_path: str, folder: str, id_col: str = "doc_id",
             held.clear()
 
         n = 0
-        for b in slices(batches, 512):
+        for b in slices(batches, 1024):
             if out is None and b.num_rows:
                 fs, path = open_folder(folder)
                 fs.create_dir(path, recursive=True)
