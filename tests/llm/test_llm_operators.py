@@ -286,6 +286,37 @@ def test_pfair_keeps_every_source_within_a_block():
                 assert (np.abs(ran - share * (t + 1)) < 1).all()
 
 
+@pytest.mark.parametrize("blocks, weights", [
+    ([2_000] * 20, [1] * 20), ([30_000, 20_000, 1], [0.6, 0.4 - 1e-5, 1e-5]), ([300, 200, 40], [0.6, 0.4, 0]), ([900, 500, 300], [0.5, 0.3, 0.2])])
+def test_pfair_follows_the_weights_passed_in(blocks, weights):
+    blocks, weights = np.array(blocks), np.array(weights, float)
+    phases = mixing.schedule(blocks, weights, 64)
+    src, blk = np.repeat(np.arange(len(blocks)), blocks), np.concatenate([np.arange(b) for b in blocks])
+    slot, _, release, due = mixing.slots_of(phases, src, blk)
+    assert sorted(slot) == list(range(blocks.sum()))
+    first = phases[0].length
+    ran = np.zeros((first, len(blocks)))
+    ran[np.arange(first), src[np.argsort(slot)][:first]] = 1
+    w = weights / weights.sum()
+    assert (np.abs(ran.cumsum(0) - np.outer(np.arange(1, first + 1), w)) < 1).all()
+    for s in np.flatnonzero(w):
+        j = np.arange(min(blocks[s], int(first * w[s])))
+        at = np.searchsorted(src, s) + j
+        assert (np.abs(release[at] - j / w[s]) < 1 + 1e-6).all() and (np.abs(due[at] - (j + 1) / w[s]) < 1 + 1e-6).all()
+
+
+def test_mix_places_rows_by_the_schedule(spark):
+    rows = spark.range(9_000).selectExpr("id doc_id", "case when id % 9 < 5 then 'a' when id % 9 < 8 then 'b' end source", "cast(id as string) text")
+    out = mixing.mix(rows, {"a": 0.7, "b": 0.3}, block=2, period=64).collect()
+    counts = Counter(r.source for r in out)
+    assert counts == {"a": 5_000, "b": 3_000, None: 1_000} and len({r.doc_id for r in out}) == 9_000
+    number = {None: 0, "a": 1, "b": 2}
+    phases = mixing.schedule(np.array([500, 2_500, 1_500]), np.array([0, 0.7, 0.3]), 64)
+    want = mixing.slots_of(phases, np.array([number[r.source] for r in out]), np.array([r.block for r in out]))
+    assert all(np.array_equal(w, [r[c] for r in out]) for w, c in zip(want, ("slot", "phase", "release", "deadline")))
+    assert sorted(r.position for r in out) == list(range(9_000)) and all(r.position // 2 == r.slot for r in out)
+
+
 def test_mix_awkward(awkward, empty, docs):
     out = mixing.mix(awkward, {"s": 2, "t": 1}, block=2).collect()
     assert len(out) == 10 and len({r.position for r in out}) == 10

@@ -4,10 +4,14 @@ Rows of a source are dealt, in a hashed order, to blocks. Block j (from 1) of
 a source with weight w is released at slot floor((j - 1) / w) and due at slot
 ceil(j / w); in every slot the released block with the earliest deadline runs.
 All blocks then run inside their windows, so that after any number of slots no
-source is a whole block ahead of, or behind, its target. Weights are whole
-shares of a period, after which every source is exactly on target: one period
-is scheduled on the driver, and the slot of any block follows from it. When a
-source runs out, the others go on with their weights scaled up.
+source is a whole block ahead of, or behind, its target. Weights are taken as
+exact fractions, however long the schedule.
+
+The schedule is cut into periods that tasks work out alone. Where a period
+starts, every source has run its target rounded down or up; which of them up
+follows from the slot alone (``State.ran``), and is such that all windows of
+the periods on both sides can still be kept. When a source runs out, the
+others go on with their weights scaled up.
 """
 
 from __future__ import annotations
@@ -15,15 +19,16 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block.
 BLOCK = 32
-#: Slots of a period, if the sources are fewer than a quarter of that.
+#: Least slots of a period; no window is longer than a period.
 PERIOD = 1024
 #: Default weights are row counts to this power, which lifts small sources.
 TEMPERATURE = 0.7
@@ -33,31 +38,11 @@ MAX_SOURCES = 10_000
 BUCKET_ROWS = 2_000
 
 
-def shares(weights: np.ndarray, period: int) -> np.ndarray:
-    """Whole shares of ``period`` closest to the weights, at least one each."""
-    exact = weights / weights.sum() * period
-    out = np.maximum(1, np.floor(exact)).astype(np.int64)
-    while out.sum() != period:
-        if out.sum() < period:
-            out[np.argmax(exact - out)] += 1
-        else:
-            out[np.argmax(np.where(out > 1, out - exact, -np.inf))] -= 1
-    return out
-
-
-def edf_period(share: np.ndarray) -> np.ndarray:
-    """Source of each slot of one period, by earliest deadline first."""
-    period = int(share.sum())
-    released: list[list[tuple[int, int]]] = [[] for _ in range(period)]
-    for s, k in enumerate(share.tolist()):
-        for j in range(k):
-            released[j * period // k].append((-(-(j + 1) * period // k), s))
-    ready, slots = [], np.zeros(period, np.int64)
-    for t in range(period):
-        for due, s in released[t]:
-            heapq.heappush(ready, (due, s))
-        slots[t] = heapq.heappop(ready)[1]
-    return slots
+def whole(weights: np.ndarray) -> list[int]:
+    """The weights as whole numbers, in exactly the same proportions."""
+    exact = [Fraction(float(w)) for w in weights]
+    scale = max(x.denominator for x in exact)  # a power of two
+    return [int(x * scale) for x in exact]
 
 
 @dataclass
@@ -67,54 +52,122 @@ class Phase:
     slot: int  # the first
     length: int
     first: np.ndarray  # block of each source that comes next at its start
-    share: np.ndarray  # slots of a period, 0 for a source that has run out
-    places: list[np.ndarray]  # the period's slots of each source
+    share: np.ndarray  # weight of each source, 0 for one that does not run
+    period: int
+
+    @property
+    def periods(self) -> int:
+        return -(-self.length // self.period)
+
+
+class State:
+    """The sources that run in a phase. Slots and blocks count from its start."""
+
+    def __init__(self, share: np.ndarray):
+        self.on = np.flatnonzero(share)
+        self.weight = whole(share[self.on])
+        self.total = sum(self.weight)
+
+    def release(self, k: int, n: int) -> int:
+        return n * self.total // self.weight[k]
+
+    def due(self, k: int, n: int) -> int:
+        return -(-(n + 1) * self.total // self.weight[k])
+
+    def ran(self, slot: int) -> list[int]:
+        """Blocks of each source that run before ``slot``.
+
+        A block whose window holds the slot inside runs on one side of it. Of
+        those due first, as many run before as the sum of their targets'
+        fractions, rounded down, and of those released last no more than that
+        sum, rounded up: then no stretch of slots on either side gets more
+        blocks than it holds. The fractions themselves keep these bounds, which
+        are on two chains of sets, so whole numbers can; taking the one
+        released first whenever the bound asks for one more finds them.
+        """
+        done, over = map(list, zip(*(divmod(slot * w, self.total) for w in self.weight)))
+        inside = sorted((self.due(k, done[k]), k) for k in range(len(done)) if over[k])
+        ready, target, up = [], 0, 0
+        for _, k in inside:
+            heapq.heappush(ready, (self.release(k, done[k]), k))
+            target += over[k]
+            if target // self.total > up:
+                done[heapq.heappop(ready)[1]] += 1
+                up += 1
+        return done
+
+    def run(self, start: int, end: int) -> Iterator[tuple[int, int]]:
+        """(source, block) of each slot from ``start`` to ``end``, where
+        periods start, by earliest deadline first."""
+        done, last = self.ran(start), self.ran(end)
+        ready: list[tuple[int, int]] = []
+        later = [(self.release(k, n), k) for k, n in enumerate(done) if n < last[k]]
+        heapq.heapify(later)
+        for t in range(start, end):
+            while later and later[0][0] <= t:
+                k = heapq.heappop(later)[1]
+                heapq.heappush(ready, (self.due(k, done[k]), k))
+            k = heapq.heappop(ready)[1]
+            yield k, done[k]
+            done[k] += 1
+            if done[k] < last[k]:
+                heapq.heappush(later, (self.release(k, done[k]), k))
 
 
 def schedule(blocks: np.ndarray, weights: np.ndarray, period: int = PERIOD) -> list[Phase]:
-    """Phases that run all ``blocks`` of every source; weights must be positive."""
-    period = max(period, 1 << (4 * len(blocks) - 1).bit_length())
+    """Phases that run all ``blocks`` of every source. Sources without a weight
+    above 0 run after the others, as often as each other."""
     left, phases, slot = blocks.astype(np.int64).copy(), [], 0
     while left.any():
-        on = np.flatnonzero(left)
-        share = np.zeros(len(left), np.int64)
-        share[on] = shares(weights[on], period)
-        slots = on[edf_period(share[on])]
-        whole = int((left[on] // share[on]).min())
-        rest, length = left - whole * share, whole * period
-        if rest[on].all():  # up to the slot after which a source has run out
-            nth = np.zeros(period, np.int64)
-            for s in on:
-                at = np.flatnonzero(slots == s)
-                nth[at] = np.arange(len(at)) + 1
-            extra = int(np.flatnonzero(nth == rest[slots])[0]) + 1
-            rest = rest - np.bincount(slots[:extra], minlength=len(left))
-            length += extra
-        phases.append(Phase(slot, length, blocks - left, share, [np.flatnonzero(slots == s) for s in range(len(left))]))
-        left, slot = rest, slot + length
+        share = np.where((left > 0) & (weights > 0), weights, 0.0)
+        if not share.any():
+            share = (left > 0).astype(np.float64)
+        state = State(share)
+        rest = left[state.on].tolist()
+        size = max(period, -(-state.total // min(state.weight)) + 2)
+        # the first period in which a source runs out
+        low, high = 0, min(-(-n * state.total // w) for n, w in zip(rest, state.weight)) // size + 1
+        while low + 1 < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if any(n >= m for n, m in zip(state.ran(mid * size), rest)) else (mid, high)
+        length, done = low * size, state.ran(low * size)
+        for k, n in state.run(length, length + size):
+            length += 1
+            done[k] = n + 1
+            if done[k] == rest[k]:
+                break
+        phases.append(Phase(slot, length, blocks - left, share, size))
+        left[state.on] -= np.array(done)
+        slot += length
     return phases
 
 
+def period_slots(phases: list[Phase], p: int, number: int) -> tuple[np.ndarray, ...]:
+    """(source, block, slot, release, deadline) of a phase's period; the last
+    two count from the start of the schedule."""
+    ph = phases[p]
+    state, start = State(ph.share), number * ph.period
+    ran = [(k, n, start + i, state.release(k, n), state.due(k, n))
+           for i, (k, n) in zip(range(ph.length - start), state.run(start, start + ph.period))]
+    k, n, slot, release, due = np.array(ran, np.int64).reshape(-1, 5).T
+    source = state.on[k]
+    return source, n + ph.first[source], slot + ph.slot, release + ph.slot, due + ph.slot
+
+
 def slots_of(phases: list[Phase], source: np.ndarray, block: np.ndarray):
-    """(slot, phase, release, deadline) of blocks; the last two count from the
-    start of the schedule."""
-    slot, phase, release, due = (np.zeros(len(block), np.int64) for _ in range(4))
+    """(slot, phase, release, deadline) of blocks, from all periods."""
+    at = {}
     for p, ph in enumerate(phases):
-        for s in np.unique(source):
-            k = int(ph.share[s])
-            at = np.flatnonzero((source == s) & (block >= ph.first[s])) if k else []
-            if len(at):
-                period, n = int(ph.share.sum()), block[at] - ph.first[s]
-                slot[at] = ph.slot + n // k * period + ph.places[s][n % k]
-                phase[at] = p
-                release[at] = ph.slot + n * period // k
-                due[at] = ph.slot - (-(n + 1) * period // k)
-    return slot, phase, release, due
-
-
-def _numbered(docs: DataFrame, source: str, id_col: str, text: str | None, seed: int):
-    """Rows with _source (a number) and _nth (place in its source), and the
-    counts of the sources by number."""
+        for number in range(ph.periods):
+            for s, n, slot, release, due in zip(*(c.tolist() for c in period_slots(phases, p, number))):
+                at[s, n] = slot, p, release, due
+    found = [at[key] for key in zip(source.tolist(), block.tolist())]
+    return tuple(np.array(found, np.int64).reshape(-1, 4).T)
+
+
+def _placed(docs: DataFrame, source: str, id_col: str, text: str | None, weights: Mapping | None, block: int,
+            period: int, seed: int) -> DataFrame:
+    """Rows with block, slot, phase, release, deadline and position."""
     counts = docs.groupBy(F.col(source).alias("s")).count().limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -129,13 +182,20 @@ def _numbered(docs: DataFrame, source: str, id_col: str, text: str | None, seed:
             .withColumn("_part", F.shiftright(F.shiftrightunsigned("_order", 32) * F.col("_parts"), 32)))
     sizes = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.select("_source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    start = sizes.select("_source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), "_n")
+    # the blocks that a bucket's rows are in, with their slots: a few dozen
+    here = F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("_n") - 1) / block)))
+    slots = _slots(docs.sparkSession, _plan(counts, weights, block, period))
+    start = (start.withColumn("_block", here).join(slots, ["_source", "_block"])
+             .groupBy("_source", "_part", "_start").agg(F.array_sort(F.collect_list(F.struct(*slots.columns[1:]))).alias("_slots")))
     ties = [F.xxhash64(F.col(text))] if text else []
     inside = Window.partitionBy("_source", "_part").orderBy("_order", F.coalesce(F.col(id_col).cast("string"), F.lit("")), *ties)
+    nth = F.col("_start") + F.col("_row") - 1
+    own = F.col("_slots")[(F.col("_block") - F.col("_slots")[0]["_block"]).cast("int")]
     rows = (rows.withColumn("_row", F.row_number().over(inside)).join(start, ["_source", "_part"])
-            .withColumn("_nth", F.col("_start") + F.col("_row") - 1)
-            .drop("_part", "_parts", "_order", "_row", "_start"))
-    return rows, counts
+            .withColumn("_block", F.floor(nth / block)).withColumn("_own", own))
+    return rows.select(*docs.columns, F.col("_block").alias("block"), "_own.slot", "_own.phase", "_own.release", "_own.deadline",
+                       (F.col("_own.slot") * block + F.pmod(nth, F.lit(block))).alias("position"))
 
 
 def _plan(counts: list[tuple], weights: Mapping | None, block: int, period: int) -> list[Phase]:
@@ -143,10 +203,26 @@ def _plan(counts: list[tuple], weights: Mapping | None, block: int, period: int)
     w = n ** TEMPERATURE if weights is None else np.array([float(weights.get(s, 0)) for s, _ in counts])
     if len(w) and not (w > 0).any():
         raise ValueError("no source has a weight above 0")
-    w = np.where(w > 0, w, w[w > 0].min(initial=1.0) * 1e-6)
     return schedule(-(-n.astype(np.int64) // block), w, period)
 
 
+def _slots(spark: SparkSession, phases: list[Phase]) -> DataFrame:
+    """(_source, _block, slot, phase, release, deadline) of all blocks."""
+    held, ends = spark.sparkContext.broadcast(phases), np.cumsum([ph.periods for ph in phases])
+    out = "_source int, _block long, slot long, phase int, release long, deadline long"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                p = int(np.searchsorted(ends, k, "right"))
+                source, block, slot, release, due = period_slots(held.value, p, k - int(ends[p]) + held.value[p].periods)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(source.astype(np.int32)), pa.array(block), pa.array(slot), pa.array(np.full(len(slot), p, np.int32)),
+                     pa.array(release), pa.array(due)], ["_source", "_block", "slot", "phase", "release", "deadline"])
+
+    return spark.range(int(ends[-1]) if len(ends) else 0).mapInArrow(place, out)
+
+
 def mix(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id", source: str = "source",
         text: str | None = "text", block: int = BLOCK, period: int = PERIOD, seed: int = 17) -> DataFrame:
     """(id, source, block, slot, phase, release, deadline, position) of every row.
@@ -154,7 +230,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id",
     Sorting by position gives the mix: source blocks interleaved so that, while
     the same sources last, none is a block or more off its target. Nothing is
     dropped or repeated. Weights name sources; None means row counts to the
-    power ``TEMPERATURE``, and a source without a weight gets a very small one.
+    power ``TEMPERATURE``; sources without a weight above 0 come after the others.
     Null is a source like any other. Positions are distinct; they have gaps
     where a source's last block is short. Equal rows follow each other.
     """
@@ -162,28 +238,8 @@ def mix(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id",
     narrow = docs.select(*cols)
     if text:
         narrow = narrow.select("_id", "_src", F.coalesce(F.xxhash64("_text"), F.lit(0)).alias("_text"))
-    rows, counts = _numbered(narrow, "_src", "_id", "_text" if text else None, seed)
-    names = {"_id": id_col, "_src": source}
-    return _placed(rows.select("_id", "_src", "_source", "_nth"), _plan(counts, weights, block, period), block, names)
-
-
-def _placed(rows: DataFrame, phases: list[Phase], block: int, names: Mapping[str, str]) -> DataFrame:
-    """Put the schedule's columns in place of the last two, _source and _nth."""
-    held, keep = rows.sparkSession.sparkContext.broadcast(phases), rows.columns[:-2]
-    out = [names.get(c, c) for c in keep] + ["block", "slot", "phase", "release", "deadline", "position"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            src, nth = (b.column(len(keep) + k).to_numpy() for k in (0, 1))
-            at = nth // block
-            slot, phase, release, due = slots_of(held.value, src, at)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in range(len(keep))), pa.array(at), pa.array(slot),
-                 pa.array(phase.astype(np.int32)), pa.array(release), pa.array(due), pa.array(slot * block + nth % block)], out)
-
-    kinds = [f"`{names.get(c, c)}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(place, ", ".join(
-        [*kinds, "block long, slot long, phase int, release long, deadline long, position long"]))
+    rows = _placed(narrow, "_src", "_id", "_text" if text else None, weights, block, period, seed)
+    return rows.select(F.col("_id").alias(id_col), F.col("_src").alias(source), *rows.columns[len(narrow.columns):])
 
 
 def mixed(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id", source: str = "source",
@@ -192,8 +248,5 @@ def mixed(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
     at = {c: f"c{k}" for k, c in enumerate(names)}
-    rows, counts = _numbered(plain, at[source], at[id_col], at[text], seed)
-    phases = _plan(counts, weights, block, period)
-    narrow = rows.select(*at.values(), "_source", "_nth")
-    out = _placed(narrow, phases, block, {})
+    out = _placed(plain, at[source], at[id_col], at[text], weights, block, period, seed)
     return out.orderBy("position").select(*[F.col(c).alias(n) for n, c in at.items()])
