@@ -1,7 +1,8 @@
 """Corpus preparation: five operators, one after the other, on ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before it kept; its result is written as Parquet and read again.
+before it kept; its result is written as Parquet and read again. The mixing
+stage sorts; the last one reads that order off the written files.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, gam, jaccard, mixing, suffix
-from tidemark.llm.common import ship_package, stored, table
+from tidemark.llm.common import numbered, ship_package, stored, table
 from tidemark.llm.queries import vocab_path
 
 
@@ -36,8 +37,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of their decoding."""
-    return bpe.encode_digests(docs, vocab_path(), with_ids=True)
+    """Token ids of each document, with digests of the ids and of their decoding,
+    and its position: the order of ``docs``, which is the mix."""
+    return bpe.encode_digests(numbered(docs, "position"), vocab_path(), with_ids=True, position="position")
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages),
@@ -49,7 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that all stages make of ``documents``."""
+    """The rows that all stages make of ``documents``; sorted by position they
+    are in the order of the mix."""
     ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

@@ -406,3 +406,24 @@ def test_pipeline_stages(spark, docs):
     assert 0 < rows.count() < docs.count()
     last = corpus_pipeline.STAGES[-1][1](spark, rows, SF)
     assert last.count() == rows.count()
+
+
+def test_pipeline_keeps_the_order_of_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    mixed_in = []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [
+        ("some", lambda spark, docs, sf_dir: docs), ("mixing sources", lambda spark, docs, sf_dir: mixed_in.append(docs) or corpus_pipeline.mix_sources(spark, docs, sf_dir)),
+        corpus_pipeline.STAGES[-1]])
+    # files of one task each, several rows a file, so that size and order differ
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxRecordsPerFile", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", "37")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+        want = [r.doc_id for r in mixing.mix(mixed_in[0]).orderBy("position").collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(r.position for r in got) == list(range(len(want)))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position)] == want

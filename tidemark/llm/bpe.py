@@ -412,14 +412,14 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text: str =
 
 
 def encode_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text: str = "text",
-                   lexicon_words: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
+                   lexicon_words: int = LEXICON_WORDS, with_ids: bool = False, position: str | None = None) -> DataFrame:
     """The operator with its ids and texts reduced, inside the task, to
     (id, n_tokens, ids_sha256, decoded_sha256): bulky columns never leave it,
-    but for the ids where asked for."""
-    return _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests=True, with_ids=with_ids)
+    but for the ids where asked for. A column ``position`` is kept, as the last."""
+    return _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests=True, with_ids=with_ids, position=position)
 
 
-def _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests, with_ids=False):
+def _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests, with_ids=False, position=None):
     held = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, vocab_path, lexicon_words, text))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -440,9 +440,13 @@ def _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests, with_id
             else:
                 cols = [pa.array(found, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names = [id_col, "ids", "decoded"]
+            if position:
+                cols.append(b.column(2))
+                names.append(position)
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
 
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     out += ", ids array<int>" if with_ids else ""
-    return (docs.select(F.col(id_col), F.col(text).alias("text"))
+    out += f", `{position}` {docs.schema[position].dataType.simpleString()}" if position else ""
+    return (docs.select(F.col(id_col), F.col(text).alias("text"), *([F.col(position)] if position else []))
             .mapInArrow(run, f"`{id_col}` {id_type}, {out}"))

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
@@ -48,6 +49,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column ``name`` that counts its rows, from 0, in the order
+    in which Spark wrote them to the files that ``df`` reads. Spark itself reads
+    files in no such order. A frame of no files has an order of its own; its
+    numbers have gaps.
+    """
+    plain = [F.col(f"`{c}`") for c in df.columns]
+    try:
+        rows = df.select(*plain, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        files = df.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count("*").alias("_n"))
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+    # part-00012-...-c001...: written by task 12, its second file
+    task, nth = (F.regexp_extract("_file", p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\b"))
+    before = Window.orderBy(task, nth, "_file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    start = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(start), "_file").select(*plain, (F.col("_start") + F.col("_row")).alias(name))
+
+
 def fold(col: Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id is in fold 0."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % parts, F.lit(0))
