@@ -135,6 +135,16 @@ def test_lbl_base_is_exact_and_model_is_normalised(spark, docs, texts, monkeypat
     assert np.allclose(np.exp(far[:, None] + near[None] - z[:, :, None]).sum(2), 1)
 
 
+def test_lbl_trains_on_every_gram(monkeypatch):
+    monkeypatch.setattr(lbl, "STEPS", 1)
+    monkeypatch.setattr(lbl, "SAMPLES", 64)
+    v = 3_000  # each class is the context of one gram, and the word of another
+    grams, counts = np.arange(v) * (v * v) + np.roll(np.arange(v), 1) * v + np.roll(np.arange(v), 2), np.random.default_rng(1).zipf(1.8, v)
+    start, model = (lbl.Model.start(np.full(v, 1 / v), 1) for _ in range(2))
+    model.train(grams, np.minimum(counts, 10_000), np.full(v, 1 / v), 1)
+    assert (model.r != start.r).any(1).all() and (model.q != start.q).any(1).all()
+
+
 def test_lbl_awkward(awkward, empty, monkeypatch):
     monkeypatch.setattr(lbl, "ROUNDS", 1)
     monkeypatch.setattr(lbl, "STEPS", 3)

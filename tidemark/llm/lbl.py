@@ -32,9 +32,11 @@ from tidemark.llm.common import as_bytes, fold, frequent, slices, stored
 OWN_WORDS, ENDINGS, ENDING_BYTES = 767, 256, 3
 #: Most words whose counts are sent to the executors; others are joined.
 SENT_WORDS = 1 << 17
-#: Vector size; shards that train side by side; rounds, after each of which
-#: their parameters are averaged; steps of a round; samples and noise of a step.
-SIZE, SHARDS, ROUNDS, STEPS, SAMPLES, NOISE = 32, 8, 3, 160, 2048, 64
+#: Vector size; rounds, after each of which the shards' parameters are averaged;
+#: least steps of a round; samples and noise of a step.
+SIZE, ROUNDS, STEPS, SAMPLES, NOISE = 32, 4, 160, 2048, 64
+#: Shards whose parameters are added up in one task.
+ADDED = 64
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -168,30 +170,41 @@ class Model:
         return cls(g.normal(0, 0.1, (v, SIZE)), g.normal(0, 0.1, (v, SIZE)), np.log(unigram), np.full((2, SIZE), 0.7))
 
     def train(self, grams: np.ndarray, counts: np.ndarray, unigram: np.ndarray, seed: int, rate: float = 0.08) -> None:
-        """One round of noise-contrastive steps. Samples follow the counts; the
+        """One round of noise-contrastive steps: whole passes over the grams,
+        as many as ``STEPS`` steps take, one at least. A pass takes every gram,
+        weighted by its count; a large count is split into several samples. The
         noise, shared by a step's samples, follows the unigram."""
         v, g = len(unigram), np.random.default_rng(seed)
-        weight = np.cumsum(counts) / counts.sum()
+        most = 2 * counts.sum() / len(counts)
+        times = np.ceil(counts / most).astype(np.int64)
+        weight = counts / times
+        samples = np.repeat(np.arange(len(grams)), times)
+        weight *= len(samples) / counts.sum()  # 1 on average
         noise_cdf, log_noise = np.cumsum(unigram), np.log(unigram * NOISE)
         sums = [np.full(p.shape, 1e-2) for p in (self.r, self.q, self.b, self.c)]
-        for _ in range(STEPS):
-            pick = grams[np.minimum(np.searchsorted(weight, g.random(SAMPLES)), len(grams) - 1)]
+        place = np.arange(SIZE)
+
+        def summed(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            return np.bincount((at[:, None] * SIZE + place).ravel(), rows.ravel(), v * SIZE).reshape(v, SIZE)
+
+        steps = -(-len(samples) // SAMPLES)
+        for step in range(steps * -(-STEPS // steps)):
+            if step % steps == 0:
+                g.shuffle(samples)
+            own = samples[step % steps * SAMPLES:][:SAMPLES]
+            pick, share = grams[own], weight[own] / SAMPLES
             ctx, w = [pick // (v * v), pick // v % v], pick % v
             noise = np.minimum(np.searchsorted(noise_cdf, g.random(NOISE)), v - 1)
             hat = self.c[0] * self.r[ctx[0]] + self.c[1] * self.r[ctx[1]]
             good = (hat * self.q[w]).sum(1) + self.b[w] - log_noise[w]
             bad = hat @ self.q[noise].T + (self.b[noise] - log_noise[noise])
-            d_good = 1 / (1 + np.exp(np.clip(good, -30, 30))) / SAMPLES
-            d_bad = -1 / (1 + np.exp(np.clip(-bad, -30, 30))) / SAMPLES
+            d_good = share / (1 + np.exp(np.clip(good, -30, 30)))
+            d_bad = -share[:, None] / (1 + np.exp(np.clip(-bad, -30, 30)))
             d_hat = d_good[:, None] * self.q[w] + d_bad @ self.q[noise]
-            grad = [np.zeros_like(p) for p in (self.r, self.q, self.b, self.c)]
-            np.add.at(grad[1], w, d_good[:, None] * hat)
-            np.add.at(grad[1], noise, d_bad.T @ hat)
-            np.add.at(grad[2], w, d_good)
-            np.add.at(grad[2], noise, d_bad.sum(0))
-            for k in (0, 1):
-                np.add.at(grad[0], ctx[k], d_hat * self.c[k])
-                grad[3][k] = (d_hat * self.r[ctx[k]]).sum(0)
+            grad = [summed(ctx[0], d_hat * self.c[0]) + summed(ctx[1], d_hat * self.c[1]),
+                    summed(w, d_good[:, None] * hat) + summed(noise, d_bad.T @ hat),
+                    np.bincount(w, d_good, v) + np.bincount(noise, d_bad.sum(0), v),
+                    np.stack([(d_hat * self.r[c]).sum(0) for c in ctx])]
             for p, s, d in zip((self.r, self.q, self.b, self.c), sums, grad):
                 s += d * d * SAMPLES
                 p += rate * d * np.sqrt(SAMPLES) / np.sqrt(s)
@@ -208,8 +221,9 @@ class Model:
 
 
 def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
-    """Train on all class trigrams: shards hold disjoint trigrams, train side by
-    side, and their parameters are averaged, weighted by tokens, after a round."""
+    """Train on all class trigrams: shards, which are the partitions of the
+    stored table, hold disjoint trigrams, train side by side, and their
+    parameters are averaged, weighted by tokens, after a round."""
     grams, v = stored(grams, "trigrams"), corpus.classes
     unigram = np.ones(v)
     for r in grams.groupBy((F.col("gram") % v).alias("w")).agg(F.sum("n").alias("n")).collect():  # one row for each class
@@ -218,7 +232,6 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
     model = Model.start(unigram, seed)
     if not corpus.tokens:
         return model
-    shards = grams.coalesce(SHARDS)  # scans only: no shuffle in a round
     context = grams.sparkSession.sparkContext
     for k in range(ROUNDS):
         held = context.broadcast((model, unigram))
@@ -227,15 +240,26 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
             parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
             if parts:
                 g, n = (np.concatenate(x) for x in zip(*parts))
+                del parts
                 start, noise = held.value
                 m = Model(*(x.copy() for x in (start.r, start.q, start.b, start.c)))
-                m.train(g, n, noise, seed * 1000 + k * SHARDS + TaskContext.get().partitionId(), 0.08 / (1 + k))
-                yield pa.RecordBatch.from_pydict({"tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
-
-        got = shards.select("gram", "n").mapInArrow(one, "tokens long, model binary").collect()  # at most SHARDS rows
-        got = sorted(((r.tokens, pickle.loads(r.model)) for r in got), key=lambda x: (x[0], x[1].b[0]))
-        total = sum(n for n, _ in got)
-        model = Model(*(sum(getattr(m, f) * (n / total) for n, m in got) for f in ("r", "q", "b", "c")))
+                shard = TaskContext.get().partitionId()
+                m.train(g, n, noise, seed * 1000 + k + (shard << 20), 0.08 / (1 + k))
+                yield pa.RecordBatch.from_pydict({"shard": [shard], "tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
+
+        def add(table: pa.Table) -> pa.Table:
+            rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+            total = sum(r["tokens"] for r in rows)
+            out: list = [0.0] * 4
+            for r in rows:
+                m = pickle.loads(r["model"])
+                out = [x + getattr(m, f) * (r["tokens"] / total) for x, f in zip(out, ("r", "q", "b", "c"))]
+            return pa.table({"shard": [rows[0]["shard"]], "tokens": [total], "model": pa.array([pickle.dumps(Model(*out))], pa.binary())})
+
+        kind = "shard long, tokens long, model binary"
+        done = grams.select("gram", "n").mapInArrow(one, kind)
+        got = done.groupBy(F.shiftright("shard", ADDED.bit_length() - 1)).applyInArrow(add, kind).toArrow()  # a row for ADDED shards
+        model = pickle.loads(add(got)["model"][0].as_py())
     return model
 
 
