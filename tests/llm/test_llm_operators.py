@@ -246,6 +246,12 @@ def test_kmtree_recall_and_order(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_kmtree_calibrates_to_its_target():
+    x = np.random.default_rng(5).normal(size=(4_000, 16))
+    tree = kmtree.Tree.fit(x)
+    assert tree.calibrate(x, 20) >= 0.98 and tree.visits < tree.leaves
+
+
 def test_kmtree_awkward(spark):
     from pyspark.sql import functions as F
     nan = float("nan")
