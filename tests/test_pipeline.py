@@ -180,9 +180,9 @@ def test_parquet_folder_is_conformed_file_by_file(spark, db, tmp_path):
 def test_bad_datetimes_are_counted_or_refused(spark, db, tmp_path):
     from tidemark.errors import BadDatetimeError
     p = write_file(tmp_path, "d.csv", "pickup_datetime,dropoff_datetime\n"
-                   "01/05/2024 10:00:00 AM,2024-02-01T00:00:00Z\nNA,2024-02-01 01:02:03.123456789\n,2024-02-01 05:00:00+02:00\n")
+                   "01/05/2024 10:00:00 AM,2024-02-01T00:00:00Z\nNA,2024-02-01 01:02:03.123456789\n2024-02-03,2024-02-01 05:00:00+02:00\n")
     m = ingest(spark, p, "dates", database=db)
-    assert m["datetime_nulls"] == {"pickup_datetime": 1}
+    assert m["datetime_nulls"] == {"pickup_datetime": 1} and m["datetime_formats"] == {}
     assert sorted(str(r[1]) for r in spark.table(f"{db}.dates").collect()) == [
         "2024-02-01 00:00:00", "2024-02-01 01:02:03.123456", "2024-02-01 05:00:00"]
     with pytest.raises(BadDatetimeError):

@@ -43,3 +43,7 @@ class LostPublishError(IngestError):
 
 class UnsafeIdentifierError(ValueError):
     """A table/column name that is not ``[A-Za-z_][A-Za-z0-9_]*``."""
+
+
+class IncompatibleTypesError(IngestError):
+    """Files of one first load hold a column in types that no one type can hold."""

@@ -19,8 +19,24 @@ INFINITY_PATTERN = r"^(?i)[+-]?(inf|infinity)$"
 # the two above as one pattern, so a value is matched once
 NUMBER_OR_INF_PATTERN = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
-DATETIME_PATTERN = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,9})?"
-                    r"(Z|[+-][0-9]{2}:[0-9]{2})?)?$")
+DATETIME_PATTERN = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}"
+                    r"(:[0-9]{2}([.][0-9]{1,9})?(Z|[+-][0-9]{2}:[0-9]{2})?)?)?$")
+# a zone right after the minutes, which the cast does not read
+ZONED_MINUTE_PATTERN = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2})(Z|[+-][0-9]{2}:[0-9]{2})$"
+# Other ways to write a datetime, by name: a pattern of the date, and
+# its year, month and day as groups. A time may follow. Where a column fits
+# several, the first one is taken. ``iso`` is the pattern above.
+_TIME = r"(?:[ T]+([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]{1,9})?)?))?(?: *[AaPp][Mm])?"
+DATETIME_FORMATS = {
+    "iso": None,
+    "month/day/year": (r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", "$3-$1-$2"),
+    "day/month/year": (r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", "$3-$2-$1"),
+    "month-day-year": (r"([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})", "$3-$1-$2"),
+    "day-month-year": (r"([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})", "$3-$2-$1"),
+    "day.month.year": (r"([0-9]{1,2})[.]([0-9]{1,2})[.]([0-9]{4})", "$3-$2-$1"),
+    "year/month/day": (r"([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3"),
+    "yearmonthday": (r"([0-9]{4})([0-9]{2})([0-9]{2})", "$1-$2-$3"),
+}
 # Whitespace a numeric parser skips around a value (C isspace).
 EDGE_WS = " \t\n\x0b\x0c\r"
 # Tolerance under which a parsed value counts as whole.
@@ -96,14 +112,41 @@ def to_integer(c: Column | str, target: T.DataType = T.LongType()) -> Column:
     return whole if isinstance(target, T.LongType) else whole.cast(target)
 
 
-def to_datetime(c: Column | str, target: T.DataType = T.TimestampNTZType()) -> Column:
-    """ISO date or datetime text -> timestamp; anything else (incl. 2024-02-30) NULL.
+def to_datetime(c: Column | str, target: T.DataType = T.TimestampNTZType(), fmt: str = "iso") -> Column:
+    """Date or datetime text in one format -> timestamp; anything else (incl. 2024-02-30) NULL.
 
-    A trailing ``Z`` or offset is dropped and the written wall time kept;
-    digits of a second beyond the sixth are cut off.
+    A trailing ``Z`` or offset of ISO text is dropped and the written wall time
+    kept; digits of a second beyond the sixth are cut off. The other formats
+    take hours of a day, or of twelve with AM or PM.
     """
     s = strip_ws(c)
-    return F.when(s.rlike(DATETIME_PATTERN), s.try_cast(target))
+    if fmt == "iso":
+        return (F.when(s.rlike(DATETIME_PATTERN), s.try_cast(target))
+                 .when(s.rlike(ZONED_MINUTE_PATTERN), F.regexp_extract(s, ZONED_MINUTE_PATTERN, 1).try_cast(target)))
+    date, order = DATETIME_FORMATS[fmt]
+    pattern = f"^{date}{_TIME}$"
+    ts = F.regexp_replace(s, pattern, order + " $4").try_cast(T.TimestampNTZType())
+    half = F.upper(F.regexp_extract(s, "([AaPp])[Mm]$", 1))
+    hour, twelve = F.hour(ts), F.expr("INTERVAL 12 HOURS")
+    ts = (F.when(half == "", ts).when((hour == 0) | (hour > 12), F.lit(None))
+           .when((half == "P") & (hour < 12), ts + twelve).when((half == "A") & (hour == 12), ts - twelve).otherwise(ts))
+    return F.when(s.rlike(pattern), ts).cast(target)
+
+
+def datetime_fits(c: Column | str) -> Column:
+    """The formats that read a text, as a number with a bit for each of them; NULL
+    for NULL. ``bit_and`` of it over a column has the formats that fit all values."""
+    others = [F.when(to_datetime(c, fmt=f).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+              for i, f in enumerate(DATETIME_FORMATS) if f != "iso"]
+    either = others[0]
+    for o in others[1:]:
+        either = either + o
+    return F.when(_col(c).isNotNull(), F.when(to_datetime(c).isNotNull(), F.lit(1)).otherwise(either))
+
+
+def fitting_formats(bits: int | None) -> list[str]:
+    """Names of the formats in a number of :func:`datetime_fits`, the preferred first."""
+    return [f for i, f in enumerate(DATETIME_FORMATS) if (bits or 0) >> i & 1]
 
 
 def is_integral_type(t: T.DataType) -> bool:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.errors import MissingColumnsError
 from tidemark.functions.coerce import (
-    WHOLE_TOLERANCE, fraction_flag, is_integral_type, is_numeric_type, to_datetime, to_integer,
+    DATETIME_FORMATS, WHOLE_TOLERANCE, datetime_fits, fraction_flag, is_integral_type, is_numeric_type, to_datetime, to_integer,
     to_number, _parsed_double,
 )
 from tidemark.functions.identifiers import quote_ident
@@ -38,10 +38,10 @@ def require_columns(source_columns: list[str], target: T.StructType, what: str =
         raise MissingColumnsError(f"{what} missing columns required by target table: {miss}")
 
 
-def _from_text(raw: Column, f: T.StructField, is_pair: bool) -> Column:
+def _from_text(raw: Column, f: T.StructField, is_pair: bool, written: str = "iso") -> Column:
     t = f.dataType
     if is_pair and isinstance(t, _TEMPORAL + (T.StringType,)):
-        ts = to_datetime(raw, T.TimestampNTZType())
+        ts = to_datetime(raw, T.TimestampNTZType(), written)
         return ts if isinstance(t, T.TimestampNTZType) else ts.cast(t)
     if is_integral_type(t):
         return to_integer(raw, t)
@@ -52,19 +52,20 @@ def _from_text(raw: Column, f: T.StructField, is_pair: bool) -> Column:
     return raw.cast(t)
 
 
-def conform_text(df: DataFrame, target: T.StructType) -> DataFrame:
-    """All-text source -> target schema (CSV/TSV path)."""
+def conform_text(df: DataFrame, target: T.StructType, formats: dict[str, str] | None = None) -> DataFrame:
+    """All-text source -> target schema (CSV/TSV path). ``formats`` names how the
+    datetimes of a column are written, where it is not ISO."""
     require_columns(df.columns, target)
-    pairs = datetime_pair_columns(target.fieldNames())
-    out = [_from_text(na_to_null(F.col(quote_ident(f.name))), f, f.name in pairs).alias(f.name)
+    pairs, formats = datetime_pair_columns(target.fieldNames()), formats or {}
+    out = [_from_text(na_to_null(F.col(quote_ident(f.name))), f, f.name in pairs, formats.get(f.name, "iso")).alias(f.name)
            for f in target.fields]
     return df.select(*out)
 
 
-def _from_typed(c: Column, st: T.DataType, f: T.StructField, is_pair: bool) -> Column:
+def _from_typed(c: Column, st: T.DataType, f: T.StructField, is_pair: bool, written: str) -> Column:
     t = f.dataType
     if isinstance(st, T.StringType):
-        return _from_text(empty_to_null(c), f, is_pair)
+        return _from_text(empty_to_null(c), f, is_pair, written)
     if isinstance(st, _NESTED):
         return F.to_json(c).cast(t) if not isinstance(t, T.StringType) else F.to_json(c)
     if isinstance(st, (T.FloatType, T.DoubleType)):
@@ -79,12 +80,12 @@ def _from_typed(c: Column, st: T.DataType, f: T.StructField, is_pair: bool) -> C
     return c.cast(t)
 
 
-def conform_typed(df: DataFrame, target: T.StructType) -> DataFrame:
+def conform_typed(df: DataFrame, target: T.StructType, formats: dict[str, str] | None = None) -> DataFrame:
     """Typed (Parquet) source -> target schema."""
     require_columns(df.columns, target)
-    pairs = datetime_pair_columns(target.fieldNames())
+    pairs, formats = datetime_pair_columns(target.fieldNames()), formats or {}
     src = {f.name: f.dataType for f in df.schema.fields}
-    out = [_from_typed(F.col(quote_ident(f.name)), src[f.name], f, f.name in pairs).alias(f.name)
+    out = [_from_typed(F.col(quote_ident(f.name)), src[f.name], f, f.name in pairs, formats.get(f.name, "iso")).alias(f.name)
            for f in target.fields]
     return df.select(*out)
 
@@ -132,17 +133,38 @@ def _dated(df: DataFrame, target: T.StructType) -> list[str]:
             and isinstance(f.dataType, _TEMPORAL + (T.StringType,))]
 
 
-def datetime_aggregates(df: DataFrame, target: T.StructType, text: bool = True) -> list[Column]:
+def datetime_aggregates(df: DataFrame, target: T.StructType, text: bool = True,
+                        formats: dict[str, str] | None = None) -> list[Column]:
     """Per datetime column fed by text: ``<col>__undated``, the values that are
-    present but become NULL because they are no ISO datetime (P9)."""
+    present but become NULL because they are not written in its format (P9), and
+    ``<col>__formats``, the bits of the formats that would read all its values."""
     aggs = []
     for name in _dated(df, target):
         c = F.col(quote_ident(name))
         raw = na_to_null(c) if text else empty_to_null(c)
-        aggs.append(F.count_if(raw.isNotNull() & to_datetime(raw).isNull()).alias(f"{name}__undated"))
+        written = (formats or {}).get(name, "iso")
+        aggs += [F.count_if(raw.isNotNull() & to_datetime(raw, fmt=written).isNull()).alias(f"{name}__undated"),
+                 F.bit_and(datetime_fits(raw)).alias(f"{name}__formats")]
     return aggs
 
 
+def datetime_formats(df: DataFrame, target: T.StructType, text: bool = True) -> DataFrame:
+    """(column_name, formats) per datetime column fed by text, from one aggregate:
+    the names of the formats that read every value of the column, the preferred
+    one first; empty where no single one does, null where there is no value."""
+    names = _dated(df, target)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, formats array<string>")
+
+    def of(name: str) -> Column:
+        bits = F.col(quote_ident(f"{name}__formats"))
+        named = [F.when(bits.bitwiseAND(1 << i) > 0, F.lit(f)) for i, f in enumerate(DATETIME_FORMATS)]
+        return F.when(bits.isNotNull(), F.array_compact(F.array(*named)))
+
+    rows = F.array(*[F.struct(F.lit(n).alias("column_name"), of(n).alias("formats")) for n in names])
+    return df.agg(*datetime_aggregates(df, target, text)).select(F.inline(rows))
+
+
 def datetime_report(df: DataFrame, target: T.StructType, text: bool = True) -> DataFrame:
     """(column_name, undated) per datetime column fed by text, from one aggregate."""
     names = _dated(df, target)

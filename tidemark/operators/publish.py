@@ -23,6 +23,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.errors import IngestError, LostPublishError
 from tidemark.functions.identifiers import quote_ident, sanitize_ident
@@ -127,6 +128,17 @@ def _flip(spark: SparkSession, database: str, final: str, old: list[str], parts:
             drop_if_exists(spark, fq(database, p))
 
 
+def read_published(spark: SparkSession, database: str, final: str, identity: tuple[str, str] = ("trip_file", "trip_row")) -> DataFrame:
+    """Rows of a published table with their place: the file of a staged part and
+    the position in it. No two rows share a place and no retry changes it, so a
+    sort that ends with it splits rows that are equal otherwise."""
+    parts = published_parts(spark, database, final)
+    if not parts:
+        raise IngestError(f"not published: {fq(database, final)}")
+    places = [F.col("_metadata.file_path").alias(identity[0]), F.col("_metadata.row_index").alias(identity[1])]
+    return reduce(DataFrame.unionByName, [spark.table(fq(database, p)).select("*", *places) for p in parts])
+
+
 def part_bytes(spark: SparkSession, database: str, part: str) -> int:
     """Size of a physical part from its catalog statistics (metadata only). A part
     of unknown size counts as the largest, so that it is not rewritten by chance."""

@@ -1,7 +1,7 @@
 """Target-schema resolution.
 
-The schema is fixed once: the first load derives it (from the Parquet
-footer, or from the text itself); every later load is conformed to the
+The schema is fixed once: the first load derives it (from all of its Parquet
+footers, or from the text itself); every later load is conformed to the
 published table's schema. No schema evolution.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.errors import IncompatibleTypesError, MissingColumnsError
 from tidemark.functions.coerce import DATETIME_PAIRS, INTEGER_PATTERN, NUMBER_OR_INF_PATTERN, strip_ws
 from tidemark.functions.identifiers import quote_ident, sanitize_ident
 from tidemark.functions.nulls import na_to_null
@@ -39,6 +40,60 @@ def parquet_target_schema(source: T.StructType) -> T.StructType:
                          for f in source.fields])
 
 
+# Digits that a whole number of each type may have.
+_INTEGER_DIGITS = {T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+_FLOATING = (T.FloatType, T.DoubleType)
+
+
+def join_types(kinds: list[T.DataType]) -> T.DataType | None:
+    """The least target type that holds the values of all ``kinds``, None if there
+    is none. It depends on the set of types only, not on the order of the files.
+
+    Whole numbers widen to the longest one, exact numbers to a decimal with the
+    longest whole part and scale, numbers of which one is floating to double, a
+    date and a datetime without zone to the latter. Others only meet themselves.
+    """
+    distinct = list(dict.fromkeys(kinds))
+    if len(distinct) == 1:
+        return distinct[0]
+    exact = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (_INTEGER_DIGITS[type(t)], 0)
+             for t in distinct if isinstance(t, (T.DecimalType, *_INTEGER_DIGITS))]
+    if len(exact) == len(distinct):
+        if not any(isinstance(t, T.DecimalType) for t in distinct):
+            return max(distinct, key=lambda t: _INTEGER_DIGITS[type(t)])
+        whole, scale = (max(parts) for parts in zip(*exact))
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else None
+    if len(exact) + sum(isinstance(t, (T.FloatType, T.DoubleType)) for t in distinct) == len(distinct):
+        return T.DoubleType()
+    if {type(t) for t in distinct} == {T.DateType, T.TimestampNTZType}:
+        return T.TimestampNTZType()
+    return None
+
+
+def merged_target_schema(footers: list[tuple[str, T.StructType]]) -> T.StructType:
+    """The target schema of a first load of files with these (example file, footer).
+
+    Columns are those of the footers in order of first appearance; each must be
+    in every footer. A column's type is the join of its types over all footers.
+    """
+    found: dict[str, dict[T.DataType, str]] = {}
+    for file, footer in footers:
+        for f in parquet_target_schema(footer).fields:
+            found.setdefault(f.name, {}).setdefault(f.dataType, file)
+    for file, footer in footers:
+        lacking = [n for n in found if n not in set(footer.fieldNames())]
+        if lacking:
+            raise MissingColumnsError(f"Parquet file {file} missing columns that other files of the load have: {lacking}")
+    fields = []
+    for name, kinds in found.items():
+        wide = join_types(list(kinds))
+        if wide is None:
+            told = "; ".join(f"{t.simpleString()} in {file}" for t, file in kinds.items())
+            raise IncompatibleTypesError(f"no one type holds column {name!r}: {told}")
+        fields.append(T.StructField(name, wide, True))
+    return T.StructType(fields)
+
+
 def datetime_pair_columns(columns: list[str]) -> set[str]:
     """Columns of the known pickup/dropoff pairs whose partner is also present."""
     cols = set(columns)

@@ -42,6 +42,11 @@ def exceeds_expr(outside: Column, rowcount: Column, max_rows: int = MAX_OUTSIDE_
     return (outside > F.lit(max_rows)) | (outside_ratio(outside, rowcount) > F.lit(max_ratio))
 
 
+def exceeds(outside: int, rowcount: int, max_rows: int = MAX_OUTSIDE_ROWS, max_ratio: float = MAX_OUTSIDE_RATIO) -> bool:
+    """The verdict of :func:`exceeds_expr` on counts that the driver already has."""
+    return outside > max_rows or (outside / rowcount if rowcount else 0.0) > max_ratio
+
+
 def outside_ratio(outside: Column, rowcount: Column) -> Column:
     """Outside rows over ALL rows; 0.0 for an empty load (never a division by zero)."""
     return F.when(rowcount > 0, outside.cast("double") / rowcount).otherwise(F.lit(0.0))

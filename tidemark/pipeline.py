@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from tidemark.errors import (
     BadDatetimeError, IngestError, TableExistsError, UnsupportedFormatError, UnsupportedStrategyError,
 )
+from tidemark.functions.coerce import DATETIME_FORMATS, fitting_formats
 from tidemark.functions.identifiers import sanitize_ident
 from tidemark.operators import publish as pub
 from tidemark.operators.conform import (
     conform_text, conform_typed, datetime_aggregates, fraction_aggregates, require_columns,
 )
-from tidemark.operators.schema import infer_text_schema, parquet_target_schema
+from tidemark.operators.schema import infer_text_schema, merged_target_schema
 from tidemark.operators.validate import MAX_OUTSIDE_RATIO, MAX_OUTSIDE_ROWS, validate
 from tidemark.sources.parquet import read_by_footer
 from tidemark.sources.paths import (
@@ -114,19 +115,22 @@ def stage_raw_text(spark: SparkSession, df: DataFrame, cleanup: list[str]) -> Da
 
 def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
                    target=None, *, sep: str | None = None, encoding: str = "UTF-8",
-                   multi_line: bool = True, observe: bool = True, cleanup: list[str] | None = None):
+                   multi_line: bool = True, observe: bool = True, cleanup: list[str] | None = None,
+                   formats: dict[str, str] | None = None, base: str | None = None):
     """(conformed DataFrame, target schema, observations) for the given sources.
 
     With ``cleanup`` given, a first text load of few unsplittable files goes
     through :func:`stage_raw_text`; the caller drops the tables listed there.
+    ``formats`` names how datetime text is written, by column (ISO where none is
+    given). ``base`` makes Parquet ``sources`` single files of that folder.
     """
     observations: list[Observation] = []
     if fmt is FileFormat.PARQUET:
-        scans = read_by_footer(spark, sources)
-        target = target or parquet_target_schema(scans[0][1].schema)
+        scans = read_by_footer(spark, sources, base)
+        target = target or merged_target_schema([(files[0], raw.schema) for files, raw in scans])
         for files, raw in scans:        # every file's own footer has the columns
             require_columns(raw.columns, target, what=f"Parquet file {files[0]}")
-        parts = [conform_typed(_observed(raw, target, False, observe, observations), target) for _, raw in scans]
+        parts = [conform_typed(observed(raw, target, False, observe, observations, formats), target, formats) for _, raw in scans]
         return reduce(DataFrame.unionAll, parts), target, observations
     hot = needs_spread(spark, sources, multi_line)
     groups = []
@@ -139,13 +143,14 @@ def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
         first = groups[0][1]
         target = infer_text_schema(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
                                           [g for _, g in groups[1:]], first))
-    parts = [conform_text(_observed(df, target, True, observe, observations), target) for _, df in groups]
+    parts = [conform_text(observed(df, target, True, observe, observations, formats), target, formats) for _, df in groups]
     return reduce(DataFrame.unionAll, parts), target, observations
 
 
-def _observed(df: DataFrame, target, text: bool, observe: bool, observations: list[Observation]) -> DataFrame:
+def observed(df: DataFrame, target, text: bool, observe: bool, observations: list[Observation],
+              formats: dict[str, str] | None = None) -> DataFrame:
     """``df`` with the counts of values that conforming will null, taken as rows pass by."""
-    aggs = fraction_aggregates(df, target, text) + datetime_aggregates(df, target, text) if observe else []
+    aggs = fraction_aggregates(df, target, text) + datetime_aggregates(df, target, text, formats) if observe else []
     if not aggs:
         return df
     obs = Observation(f"nulled_{len(observations)}")
@@ -153,7 +158,7 @@ def _observed(df: DataFrame, target, text: bool, observe: bool, observations: li
     return df.observe(obs, *aggs)
 
 
-def _nulled(observations: list[Observation], suffix: str) -> dict:
+def nulled(observations: list[Observation], suffix: str) -> dict:
     """Observed counts whose names end in ``suffix``, by column; zeros left out."""
     out: dict = {}
     for obs in observations:
@@ -164,19 +169,36 @@ def _nulled(observations: list[Observation], suffix: str) -> dict:
     return {k: v for k, v in out.items() if v}
 
 
+def _written(observations: list[Observation], formats: dict[str, str]) -> dict[str, list[str]]:
+    """Formats that read all values, by column, of the columns with values that
+    ISO does not read. A column of no single format is not among them."""
+    bits: dict[str, int] = {}
+    for obs in observations:
+        for k, v in (obs.get or {}).items():
+            if k.endswith("__formats") and v is not None:
+                col = k[: -len("__formats")]
+                bits[col] = bits.get(col, -1) & v
+    named = {c: fitting_formats(b) for c, b in bits.items() if c not in formats}
+    return {c: names for c, names in named.items() if names and names[0] != "iso"}
+
+
 def ingest(spark: SparkSession, source: str | list[str], table: str | None = None, *,
            database: str | None = None, if_exists: str = "replace", fmt: str | None = None,
            sep: str | None = None, encoding: str = "UTF-8", multi_line: bool = True,
            max_outside_rows: int = MAX_OUTSIDE_ROWS, max_outside_ratio: float = MAX_OUTSIDE_RATIO,
            fail_on_outside_month: bool = False, fail_on_bad_datetimes: bool = False,
-           analyze_columns: bool = False, compact_after: int | None = 64, cluster_by_time: bool = True,
+           datetime_formats: dict[str, str] | None = None, analyze_columns: bool = False, compact_after: int | None = 64, cluster_by_time: bool = True,
            fail_after: str | None = None) -> dict:
     """Load ``source`` (one path, a list, or a directory/glob) into ``table``.
 
     Returns the validation metrics plus ``status``, ``parts``,
     ``fraction_nulls`` and ``datetime_nulls`` (values nulled, by column);
     ``fail_on_bad_datetimes`` makes the latter an error before anything is
-    published. ``cluster_by_time`` sorts each written file by the
+    published. Datetime text is read as ISO; if all values of a column are written
+    in one other format of ``DATETIME_FORMATS``, the load is staged again with it
+    (``datetime_formats`` of the result; ``datetime_ambiguous`` where several fit
+    and the first was taken). ``datetime_formats`` names formats by column
+    beforehand. ``cluster_by_time`` sorts each written file by the
     pickup datetime column (when there is one). ``fail_after`` (tests) raises
     after the named stage.
     """
@@ -209,22 +231,34 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
 
     staged = None
     scratch: list[str] = []
+    formats, ambiguous = dict(datetime_formats or {}), {}
+    unknown = set(formats.values()) - set(DATETIME_FORMATS)
+    if unknown:
+        raise ValueError(f"unknown datetime formats {sorted(unknown)}; known are {list(DATETIME_FORMATS)}")
     try:
         target = spark.table(fq_final).schema if exists else None
-        conformed, target, observations = read_conformed(
-            spark, sources, f, target, sep=sep, encoding=encoding, multi_line=multi_line, cleanup=scratch)
-        _hook("read")
-        if cluster_by_time:
-            conformed = pub.time_sorted(conformed)
-        staged = pub.physical_name(final, pub.new_run_id())   # known before the write, for cleanup
-        pub.stage(conformed, db, final, staged)
-        _hook("stage")
+        while True:
+            conformed, target, observations = read_conformed(
+                spark, sources, f, target, sep=sep, encoding=encoding, multi_line=multi_line, cleanup=scratch, formats=formats)
+            _hook("read")
+            if cluster_by_time:
+                conformed = pub.time_sorted(conformed)
+            staged = pub.physical_name(final, pub.new_run_id())   # known before the write, for cleanup
+            pub.stage(conformed, db, final, staged)
+            _hook("stage")
+            written = _written(observations, formats)
+            if not written:
+                break
+            # whole columns in another format: once more, with it
+            ambiguous.update({c: names for c, names in written.items() if len(names) > 1})
+            formats.update({c: names[0] for c, names in written.items()})
+            pub.cleanup_best_effort(spark, pub.fq(db, staged))
         metrics = validate(spark.table(pub.fq(db, staged)), final, max_outside_rows,
                            max_outside_ratio, fail_on_outside_month)
         _hook("validate")
-        undated = _nulled(observations, "__undated")
+        undated = nulled(observations, "__undated")
         if undated and fail_on_bad_datetimes:
-            raise BadDatetimeError(f"text that is no ISO datetime, by column: {undated}")
+            raise BadDatetimeError(f"text that is no datetime of its column's format, by column: {undated}")
         # the policy is checked again right before the flip (another run may have published)
         if not exists and spark.catalog.tableExists(fq_final) and if_exists in ("skip", "fail"):
             if if_exists == "skip":
@@ -246,12 +280,15 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
     finally:
         for t in scratch:
             pub.cleanup_best_effort(spark, t)
-    fractions = _nulled(observations, "__fractions")
+    fractions = nulled(observations, "__fractions")
     for col, n in fractions.items():
         log.warning("non-integer values in integer column %r set to NULL: %d", col, n)
     for col, n in undated.items():
-        log.warning("text in datetime column %r that is no ISO datetime set to NULL: %d", col, n)
-    metrics.update(status=mode, table=fq_final, parts=parts, fraction_nulls=fractions, datetime_nulls=undated)
+        log.warning("text in datetime column %r that is no %s datetime set to NULL: %d", col, formats.get(col, "iso"), n)
+    for col, names in ambiguous.items():
+        log.warning("datetimes of column %r fit %s; read as %s", col, names, names[0])
+    metrics.update(status=mode, table=fq_final, parts=parts, fraction_nulls=fractions, datetime_nulls=undated,
+                   datetime_formats=formats, datetime_ambiguous=ambiguous)
     log.info("loaded %s (%s): %s rows", fq_final, mode, metrics.get("rowcount"))
     return metrics
 

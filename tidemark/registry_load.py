@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,6 +175,23 @@ _TYPED = (f"SELECT o_orderkey, CAST({_PRICE} AS DECIMAL(12,2)) AS price_dec, CAS
 _TYPED_TARGET = T.StructType([T.StructField(c, T.LongType()) for c in ("o_orderkey", "price_dec", "price_dbl")])
 
 
+_WRITTEN_AT = "o_orderdate + to_seconds(CAST(o_orderkey * 7919 % 86400 AS BIGINT))"
+
+
+@register("p_dt_formats", f"""
+SELECT o_orderkey AS trip_id, {_WRITTEN_AT} AS lpep_pickup_datetime,
+  date_trunc('minute', {_WRITTEN_AT} + INTERVAL 1 DAY) AS lpep_dropoff_datetime FROM orders""")
+def p_dt_formats(spark, sf):
+    """A load whose pickup column is written with the month first and hours of
+    twelve, and whose dropoff column is ISO without seconds."""
+    at = F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey") * 7919 % 86400)
+    rows = read_table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("trip_id"), F.date_format(at, "M/d/yyyy h:mm:ss a").alias("lpep_pickup_datetime"),
+        F.date_format(at + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm").alias("lpep_dropoff_datetime"))
+    m = ingest(spark, fx.write_text(spark, rows, "formats"), _name("formats"), database=scratch_database(spark))
+    return spark.table(m["table"])
+
+
 def _typed_prices(spark, sf) -> DataFrame:
     return spark.sql(_TYPED.replace("{t}", "{o}"), o=fx.orders(spark, sf))
 
@@ -233,6 +251,23 @@ def s_parquet_drift(spark, sf):
     return _read_back(spark, path, "parquet", parquet_target_schema(o.schema))
 
 
+@register("c_parquet_widen", """
+SELECT o_orderkey, CAST(CASE WHEN early THEN o_custkey ELSE o_custkey + 0.5 END AS DOUBLE) AS o_custkey,
+  CASE WHEN early THEN round(CAST(o_totalprice AS DECIMAL(18, 2)), 1) ELSE CAST(o_totalprice AS DECIMAL(18, 2)) END::DOUBLE AS o_totalprice,
+  CAST(o_orderkey % 1000 AS BIGINT) AS rest
+FROM (SELECT *, coalesce(o_orderdate < TIMESTAMP '1998-01-01', false) AS early FROM orders)""")
+def c_parquet_widen(spark, sf):
+    """A first load of files that differ in types: bigint and fractions in the later
+    file, decimals of two scales, int and bigint."""
+    early, late = fx.split_early(fx.orders(spark, sf))
+    price, rest = F.col("o_totalprice").cast("decimal(18,2)"), F.col("o_orderkey") % 1000
+    a = early.select("o_orderkey", "o_custkey", F.round(price, 1).cast("decimal(12,1)").alias("o_totalprice"), rest.cast("int").alias("rest"))
+    b = late.select("o_orderkey", (F.col("o_custkey") + F.lit(0.5)).alias("o_custkey"), price.alias("o_totalprice"), rest.cast("bigint").alias("rest"))
+    folder = fx.write_parquet(spark, a, "widen_a"), fx.write_parquet(spark, b, "widen_b")
+    m = ingest(spark, list(folder), _name("widen"), database=scratch_database(spark))
+    return spark.table(m["table"]).withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+
+
 # Suffixes cycled over page ids to form file names for format routing.
 _SUFFIXES = (".csv", ".CSV.GZ", ".tsv", ".tsv.gz", ".parquet", ".parquet.gz", ".json", "", ".Parquet", ".csv.bz2")
 _SUFFIX_CASE_SQL = "CASE CAST(page_id % {n} AS INT) " + " ".join(
@@ -717,6 +752,86 @@ def st_landing_batches(spark, sf):
     return spark.table(f"{db}.{t}")
 
 
+def _landed(spark, landing: str, t: str, **kwargs):
+    """One run of the stream to its end; the error that stopped it, if any."""
+    from tidemark.streaming import landing_stream
+
+    q = landing_stream(spark, landing, t, database=scratch_database(spark), **kwargs)
+    try:
+        q.awaitTermination()
+    except StreamingQueryException as e:
+        return e
+    return q.exception()
+
+
+@register("st_parquet_drift", """
+SELECT o_orderkey, CAST(CASE WHEN coalesce(o_orderdate < TIMESTAMP '1998-01-01', false) THEN o_custkey ELSE o_custkey + 0.5 END AS DOUBLE) AS o_custkey,
+  o_totalprice FROM orders""")
+def st_parquet_drift(spark, sf):
+    """Landed Parquet whose files hold the key as bigint and as fractions, and the
+    columns in another order: merged at the start, then conformed file by file."""
+    from tidemark.session import scratch_path
+
+    landing, t = scratch_path(spark, "landing"), _name("st_drift")
+    early, late = fx.split_early(fx.orders(spark, sf))
+    early.select("o_orderkey", "o_custkey", "o_totalprice").write.parquet(landing)
+    late.select("o_totalprice", (F.col("o_custkey") + F.lit(0.5)).alias("o_custkey"), "o_orderkey").write.mode("append").parquet(landing)
+    e = _landed(spark, landing, t, fmt="parquet", max_files_per_trigger=1)
+    if e:
+        raise e
+    return spark.table(f"{scratch_database(spark)}.{t}")
+
+
+@register("st_parquet_missing", "SELECT * FROM orders WHERE coalesce(o_orderdate < TIMESTAMP '1998-01-01', false)")
+def st_parquet_missing(spark, sf):
+    """A file that lands without a required column fails its batch: the table keeps
+    the rows of the files before it."""
+    from tidemark.session import scratch_path
+
+    landing, t = scratch_path(spark, "landing"), _name("st_missing")
+    early, late = fx.split_early(fx.orders(spark, sf))
+    early.write.parquet(landing)
+    e = _landed(spark, landing, t, fmt="parquet")
+    if e:
+        raise e
+    late.drop("o_custkey").withColumn("o_totalprice", F.col("o_totalprice") + 0.5).write.mode("append").parquet(landing)
+    if "missing columns" not in str(_landed(spark, landing, t, fmt="parquet")):
+        raise AssertionError("a file without a required column was accepted")
+    return spark.table(f"{scratch_database(spark)}.{t}")
+
+
+@register("v_month_stream", """
+SELECT count(*) AS rowcount, count(*) FILTER (WHERE d >= TIMESTAMP '1997-03-01' AND d < TIMESTAMP '1997-04-01') AS inside_month,
+  count(*) FILTER (WHERE d < TIMESTAMP '1997-03-01' OR d >= TIMESTAMP '1997-04-01') AS outside_month,
+  count(*) FILTER (WHERE d IS NULL) AS null_dt, min(d) AS min_dt, max(d) AS max_dt,
+  count(*) FILTER (WHERE d < TIMESTAMP '1997-03-01' OR d >= TIMESTAMP '1997-04-01') > 200 OR
+  count(*) FILTER (WHERE d < TIMESTAMP '1997-03-01' OR d >= TIMESTAMP '1997-04-01') / count(*) > 0.005 AS exceeds,
+  count(*) FILTER (WHERE o_orderkey % 10 = 0) AS datetime_nulls
+FROM (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END AS d, o_orderkey FROM orders)""")
+def v_month_stream(spark, sf):
+    """The verdict of a month's stream over all of its batches, a file each and in
+    two runs; a tenth of the datetimes is no datetime."""
+    from tidemark.session import scratch_path
+    from tidemark.streaming import stream_report
+
+    landing, t, db = scratch_path(spark, "landing"), _name("green") + "_tripdata_1997_03", scratch_database(spark)
+    texts = fx.as_text(fx.green_trips(spark, sf)).withColumn(
+        "lpep_pickup_datetime", F.when(F.col("trip_id").cast("bigint") % 10 == 0, F.lit("soon")).otherwise(F.col("lpep_pickup_datetime")))
+    target = T.StructType([T.StructField("trip_id", T.LongType()), T.StructField("lpep_pickup_datetime", T.TimestampNTZType()),
+                           T.StructField("lpep_dropoff_datetime", T.TimestampNTZType())])
+    for half in (0, 1):
+        texts.where(F.col("trip_id").cast("bigint") % 2 == half).repartition(2, "trip_id").write.option("header", "true").mode("append").csv(landing)
+        e = _landed(spark, landing, t, fmt="csv", target=target, max_files_per_trigger=1)
+        if e:
+            raise e
+    r = stream_report(spark, t, db)["totals"]
+    row = (r["rowcount"], r["inside_month"], r["outside_month"], r["null_dt"], r["min_dt"], r["max_dt"], r["exceeds"],
+           r["datetime_nulls"].get("lpep_pickup_datetime", 0))
+    return (spark.createDataFrame([row], "rowcount bigint, inside_month bigint, outside_month bigint, null_dt bigint, min_dt string, "
+                                         "max_dt string, exceeds boolean, datetime_nulls bigint")
+            .withColumn("min_dt", F.col("min_dt").cast("timestamp_ntz")).withColumn("max_dt", F.col("max_dt").cast("timestamp_ntz")))
+
+
 # ------------------------------------------------- queries over a load --
 def _published(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The source's flow: trips and zones loaded from files into published tables."""
@@ -725,7 +840,7 @@ def _published(spark, sf) -> tuple[DataFrame, DataFrame]:
                    _name("green_tripdata"), database=db)
     zones = ingest(spark, fx.write_text(spark, zones_from_nation(spark, sf), "zones"), _name("taxi_zone_lookup"),
                    database=db)
-    return spark.table(trips["table"]), spark.table(zones["table"])
+    return pub.read_published(spark, *trips["table"].split(".")), spark.table(zones["table"])
 
 
 @register("q_zone_revenue_published", ORACLE_SQL["q_zone_revenue"])
