@@ -171,7 +171,7 @@ def test_landed_partition_folders(spark, db, tmp_path):
     ("2024-01-05 10:07", "iso", "2024-01-05 10:07:00"), ("2024-01-05T10:07Z", "iso", "2024-01-05 10:07:00"),
     ("01/05/2024 10:00:00 AM", "month/day/year", "2024-01-05 10:00:00"), ("1/5/2024 12:00 am", "month/day/year", "2024-01-05 00:00:00"),
     ("1/5/2024 12:30:01 PM", "month/day/year", "2024-01-05 12:30:01"), ("12/31/2024 23:59", "month/day/year", "2024-12-31 23:59:00"),
-    ("31/12/2024 23:59", "month/day/year", None), ("31/12/2024", "day/month/year", "2024-12-31 00:00:00"), ("1/5/2024 13:00 PM", "month/day/year", None),
+    ("31/12/2024 23:59", "month/day/year", None), ("31/12/2024", "day/month/year", "2024-12-31 00:00:00"), ("1/5/2024 13:00 PM", "month/day/year", None), ("1/5/2024 24:00", "month/day/year", None),
     ("1/5/2024 0:10 AM", "month/day/year", None), ("5.1.2024 7:08:09.25", "day.month.year", "2024-01-05 07:08:09.250000"),
     ("2024/1/5 07:08", "year/month/day", "2024-01-05 07:08:00"), ("20240105", "yearmonthday", "2024-01-05 00:00:00"),
     ("02/30/2024", "month/day/year", None), ("1/5/24", "month/day/year", None), ("01-05-2024", "month-day-year", "2024-01-05 00:00:00")])

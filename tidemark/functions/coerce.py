@@ -23,19 +23,21 @@ DATETIME_PATTERN = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}"
                     r"(:[0-9]{2}([.][0-9]{1,9})?(Z|[+-][0-9]{2}:[0-9]{2})?)?)?$")
 # a zone right after the minutes, which the cast does not read
 ZONED_MINUTE_PATTERN = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2})(Z|[+-][0-9]{2}:[0-9]{2})$"
-# Other ways to write a datetime, by name: a pattern of the date, and
-# its year, month and day as groups. A time may follow. Where a column fits
-# several, the first one is taken. ``iso`` is the pattern above.
-_TIME = r"(?:[ T]+([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:[.][0-9]{1,9})?)?))?(?: *[AaPp][Mm])?"
+# Other ways to write a datetime, by name: the order of month, day
+# and year, and what stands between them. A time may follow, of a day or of twelve
+# hours with AM or PM. Where a column fits several, the first one is taken.
+_YEAR, _MONTH, _DAY = "([0-9]{4})", "(0?[1-9]|1[0-2])", "(0?[1-9]|[12][0-9]|3[01])"
+_TIME = (r"(?:[ T]+((?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:[.][0-9]{1,9})?)?))?"
+         r"|[ T]+((?:0?[1-9]|1[0-2]):[0-5][0-9](?::[0-5][0-9](?:[.][0-9]{1,9})?)?) *(?:[Aa]|([Pp]))[Mm]")
 DATETIME_FORMATS = {
     "iso": None,
-    "month/day/year": (r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", "$3-$1-$2"),
-    "day/month/year": (r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", "$3-$2-$1"),
-    "month-day-year": (r"([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})", "$3-$1-$2"),
-    "day-month-year": (r"([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})", "$3-$2-$1"),
-    "day.month.year": (r"([0-9]{1,2})[.]([0-9]{1,2})[.]([0-9]{4})", "$3-$2-$1"),
-    "year/month/day": (r"([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3"),
-    "yearmonthday": (r"([0-9]{4})([0-9]{2})([0-9]{2})", "$1-$2-$3"),
+    "month/day/year": (f"{_MONTH}/{_DAY}/{_YEAR}", "$3-$1-$2"),
+    "day/month/year": (f"{_DAY}/{_MONTH}/{_YEAR}", "$3-$2-$1"),
+    "month-day-year": (f"{_MONTH}-{_DAY}-{_YEAR}", "$3-$1-$2"),
+    "day-month-year": (f"{_DAY}-{_MONTH}-{_YEAR}", "$3-$2-$1"),
+    "day.month.year": (f"{_DAY}[.]{_MONTH}[.]{_YEAR}", "$3-$2-$1"),
+    "year/month/day": (f"{_YEAR}/{_MONTH}/{_DAY}", "$1-$2-$3"),
+    "yearmonthday": (r"([0-9]{4})(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])", "$1-$2-$3"),
 }
 # Whitespace a numeric parser skips around a value (C isspace).
 EDGE_WS = " \t\n\x0b\x0c\r"
@@ -123,25 +125,27 @@ def to_datetime(c: Column | str, target: T.DataType = T.TimestampNTZType(), fmt:
     if fmt == "iso":
         return (F.when(s.rlike(DATETIME_PATTERN), s.try_cast(target))
                  .when(s.rlike(ZONED_MINUTE_PATTERN), F.regexp_extract(s, ZONED_MINUTE_PATTERN, 1).try_cast(target)))
-    date, order = DATETIME_FORMATS[fmt]
-    pattern = f"^{date}{_TIME}$"
-    ts = F.regexp_replace(s, pattern, order + " $4").try_cast(T.TimestampNTZType())
+    pattern, order = _pattern(fmt), DATETIME_FORMATS[fmt][1]
+    ts = F.regexp_replace(s, pattern, order + " $4$5").try_cast(T.TimestampNTZType())
+    # hours of twelve: 12 is the first of each half
     half = F.upper(F.regexp_extract(s, "([AaPp])[Mm]$", 1))
-    hour, twelve = F.hour(ts), F.expr("INTERVAL 12 HOURS")
-    ts = (F.when(half == "", ts).when((hour == 0) | (hour > 12), F.lit(None))
-           .when((half == "P") & (hour < 12), ts + twelve).when((half == "A") & (hour == 12), ts - twelve).otherwise(ts))
-    return F.when(s.rlike(pattern), ts).cast(target)
+    hours = F.when(half == "P", 12).otherwise(0) - F.when((half != "") & (F.hour(ts) == 12), 12).otherwise(0)
+    return F.when(s.rlike(pattern), ts + F.make_dt_interval(hours=hours)).cast(target)
+
+
+def _pattern(fmt: str) -> str:
+    return f"^{DATETIME_FORMATS[fmt][0]}(?:{_TIME})$"
 
 
 def datetime_fits(c: Column | str) -> Column:
-    """The formats that read a text, as a number with a bit for each of them; NULL
-    for NULL. ``bit_and`` of it over a column has the formats that fit all values."""
-    others = [F.when(to_datetime(c, fmt=f).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
-              for i, f in enumerate(DATETIME_FORMATS) if f != "iso"]
-    either = others[0]
-    for o in others[1:]:
-        either = either + o
-    return F.when(_col(c).isNotNull(), F.when(to_datetime(c).isNotNull(), F.lit(1)).otherwise(either))
+    """The formats that a text is written in, as a number with a bit for each of
+    them; NULL for NULL. ``bit_and`` of it over a column has the formats that all
+    values are written in. A day that its month does not have fits by its form."""
+    others = F.lit(0)
+    for i, f in enumerate(DATETIME_FORMATS):
+        if f != "iso":
+            others = others + F.when(strip_ws(c).rlike(_pattern(f)), F.lit(1 << i)).otherwise(F.lit(0))
+    return F.when(_col(c).isNotNull(), F.when(to_datetime(c).isNotNull(), F.lit(1)).otherwise(others))
 
 
 def fitting_formats(bits: int | None) -> list[str]:
