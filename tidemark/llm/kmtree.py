@@ -32,8 +32,8 @@ BRANCH, LEAF_ROWS, ROUNDS = 8, 48, 8
 #: Mean recall that the number of visited leaves is widened to, and how many
 #: sample queries measure it.
 RECALL, PROBES = 0.98, 200
-#: Rows of a bin.
-BIN_ROWS = 4096
+#: Rows of a bin, and queries compared with them at a time.
+BIN_ROWS, QUERIES = 4096, 512
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +216,7 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector: str = "e
            .sortWithinPartitions("bin", F.col("leaf").isNull(), "leaf", "id"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, table = None, [], {}
+        now, held, cand, rows, places = None, [], None, None, {}
         for b in batches:
             bins, ids, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), dim)
             leaf, asked_ = b.column(3).to_numpy(zero_copy_only=False), b.column(3).is_null().to_numpy(zero_copy_only=False)
@@ -224,30 +224,38 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector: str = "e
             edges = np.flatnonzero(np.r_[True, (bins[1:] != bins[:-1]) | (asked_[1:] != asked_[:-1]), True]) if len(bins) else []
             for a, z in zip(edges, edges[1:]):
                 if bins[a] != now:
-                    now, rows, table = bins[a], [], {}
+                    now, held, cand, places = bins[a], [], None, {}
                 if not asked_[a]:  # rows of a bin come before its queries
-                    rows.append((ids[a:z], x[a:z], leaf[a:z].astype(np.int64)))
+                    held.append((ids[a:z], x[a:z], leaf[a:z].astype(np.int64)))
                     continue
-                if not table and rows:
-                    all_i, all_x, all_l = (np.concatenate(c) for c in zip(*rows))
-                    cuts = np.flatnonzero(np.r_[True, all_l[1:] != all_l[:-1], True])
-                    table = {int(all_l[c]): (all_i[c:d], all_x[c:d]) for c, d in zip(cuts, cuts[1:])}
-                lists = b.column(4).slice(a, z - a)
-                lens = pc.list_value_length(lists).to_numpy()
-                who, wants = np.repeat(np.arange(a, z), lens), lists.flatten().to_numpy()
-                found += [near(ids, x, who[wants == lf], *table[lf]) for lf in np.unique(wants).tolist() if lf in table]
+                if cand is None and held:
+                    cand, rows, leaves = (np.concatenate(c) for c in zip(*held))
+                    cuts = np.flatnonzero(np.r_[True, leaves[1:] != leaves[:-1], True])
+                    places = {int(leaves[c]): slice(c, d) for c, d in zip(cuts, cuts[1:])}
+                for i in range(a, z if places else a, QUERIES):
+                    j = min(i + QUERIES, z)
+                    lists = b.column(4).slice(i, j - i)
+                    who, wants = np.repeat(np.arange(j - i), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+                    found.append(near(ids[i:j], x[i:j], who, wants, cand, rows, places))
             yield best_of(found, b.column(1).type)
 
-    def near(ids: np.ndarray, x: np.ndarray, who: np.ndarray, cand: np.ndarray, rows: np.ndarray):
-        """(query, candidate, score) of the best rows of a leaf for its queries."""
-        score = np.einsum("ij,kj->ik", x[who], rows)  # the same sum for equal vectors
-        score[ids[who][:, None] == cand[None]] = -np.inf  # not the query itself
-        by_id = np.argsort(cand, kind="stable")
-        top = by_id[np.argsort(-score[:, by_id], 1, kind="stable")[:, :k]]
-        at = np.repeat(np.arange(len(who)), top.shape[1])
-        value = score[at, top.ravel()]
-        ok = value > -np.inf
-        return ids[who][at[ok]], cand[top.ravel()[ok]], value[ok]
+    def near(ids: np.ndarray, x: np.ndarray, who: np.ndarray, wants: np.ndarray, cand: np.ndarray, rows: np.ndarray, places: dict[int, slice]):
+        """(query, candidate, score) of the best rows of a bin for queries, each in
+        the leaves that it ``wants``; fast products find them, exact ones score them."""
+        rough = np.full((len(ids), len(cand)), -np.inf)
+        order = np.argsort(wants, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, wants[order][1:] != wants[order][:-1], True]) if len(wants) else []
+        for c, d in zip(cuts, cuts[1:]):
+            own, at = who[order[c:d]], places.get(int(wants[order[c]]))
+            if at is not None:
+                rough[own, at] = x[own] @ rows[at].T
+        rough[ids[:, None] == cand[None]] = -np.inf  # not the query itself
+        least = np.full(len(ids), -np.finfo(np.float64).max)
+        if len(cand) > k:  # what is below the k-th by more than the rounding cannot be among the best
+            size = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", rows, rows).max())
+            least = np.maximum(least, np.partition(rough, len(cand) - k, 1)[:, len(cand) - k] - 1e-12 * size)
+        at, other = np.nonzero(rough >= least[:, None])
+        return ids[at], cand[other], np.einsum("ij,ij->i", x[at], rows[other])  # the same sum for equal vectors
 
     def best_of(found: list, id_type: pa.DataType) -> pa.RecordBatch:
         q, c, s = (np.concatenate(z) if found else np.zeros(0) for z in (zip(*found) if found else ((), (), ())))
@@ -260,6 +268,7 @@ def search(vectors: DataFrame, queries, id_col: str = "vec_id", vector: str = "e
         return pa.RecordBatch.from_arrays([pa.array(q, id_type), pa.array(c, id_type), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (met.mapInArrow(compare, f"query_id {kind}, vec_id {kind}, score double").dropDuplicates(["query_id", "vec_id"])
+    return (met.mapInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
+            .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
             .withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
