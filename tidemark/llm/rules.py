@@ -120,9 +120,9 @@ def judge(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text: str
             base = [counts(t) for t in texts]
             failed = np.array([base_failed(r[0], r[4]) for r in base], bool)
             at, n = gram_buckets(texts)
-            total = np.r_[0.0, np.cumsum(held.value[at])]
-            ends = np.cumsum(n)
-            llr = (total[ends] - total[ends - n]) / np.maximum(n, 1)
+            llr, some = np.zeros(len(n)), np.flatnonzero(n)
+            if len(some):  # a sum of each document's own, whatever is beside it
+                llr[some] = np.add.reduceat(held.value[at], (np.cumsum(n) - n)[some]) / n[some]
             cols = [pa.array([r[k] for r in base], pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *cols, pa.array(failed), pa.array(llr), pa.array(~failed & (llr >= threshold))],
