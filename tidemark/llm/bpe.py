@@ -448,5 +448,5 @@ def _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests, with_id
     out = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     out += ", ids array<int>" if with_ids else ""
     out += f", `{position}` {docs.schema[position].dataType.simpleString()}" if position else ""
-    return (docs.select(F.col(id_col), F.col(text).alias("text"), *([F.col(position)] if position else []))
+    return (docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").alias("text"), *([F.col(f"`{position}`")] if position else []))
             .mapInArrow(run, f"`{id_col}` {id_type}, {out}"))

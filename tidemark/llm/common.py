@@ -54,19 +54,23 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a column ``name`` that counts its rows, from 0, in the order
     in which Spark wrote them to the files that ``df`` reads. Spark itself reads
     files in no such order. A frame of no files has an order of its own; its
-    numbers have gaps.
+    numbers have gaps. A column of that name is replaced; any others may be there.
     """
-    plain = [F.col(f"`{c}`") for c in df.columns]
+    plain = {f"c{i}": c for i, c in enumerate(df.columns) if c.lower() != name.lower()}
+    own = [F.col(f"`{c}`").alias(k) for k, c in plain.items()]
     try:
-        rows = df.select(*plain, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        files = df.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count("*").alias("_n"))
+        place = df.metadataColumn("_metadata")
+        rows = df.select(*own, place["file_name"].alias("file"), place["row_index"].alias("row"))
     except AnalysisException:
-        return df.withColumn(name, F.monotonically_increasing_id())
-    # part-00012-...-c001...: written by task 12, its second file
-    task, nth = (F.regexp_extract("_file", p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\b"))
-    before = Window.orderBy(task, nth, "_file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    start = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(F.broadcast(start), "_file").select(*plain, (F.col("_start") + F.col("_row")).alias(name))
+        rows = df.select(*own, F.monotonically_increasing_id().alias("at"))
+    else:
+        # part-00012-...-c001...: written by task 12, its second file
+        task, nth = (F.regexp_extract("file", p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\b"))
+        before = Window.orderBy(task, nth, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+        start = (rows.groupBy("file").agg(F.count("*").alias("n"))
+                 .select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+        rows = rows.join(F.broadcast(start), "file").withColumn("at", F.col("start") + F.col("row"))
+    return rows.select(*(F.col(k).alias(c) for k, c in plain.items()), F.col("at").alias(name))
 
 
 def fold(col: Column, parts: int) -> Column:
