@@ -33,7 +33,7 @@ from tidemark.sources.paths import (
     FileFormat, detect_format, month_path, month_table, table_name_from_url,
 )
 from tidemark.session import scratch_database
-from tidemark.sources.text import file_stats, read_delimited
+from tidemark.sources.text import DEFAULT_SEP, file_stats, read_delimited, splits_by_range
 
 POLICIES = ("skip", "fail", "replace", "append")
 log = logging.getLogger("tidemark.ingest")
@@ -68,17 +68,19 @@ def _parallelism(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def needs_spread(spark: SparkSession, sources: list[str], multi_line: bool) -> bool:
+def needs_spread(spark: SparkSession, sources: list[str], multi_line: bool, sep: str = ",", encoding: str = "UTF-8") -> bool:
     """Should parsed rows of unsplittable text be spread before the per-value work?
 
     Yes when there are fewer files than cores, or when one file is a hot
     source (several times the mean file size): its single task would
-    otherwise conform and write that whole share alone. Splittable input is
-    split by Spark itself. Decided from file sizes (listing only).
+    otherwise conform and write that whole share alone. Splittable input, large
+    plain files of multi-line records too, is read by many tasks already. Decided from file sizes (listing only).
     """
     n, total, largest, gzipped = file_stats(spark, sources)
     if n == 0 or not (multi_line or gzipped):
         return False
+    if multi_line and splits_by_range(spark, sources, sep, encoding):
+        return False
     if n < _parallelism(spark):
         return True
     return largest > HOT_FILE_FLOOR_BYTES and largest > HOT_FILE_FACTOR * (total / n)
@@ -132,7 +134,7 @@ def read_conformed(spark: SparkSession, sources: list[str], fmt: FileFormat,
             require_columns(raw.columns, target, what=f"Parquet file {files[0]}")
         parts = [conform_typed(observed(raw, target, False, observe, observations, formats), target, formats) for _, raw in scans]
         return reduce(DataFrame.unionAll, parts), target, observations
-    hot = needs_spread(spark, sources, multi_line)
+    hot = needs_spread(spark, sources, multi_line, sep or DEFAULT_SEP[fmt.value], encoding)
     groups = []
     for h, g in read_delimited(spark, sources, fmt.value, sep, encoding, multi_line):
         if hot and target is None and cleanup is not None:

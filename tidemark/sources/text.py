@@ -4,11 +4,13 @@ Every field is read as text; typing happens in ``operators.conform``.
 Spark binds an explicit schema by position, so each given path's header line
 is read first (one record) and paths are grouped by header; each group is
 read with a schema of its header names, which Spark checks against the
-header of every file it opens (files inside one folder included).
+header of every file it opens (files inside one folder included). Large plain
+files are read by many tasks, quoted line breaks or not (``split_text``).
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, OrderedDict
 from concurrent.futures import ThreadPoolExecutor
 
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.errors import DuplicateColumnsError, EmptyLoadError, UnsupportedFormatError
 from tidemark.functions.identifiers import WHITESPACE_CHARS
+from tidemark.sources.split_text import read_records
 
 # Characters a delimiter may not be, per format.
 _FORBIDDEN = {"csv": {"\n", "\r", "\t", "'", '"'}, "tsv": {"\n", "\r", "'", '"'}}
@@ -85,9 +88,10 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv"
                    encoding: str = "UTF-8", multi_line: bool = True) -> list[tuple[list[str], DataFrame]]:
     """Return one (header, all-text DataFrame) per distinct header among ``paths``.
 
-    ``multi_line`` keeps quoted newlines inside a field (pandas parity); it
-    makes each file one split, as ``.gz`` does anyway. Turn it off for large
-    plain files without embedded newlines so they are split across tasks.
+    ``multi_line`` keeps quoted newlines inside a field (pandas parity). Files of
+    one split then go to Spark's reader, a task each, as ``.gz`` does anyway;
+    larger plain files are joined to records by ranges, with the same rows.
+    Turned off, Spark's reader splits files that have no embedded newlines.
     Short rows are padded with NULL, extra trailing fields are ignored.
     """
     sep = check_delimiter(sep if sep is not None else DEFAULT_SEP.get(fmt, ","), fmt)
@@ -105,6 +109,11 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv"
         # the schema carries the names as written and Spark checks every file's
         # header against it while reading (a folder whose files disagree fails
         # instead of binding columns by position); then names are trimmed
+        if multi_line and splits_by_range(spark, group, sep, encoding):
+            df = read_records(spark, group, list(raw), sep)
+            if df is not None:
+                out.append((names, df.toDF(*names)))
+                continue
         schema = T.StructType([T.StructField(n, T.StringType(), True) for n in raw])
         df = (_reader(spark, sep, encoding, multi_line).option("header", "true")
               .option("enforceSchema", "false").schema(schema).csv(group))
@@ -112,6 +121,23 @@ def read_delimited(spark: SparkSession, paths: str | list[str], fmt: str = "csv"
     return out
 
 
+def _bytes(text: str) -> int:
+    """A size as Spark writes it: ``128m``, ``134217728b``, ``1gb``."""
+    number, unit = re.fullmatch(r"\s*([0-9]+)\s*([a-z]?)b?\s*", text.lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit]
+
+
+def splits_by_range(spark: SparkSession, paths: list[str], sep: str, encoding: str) -> bool:
+    """Is a file longer than one split, and can its ranges be read by themselves?
+    Not where it is compressed, or in an encoding whose bytes hide separators."""
+    if encoding.upper().replace("_", "-") not in ("UTF-8", "UTF8", "US-ASCII") or not sep.isascii():
+        return False
+    if all(p.lower().endswith(".gz") for p in paths):
+        return False
+    _, _, largest, gzipped = file_stats(spark, paths)
+    return not gzipped and largest > _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+
+
 def file_stats(spark: SparkSession, paths: list[str]) -> tuple[int, int, int, int]:
     """(files, total bytes, largest file bytes, gzip files) behind ``paths``.
 
