@@ -33,6 +33,7 @@ PROPERTY_PREFIX = "tidemark."
 PARTS_PROPERTY = "tidemark.parts"
 GENERATION_PROPERTY = "tidemark.generation"
 PREVIOUS_PROPERTY = "tidemark.previous"
+BUCKETS_PROPERTY = "tidemark.buckets"
 RUN_MARK = "__r_"
 
 
@@ -48,16 +49,37 @@ def fq(database: str, name: str) -> str:
     return f"{sanitize_ident(database)}.{sanitize_ident(name)}"
 
 
-def stage(df: DataFrame, database: str, final: str, name: str | None = None) -> str:
+def write_part(df: DataFrame, database: str, name: str, buckets: tuple[str, int] | None = None) -> None:
+    """Write one physical part. With ``buckets``, (column, number), its rows are
+    dealt by a hash of the column, a file for each bucket, sorted by it. Parts
+    that are dealt alike join and group by that column where they are stored."""
+    w = df.write
+    if buckets:
+        column, n = buckets
+        w = df.repartition(n, quote_ident(column)).write.bucketBy(n, column).sortBy(column)
+    w.format("parquet").mode("errorifexists").saveAsTable(fq(database, name))
+
+
+def published_buckets(props: dict[str, str]) -> tuple[str, int] | None:
+    """(column, number of buckets) that the parts of a published table are dealt by."""
+    number, _, column = props.get(BUCKETS_PROPERTY, "").partition(":")
+    return (column, int(number)) if column else None
+
+
+def bucket_props(buckets: tuple[str, int] | None) -> dict[str, str]:
+    return {BUCKETS_PROPERTY: f"{buckets[1]}:{buckets[0]}"} if buckets else {}
+
+
+def stage(df: DataFrame, database: str, final: str, name: str | None = None, buckets: tuple[str, int] | None = None) -> str:
     """Write the conformed rows as a new physical table (W1). Returns its name.
 
     ``name`` is a physical name from :func:`physical_name`; a fresh run id is
-    used when it is not given.
+    used when it is not given. ``buckets``: see :func:`write_part`.
     """
     name = name or physical_name(final, new_run_id())
     if not name.startswith(final + RUN_MARK):
         raise IngestError(f"staged name {name!r} does not belong to {final!r}")
-    df.write.format("parquet").mode("errorifexists").saveAsTable(fq(database, name))
+    write_part(df, database, name, buckets)
     return name
 
 
@@ -167,7 +189,8 @@ def compact(spark: SparkSession, database: str, final: str, max_parts: int = 1)
     merged = physical_name(final, new_run_id())
     try:
         union = reduce(DataFrame.unionAll, [spark.table(fq(database, p)) for p in merge])
-        stage(time_sorted(union), database, final, merged)
+        buckets = published_buckets(props)
+        stage(union if buckets else time_sorted(union), database, final, merged, buckets)
         analyze(spark, database, merged)
         _flip(spark, database, final, parts, keep + [merged], props, merged)
     except BaseException:

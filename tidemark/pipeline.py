@@ -190,7 +190,7 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
            max_outside_rows: int = MAX_OUTSIDE_ROWS, max_outside_ratio: float = MAX_OUTSIDE_RATIO,
            fail_on_outside_month: bool = False, fail_on_bad_datetimes: bool = False,
            datetime_formats: dict[str, str] | None = None, analyze_columns: bool = False, compact_after: int | None = 64, cluster_by_time: bool = True,
-           fail_after: str | None = None) -> dict:
+           bucket_by: tuple[str, int] | None = None, fail_after: str | None = None) -> dict:
     """Load ``source`` (one path, a list, or a directory/glob) into ``table``.
 
     Returns the validation metrics plus ``status``, ``parts``,
@@ -201,7 +201,10 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
     (``datetime_formats`` of the result; ``datetime_ambiguous`` where several fit
     and the first was taken). ``datetime_formats`` names formats by column
     beforehand. ``cluster_by_time`` sorts each written file by the
-    pickup datetime column (when there is one). ``fail_after`` (tests) raises
+    pickup datetime column (when there is one). ``bucket_by``, (column, number),
+    deals the rows of every part into buckets of that column, sorted by it
+    instead; appends and compaction keep it, and tables dealt alike join by the
+    column without a shuffle. ``fail_after`` (tests) raises
     after the named stage.
     """
     sources = [source] if isinstance(source, str) else list(source)
@@ -216,8 +219,13 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
     f = _fmt_of(sources, fmt)
 
     exists = spark.catalog.tableExists(fq_final)
+    buckets = bucket_by
     if exists:
-        pub.published_parts(spark, db, final)      # fails fast on a table not published here
+        _, props = pub.published_state(spark, db, final)      # fails fast on a table not published here
+        kept = pub.published_buckets(props)
+        if if_exists == "append" and bucket_by not in (None, kept):
+            raise ValueError(f"{fq_final} is dealt by {kept}; an append cannot deal its rows by {bucket_by}")
+        buckets = bucket_by or kept
     if exists and if_exists == "skip":
         return {"status": "skipped", "table": fq_final}
     if exists and if_exists == "fail":
@@ -243,10 +251,12 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
             conformed, target, observations = read_conformed(
                 spark, sources, f, target, sep=sep, encoding=encoding, multi_line=multi_line, cleanup=scratch, formats=formats)
             _hook("read")
-            if cluster_by_time:
+            if buckets and buckets[0] not in target.fieldNames():
+                raise ValueError(f"no column {buckets[0]!r} to deal rows by")
+            if cluster_by_time and not buckets:
                 conformed = pub.time_sorted(conformed)
             staged = pub.physical_name(final, pub.new_run_id())   # known before the write, for cleanup
-            pub.stage(conformed, db, final, staged)
+            pub.stage(conformed, db, final, staged, buckets)
             _hook("stage")
             written = _written(observations, formats)
             if not written:
@@ -267,7 +277,7 @@ def ingest(spark: SparkSession, source: str | list[str], table: str | None = Non
                 pub.cleanup_best_effort(spark, pub.fq(db, staged))
                 return {"status": "skipped", "table": fq_final}
             raise TableExistsError(f"{fq_final} was published by another run")
-        parts = pub.publish_staged(spark, db, final, staged, mode)
+        parts = pub.publish_staged(spark, db, final, staged, mode, pub.bucket_props(buckets))
         _hook("publish")
         pub.analyze(spark, db, staged, analyze_columns)
         if compact_after and len(parts) > compact_after:

@@ -237,7 +237,7 @@ def s_csv_split(spark, sf):
     path, kept = scratch_path(spark, "sources", "documents", suffix=".csv"), spark.conf.get("spark.sql.files.maxPartitionBytes")
     fx.as_text(read_table(spark, sf, "documents")).coalesce(1).write.option("header", "true").option("escape", '"').csv(path)
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
         m = ingest(spark, path, _name("documents"), fmt="csv", database=scratch_database(spark))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
@@ -729,6 +729,25 @@ def w_ingest(spark, sf):
     return spark.table(m["table"])
 
 
+@register("w_buckets", """
+SELECT o_orderkey, o_custkey, count(*) AS lines, sum(CAST(l_quantity AS DOUBLE)) AS quantity
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-06-01' GROUP BY o_orderkey, o_custkey""")
+def w_buckets(spark, sf):
+    """Orders and line items published in buckets of the order key, the latter by two
+    loads: months of orders join all line items where they are stored."""
+    db = scratch_database(spark)
+    o, li = read_table(spark, sf, "orders"), read_table(spark, sf, "lineitem")
+    orders = ingest(spark, fx.write_parquet(spark, o, "orders_b"), _name("orders_b"), database=db, bucket_by=("o_orderkey", 8))["table"]
+    t = _name("lines_b")
+    for half in (0, 1):
+        path = fx.write_parquet(spark, li.where(F.pmod("l_linenumber", F.lit(2)) == half), "lines_b")
+        lines = ingest(spark, path, t, database=db, bucket_by=("l_orderkey", 8), if_exists="append")["table"]
+    months = spark.table(orders).where("o_orderdate >= TIMESTAMP_NTZ '1997-03-01' AND o_orderdate < TIMESTAMP_NTZ '1997-06-01'")
+    return (months.join(spark.table(lines), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "o_custkey")
+            .agg(F.count("*").alias("lines"), F.sum(F.col("l_quantity").cast("double")).alias("quantity")))
+
+
 # -------------------------------------------------------------- streaming --
 @register("st_landing", "SELECT * FROM orders")
 def st_landing(spark, sf):

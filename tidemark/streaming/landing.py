@@ -224,7 +224,8 @@ def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.
             counts = []
             rows = observed(spread(batch) if _few_splits(sess, batch) else batch, target, True, True, counts, formats)
             conformed = conform_text(rows, target, formats)
-        pub.time_sorted(conformed).write.format("parquet").saveAsTable(pub.fq(db, staged))
+        buckets = pub.published_buckets(props)
+        pub.write_part(conformed if buckets else pub.time_sorted(conformed), db, staged, buckets)
         try:
             metrics = validate(sess.table(pub.fq(db, staged)), final, max_outside_rows, max_outside_ratio,
                                fail_on_outside_month and verdict_over == "batch")
