@@ -110,6 +110,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def slices_by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that a column's values take ``most`` bytes, or are one."""
+    for b in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def concat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes in one uint8 array and the n+1 offsets of the parts."""
     off = np.zeros(len(parts) + 1, np.int64)

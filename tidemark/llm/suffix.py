@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, as_bytes, concat, mix64, ranges, slices, stored
+from tidemark.llm.common import NULL_ID, as_bytes, concat, mix64, ranges, slices, slices_by_bytes, stored
 
 #: Length of the strings that count as repeated.
 WIDTH = 200
@@ -30,8 +30,12 @@ PIECE = 32
 #: Distinct segments of one owner above which its strings are counted by
 #: 128-bit fingerprints across tasks, instead of being sorted in one task.
 HOT_SEGMENTS = 4096
+#: Bytes of an owner's distinct segments above which they are counted so too.
+HOT_BYTES = 1 << 20
 #: Bytes of segments that one suffix array takes, more only for a single owner.
 ARRAY_BYTES = 1 << 19
+#: Strings of a text that are looked at together; a segment is no longer.
+CHUNK = 1 << 20
 
 _SEEDS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9F4B, 0xD1B54A32D192ED03)
 
@@ -72,7 +76,21 @@ def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 def segments(texts: list[bytes], width: int = WIDTH, piece: int = PIECE):
     """(text number, first string, strings, owner, inner) of every segment: a
     longest run of neighbouring ``width``-byte strings with one owner. Inner:
-    the owner stands in it twice, so strings may repeat inside the segment."""
+    the owner stands in it twice, so strings may repeat inside the segment.
+
+    Texts of more than ``CHUNK`` strings are taken a chunk at a time, which cuts
+    the run at its border in two segments of one owner; equal strings meet by
+    their owner all the same."""
+    long = {i for i, t in enumerate(texts) if len(t) >= CHUNK + width}
+    found = [_segments([b"" if i in long else t for i, t in enumerate(texts)], width, piece)]
+    for i in sorted(long):
+        for a in range(0, len(texts[i]) - width + 1, CHUNK):
+            doc, first, *rest = _segments([texts[i][a:a + CHUNK + width - 1]], width, piece)
+            found.append((doc + i, first + a, *rest))
+    return tuple(np.concatenate(c) for c in zip(*found)) if long else found[0]
+
+
+def _segments(texts: list[bytes], width: int, piece: int):
     t, off = concat(texts)
     pieces, w = window_hash(t, piece), width - piece + 1
     owner = _sliding_min(pieces, w)
@@ -190,7 +208,7 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> list[Column]:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH,
-          hot: int = HOT_SEGMENTS) -> DataFrame:
+          hot: int = HOT_SEGMENTS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(_id, _hash, spans array<struct<first, end>>): for each row with any, the
     byte ranges covered by strings that start at two places or more."""
     rows = docs.select(*_keyed(docs, id_col, text), F.col(text).alias("_text"))
@@ -251,19 +269,20 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: in
                   "segments")
     # one row for each distinct segment; those that repeat are covered whole
     kinds = (cuts.groupBy("owner", "print")
-             .agg(F.count("*").alias("n"), F.max("inner").alias("inner"),
+             .agg(F.count("*").alias("n"), F.max("inner").alias("inner"), F.max("bytes").alias("bytes"),
                   F.min(F.struct("_id", "_hash", "first")).alias("at")))
     kinds = stored(kinds, "kinds")
-    varied = kinds.groupBy("owner").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner")).where("kinds > 1 or inner").drop("inner")
+    varied = (kinds.groupBy("owner").agg(F.count("*").alias("kinds"), F.max("inner").alias("inner"), F.sum(F.col("bytes").cast("long")).alias("bytes"))
+              .where("kinds > 1 or inner").select("owner", ((F.col("kinds") > hot) | (F.col("bytes") > hot_bytes)).alias("large")))
     whole = (cuts.select("owner", "print", "_id", "_hash", "first", "bytes")
              .join(kinds.where("n > 1").select("owner", "print"), ["owner", "print"])
              .select("_id", "_hash", "first", (F.col("first") + F.col("bytes")).alias("end")))
     alone = (kinds.join(varied, "owner")
-             .select("owner", "print", "n", "kinds", F.col("at._id").alias("_id"), F.col("at._hash").alias("_hash"),
+             .select("owner", "print", "n", "large", F.col("at._id").alias("_id"), F.col("at._hash").alias("_hash"),
                      F.col("at.first").alias("first")))
     texts = (cuts.join(alone, ["owner", "print", "_id", "_hash", "first"])
              .dropDuplicates(["owner", "print"])
-             .select("owner", "kinds", "n", "_id", "_hash", "first", "segment"))
+             .select("owner", "large", "n", "_id", "_hash", "first", "segment"))
     texts = stored(texts, "kind-texts")
 
     def sort_owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,11 +310,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: in
              pa.array(cols[3], pa.int32())], ["_id", "_hash", "first", "end"])
 
     span_type = "_id long, _hash long, first int, end int"
-    sorted_ = (texts.where(F.col("kinds") <= hot).select("owner", "n", "_id", "_hash", "first", "segment")
+    sorted_ = (texts.where("not large").select("owner", "n", "_id", "_hash", "first", "segment")
                .repartition("owner").sortWithinPartitions("owner").mapInArrow(sort_owner, span_type))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 64):
+        for b in slices_by_bytes(batches, 4, CHUNK):
             segs = as_bytes(b.column(4))
             t, off = concat(segs)
             count = np.diff(off) - width + 1
@@ -307,7 +326,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: in
                  pa.array((np.array(b.column(3))[part] + at - off[part]).astype(np.int32))],
                 ["a", "b", "n", "_id", "_hash", "first"])
 
-    single = (texts.where(F.col("kinds") > hot).select("n", "_id", "_hash", "first", "segment")
+    single = (texts.where("large").select("n", "_id", "_hash", "first", "segment")
               .mapInArrow(strings, "a long, b long, n long, _id long, _hash long, first int"))
     often = single.groupBy("a", "b").count().where("count > 1").select("a", "b")
     counted = (single.where("n = 1").join(often, ["a", "b"])
@@ -335,8 +354,8 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def _with_spans(docs: DataFrame, id_col: str, text: str, width: int, hot: int) -> DataFrame:
-    found = spans(docs, id_col, text, width, hot)
+def _with_spans(docs: DataFrame, id_col: str, text: str, width: int, hot: int, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    found = spans(docs, id_col, text, width, hot, hot_bytes)
     names = docs.columns
     both = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], *_keyed(docs, id_col, text))
     return both.join(found, ["_id", "_hash"], "left").select(*[f"c{k}" for k in range(len(names))], "spans")
@@ -347,7 +366,7 @@ def _runs(column: pa.Array) -> list[list[tuple[int, int]]]:
 
 
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH,
-                 hot: int = HOT_SEGMENTS) -> DataFrame:
+                 hot: int = HOT_SEGMENTS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``.
 
     A null text is empty. Texts below ``width`` bytes lose nothing. A repeated
@@ -366,12 +385,12 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
                                              [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _with_spans(pair, "i", "t", width, hot).mapInArrow(
+    return _with_spans(pair, "i", "t", width, hot, hot_bytes).mapInArrow(
         run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH,
-                   hot: int = HOT_SEGMENTS) -> DataFrame:
+                   hot: int = HOT_SEGMENTS, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``docs`` with all columns, repeated bytes cut out of the text.
 
     A cut inside a character of several bytes leaves its other bytes behind;
