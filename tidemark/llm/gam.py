@@ -231,4 +231,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, text: str = "text", thresho
         for b in slices(batches):
             yield b.filter(pa.array(held.value.score(_matrix(as_bytes(b.column(at)))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = {f"c{k}": c for k, c in enumerate(docs.columns)}  # names that mapInArrow takes
+    kinds = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in plain.items())
+    kept = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in plain.items())).mapInArrow(run, kinds)
+    return kept.select(*(F.col(k).alias(c) for k, c in plain.items()))
