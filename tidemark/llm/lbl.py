@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +34,8 @@ SENT_WORDS = 1 << 17
 #: Vector size; rounds, after each of which the shards' parameters are averaged;
 #: least steps of a round; samples and noise of a step.
 SIZE, ROUNDS, STEPS, SAMPLES, NOISE = 32, 4, 160, 2048, 64
-#: Shards whose parameters are added up in one task.
-ADDED = 64
+#: Trigrams of a shard, about, and shards whose parameters are added up in one task.
+SHARD_GRAMS, ADDED = 1 << 18, 64
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -221,10 +220,12 @@ class Model:
 
 
 def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
-    """Train on all class trigrams: shards, which are the partitions of the
-    stored table, hold disjoint trigrams, train side by side, and their
-    parameters are averaged, weighted by tokens, after a round."""
+    """Train on all class trigrams: shards, by a hash of the trigram, train side
+    by side, and their parameters are averaged, weighted by tokens, after a
+    round. How Spark partitions the table makes no difference to the model."""
     grams, v = stored(grams, "trigrams"), corpus.classes
+    shards = max(1, -(-grams.count() // SHARD_GRAMS))
+    grams = grams.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
     unigram = np.ones(v)
     for r in grams.groupBy((F.col("gram") % v).alias("w")).agg(F.sum("n").alias("n")).collect():  # one row for each class
         unigram[r.w] += r.n
@@ -236,16 +237,14 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
     for k in range(ROUNDS):
         held = context.broadcast((model, unigram))
 
-        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-            if parts:
-                g, n = (np.concatenate(x) for x in zip(*parts))
-                del parts
-                start, noise = held.value
-                m = Model(*(x.copy() for x in (start.r, start.q, start.b, start.c)))
-                shard = TaskContext.get().partitionId()
-                m.train(g, n, noise, seed * 1000 + k + (shard << 20), 0.08 / (1 + k))
-                yield pa.RecordBatch.from_pydict({"shard": [shard], "tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
+        def one(table: pa.Table) -> pa.Table:
+            table = table.sort_by("gram")
+            g, n = table["gram"].to_numpy(), table["n"].to_numpy()
+            shard = table["shard"][0].as_py()
+            start, noise = held.value
+            m = Model(*(x.copy() for x in (start.r, start.q, start.b, start.c)))
+            m.train(g, n, noise, seed * 1000 + k + (shard << 20), 0.08 / (1 + k))
+            return pa.table({"shard": [shard], "tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
 
         def add(table: pa.Table) -> pa.Table:
             rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
@@ -257,7 +256,7 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
             return pa.table({"shard": [rows[0]["shard"]], "tokens": [total], "model": pa.array([pickle.dumps(Model(*out))], pa.binary())})
 
         kind = "shard long, tokens long, model binary"
-        done = grams.select("gram", "n").mapInArrow(one, kind)
+        done = grams.groupBy("shard").applyInArrow(one, kind)
         got = done.groupBy(F.shiftright("shard", ADDED.bit_length() - 1)).applyInArrow(add, kind).toArrow()  # a row for ADDED shards
         model = pickle.loads(add(got)["model"][0].as_py())
     return model
