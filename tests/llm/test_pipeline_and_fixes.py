@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import gam, kmtree, mixing, rules, suffix
+from tidemark.llm import gam, kmtree, lbl, mixing, rules, suffix
 from tidemark.llm.common import numbered, table
 from test_llm_operators import VOCAB, _classes, _removed, library  # noqa: F401 - a fixture
 
@@ -134,6 +134,21 @@ def test_numbering_follows_the_files(spark, tmp_path):
     assert all(r.id == r.position and r.file == "x" and r["_metadata"] == 1 for r in got.collect())
 
 
+# ---------------------------------------------------------------------- 3 --
+def test_model_does_not_depend_on_partitions(spark, monkeypatch):
+    for name, n in (("ROUNDS", 2), ("STEPS", 10), ("SHARD_GRAMS", 4_000), ("OWN_WORDS", 60)):
+        monkeypatch.setattr(lbl, name, n)
+    docs, kept, got = table(spark, SF, "documents"), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (3, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got.append(sorted((r.doc_id, r.score) for r in lbl.score(docs.repartition(parts)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert [i for i, _ in got[0]] == [i for i, _ in got[1]]
+    assert np.abs(np.array([s for _, s in got[0]]) - np.array([s for _, s in got[1]])).max() < 1e-8
+
+
 # ---------------------------------------------------------------------- 5 --
 def test_long_texts_are_cut_in_chunks_without_a_loss(spark, monkeypatch):
     g = np.random.default_rng(2)
