@@ -122,6 +122,6 @@ def read_by_footer(spark: SparkSession, sources: list[str], base: str | None = N
     out = []
     for (at, _), files in groups.items():
         reader = spark.read.option("basePath", at) if at else spark.read
-        whole = alike and at and at != base  # all files of the folder: it is the shorter way to name them
+        whole = alike and at and at != base and sources.count(at) == 1  # all files of the folder: a shorter way to name them
         out.append((files, reader.parquet(at) if whole else reader.parquet(*files)))
     return out
