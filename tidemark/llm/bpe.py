@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frequent, slices, stored
+from tidemark.llm.common import frequent, passing, slices
 
 #: The published pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -394,9 +394,9 @@ def build_lexicon(docs: DataFrame, vocab_path: str, words: int = LEXICON_WORDS,
     Which words it holds never changes a result, only how many words are
     merged by rank instead.
     """
-    counts = stored(word_counts(docs, vocab_path, text)
-                    .where((F.col("n") > 1) & F.octet_length("word").between(1, LEXICON_BYTES)), "words")
-    raw = [r.word.encode() for r in frequent(counts, "word", "n", words)]
+    often = word_counts(docs, vocab_path, text).where((F.col("n") > 1) & F.octet_length("word").between(1, LEXICON_BYTES))
+    with passing(often, "words") as counts:
+        raw = [r.word.encode() for r in frequent(counts, "word", "n", words)]
     return compile_lexicon(dict(zip(raw, vocabulary(vocab_path).merge(raw))))
 
 

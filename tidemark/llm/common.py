@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``stored`` returned and nothing reads any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def passing(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``stored``, for as long as a block takes that leaves no plan on its files."""
+    kept = stored(df, name)
+    try:
+        yield kept
+    finally:
+        discard(kept)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a column ``name`` that counts its rows, from 0, in the order
     in which Spark wrote them to the files that ``df`` reads. Spark itself reads

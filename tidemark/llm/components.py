@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import discard, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
                  .select(u, v).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        now = stored(_small_star(_large_star(now)), "stars")
+        before, now = now, stored(_small_star(_large_star(now)), "stars")
+        discard(before)
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             break

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, concat, fold, slices, stored
+from tidemark.llm.common import as_bytes, concat, fold, passing, slices
 
 #: One part in so many of the ids is held out.
 PARTS = 5
@@ -176,7 +176,11 @@ def _lengths(trees: list[dict[tuple[int, ...], np.ndarray]], kept: list[tuple[in
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE, cells: int = CELLS) -> Model | None:
     """The trees of all languages that have a text; every byte of ``docs`` counts."""
-    table = stored(grams(docs, text, lang), "grams")
+    with passing(grams(docs, text, lang), "grams") as table:
+        return _trees(table, share, cells)
+
+
+def _trees(table: DataFrame, share: float, cells: int) -> Model | None:
     size_of = {r.lang: int(r.n) for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
     if not size_of:
         return None

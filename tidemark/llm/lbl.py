@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, fold, frequent, slices, stored
+from tidemark.llm.common import as_bytes, fold, frequent, passing, slices, stored
 
 #: Most words with a class of their own, hashed endings, and bytes of an ending.
 OWN_WORDS, ENDINGS, ENDING_BYTES = 767, 256, 3
@@ -223,7 +223,12 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
     """Train on all class trigrams: shards, by a hash of the trigram, train side
     by side, and their parameters are averaged, weighted by tokens, after a
     round. How Spark partitions the table makes no difference to the model."""
-    grams, v = stored(grams, "trigrams"), corpus.classes
+    with passing(grams, "trigrams") as table:
+        return _fit(table, corpus, seed)
+
+
+def _fit(grams: DataFrame, corpus: Corpus, seed: int) -> Model:
+    v = corpus.classes
     shards = max(1, -(-grams.count() // SHARD_GRAMS))
     grams = grams.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
     unigram = np.ones(v)

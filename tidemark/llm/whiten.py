@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_lists, finite, lists_as_rows, slices, stored
+from tidemark.llm.common import as_lists, finite, lists_as_rows, passing, slices
 
 #: Components that are returned.
 COMPONENTS = 4
@@ -219,7 +219,10 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     kind = vectors.schema[id_col].dataType.simpleString()
     rows, dim = whole(vectors, id_col, vector)
     out_type = f"{id_col} {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    model = fit(stored(rows.select("x").distinct(), "fit-list"), dim, most) if dim else None
+    if not dim:
+        return spark.createDataFrame([], out_type)
+    with passing(rows.select("x").distinct(), "fit-list") as distinct:
+        model = fit(distinct, dim, most)
     if model is None:
         return spark.createDataFrame([], out_type)
     held = spark.sparkContext.broadcast(model)  # a few numbers for each dimension
