@@ -32,6 +32,8 @@ PIECE = 32
 HOT_SEGMENTS = 4096
 #: Bytes of an owner's distinct segments above which they are counted so too.
 HOT_BYTES = 1 << 20
+#: Tasks over which the places of one counted string are dealt.
+DEALT = 32
 #: Bytes of segments that one suffix array takes, more only for a single owner.
 ARRAY_BYTES = 1 << 19
 #: Strings of a text that are looked at together; a segment is no longer.
@@ -328,8 +330,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: in
 
     single = (texts.where("large").select("n", "_id", "_hash", "first", "segment")
               .mapInArrow(strings, "a long, b long, n long, _id long, _hash long, first int"))
-    often = single.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    counted = (single.where("n = 1").join(often, ["a", "b"])
+    # a string may stand in a large part of the places: each is dealt over some tasks
+    often = (single.groupBy("a", "b").count().where("count > 1")
+             .select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("salt")))
+    counted = (single.where("n = 1").withColumn("salt", F.pmod(F.xxhash64("_id", "first"), F.lit(DEALT)).cast("int")).join(often, ["a", "b", "salt"])
                .select("_id", "_hash", "first", (F.col("first") + width).alias("end")))
     return (whole.unionByName(sorted_).unionByName(counted)
             .groupBy("_id", "_hash").agg(F.collect_set(F.struct("first", "end")).alias("spans")))
