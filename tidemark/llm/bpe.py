@@ -315,8 +315,9 @@ class Encoder:
                     later.update(chunks[1:])
                     pieces.append((0, chunks))
             plan.append(pieces)
-        split_first = {c: find(c) for c in first if c not in self.first}
-        split_later = {c: find(" " + c) for c in later if c not in self.later}
+        # ASCII letters alone are one word, as the pattern has it
+        split_first = {c: [c] if c.isascii() and c.isalpha() else find(c) for c in first if c not in self.first}
+        split_later = {c: [" " + c] if c.isascii() and c.isalpha() else find(" " + c) for c in later if c not in self.later}
         self._learn(words.union(*split_first.values(), *split_later.values()))
         get = self.words.__getitem__
         for memo, split in ((self.first, split_first), (self.later, split_later)):
@@ -364,7 +365,7 @@ def word_counts(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFra
         def rows(chunks: Counter) -> pa.RecordBatch:
             words: Counter = Counter()
             for c, n in chunks.items():
-                for w in find(c):
+                for w in (c,) if c.isascii() and c[1:].isalpha() else find(c):
                     words[w] += n
             return pa.RecordBatch.from_pydict(
                 {"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
