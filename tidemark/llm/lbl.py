@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, fold, frequent, passing, slices, stored
+from tidemark.llm.common import as_bytes, discard, fold, frequent, passing, slices, stored
 
 #: Most words with a class of their own, hashed endings, and bytes of an ending.
 OWN_WORDS, ENDINGS, ENDING_BYTES = 767, 256, 3
@@ -223,14 +223,18 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
     """Train on all class trigrams: shards, by a hash of the trigram, train side
     by side, and their parameters are averaged, weighted by tokens, after a
     round. How Spark partitions the table makes no difference to the model."""
-    with passing(grams, "trigrams") as table:
+    kept = stored(grams, "trigrams")
+    shards = max(1, -(-kept.count() // SHARD_GRAMS))
+    shard = F.pmod(F.xxhash64("gram"), F.lit(shards))
+    # a file holds whole shards, in one row group that no reader splits; rounds scan it without a shuffle
+    dealt = kept.select(shard.alias("shard"), "gram", "n").repartition(shards, "shard").sortWithinPartitions("shard", "gram")
+    with passing(dealt, "shards") as table:
+        discard(kept)
         return _fit(table, corpus, seed)
 
 
 def _fit(grams: DataFrame, corpus: Corpus, seed: int) -> Model:
     v = corpus.classes
-    shards = max(1, -(-grams.count() // SHARD_GRAMS))
-    grams = grams.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
     unigram = np.ones(v)
     for r in grams.groupBy((F.col("gram") % v).alias("w")).agg(F.sum("n").alias("n")).collect():  # one row for each class
         unigram[r.w] += r.n
@@ -242,14 +246,27 @@ def _fit(grams: DataFrame, corpus: Corpus, seed: int) -> Model:
     for k in range(ROUNDS):
         held = context.broadcast((model, unigram))
 
-        def one(table: pa.Table) -> pa.Table:
-            table = table.sort_by("gram")
+        def one(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts)
             g, n = table["gram"].to_numpy(), table["n"].to_numpy()
-            shard = table["shard"][0].as_py()
             start, noise = held.value
             m = Model(*(x.copy() for x in (start.r, start.q, start.b, start.c)))
             m.train(g, n, noise, seed * 1000 + k + (shard << 20), 0.08 / (1 + k))
-            return pa.table({"shard": [shard], "tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": [shard], "tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, parts = None, []
+            for b in batches:
+                at = b.column(0).to_numpy()
+                edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]) if len(at) else []
+                for i, j in zip(edges, edges[1:]):
+                    if parts and at[i] != now:
+                        yield one(now, parts)
+                        parts = []
+                    now = int(at[i])
+                    parts.append(b.slice(i, j - i))
+            if parts:
+                yield one(now, parts)
 
         def add(table: pa.Table) -> pa.Table:
             rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
@@ -261,7 +278,7 @@ def _fit(grams: DataFrame, corpus: Corpus, seed: int) -> Model:
             return pa.table({"shard": [rows[0]["shard"]], "tokens": [total], "model": pa.array([pickle.dumps(Model(*out))], pa.binary())})
 
         kind = "shard long, tokens long, model binary"
-        done = grams.groupBy("shard").applyInArrow(one, kind)
+        done = grams.mapInArrow(each, kind)
         got = done.groupBy(F.shiftright("shard", ADDED.bit_length() - 1)).applyInArrow(add, kind).toArrow()  # a row for ADDED shards
         model = pickle.loads(add(got)["model"][0].as_py())
     return model
