@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -115,7 +116,7 @@ def test_bpe_awkward(awkward, empty, library):
 
 # ---------------------------------------------------------------------- 3 --
 def test_lbl_base_is_exact_and_model_is_normalised(spark, docs, texts, monkeypatch):
-    for name, n in (("ROUNDS", 1), ("STEPS", 30), ("SENT_WORDS", 300), ("OWN_WORDS", 50)):
+    for name, n in (("ROUNDS", 1), ("STEPS", 30), ("SENT_WORDS", 300), ("OWN_SCALE", 10)):
         monkeypatch.setattr(lbl, name, n)
     c, ends = Counter(), 0
     for i, t in texts.items():
@@ -145,6 +146,50 @@ def test_lbl_trains_on_every_gram(monkeypatch):
     assert (model.r != start.r).any(1).all() and (model.q != start.q).any(1).all()
 
 
+def test_lbl_words():
+    texts = [" a\tB\x0bc\x0c", None, "", "\n \r", "\x1cx\x85y z\u00a0\u0130 A b", "ß Ä"]
+    want = [[w for w in re.split("[\t-\r ]+", t or "") if w] for t in texts]
+    want = [[w.encode().lower() for w in ws] for ws in want]
+    for i in range(len(texts)):  # slices too
+        distinct, codes, n = lbl._coded(pa.array(texts).slice(i))
+        words = distinct.to_pylist()
+        assert n.tolist() == list(map(len, want[i:])) and [words[c] for c in codes] == [w for ws in want[i:] for w in ws]
+
+
+def test_lbl_classes_follow_the_vocabulary():
+    sizes = [lbl.own_words(10 ** k) for k in range(3, 13)]
+    assert all(b > a for a, b in zip(sizes, sizes[1:])) and lbl.own_words(64 * 10 ** 6) == 2 * lbl.own_words(10 ** 6)
+
+
+def test_lbl_step_is_the_gradient(monkeypatch):
+    """One step against sums written out sample by sample."""
+    v, g = 7, np.random.default_rng(3)
+    for name, n in (("STEPS", 1), ("SAMPLES", 40), ("NOISE", 5)):
+        monkeypatch.setattr(lbl, name, n)
+    grams, unigram = g.permutation(v ** 3)[:40], g.dirichlet(np.ones(v))
+    start, model = (lbl.Model.start(unigram, 1) for _ in range(2))
+    model.train(grams, np.ones(40, np.int64), unigram, 9, 0.1)
+    again = np.random.default_rng(9)
+    again.shuffle(np.arange(40))
+    noise = np.minimum(np.searchsorted(np.cumsum(unigram), again.random(5)), v - 1)
+    r, q, b, c = (x.astype(float) for x in (start.r, start.q, start.b, start.c))
+    d = [np.zeros(x.shape) for x in (r, q, b, c)]
+    for x in grams.tolist():
+        f, l, w = x // (v * v), x // v % v, x % v
+        hat = c[0] * r[f] + c[1] * r[l]
+        for k, good in [(w, True), *((k, False) for k in noise.tolist())]:
+            p = 1 / (1 + np.exp(-(hat @ q[k] + b[k] - np.log(unigram[k] * 5))))
+            e = ((1 - p) if good else -p) / 40
+            d[0][f] += e * q[k] * c[0]
+            d[0][l] += e * q[k] * c[1]
+            d[1][k] += e * hat
+            d[2][k] += e
+            d[3][0] += e * q[k] * r[f]
+            d[3][1] += e * q[k] * r[l]
+    for p, x, e in zip((r, q, b, c), (model.r, model.q, model.b, model.c), d):
+        assert np.allclose(x, p + 0.1 * e * np.sqrt(40) / np.sqrt(0.01 + e * e * 40), atol=1e-5)
+
+
 def test_lbl_awkward(awkward, empty, monkeypatch):
     monkeypatch.setattr(lbl, "ROUNDS", 1)
     monkeypatch.setattr(lbl, "STEPS", 3)

@@ -135,7 +135,7 @@ def test_numbering_follows_the_files(spark, tmp_path):
 
 # ---------------------------------------------------------------------- 3 --
 def test_model_does_not_depend_on_partitions(spark, monkeypatch):
-    for name, n in (("ROUNDS", 2), ("STEPS", 10), ("SHARD_GRAMS", 4_000), ("OWN_WORDS", 60)):
+    for name, n in (("ROUNDS", 2), ("STEPS", 10), ("SHARD_GRAMS", 4_000), ("OWN_SCALE", 12)):
         monkeypatch.setattr(lbl, name, n)
     docs, kept, got = table(spark, SF, "documents"), spark.conf.get("spark.sql.shuffle.partitions"), []
     try:

@@ -5,9 +5,9 @@ position, add up to a predicted vector, whose inner products with the words'
 output vectors, plus biases, are scores. The model is trained in numpy by
 noise-contrastive estimation on word-class trigrams counted over the whole
 training corpus. Classes are the most frequent words and, for every other
-word, one of a fixed number of hashed word endings; inside a class a rare
-word has its smoothed share of the class's training tokens, so probabilities
-of whole texts are normalised. The normaliser of every context comes from one
+word, a hash of its ending; inside a class a rare word has its smoothed share
+of the class's training tokens, so probabilities of whole texts are normalised.
+Both kinds of classes grow with the corpus's vocabulary. The normaliser of every context comes from one
 product of two matrices, since the exponent of a sum factors.
 """
 
@@ -16,19 +16,23 @@ from __future__ import annotations
 import functools
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, discard, fold, frequent, passing, slices, stored
+from tidemark.llm.common import discard, fold, frequent, passing, slices_by_bytes, stored
 
-#: Most words with a class of their own, hashed endings, and bytes of an ending.
-OWN_WORDS, ENDINGS, ENDING_BYTES = 767, 256, 3
+#: Words with a class of their own: so many times the sixth root of the number of
+#: distinct words, which keeps their share of a corpus's tokens from falling as it
+#: grows. One hashed ending for so many of them, and bytes of an ending.
+OWN_SCALE, WORDS_FOR_ENDING, ENDING_BYTES = 115, 3, 3
+#: Bytes of texts that a worker takes at a time; a longer text is taken alone.
+SLICE = 4 << 20
 #: Most words whose counts are sent to the executors; others are joined.
 SENT_WORDS = 1 << 17
 #: Vector size; rounds, after each of which the shards' parameters are averaged;
@@ -38,13 +42,13 @@ SIZE, ROUNDS, STEPS, SAMPLES, NOISE = 32, 4, 160, 2048, 64
 SHARD_GRAMS, ADDED = 1 << 18, 64
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return text.lower().split()
+def ending(word: bytes, endings: int) -> int:
+    return zlib.crc32(word[-ENDING_BYTES:]) % endings
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS
+def own_words(types: int) -> int:
+    """Words with classes of their own, at a number of distinct words."""
+    return round(OWN_SCALE * types ** (1 / 6))
 
 
 @dataclass
@@ -61,20 +65,31 @@ class Corpus:
 
     @property
     def classes(self) -> int:
-        return 1 + len(self.own) + ENDINGS
+        return 1 + len(self.own) + len(self.class_tokens)
 
     def class_of(self, words: list[bytes]) -> np.ndarray:
-        first = 1 + len(self.own)
-        return np.fromiter((self.own.get(w) or first + ending(w) for w in words), np.int64, len(words))
+        first, endings = 1 + len(self.own), len(self.class_tokens)
+        return np.fromiter((self.own.get(w) or first + ending(w, endings) for w in words), np.int64, len(words))
 
 
-def _coded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, the code of every word in place, and words per text."""
-    number: dict[bytes, int] = {}
-    put = number.setdefault
-    split = [words_of(t) for t in texts]
-    codes = np.fromiter((put(w, len(number)) for ws in split for w in ws), np.int64, sum(map(len, split)))
-    return list(number), codes, np.array([len(ws) for ws in split], np.int64)
+def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the code of every word in place, and words per text.
+
+    Words are what stands between ASCII white space, A-Z in lower case; a null
+    text has none. Arrow also cuts an empty word off where white space starts or
+    ends a text: it may be among the distinct words, and no code refers to it.
+    """
+    cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    offsets = cut.offsets.to_numpy().astype(np.int64)
+    # Arrow's ascii_lower reads a cast slice from its buffer's start, so words are lowered, not texts
+    words = pc.ascii_lower(cut.values).slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    codes, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.cast(pa.large_binary())
+    n, empty = np.diff(offsets), pc.index(distinct, pa.scalar(b"", pa.large_binary())).as_py()
+    if empty >= 0:
+        real = codes != empty
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n))
+        codes = codes[real]
+    return distinct, codes, n
 
 
 def _sequences(classes: np.ndarray, n: np.ndarray):
@@ -95,35 +110,41 @@ def survey(train: DataFrame) -> tuple[Corpus, DataFrame]:
     """Counts of the training texts (column _text): (corpus, (word, n) table)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        texts = 0
-        for b in slices(batches):
-            for t in as_bytes(b.column(0)):
-                seen.update(words_of(t))
-            texts += b.num_rows
-            if len(seen) > 1 << 19:
-                yield rows(seen)
-                seen = Counter()
-        yield rows(seen)
+        parts, held, texts = [], 0, 0
+
+        def merged() -> list[pa.RecordBatch]:
+            total = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")])
+            return total.select(["word", "n_sum"]).rename_columns(["word", "n"]).cast(kind).to_batches()
+
+        for b in slices_by_bytes(batches, 0, SLICE):
+            distinct, codes, _ = _coded(b.column(0))
+            n = np.bincount(codes, minlength=len(distinct))
+            parts.append(pa.table({"word": distinct, "n": n}).filter(pa.array(n > 0)))
+            held, texts = held + len(distinct), texts + b.num_rows
+            if held > 1 << 20:
+                yield from merged()
+                parts, held = [], 0
+        if parts:
+            yield from merged()
         if texts:
-            yield pa.RecordBatch.from_pydict({"word": pa.array([b""], pa.binary()), "n": pa.array([texts], pa.int64())})
-
-    def rows(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
+            yield from pa.table({"word": [b""], "n": [texts]}).cast(kind).to_batches()
 
+    kind = pa.schema([("word", pa.binary()), ("n", pa.int64())])
     # the empty word stands for the end
     counts = stored(train.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     tokens, types, ends = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.octet_length("word") == 0, F.col("n")))).first()
     real = counts.where(F.octet_length("word") > 0)
     sent = {bytes(r.word): r.n for r in frequent(real, "word", "n", SENT_WORDS)}
-    own = {w: k + 1 for k, w in enumerate(sorted(sorted(sent, key=lambda w: (-sent[w], w))[:OWN_WORDS]))}
-    end = F.crc32(F.when(F.octet_length("word") > ENDING_BYTES, F.substring("word", -ENDING_BYTES, ENDING_BYTES)).otherwise(F.col("word"))) % ENDINGS
-    n, v = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
+    most = own_words(types or 0)
+    endings = 1 + most // WORDS_FOR_ENDING
+    own = {w: k + 1 for k, w in enumerate(sorted(sorted(sent, key=lambda w: (-sent[w], w))[:most]))}
+    end = F.crc32(F.when(F.octet_length("word") > ENDING_BYTES, F.substring("word", -ENDING_BYTES, ENDING_BYTES)).otherwise(F.col("word"))) % endings
+    n, v = np.zeros(endings, np.int64), np.zeros(endings, np.int64)
     for r in real.groupBy(end.alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         n[r.e], v[r.e] = r.n, r.v
     for w in own:  # they have classes of their own
-        n[ending(w)] -= sent[w]
-        v[ending(w)] -= 1
+        n[ending(w, endings)] -= sent[w]
+        v[ending(w, endings)] -= 1
     return Corpus(tokens or 0, types or 0, ends or 0, own, sent, n, v), counts
 
 
@@ -140,9 +161,9 @@ def trigrams(train: DataFrame, corpus: Corpus) -> DataFrame:
             total = np.bincount(at, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(g), pa.array(total)], ["gram", "n"])
 
-        for b in slices(batches):
-            distinct, codes, lens = _coded(as_bytes(b.column(0)))
-            c2, c1, w, _ = _sequences(held.value.class_of(distinct)[codes], lens)
+        for b in slices_by_bytes(batches, 0, SLICE):
+            distinct, codes, lens = _coded(b.column(0))
+            c2, c1, w, _ = _sequences(held.value.class_of(distinct.to_pylist())[codes], lens)
             parts.append(np.unique((c2 * size + c1) * size + w, return_counts=True))
             n += len(parts[-1][0])
             if n > 1 << 21:
@@ -166,7 +187,8 @@ class Model:
     @classmethod
     def start(cls, unigram: np.ndarray, seed: int) -> Model:
         g, v = np.random.default_rng(seed), len(unigram)
-        return cls(g.normal(0, 0.1, (v, SIZE)), g.normal(0, 0.1, (v, SIZE)), np.log(unigram), np.full((2, SIZE), 0.7))
+        start = g.normal(0, 0.1, (v, SIZE)), g.normal(0, 0.1, (v, SIZE)), np.log(unigram), np.full((2, SIZE), 0.7)
+        return cls(*(x.astype(np.float32) for x in start))
 
     def train(self, grams: np.ndarray, counts: np.ndarray, unigram: np.ndarray, seed: int, rate: float = 0.08) -> None:
         """One round of noise-contrastive steps: whole passes over the grams,
@@ -179,34 +201,47 @@ class Model:
         weight = counts / times
         samples = np.repeat(np.arange(len(grams)), times)
         weight *= len(samples) / counts.sum()  # 1 on average
-        noise_cdf, log_noise = np.cumsum(unigram), np.log(unigram * NOISE)
-        sums = [np.full(p.shape, 1e-2) for p in (self.r, self.q, self.b, self.c)]
-        place = np.arange(SIZE)
-
-        def summed(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            return np.bincount((at[:, None] * SIZE + place).ravel(), rows.ravel(), v * SIZE).reshape(v, SIZE)
+        weight = (weight / SAMPLES).astype(np.float32)
+        far, last, word = grams // (v * v), grams // v % v, grams % v
+        noise_cdf, log_noise = np.cumsum(unigram), np.log(unigram * NOISE).astype(np.float32)
+        sums = [np.full(p.shape, 1e-2, np.float32) for p in (self.r, self.q, self.b, self.c)]
+        step_size = np.float32(rate * np.sqrt(SAMPLES))
+
+        def climb(k: int, at: np.ndarray | slice, d: np.ndarray) -> None:
+            """A step of the k-th parameter's rows ``at``, each given once."""
+            p, s = (self.r, self.q, self.b, self.c)[k], sums[k]
+            total = s[at] + d * d * np.float32(SAMPLES)
+            s[at] = total
+            p[at] += step_size * d / np.sqrt(total)
+
+        def summed(at: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+            """Distinct rows, and the sums over each."""
+            order = np.argsort(at, kind="stable")
+            at = at[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            return at[first], [np.add.reduceat(x[order], first, 0) for x in rows]
 
         steps = -(-len(samples) // SAMPLES)
         for step in range(steps * -(-STEPS // steps)):
             if step % steps == 0:
                 g.shuffle(samples)
-            own = samples[step % steps * SAMPLES:][:SAMPLES]
-            pick, share = grams[own], weight[own] / SAMPLES
-            ctx, w = [pick // (v * v), pick // v % v], pick % v
+            pick = samples[step % steps * SAMPLES:][:SAMPLES]
+            share, f, l, w = weight[pick], far[pick], last[pick], word[pick]
             noise = np.minimum(np.searchsorted(noise_cdf, g.random(NOISE)), v - 1)
-            hat = self.c[0] * self.r[ctx[0]] + self.c[1] * self.r[ctx[1]]
-            good = (hat * self.q[w]).sum(1) + self.b[w] - log_noise[w]
-            bad = hat @ self.q[noise].T + (self.b[noise] - log_noise[noise])
+            before, now, q, q_noise = self.r[f], self.r[l], self.q[w], self.q[noise]
+            hat = self.c[0] * before + self.c[1] * now
+            good = np.einsum("ij,ij->i", hat, q) + self.b[w] - log_noise[w]
+            bad = hat @ q_noise.T + (self.b[noise] - log_noise[noise])
             d_good = share / (1 + np.exp(np.clip(good, -30, 30)))
             d_bad = -share[:, None] / (1 + np.exp(np.clip(-bad, -30, 30)))
-            d_hat = d_good[:, None] * self.q[w] + d_bad @ self.q[noise]
-            grad = [summed(ctx[0], d_hat * self.c[0]) + summed(ctx[1], d_hat * self.c[1]),
-                    summed(w, d_good[:, None] * hat) + summed(noise, d_bad.T @ hat),
-                    np.bincount(w, d_good, v) + np.bincount(noise, d_bad.sum(0), v),
-                    np.stack([(d_hat * self.r[c]).sum(0) for c in ctx])]
-            for p, s, d in zip((self.r, self.q, self.b, self.c), sums, grad):
-                s += d * d * SAMPLES
-                p += rate * d * np.sqrt(SAMPLES) / np.sqrt(s)
+            d_hat = d_good[:, None] * q + d_bad @ q_noise
+            at, (d,) = summed(np.r_[f, l], np.concatenate([d_hat * self.c[0], d_hat * self.c[1]]))
+            d_c = np.stack([np.einsum("ij,ij->j", d_hat, x) for x in (before, now)])
+            climb(0, at, d)
+            at, (d, d_b) = summed(np.r_[w, noise], np.concatenate([d_good[:, None] * hat, d_bad.T @ hat]), np.r_[d_good, d_bad.sum(0)])
+            climb(1, at, d)
+            climb(2, at, d_b)
+            climb(3, slice(None), d_c)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score part of the word before last, of the last with the bias, log
@@ -214,9 +249,12 @@ class Model:
         matrix product sums over all next words for every context."""
         far = (self.r * self.c[0]) @ self.q.T
         near = (self.r * self.c[1]) @ self.q.T + self.b
-        top_far, top_near = far.max(1), near.max(1)
-        z = np.exp(far - top_far[:, None]) @ np.exp(near - top_near[:, None]).T
-        return far, near, np.log(np.maximum(z, 1e-300)) + top_far[:, None] + top_near[None]
+        top_far, top_near = far.max(1, keepdims=True).astype(np.float64), near.max(1, keepdims=True).astype(np.float64)
+        z = np.exp(far - top_far) @ np.exp(near - top_near).T
+        np.log(np.maximum(z, 1e-300, out=z), out=z)
+        z += top_far
+        z += top_near.T
+        return far, near, z
 
 
 def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
@@ -311,13 +349,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: in
         corpus, (far, near, z), class_size = _scorer(sent.value)
         first = 1 + len(corpus.own)
         end_log = np.log10(corpus.ends + 1.0)
-        for b in slices(batches):
-            distinct, codes, n = _coded(as_bytes(b.column(3)))
+        for b in slices_by_bytes(batches, 3, SLICE):
+            distinct, codes, n = _coded(b.column(3))
+            distinct = distinct.to_pylist()
             cls = corpus.class_of(distinct)
             known = np.array([corpus.sent.get(w, 0) for w in distinct], np.int64)
             log_count, doc = np.log10(known + 1.0), np.repeat(np.arange(len(n)), n)
             c2, c1, w, at = _sequences(cls[codes], n)
-            lm = np.bincount(at, (far[c2, w] + near[c1, w] - z[c2, c1]) / np.log(10), len(n))
+            lm = np.bincount(at, (far[c2, w].astype(np.float64) + near[c1, w] - z[c2, c1]) / np.log(10), len(n))
             rare_class = cls[codes] - first
             other = rare_class >= 0
             lm += np.bincount(doc[other], log_count[codes[other]] - class_size[rare_class[other]], len(n))
