@@ -39,7 +39,7 @@ SENT_WORDS = 1 << 17
 #: least steps of a round; samples and noise of a step.
 SIZE, ROUNDS, STEPS, SAMPLES, NOISE = 32, 4, 160, 2048, 64
 #: Trigrams of a shard, about, and shards whose parameters are added up in one task.
-SHARD_GRAMS, ADDED = 1 << 18, 64
+SHARD_GRAMS, ADDED = 1 << 19, 64
 
 
 def ending(word: bytes, endings: int) -> int:
