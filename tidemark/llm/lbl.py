@@ -32,7 +32,9 @@ from tidemark.llm.common import discard, fold, frequent, passing, slices_by_byte
 #: grows. One hashed ending for so many of them, and bytes of an ending.
 OWN_SCALE, WORDS_FOR_ENDING, ENDING_BYTES = 115, 3, 3
 #: Bytes of texts that a worker takes at a time; a longer text is taken alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: Counted words or trigrams that a worker holds before it hands their sums on.
+HELD = 1 << 19
 #: Most words whose counts are sent to the executors; others are joined.
 SENT_WORDS = 1 << 17
 #: Vector size; rounds, after each of which the shards' parameters are averaged;
@@ -121,7 +123,7 @@ def survey(train: DataFrame) -> tuple[Corpus, DataFrame]:
             n = np.bincount(codes, minlength=len(distinct))
             parts.append(pa.table({"word": distinct, "n": n}).filter(pa.array(n > 0)))
             held, texts = held + len(distinct), texts + b.num_rows
-            if held > 1 << 20:
+            if held > HELD:
                 yield from merged()
                 parts, held = [], 0
         if parts:
@@ -166,7 +168,7 @@ def trigrams(train: DataFrame, corpus: Corpus) -> DataFrame:
             c2, c1, w, _ = _sequences(held.value.class_of(distinct.to_pylist())[codes], lens)
             parts.append(np.unique((c2 * size + c1) * size + w, return_counts=True))
             n += len(parts[-1][0])
-            if n > 1 << 21:
+            if n > HELD:
                 yield merged()
                 parts, n = [], 0
         if parts:
