@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -159,6 +160,18 @@ def test_landed_files_of_drifted_types_are_conformed_once(spark, db, tmp_path):
     assert spark.table(f"{db}.drift").count() == 6
 
 
+def test_first_landed_file_gives_the_order_of_columns(spark, db, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    for name, at, cols, row in (("z", 1_000, "id bigint, x bigint", (1, 10)), ("a", 2_000, "x double, id int", (1.5, 2)), ("m", 3_000, "x int, id int", (3, 3))):
+        spark.createDataFrame([row], cols).coalesce(1).write.parquet(str(tmp_path / name))
+        next((tmp_path / name).glob("part-*")).rename(landing / f"{name}.parquet")
+        os.utime(landing / f"{name}.parquet", (at, at))
+    assert _stream(spark, landing, "order_of", db, tmp_path / "ck", max_files_per_trigger=1) is None
+    assert spark.table(f"{db}.order_of").dtypes == [("id", "bigint"), ("x", "double")]
+    assert sorted(spark.table(f"{db}.order_of").collect()) == [(1, 10.0), (2, 1.5), (3, 3.0)]
+
+
 def test_landed_partition_folders(spark, db, tmp_path):
     landing = tmp_path / "in"
     spark.range(6).selectExpr("id", "CAST(id % 2 AS INT) AS p").write.partitionBy("p").parquet(str(landing))

@@ -27,6 +27,7 @@ import logging
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -105,6 +106,12 @@ def add_up(total: dict, batch: dict) -> dict:
     return out
 
 
+def _landed_first(spark: SparkSession, files: list[str]) -> tuple:
+    """When the first of some files landed, and its path: names only, no content."""
+    listed = spark.read.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").load(files)
+    return tuple(listed.agg(F.min(F.struct("modificationTime", "path")).alias("first")).first().first)
+
+
 def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: str = "csv",
                    database: str | None = None, checkpoint: str | None = None,
                    header: list[str] | None = None, target: T.StructType | None = None,
@@ -119,8 +126,9 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
     Text files must share one header: ``header``, else the header of a file
     already in the folder, else the published table's column order; Spark
     checks every new file's header against it. The target schema is the
-    published table's, else ``target``, else (Parquet) merged from all footers or
-    (text) inferred from all files in the folder at the start. Batches are
+    published table's, else ``target``, else (Parquet) merged from all footers, with
+    the columns in the order of the file that landed first, whatever the files'
+    names, or (text) inferred from all files in the folder at the start. Batches are
     checked like loads: ``fail_on_bad_datetimes`` refuses a batch with datetime
     text that is not ISO (or ``datetime_formats`` of its column), and
     ``fail_on_outside_month`` one with too many rows outside the month, in itself
@@ -153,7 +161,10 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if f is FileFormat.PARQUET:
         if target is None:          # footers of the files already landed (no data read)
-            target = merged_target_schema([(files[0], raw.schema) for files, raw in read_by_footer(spark, [landing_dir])])
+            scans = read_by_footer(spark, [landing_dir])
+            if len(scans) > 1:      # Spark's own file names are random: they tell no order
+                scans.sort(key=lambda scan: _landed_first(spark, scan[0]))
+            target = merged_target_schema([(files[0], raw.schema) for files, raw in scans])
         src = reader.format("binaryFile").schema(_FILES).load(landing_dir).select("path")   # names only, no content
     else:
         s = check_delimiter(sep if sep is not None else DEFAULT_SEP[f.value], f.value)
