@@ -103,6 +103,40 @@ def test_large_plain_file_is_parsed_by_many_tasks(spark, db, tmp_path, small_ran
     assert spark.table(f"{db}.big").where("b LIKE 'line %\n%of \"two\", %'").count() == 20_000
 
 
+def test_fragments_of_one_file_are_dealt_to_many_tasks(spark, tmp_path, small_ranges):
+    p = tmp_path / "long.csv"
+    p.write_text("a,b,c\n" + "".join(f'{i},"' + "text \n" * (i % 60) + f'",{i}\n' for i in range(400)))
+    want = _whole(spark, [str(p)])
+    small_ranges(100)
+    df = split_text.read_records(spark, [str(p)], ["a", "b", "c"], ",")
+    assert Counter(tuple(r) for r in df.collect()) == want
+    # no operator gathers the texts of a file
+    assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_that_run_through_ranges_know_their_begin(spark, tmp_path, small_ranges):
+    p = tmp_path / "s.csv"
+    p.write_text("a,b,c\n" + 'x,"' + "line\n" * 40 + '",y\n' + "1,2,3\n" * 40)
+    small_ranges(32)
+    assert {r.begin for r in split_text.range_states(spark, [str(p)], ",").collect() if r.inside} == {0}
+
+
+def test_csv_of_many_tasks(spark, tmp_path, small_ranges, monkeypatch):
+    """The documents are written by the tasks that read them; each file is read by ranges."""
+    from tidemark import registry_load
+
+    rows = [(i, f'line {i}\nof "two", ' + "x" * 300, "en", "s", i) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    small_ranges("64k")
+    loaded = []
+    monkeypatch.setattr(registry_load, "ingest", lambda spark, path, *a, **kw: loaded.append(path) or ingest(spark, path, *a, **kw))
+    got = registry_load.s_csv_split(spark, str(tmp_path))
+    assert sorted(got.collect()) == rows
+    files = spark.read.format("binaryFile").load(loaded[0]).select("length").collect()
+    assert len(files) >= 4 and max(f.length for f in files) > 1 << 18
+
+
 def test_headers_are_checked_and_lone_returns_left_to_spark(spark, tmp_path, small_ranges):
     a, b, c = (tmp_path / f"{n}.csv" for n in "abc")
     a.write_text("x,y\n" + "1,2\n" * 50)

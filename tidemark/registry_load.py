@@ -230,12 +230,13 @@ def s_csv(spark, sf):
 @register("s_csv_split", """
 SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents""")
 def s_csv_split(spark, sf):
-    """All documents, line breaks inside quotes, as one plain CSV that many tasks
-    read by ranges: the range size is set to a small one for this load."""
+    """All documents, line breaks inside quotes, as plain CSV, a file for each task that
+    reads the table, and many tasks read each file by ranges: the range size is set to a
+    small one for this load."""
     from tidemark.session import scratch_path
 
     path, kept = scratch_path(spark, "sources", "documents", suffix=".csv"), spark.conf.get("spark.sql.files.maxPartitionBytes")
-    fx.as_text(read_table(spark, sf, "documents")).coalesce(1).write.option("header", "true").option("escape", '"').csv(path)
+    fx.as_text(read_table(spark, sf, "documents")).write.option("header", "true").option("escape", '"').csv(path)
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
         m = ingest(spark, path, _name("documents"), fmt="csv", database=scratch_database(spark))

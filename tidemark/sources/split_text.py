@@ -72,9 +72,10 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, in
 
 
 def range_states(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
-    """(file, start, inside, crlf, lone, cut): is a quoted field open at the start of
-    each range; do the file's lines end in CR LF; is its first CR no part of one;
-    does the file end in a line break inside quotes that never close."""
+    """(file, start, inside, begin, crlf, lone, cut): is a quoted field open at the start
+    of each range, and the start of the range where that record begins; do the file's
+    lines end in CR LF; is its first CR no part of one; does the file end in a line
+    break inside quotes that never close."""
     mark = sep.encode()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,21 +83,22 @@ def range_states(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
         sizes: dict[tuple[str, int], int] = {}
         for key, some, sizes[key] in _by_range(batches):
             first = key not in out
-            state = out.setdefault(key, [False, True, False, False, 0])
-            state[4] += sum(map(len, some)) + len(some)
+            state = out.setdefault(key, [False, True, False, False, False, 0])
+            state[5] += sum(map(len, some)) + len(some)
             if first and key[1] == 0:
                 state[2], state[3] = some[0].endswith(b"\r"), b"\r" in some[0][:-1]
             for line in some:
                 if b'"' in line:
                     state[0], state[1] = open_after(line, mark, state[0]), open_after(line, mark, state[1])
+                    state[4] = state[4] or not state[1]
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int64()),
-             *(pa.array([v[i] for v in out.values()], pa.bool_()) for i in range(4)),
-             pa.array([v[4] for v in out.values()], pa.int64()), pa.array([sizes[k] for k in out], pa.int64())],
-            ["file", "start", "if_closed", "if_open", "crlf", "lone", "ended", "size"])
+             *(pa.array([v[i] for v in out.values()], pa.bool_()) for i in range(5)),
+             pa.array([v[5] for v in out.values()], pa.int64()), pa.array([sizes[k] for k in out], pa.int64())],
+            ["file", "start", "if_closed", "if_open", "crlf", "lone", "ends", "ended", "size"])
 
     ranges = lines(spark, paths).mapInArrow(
-        scan, "file string, start long, if_closed boolean, if_open boolean, crlf boolean, lone boolean, ended long, size long")
+        scan, "file string, start long, if_closed boolean, if_open boolean, crlf boolean, lone boolean, ends boolean, ended long, size long")
     # a range keeps the state, turns it over, or ends in one state whatever it was: the state
     # before a range is that of the last fixed end, turned as often as the ranges since turn it
     by_file = Window.partitionBy("file").orderBy("start")
@@ -107,43 +109,44 @@ def range_states(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
     turned = (turns - F.coalesce(last["turns"], F.lit(0))) % 2 == 1
     whole = Window.partitionBy("file")
     ranges = ranges.withColumn("inside", F.coalesce(last["if_closed"], F.lit(False)) != turned)
+    # a record that is open at a range's start began in the last range that it does not run through
+    ranges = ranges.withColumn("begin", F.last(F.when(~F.col("inside") | F.col("ends"), F.col("start")), ignorenulls=True).over(before))
     after = F.when(F.col("inside"), F.col("if_open")).otherwise(F.col("if_closed"))
     # each line and a line break after it make up the file, but for the last one's where there is none
     cut = (F.max_by(after, "start").over(whole) & (F.sum("ended").over(whole) == F.col("size"))
            & (F.col("start") == F.max("start").over(whole)))
-    return ranges.select("file", "start", "inside", F.max("crlf").over(whole).alias("crlf"), F.max("lone").over(whole).alias("lone"), cut.alias("cut"))
+    return ranges.select("file", "start", "inside", "begin", F.max("crlf").over(whole).alias("crlf"), F.max("lone").over(whole).alias("lone"), cut.alias("cut"))
 
 
 def records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame | None:
     """(record, first) of all files: the text of each record that is not empty, and
     whether it is its file's first one. None where a file's lines end in CR alone.
 
-    The driver receives the starts of ranges that lie inside quotes, eight bytes
-    each, and the names of files that have such ranges or CR LF line ends.
+    The driver receives two numbers for each range that starts inside quotes, and the names of files that have such ranges or CR LF line ends.
     """
     states = range_states(spark, paths, sep)
     odd = states.where("inside OR crlf OR lone OR cut").groupBy("file").agg(
         F.max("crlf").alias("crlf"), F.max("lone").alias("lone"), F.max(F.when(F.col("cut"), F.col("start"))).alias("cut"),
-        F.collect_set(F.when(F.col("inside"), F.col("start"))).alias("inside")).collect()
+        F.collect_list(F.when(F.col("inside"), F.struct("start", "begin"))).alias("inside")).collect()
     if any(r.lone for r in odd):
         return None
-    held = spark.sparkContext.broadcast({r.file: (r.crlf, frozenset(r.inside), r.cut) for r in odd})
+    held = spark.sparkContext.broadcast({r.file: (r.crlf, {p.start: p.begin for p in r.inside}, r.cut) for r in odd})
     mark = sep.encode()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, inside, crlf, last, parts, fresh, head = None, False, False, None, [], False, False
+        now, inside, crlf, last, parts, fresh, head, starts = None, False, False, None, [], False, False, {}
         out: list[tuple] = []
 
         def cut(key, text: bytes, kind: int | None, first: bool) -> None:
             """A record (kind None), or a fragment: 0 goes on from the range before, 1 begins here."""
             if text or kind is not None:
-                out.append((text, first, *((None, None, None) if kind is None else (*key, kind))))
+                out.append((text, first, *((None, None, None) if kind is None else (*key, key[1] if kind else starts[key[1]]))))
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*out)) or [()] * 5
             out.clear()
-            types = pa.binary(), pa.bool_(), pa.string(), pa.int64(), pa.int32()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["record", "first", "file", "start", "kind"])
+            types = pa.binary(), pa.bool_(), pa.string(), pa.int64(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["record", "first", "file", "start", "begin"])
 
         def rest() -> None:
             if parts:  # with the line break that ends a file inside quotes
@@ -152,7 +155,7 @@ def records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame | None
         for key, some, _ in _by_range(batches):
             if key != now:
                 rest()
-                crlf, starts, last = held.value.get(key[0], (False, (), None))
+                crlf, starts, last = held.value.get(key[0], (False, {}, None))
                 now, inside, parts = key, key[1] in starts, []
                 head, fresh = inside, key[1] == 0
                 if fresh and some[0].startswith(BOM):
@@ -172,12 +175,11 @@ def records(spark: SparkSession, paths: list[str], sep: str) -> DataFrame | None
         rest()
         yield batch()
 
-    found = lines(spark, paths).mapInArrow(join, "record binary, first boolean, file string, start long, kind int")
-    whole = found.where("kind IS NULL").select("record", "first")
-    pieces = found.where("kind IS NOT NULL")
-    nth = F.sum("kind").over(Window.partitionBy("file").orderBy("start", "kind"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "kind", F.col("record").cast("string").alias("text")))), lambda p: p["text"]), "\n")
-    crossing = (pieces.withColumn("nth", nth).groupBy("file", "nth").agg(text.alias("record"), F.max("first").alias("first"))
+    found = lines(spark, paths).mapInArrow(join, "record binary, first boolean, file string, start long, begin long")
+    whole = found.where("file IS NULL").select("record", "first")
+    # fragments meet by the place where their record begins, so one large file's are dealt to all tasks
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", F.col("record").cast("string").alias("text")))), lambda p: p["text"]), "\n")
+    crossing = (found.where("file IS NOT NULL").groupBy("file", "begin").agg(text.alias("record"), F.max("first").alias("first"))
                 .select("record", "first"))
     return whole.select(F.col("record").cast("string").alias("record"), "first").unionByName(crossing)
 
