@@ -223,3 +223,24 @@ def test_plain_scorer_agrees(spark):
         x = gam.features(texts[r.doc_id].encode())
         alone = model.score(np.array([x]))[0]
         assert abs(r.score - alone) < 1e-12 and r.predicted == (alone >= 0.3)
+
+
+def test_components_stop_as_soon_as_all_are_stars(spark, monkeypatch):
+    import random
+
+    from tidemark.llm import components as cc
+
+    kept, calls = cc.stored, []
+    monkeypatch.setattr(cc, "stored", lambda df, name: calls.append(name) or kept(df, name))
+    g = random.Random(5)
+    for edges, rounds in (([(k, 0) for k in range(1, 30)] + [(41, 40), (40, 41), (7, 7)], 1),
+                          ([(g.randrange(60), g.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(30)], None)):
+        calls.clear()
+        root = {n: n for e in edges for n in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        linked = {n for a, b in edges if a != b for n in (a, b)}
+        got = cc.components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b").collect()
+        assert sorted(map(tuple, got)) == sorted((n, r) for n, r in root.items() if n in linked)
+        assert rounds is None or calls.count("stars") == rounds

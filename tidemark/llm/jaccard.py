@@ -154,8 +154,8 @@ def _blocks(df: DataFrame, size: str, block: int) -> DataFrame:
 
 
 def candidates(sets: DataFrame, similarity: float, recall: float, node_sets: int, levels: int) -> DataFrame:
-    """(a, b) edges, by key, whose components hold every pair of close sketches
-    that met. ``sets`` has key and sketch."""
+    """(a, b) edges, by key, some more than once, whose components hold every pair of
+    close sketches that met. ``sets`` has key and sketch."""
     runs = runs_for(recall, levels)
     least = math.floor(similarity * SKETCH - 4 * math.sqrt(SKETCH * similarity * (1 - similarity)))
 
@@ -180,7 +180,7 @@ def candidates(sets: DataFrame, similarity: float, recall: float, node_sets: int
         at = met.where(F.col("n") > node_sets).join(sets, "key").select("key", "sketch", "node")
         if level < levels and met.where(F.col("n") > node_sets).isEmpty():
             break
-    rows = (_blocks(leaves.distinct(), "n", node_sets).join(sets, "key")
+    rows = (_blocks(leaves, "n", node_sets).join(sets, "key")
             .select("node", "lo", "hi", "key", "part", "sketch")
             .repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi"))
 
@@ -207,7 +207,7 @@ def candidates(sets: DataFrame, similarity: float, recall: float, node_sets: int
                 out = set()
         yield _emit(list(out), types)
 
-    return rows.mapInArrow(compare, "a binary, b binary").distinct()
+    return rows.mapInArrow(compare, "a binary, b binary")
 
 
 def _ngrams(text: bytes, words: int) -> set:
@@ -311,7 +311,7 @@ def _classes(docs, id_col, text, words, similarity, recall, node_sets, levels, b
                .select("key", "_id", "copies", F.coalesce("root", "key").alias("root"),
                        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     first = classed.groupBy("root").agg(F.min("_id").alias("class_id"))
-    per_text = stored(classed.join(first, "root").select("key", "class_id", "n_links"), "classes")
+    per_text = classed.join(first, "root").select("key", "class_id", "n_links")
     return rows.select("_id", "key").join(per_text, "key")
 
 
