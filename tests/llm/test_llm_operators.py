@@ -190,6 +190,37 @@ def test_lbl_step_is_the_gradient(monkeypatch):
         assert np.allclose(x, p + 0.1 * e * np.sqrt(40) / np.sqrt(0.01 + e * e * 40), atol=1e-5)
 
 
+def test_lbl_classes_of_many_words():
+    words = [b"", b"a", b"ab", b"abc", b"abcd", b"\xff\x00\x01zz", b"the", b"of"]
+    held = pa.array(words, pa.large_binary())
+    corpus = lbl.Corpus(9, 9, 1, 2, pa.array([b"abc", b"the", b"of"], pa.large_binary()), np.ones(3, np.int64), np.zeros(97, int), np.zeros(97, int))
+    want = [{b"abc": 1, b"the": 2}.get(w, 3 + zlib.crc32(w[-3:]) % 97) for w in words]
+    assert corpus.class_of(held).tolist() == want and corpus.class_of(held.slice(3, 4)).tolist() == want[3:7]
+    place = np.array([[b"abc", b"the", b"of"].index(w) if w in (b"abc", b"the", b"of") else -1 for w in words])
+    assert corpus.class_of(held, place).tolist() == want
+
+
+def test_lbl_trigrams_are_counted_in_pieces(spark, docs, texts, monkeypatch):
+    """Few rows of many grams leave the tasks, and hold every gram once."""
+    for name, n in (("SHARD_GRAMS", 5_000), ("HELD", 1_000), ("SLICE", 1 << 14), ("OWN_SCALE", 10)):
+        monkeypatch.setattr(lbl, name, n)
+    train = docs.select("text").toDF("_text")
+    corpus, _ = lbl.survey(train)
+    rows = lbl.trigrams(train, corpus).collect()
+    got, v = Counter(), corpus.classes
+    for r in rows:
+        grams = np.cumsum(np.frombuffer(r.grams, np.int64))
+        assert r.distinct == len(grams) and not got.keys() & set(grams.tolist())
+        got.update(dict(zip(grams.tolist(), np.frombuffer(r.counts, np.int64).tolist())))
+    own, want = corpus.sent.to_pylist()[:corpus.own], Counter()
+    for t in texts.values():
+        line = [0, 0, *(own.index(w) + 1 if w in own else 1 + len(own) + lbl.ending(w, len(corpus.class_tokens)) for w in t.encode().lower().split()), 0]
+        want.update((a * v + b) * v + c for a, b, c in zip(line, line[1:], line[2:]))
+    assert got == want and len(rows) == -(-corpus.tokens // 5_000)
+    after = np.bincount([g % v for g in want], list(want.values()), v)
+    assert (after == np.r_[corpus.ends, corpus.sent_counts[:corpus.own], corpus.class_tokens]).all()
+
+
 def test_lbl_awkward(awkward, empty, monkeypatch):
     monkeypatch.setattr(lbl, "ROUNDS", 1)
     monkeypatch.setattr(lbl, "STEPS", 3)

@@ -18,6 +18,7 @@ import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, fold, frequent, passing, slices_by_bytes, stored
+from tidemark.llm.common import discard, fold, frequent, mix64, passing, slices_by_bytes, stored
 
 #: Words with a class of their own: so many times the sixth root of the number of
 #: distinct words, which keeps their share of a corpus's tokens from falling as it
@@ -33,8 +34,8 @@ from tidemark.llm.common import discard, fold, frequent, passing, slices_by_byte
 OWN_SCALE, WORDS_FOR_ENDING, ENDING_BYTES = 115, 3, 3
 #: Bytes of texts that a worker takes at a time; a longer text is taken alone.
 SLICE = 1 << 20
-#: Counted words or trigrams that a worker holds before it hands their sums on.
-HELD = 1 << 19
+#: Trigrams that a worker holds before it hands their sums on.
+HELD = 1 << 20
 #: Most words whose counts are sent to the executors; others are joined.
 SENT_WORDS = 1 << 17
 #: Vector size; rounds, after each of which the shards' parameters are averaged;
@@ -48,6 +49,24 @@ def ending(word: bytes, endings: int) -> int:
     return zlib.crc32(word[-ENDING_BYTES:]) % endings
 
 
+#: What a byte does to a crc32: the register after one byte, from each start.
+_CRC = np.array([zlib.crc32(bytes([k])) ^ zlib.crc32(b"\0") for k in range(256)], np.uint32)
+_CRC ^= _CRC[0]
+
+
+def all_endings(words: pa.LargeBinaryArray, endings: int) -> np.ndarray:
+    """``ending`` of many words."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64, len(words) + 1, 8 * words.offset)
+    last, size, crc = at[1:], np.diff(at), np.full(len(words), 0xFFFFFFFF, np.uint32)
+    text = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    for k in range(ENDING_BYTES, 0, -1):
+        has = size >= k
+        now = crc[has]
+        crc[has] = _CRC[(now ^ text[last[has] - k]) & 0xFF] ^ (now >> np.uint32(8))
+    return (~crc % np.uint32(endings)).astype(np.int64)
+
+
 def own_words(types: int) -> int:
     """Words with classes of their own, at a number of distinct words."""
     return round(OWN_SCALE * types ** (1 / 6))
@@ -60,18 +79,22 @@ class Corpus:
     tokens: int  # N, with ends
     types: int  # V, with the end
     ends: int  # training texts
-    own: dict[bytes, int]  # word -> class; class 0 is the end
-    sent: dict[bytes, int]  # word -> training count
+    own: int  # words with classes of their own, from 1 on; class 0 is the end
+    sent: pa.LargeBinaryArray  # words, those of their own classes first
+    sent_counts: np.ndarray  # of each sent word, in training
     class_tokens: np.ndarray  # of each ending
     class_types: np.ndarray
 
     @property
     def classes(self) -> int:
-        return 1 + len(self.own) + len(self.class_tokens)
+        return 1 + self.own + len(self.class_tokens)
 
-    def class_of(self, words: list[bytes]) -> np.ndarray:
-        first, endings = 1 + len(self.own), len(self.class_tokens)
-        return np.fromiter((self.own.get(w) or first + ending(w, endings) for w in words), np.int64, len(words))
+    def class_of(self, words: pa.LargeBinaryArray, place: np.ndarray | None = None) -> np.ndarray:
+        """Class of each word; its place among the sent words may be known."""
+        if place is None:
+            place = pc.fill_null(pc.index_in(words, value_set=self.sent.slice(0, self.own)), -1).to_numpy()
+        own = (place >= 0) & (place < self.own)
+        return np.where(own, place + 1, 1 + self.own + all_endings(words, len(self.class_tokens)))
 
 
 def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -112,22 +135,13 @@ def survey(train: DataFrame) -> tuple[Corpus, DataFrame]:
     """Counts of the training texts (column _text): (corpus, (word, n) table)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, texts = [], 0, 0
-
-        def merged() -> list[pa.RecordBatch]:
-            total = pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")])
-            return total.select(["word", "n_sum"]).rename_columns(["word", "n"]).cast(kind).to_batches()
-
-        for b in slices_by_bytes(batches, 0, SLICE):
+        texts = 0
+        # coding a larger slice at once is cheaper than adding up the words of small ones
+        for b in slices_by_bytes(batches, 0, 4 * SLICE):
             distinct, codes, _ = _coded(b.column(0))
             n = np.bincount(codes, minlength=len(distinct))
-            parts.append(pa.table({"word": distinct, "n": n}).filter(pa.array(n > 0)))
-            held, texts = held + len(distinct), texts + b.num_rows
-            if held > HELD:
-                yield from merged()
-                parts, held = [], 0
-        if parts:
-            yield from merged()
+            texts += b.num_rows
+            yield from pa.table({"word": distinct, "n": n}).filter(pa.array(n > 0)).cast(kind).to_batches()
         if texts:
             yield from pa.table({"word": [b""], "n": [texts]}).cast(kind).to_batches()
 
@@ -139,7 +153,8 @@ def survey(train: DataFrame) -> tuple[Corpus, DataFrame]:
     sent = {bytes(r.word): r.n for r in frequent(real, "word", "n", SENT_WORDS)}
     most = own_words(types or 0)
     endings = 1 + most // WORDS_FOR_ENDING
-    own = {w: k + 1 for k, w in enumerate(sorted(sorted(sent, key=lambda w: (-sent[w], w))[:most]))}
+    often = sorted(sent, key=lambda w: (-sent[w], w))
+    own, often = sorted(often[:most]), often[most:]
     end = F.crc32(F.when(F.octet_length("word") > ENDING_BYTES, F.substring("word", -ENDING_BYTES, ENDING_BYTES)).otherwise(F.col("word"))) % endings
     n, v = np.zeros(endings, np.int64), np.zeros(endings, np.int64)
     for r in real.groupBy(end.alias("e")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -147,34 +162,81 @@ def survey(train: DataFrame) -> tuple[Corpus, DataFrame]:
     for w in own:  # they have classes of their own
         n[ending(w, endings)] -= sent[w]
         v[ending(w, endings)] -= 1
-    return Corpus(tokens or 0, types or 0, ends or 0, own, sent, n, v), counts
+    often = own + often
+    return Corpus(tokens or 0, types or 0, ends or 0, len(own), pa.array(often, pa.large_binary()),
+                  np.array([sent[w] for w in often], np.int64), n, v), counts
+
+
+def _part(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Which of so many equal stretches of the hashes a gram's hash is in."""
+    return ((mix64(grams) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _piece(part: int, grams: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """A row (part, distinct, grams, counts) of ascending grams: kept are the
+    distances from one to the next."""
+    return part, len(grams), np.diff(grams, prepend=0).tobytes(), counts.tobytes()
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all pieces, ascending, and the sums of their counts."""
+    grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        grams += [np.cumsum(np.frombuffer(x, np.int64)) for x in b.column(2).to_pylist()]
+        counts += [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+    g, n = np.concatenate(grams), np.concatenate(counts)
+    order = np.argsort(g)
+    g = g[order]
+    first = np.flatnonzero(np.diff(g, prepend=-1))
+    return g[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _pieces(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, PIECE.types)], schema=PIECE)
+
+
+#: Counted grams of one stretch of the hashes, as tasks pass them on.
+PIECE = pa.schema([("part", pa.int32()), ("distinct", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+_PIECE = "part int, distinct long, grams binary, counts binary"
 
 
 def trigrams(train: DataFrame, corpus: Corpus) -> DataFrame:
-    """(gram, n): counts of class trigrams of all training texts, ends included;
-    a gram is its classes as digits of the number of classes."""
-    held, size = train.sparkSession.sparkContext.broadcast(corpus), corpus.classes
+    """Counts of class trigrams of all training texts, ends included: a piece for
+    each stretch of the grams' hashes, of which there are as many as keep one to
+    ``SHARD_GRAMS`` grams; a gram is its classes as digits of the number of classes."""
+    held, size, parts = train.sparkSession.sparkContext.broadcast(corpus), corpus.classes, _stretches(corpus.tokens)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        lists, n = [], 0
 
-        def merged() -> pa.RecordBatch:
-            g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(total)], ["gram", "n"])
+        def summed() -> pa.RecordBatch:
+            g = np.concatenate(lists)
+            g += _part(g, parts) * size ** 3
+            g, total = np.unique(g, return_counts=True)
+            edges = np.searchsorted(g, np.arange(parts + 1) * size ** 3)
+            return _pieces([_piece(k, g[i:j] - k * size ** 3, total[i:j]) for k, (i, j) in enumerate(zip(edges, edges[1:])) if i < j])
 
         for b in slices_by_bytes(batches, 0, SLICE):
             distinct, codes, lens = _coded(b.column(0))
-            c2, c1, w, _ = _sequences(held.value.class_of(distinct.to_pylist())[codes], lens)
-            parts.append(np.unique((c2 * size + c1) * size + w, return_counts=True))
-            n += len(parts[-1][0])
+            c2, c1, w, _ = _sequences(held.value.class_of(distinct)[codes], lens)
+            lists.append((c2 * size + c1) * size + w)
+            n += len(w)
             if n > HELD:
-                yield merged()
-                parts, n = [], 0
-        if parts:
-            yield merged()
+                yield summed()
+                lists, n = [], 0
+        if n:
+            yield summed()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, n = _added(batches)
+        if len(g):
+            yield _pieces([_piece(int(_part(g[:1], parts)[0]), g, n)])
 
-    return train.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(count, _PIECE).repartitionById(parts, "part").mapInArrow(add, _PIECE)
+
+
+def _stretches(grams: int) -> int:
+    return max(1, -(-grams // SHARD_GRAMS))
 
 
 @dataclass
@@ -204,46 +266,64 @@ class Model:
         samples = np.repeat(np.arange(len(grams)), times)
         weight *= len(samples) / counts.sum()  # 1 on average
         weight = (weight / SAMPLES).astype(np.float32)
-        far, last, word = grams // (v * v), grams // v % v, grams % v
+        classes = np.stack([grams // (v * v), grams // v % v, grams % v], 1).astype(np.int32)
         noise_cdf, log_noise = np.cumsum(unigram), np.log(unigram * NOISE).astype(np.float32)
         sums = [np.full(p.shape, 1e-2, np.float32) for p in (self.r, self.q, self.b, self.c)]
-        step_size = np.float32(rate * np.sqrt(SAMPLES))
+        step_size, half = np.float32(rate * np.sqrt(SAMPLES)), np.float32(0.5)
+        cells = np.arange(v * SIZE // 2).reshape(v, SIZE // 2)  # of each row of a parameter, two numbers a cell
 
-        def climb(k: int, at: np.ndarray | slice, d: np.ndarray) -> None:
-            """A step of the k-th parameter's rows ``at``, each given once."""
+        def climb(k: int, d: np.ndarray) -> None:
+            """A step of the k-th parameter; what has no gradient stays."""
             p, s = (self.r, self.q, self.b, self.c)[k], sums[k]
-            total = s[at] + d * d * np.float32(SAMPLES)
-            s[at] = total
-            p[at] += step_size * d / np.sqrt(total)
-
-        def summed(at: np.ndarray, *rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-            """Distinct rows, and the sums over each."""
-            order = np.argsort(at, kind="stable")
-            at = at[order]
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            return at[first], [np.add.reduceat(x[order], first, 0) for x in rows]
-
-        steps = -(-len(samples) // SAMPLES)
+            grown = d * d
+            grown *= np.float32(SAMPLES)
+            s += grown
+            d *= step_size
+            d /= np.sqrt(s, out=grown)
+            p += d
+
+        def summed(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            """Sums over equal rows, in place of each class."""
+            out = np.zeros(v * SIZE // 2, np.complex64)  # adds two numbers at a time
+            np.add.at(out, cells.take(at, 0).ravel(), rows.view(np.complex64).ravel())
+            return out.view(np.float32).reshape(v, SIZE)
+
+        steps, one = -(-len(samples) // SAMPLES), np.ones(SAMPLES, np.float32)
         for step in range(steps * -(-STEPS // steps)):
             if step % steps == 0:
                 g.shuffle(samples)
             pick = samples[step % steps * SAMPLES:][:SAMPLES]
-            share, f, l, w = weight[pick], far[pick], last[pick], word[pick]
+            share, (f, l, w) = weight.take(pick), classes.take(pick, 0).T.astype(np.int64)
             noise = np.minimum(np.searchsorted(noise_cdf, g.random(NOISE)), v - 1)
-            before, now, q, q_noise = self.r[f], self.r[l], self.q[w], self.q[noise]
-            hat = self.c[0] * before + self.c[1] * now
+            hat, q, q_noise = self.r.take(f, 0), self.q.take(w, 0), self.q[noise]
+            hat *= self.c[0]
+            hat += self.c[1] * self.r.take(l, 0)
+            # 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2
+            half_share = half * share
             good = np.einsum("ij,ij->i", hat, q) + self.b[w] - log_noise[w]
-            bad = hat @ q_noise.T + (self.b[noise] - log_noise[noise])
-            d_good = share / (1 + np.exp(np.clip(good, -30, 30)))
-            d_bad = -share[:, None] / (1 + np.exp(np.clip(-bad, -30, 30)))
-            d_hat = d_good[:, None] * q + d_bad @ q_noise
-            at, (d,) = summed(np.r_[f, l], np.concatenate([d_hat * self.c[0], d_hat * self.c[1]]))
-            d_c = np.stack([np.einsum("ij,ij->j", d_hat, x) for x in (before, now)])
-            climb(0, at, d)
-            at, (d, d_b) = summed(np.r_[w, noise], np.concatenate([d_good[:, None] * hat, d_bad.T @ hat]), np.r_[d_good, d_bad.sum(0)])
-            climb(1, at, d)
-            climb(2, at, d_b)
-            climb(3, slice(None), d_c)
+            d_good = half_share * (1 - np.tanh(half * good))
+            d_bad = hat @ (half * q_noise).T
+            d_bad += half * (self.b[noise] - log_noise[noise])
+            np.tanh(d_bad, out=d_bad)
+            d_bad += 1
+            d_bad *= -half_share[:, None]
+            d_hat = d_bad @ q_noise
+            q *= d_good[:, None]
+            d_hat += q
+            d_far, d_last = summed(f, d_hat), summed(l, d_hat)
+            d_c = np.stack([(d * self.r).sum(0) for d in (d_far, d_last)])
+            d_noise, d_b = d_bad.T @ hat, np.bincount(w, d_good, v).astype(np.float32)
+            hat *= d_good[:, None]
+            d_q = summed(w, hat)
+            np.add.at(d_q, noise, d_noise)
+            np.add.at(d_b, noise, one[:len(pick)] @ d_bad)
+            d_far *= self.c[0]
+            d_last *= self.c[1]
+            d_far += d_last
+            climb(0, d_far)
+            climb(1, d_q)
+            climb(2, d_b)
+            climb(3, d_c)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score part of the word before last, of the last with the bias, log
@@ -264,49 +344,45 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
     by side, and their parameters are averaged, weighted by tokens, after a
     round. How Spark partitions the table makes no difference to the model."""
     kept = stored(grams, "trigrams")
-    shards = max(1, -(-kept.count() // SHARD_GRAMS))
-    shard = F.pmod(F.xxhash64("gram"), F.lit(shards))
-    # a file holds whole shards, in one row group that no reader splits; rounds scan it without a shuffle
-    dealt = kept.select(shard.alias("shard"), "gram", "n").repartition(shards, "shard").sortWithinPartitions("shard", "gram")
+    shards = _stretches(kept.agg(F.sum("distinct")).first()[0] or 0)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                g, n = _added([b.slice(i, 1)])
+                part = _part(g, shards)
+                yield _pieces([_piece(int(k), g[part == k], n[part == k]) for k in np.unique(part)])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, n = _added(batches)
+        if len(g):
+            yield _pieces([_piece(int(_part(g[:1], shards)[0]), g, n)])
+
+    # a shard is a row in a file of its own; rounds scan them without a shuffle
+    dealt = kept.mapInArrow(cut, _PIECE).repartitionById(shards, "part").mapInArrow(join, _PIECE)
     with passing(dealt, "shards") as table:
         discard(kept)
         return _fit(table, corpus, seed)
 
 
-def _fit(grams: DataFrame, corpus: Corpus, seed: int) -> Model:
-    v = corpus.classes
-    unigram = np.ones(v)
-    for r in grams.groupBy((F.col("gram") % v).alias("w")).agg(F.sum("n").alias("n")).collect():  # one row for each class
-        unigram[r.w] += r.n
+def _fit(shards: DataFrame, corpus: Corpus, seed: int) -> Model:
+    unigram = 1.0 + np.r_[corpus.ends, corpus.sent_counts[:corpus.own], corpus.class_tokens]
     unigram /= unigram.sum()
     model = Model.start(unigram, seed)
     if not corpus.tokens:
         return model
-    context = grams.sparkSession.sparkContext
+    context = shards.sparkSession.sparkContext
     for k in range(ROUNDS):
         held = context.broadcast((model, unigram))
 
-        def one(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(parts)
-            g, n = table["gram"].to_numpy(), table["n"].to_numpy()
-            start, noise = held.value
-            m = Model(*(x.copy() for x in (start.r, start.q, start.b, start.c)))
-            m.train(g, n, noise, seed * 1000 + k + (shard << 20), 0.08 / (1 + k))
-            return pa.RecordBatch.from_pydict({"shard": [shard], "tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
-
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, parts = None, []
+            start, noise = held.value
             for b in batches:
-                at = b.column(0).to_numpy()
-                edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]) if len(at) else []
-                for i, j in zip(edges, edges[1:]):
-                    if parts and at[i] != now:
-                        yield one(now, parts)
-                        parts = []
-                    now = int(at[i])
-                    parts.append(b.slice(i, j - i))
-            if parts:
-                yield one(now, parts)
+                for i in range(b.num_rows):
+                    shard, (g, n) = b.column(0)[i].as_py(), _added([b.slice(i, 1)])
+                    m = Model(*(x.copy() for x in (start.r, start.q, start.b, start.c)))
+                    m.train(g, n, noise, seed * 1000 + k + (shard << 20), 0.08 / (1 + k))
+                    yield pa.RecordBatch.from_pydict({"shard": [shard], "tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
 
         def add(table: pa.Table) -> pa.Table:
             rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
@@ -318,7 +394,7 @@ def _fit(grams: DataFrame, corpus: Corpus, seed: int) -> Model:
             return pa.table({"shard": [rows[0]["shard"]], "tokens": [total], "model": pa.array([pickle.dumps(Model(*out))], pa.binary())})
 
         kind = "shard long, tokens long, model binary"
-        done = grams.mapInArrow(each, kind)
+        done = shards.mapInArrow(each, kind)
         got = done.groupBy(F.shiftright("shard", ADDED.bit_length() - 1)).applyInArrow(add, kind).toArrow()  # a row for ADDED shards
         model = pickle.loads(add(got)["model"][0].as_py())
     return model
@@ -327,7 +403,8 @@ def _fit(grams: DataFrame, corpus: Corpus, seed: int) -> Model:
 @functools.lru_cache(1)
 def _scorer(data: bytes):
     corpus, model = pickle.loads(data)
-    return corpus, model.tables(), np.log10(corpus.class_tokens + corpus.class_types + 1.0)
+    place = {w: k for k, w in enumerate(corpus.sent.to_pylist())}
+    return corpus, place.get, [x.ravel() for x in model.tables()], np.log10(corpus.class_tokens + corpus.class_types + 1.0)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -348,17 +425,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: in
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, (far, near, z), class_size = _scorer(sent.value)
-        first = 1 + len(corpus.own)
-        end_log = np.log10(corpus.ends + 1.0)
+        corpus, find, (far, near, z), class_size = _scorer(sent.value)
+        first, v = 1 + corpus.own, corpus.classes
+        end_log, counted = np.log10(corpus.ends + 1.0), np.r_[corpus.sent_counts, 0]
         for b in slices_by_bytes(batches, 3, SLICE):
             distinct, codes, n = _coded(b.column(3))
-            distinct = distinct.to_pylist()
-            cls = corpus.class_of(distinct)
-            known = np.array([corpus.sent.get(w, 0) for w in distinct], np.int64)
+            place = np.fromiter(map(find, distinct.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(distinct))
+            cls = corpus.class_of(distinct, place)
+            known = np.where(place >= 0, counted[place], 0)
             log_count, doc = np.log10(known + 1.0), np.repeat(np.arange(len(n)), n)
             c2, c1, w, at = _sequences(cls[codes], n)
-            lm = np.bincount(at, (far[c2, w].astype(np.float64) + near[c1, w] - z[c2, c1]) / np.log(10), len(n))
+            lm = np.bincount(at, (far.take(c2 * v + w).astype(np.float64) + near.take(c1 * v + w) - z.take(c2 * v + c1)) / np.log(10), len(n))
             rare_class = cls[codes] - first
             other = rare_class >= 0
             lm += np.bincount(doc[other], log_count[codes[other]] - class_size[rare_class[other]], len(n))
@@ -367,7 +444,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: in
             missing = known[codes] == 0  # not sent: joined with the counts
             pair, times = np.unique(doc[missing] * max(1, len(distinct)) + codes[missing], return_counts=True)
             owner, code = np.divmod(pair, max(1, len(distinct)))
-            words, ends = pa.array([distinct[c] for c in code], pa.binary()), np.searchsorted(owner, np.arange(len(n) + 1))
+            words, ends = distinct.take(pa.array(code)).cast(pa.binary()), np.searchsorted(owner, np.arange(len(n) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
                 [words, pa.array(times.astype(np.int32))], ["word", "m"]))
             yield pa.RecordBatch.from_arrays(
