@@ -99,6 +99,26 @@ def test_bpe_hard_texts(library):
     assert [x.tolist() for x in tokens.LibraryEncoder(VOCAB).batch(pa.array([None, *hard]))] == [[], *want]
 
 
+def test_bpe_joins_what_is_known_of_chunks(library, monkeypatch):
+    """The texts' parts are joined by Arrow; only texts that are not cut take the way by ``batch``."""
+    hard = ["", " a", "a  b", "x<|endoftext|> y", "a \n b", "\u3000 a", "don't do it", " ", "z\xa0 z", "\U0001f642 \U0001f642\U0001f642", "é è a"]
+    signs = ["a", "bc", " ", " ", "\n", "\xa0", "\x85", "'s", "1", "!", "é", "日", "<|endoftext|>"]
+    g = np.random.default_rng(6)
+    hard += ["".join(signs[k] for k in g.integers(0, len(signs), n)) for n in g.integers(0, 14, 2000)]
+    enc, odd = bpe.Encoder(bpe.vocabulary(VOCAB)), []
+    real = enc.batch
+    monkeypatch.setattr(enc, "batch", lambda texts: odd.extend(texts) or real(texts))
+    want = [[], *(e.ids for e in library.encode_batch(hard, add_special_tokens=False)), [64]]
+    for _ in range(2):
+        got = enc.coded(pa.array([None, *hard, "a"]))
+        assert got.ids.to_pylist() == want
+        assert got.decimals == [",".join(map(str, x)).encode() for x in want]
+        assert [t.decode("utf-8", "replace") for t in got.decoded] == [library.decode(x, skip_special_tokens=False) for x in want]
+    assert 0 < len(odd) < len(hard) * 1.6 and "don't do it" not in odd and "x<|endoftext|> y" in odd
+    assert enc.coded(pa.array([], pa.string())).ids.to_pylist() == []
+    assert enc.coded(pa.array(hard)[3:5]).ids.to_pylist() == want[4:6]
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w: (k, k + 1) for k, w in enumerate([b"tap", b"taps", b"top", b"tops", b"a", b"tapsx"])}
     lex = bpe.Lexicon(bpe.compile_lexicon(words))

@@ -15,18 +15,21 @@ import hashlib
 import json
 import mmap
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import frequent, passing, slices
+from tidemark.llm.common import frequent, passing, ranges, slices_by_bytes
 
 #: The published pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -35,6 +38,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 LEXICON_WORDS = 1 << 16
 #: Longest word, in bytes, that the automaton holds.
 LEXICON_BYTES = 64
+#: Bytes of texts that a worker encodes at a time, and counts words of; a longer text is taken alone.
+SLICE, COUNT_SLICE = 1 << 21, 1 << 23
 #: Chunks remembered by one worker before it starts afresh.
 MEMO_CHUNKS = 1 << 19
 
@@ -63,7 +68,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for t, i in self.special.items():
             self.token_bytes[i] = t.encode()
-        self.decimal = [str(i) for i in range(size)]
+        self.decimals = pa.array([str(i) for i in range(size)], pa.string()).cast(pa.large_binary())
+        self.raw = pa.array(self.token_bytes, pa.large_binary())
         self.byte_id = np.array([ids[c] for c, _ in sorted(back.items(), key=lambda x: x[1])], np.uint32)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self._index([(ids[a] << 32) | ids[b] for a, b in pairs], [ids[a + b] for a, b in pairs])
@@ -111,10 +117,17 @@ class Vocabulary:
         return rank, at
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each word."""
+        ids, sizes = self.merged(words)
+        ids, ends = ids.tolist(), np.cumsum(sizes).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Exact BPE of many words at once: in every round each word merges all
-        places of its lowest-ranked pair, left to right, until none has a pair."""
+        places of its lowest-ranked pair, left to right, until none has a pair.
+        The ids of all words, and how many each has."""
         if not words:
-            return []
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         lens = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), lens)
@@ -147,10 +160,7 @@ class Vocabulary:
                 keep &= live
             sym, word = sym[keep], word[keep]
         s, w = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done_sym, done_word))
-        order = np.argsort(w, kind="stable")
-        s = s[order].tolist()
-        ends = np.cumsum(np.bincount(w.astype(np.int64), minlength=len(words))).tolist()
-        return [tuple(s[a:b]) for a, b in zip([0, *ends], ends)]
+        return s[np.argsort(w, kind="stable")].astype(np.uint32), np.bincount(w.astype(np.int64), minlength=len(words))
 
 
 # ------------------------------------------------------------- automaton --
@@ -264,6 +274,32 @@ class Lexicon:
 
 
 # --------------------------------------------------------------- encoder --
+#: White space as the pattern sees it (Unicode's), written for Arrow.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+
+
+def whole_texts(special: Iterable[str]) -> str:
+    """Arrow's pattern of texts that are not cut at their spaces: those with
+    longer runs of white space around a space, or with a special token."""
+    return "|".join([_WHITE + " (?:" + _WHITE + "|$)", *map(re.escape, special)])
+
+
+def cut(texts: pa.Array, whole: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(texts that are not cut, chunks of all others, where each one's begin and end)."""
+    odd = pc.match_substring_regex(texts, whole)
+    lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return odd.to_numpy(zero_copy_only=False), lists.values.slice(offsets[0], offsets[-1] - offsets[0]), offsets - offsets[0]
+
+
+class Coded(NamedTuple):
+    """Token ids of some texts: each text's, their decimals joined by commas, and the bytes they decode to."""
+
+    ids: pa.Array
+    decimals: list[bytes]
+    decoded: list[bytes]
+
+
 class Encoder:
     """Encodes texts exactly as the vocabulary's own library does.
 
@@ -275,27 +311,79 @@ class Encoder:
     _run = regex.compile(r"\s (?:\s|$)")
 
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None):
-        self.vocab, self.lexicon = vocab, lexicon
-        self.first: dict[str, tuple[int, ...]] = {}
-        self.later: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, words: Iterable[str]) -> None:
-        new = [w for w in words if w not in self.words]
-        raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        if self.lexicon is not None:
-            at = self.lexicon.find(raw).tolist()
-            for w, i in zip(new, at):
-                if i >= 0:
-                    self.words[w] = self.lexicon.output(i)
-            rest = [k for k, i in enumerate(at) if i < 0]
-            new, raw = [new[k] for k in rest], [raw[k] for k in rest]
-        self.words.update(zip(new, self.vocab.merge(raw)))
+        self.vocab, self.lexicon, self.whole = vocab, lexicon, whole_texts(vocab.special)
+        self._reset()
+
+    def _reset(self) -> None:
+        # numbers of chunks at the start of a text and after a space, and of words in longer chunks
+        self.first, self.later, self.words = {"": 0}, {}, {}
+        self.ids, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used, self.known = 0, 1
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Numbers under which the ids are found from now on."""
+        first, end = self.known, self.known + len(sizes)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while end > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.at[first:end] = self.used + np.cumsum(sizes) - sizes
+        self.size[first:end] = sizes
+        self.used += len(ids)
+        self.known = end
+        return range(first, end)
+
+    def _of(self, numbers: Iterable[int]) -> np.ndarray:
+        """Ids of chunks or words, one after the other."""
+        numbers = np.asarray(numbers, np.int64)
+        return self.ids[ranges(self.at[numbers], self.size[numbers])]
+
+    def _found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        if self.lexicon is None:
+            return self.vocab.merged(raw)
+        at, lex = self.lexicon.find(raw), self.lexicon
+        rest = np.flatnonzero(at < 0)
+        ids, n = self.vocab.merged([raw[k] for k in rest.tolist()])
+        hit, starts, sizes = at >= 0, np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        starts[hit], sizes[hit] = lex.offs[at[hit]], lex.offs[at[hit] + 1] - lex.offs[at[hit]]
+        starts[rest], sizes[rest] = len(lex.ids) + np.cumsum(n) - n, n
+        return np.concatenate([lex.ids, ids])[ranges(starts, sizes)], sizes
+
+    def _forget(self) -> None:
+        if len(self.later) + len(self.first) + len(self.words) > MEMO_CHUNKS:
+            self._reset()
+
+    def _remember(self, first: Iterable[str], later: Iterable[str], words: Iterable[str] = ()) -> None:
+        """Have words and the chunks at the start of texts and after spaces in the memos."""
+        find = self.vocab.pattern.findall
+        # ASCII letters alone are one word, as the pattern has it
+        split_first = {c: [c] if c.isascii() and c.isalpha() else find(c) for c in first if c not in self.first}
+        split_later = {c: [" " + c] if c.isascii() and c.isalpha() else find(" " + c) for c in later if c not in self.later}
+        # a chunk that is one word is remembered as a chunk only
+        one, inner = {}, dict.fromkeys(w for w in words if w not in self.words)
+        for split in (split_first, split_later):
+            for found in split.values():
+                if len(found) == 1:
+                    one[found[0]] = None
+                else:
+                    inner.update((w, None) for w in found if w not in self.words)
+        new = list(one | inner)
+        known = dict(zip(new, self._store(*self._found(new))))
+        self.words.update((w, known[w]) for w in inner)
+        for memo, split in ((self.first, split_first), (self.later, split_later)):
+            memo.update((c, known[found[0]]) for c, found in split.items() if len(found) == 1)
+            if several := [(c, found) for c, found in split.items() if len(found) != 1]:
+                at = np.fromiter((self.words[w] for _, found in several for w in found), np.int64)
+                n = np.fromiter((len(found) for _, found in several), np.int64, len(several))
+                sizes = np.diff(np.r_[0, np.cumsum(self.size[at])][np.r_[0, np.cumsum(n)]])
+                memo.update(zip((c for c, _ in several), self._store(self._of(at), sizes)))
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         """Token ids of each text."""
-        if len(self.later) + len(self.first) + len(self.words) > MEMO_CHUNKS:
-            self.first, self.later, self.words = {}, {}, {}
+        self._forget()
         find, v = self.vocab.pattern.findall, self.vocab
         plan: list[list] = []  # per text: pieces of (kind, list) or a special id
         first, later, words = set(), set(), set()
@@ -315,14 +403,7 @@ class Encoder:
                     later.update(chunks[1:])
                     pieces.append((0, chunks))
             plan.append(pieces)
-        # ASCII letters alone are one word, as the pattern has it
-        split_first = {c: [c] if c.isascii() and c.isalpha() else find(c) for c in first if c not in self.first}
-        split_later = {c: [" " + c] if c.isascii() and c.isalpha() else find(" " + c) for c in later if c not in self.later}
-        self._learn(words.union(*split_first.values(), *split_later.values()))
-        get = self.words.__getitem__
-        for memo, split in ((self.first, split_first), (self.later, split_later)):
-            for c, found in split.items():
-                memo[c] = get(found[0]) if len(found) == 1 else tuple(chain.from_iterable(map(get, found)))
+        self._remember(first, later, words)
         out = []
         for pieces in plan:
             ids: list[int] = []
@@ -330,15 +411,39 @@ class Encoder:
                 if isinstance(piece, int):
                     ids.append(piece)
                 elif piece[0] == 2:
-                    ids.extend(chain.from_iterable(map(get, piece[1])))
+                    ids.extend(self._of(list(map(self.words.__getitem__, piece[1]))).tolist())
                 else:
                     chunks = piece[1]
-                    if chunks[0]:
-                        ids.extend(self.first[chunks[0]])
-                    ids.extend(chain.from_iterable(map(self.later.__getitem__, chunks[1:])))
+                    ids.extend(self._of([self.first[chunks[0]], *map(self.later.__getitem__, chunks[1:])]).tolist())
             out.append(ids)
         return out
 
+    def coded(self, texts: pa.Array) -> Coded:
+        """All there is to say of each text's ids; a null text is empty.
+
+        Arrow cuts and numbers the chunks, and joins what the ids stand for;
+        texts that are not cut go through ``batch``.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd, chunks, offsets = cut(texts, self.whole)
+        tail = self.batch(texts.filter(pa.array(odd)).to_pylist()) if odd.any() else []
+        self._forget()
+        numbered, heads = chunks.dictionary_encode(), offsets[:-1]
+        later = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = chunks.take(pa.array(heads)).to_pylist()
+        self._remember(dict.fromkeys(first), later)
+        at = np.fromiter(map(self.later.__getitem__, later), np.int64, len(later))[numbered.indices.to_numpy()]
+        at[heads] = np.fromiter(map(self.first.__getitem__, first), np.int64, len(first))
+        n = np.zeros(len(texts), np.int64)
+        n[~odd] = np.diff(np.r_[0, np.cumsum(self.size[at])][offsets])
+        n[odd] = list(map(len, tail))
+        ids, inside = np.zeros(int(n.sum()), np.int32), np.repeat(~odd, n)
+        ids[inside], ids[~inside] = self._of(at), list(chain.from_iterable(tail))
+        ids, ends = pa.array(ids), np.r_[0, np.cumsum(n)]
+        joined = (pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), shown.take(ids)), pa.scalar(by, pa.large_binary())).to_pylist()
+                  for shown, by in ((self.vocab.decimals, b","), (self.vocab.raw, b"")))
+        return Coded(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), *joined)
+
     def decode(self, ids: Iterable[int]) -> str:
         """Text of token ids; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.vocab.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -360,31 +465,20 @@ def word_counts(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFra
     """(word, n) over every whole text; workers add up before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = vocabulary(vocab_path).pattern.findall
-
-        def rows(chunks: Counter) -> pa.RecordBatch:
+        find, empty, space = vocabulary(vocab_path).pattern.findall, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        for b in slices_by_bytes(batches, 0, COUNT_SLICE):
+            lists = pc.split_pattern(b.column(0).cast(pa.large_string()).drop_null(), " ")
+            chunks, n = lists.flatten().value_counts().flatten()
+            letters = pc.ascii_is_alpha(chunks)
             words: Counter = Counter()
-            for c, n in chunks.items():
-                for w in (c,) if c.isascii() and c[1:].isalpha() else find(c):
-                    words[w] += n
-            return pa.RecordBatch.from_pydict(
+            for c, m in zip(chunks.filter(pc.invert(letters)).to_pylist(), n.filter(pc.invert(letters)).to_pylist()):
+                for w in find(" " + c):
+                    words[w] += m
+            spaced = pc.binary_join_element_wise(empty, chunks.filter(letters), space)
+            yield pa.RecordBatch.from_arrays([spaced.cast(pa.string()), n.filter(letters)], ["word", "n"])
+            yield pa.RecordBatch.from_pydict(
                 {"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())})
 
-        chunks: Counter = Counter()
-        for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                if t:
-                    head, *rest = t.split(" ")
-                    chunks[head] += 1
-                    chunks.update(rest)
-            if len(chunks) > MEMO_CHUNKS:
-                yield rows(spaced(chunks))
-                chunks = Counter()
-        yield rows(spaced(chunks))
-
-    def spaced(chunks: Counter) -> Counter:
-        return Counter({" " + c: n for c, n in chunks.items()})
-
     return (docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
@@ -426,20 +520,19 @@ def _run_encoder(docs, vocab_path, id_col, text, lexicon_words, digests, with_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_encoder(vocab_path, held.value)
-        join = enc.vocab.decimal.__getitem__
-        for b in slices(batches):
-            found = enc.batch([t or "" for t in b.column(1).to_pylist()])
-            texts = [enc.decode(ids) for ids in found]
+        for b in slices_by_bytes(batches, 1, SLICE):
+            found = enc.coded(b.column(1))
+            texts = [t.decode("utf-8", "replace") for t in found.decoded]
             if digests:
-                cols = [pa.array(map(len, found), pa.int64()),
-                        pa.array([hashlib.sha256(",".join(map(join, ids)).encode()).hexdigest() for ids in found]),
+                cols = [pc.list_value_length(found.ids).cast(pa.int64()),
+                        pa.array([hashlib.sha256(t).hexdigest() for t in found.decimals]),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    cols.append(pa.array(found, pa.list_(pa.int32())))
+                    cols.append(found.ids)
                     names.append("ids")
             else:
-                cols = [pa.array(found, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                cols = [found.ids, pa.array(texts, pa.string())]
                 names = [id_col, "ids", "decoded"]
             if position:
                 cols.append(b.column(2))
