@@ -283,7 +283,8 @@ class LibraryEncoder:
 
     def _learn(self, chunks: list[str]) -> list[int]:
         """Numbers of new chunks, each with the space before it if there is one."""
-        split = list(map(self.pattern.findall, chunks))
+        # ASCII letters, after a space or not, are one word, as the pattern has it
+        split = [[c] if c.isascii() and c.removeprefix(" ").isalpha() else self.pattern.findall(c) for c in chunks]
         if new := [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.words]:
             ids = np.array(self.by_word.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
             # tokens of a word hold its bytes, so byte counts tell where each word ends
