@@ -258,6 +258,64 @@ def test_coder_round_trip(n):
         assert (tokens.unpack(data, n, 50257, lanes) == ids).all()
 
 
+def test_coder_bits():
+    """Contexts are worth it: fewer bits an id than the ids' frequencies alone would take."""
+    g = np.random.default_rng(4)
+    ids = np.minimum(50256, g.pareto(0.8, 1 << 18) * 20).astype(np.uint32)
+    follows = g.integers(0, 50257, 50257, dtype=np.uint32)
+    at = np.flatnonzero(g.random(len(ids)) < 0.4)[1:]
+    for k in at.tolist():
+        ids[k] = follows[ids[k - 1]]
+    lanes, data = tokens.pack(ids, 50257)
+    shares = np.bincount(ids) / len(ids)
+    assert len(data) * 8 / len(ids) < 0.95 * -(shares[shares > 0] * np.log2(shares[shares > 0])).sum()
+    assert (tokens.unpack(data, len(ids), 50257, lanes) == ids).all()
+
+
+class _Asked:
+    """A library that remembers what it is asked to encode."""
+
+    def __init__(self, library):
+        self.library, self.asked = library, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += [w for t in texts for w in (t if options.get("is_pretokenized") else [t])]
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_library_is_asked_once_for_each_word(library):
+    """Whatever the white space around it: no text but one with a special token goes to the library whole."""
+    enc = tokens.LibraryEncoder(VOCAB)
+    enc.library, enc.by_word = _Asked(enc.library), _Asked(enc.by_word)
+    texts = ["one  two, three.\n  one\ttwo", " two, one  two, extraordinarily-longish ", "extraordinarilylongish extraordinarilylongish"]
+    for _ in range(2):
+        assert [x.tolist() for x in enc.batch(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert enc.library.asked == [] and len(enc.by_word.asked) == len(set(enc.by_word.asked))
+    enc.batch(pa.array([None, "<|endoftext|> one"]))
+    assert enc.library.asked == ["<|endoftext|> one"]
+
+
+def test_library_encoder_in_stretches(library, monkeypatch):
+    monkeypatch.setattr(tokens, "STRETCH", 7)
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 20)
+    enc = tokens.LibraryEncoder(VOCAB)
+    texts = [f"word{k} and some, more  text don't\n" + "x" * k + "\0" * (k % 4) + "é日 " * (k % 3) for k in range(60)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for k in range(0, 60, 9) for x in enc.batch(pa.array(texts).slice(k, 9))] == want
+
+
+def test_memo_keys_are_exact():
+    words = [b"\0", b"\0\0", b"a", b"a\0", *(b"x" * n for n in range(1, 16)), *(b"%d" % n for n in range(3000))]
+    data = np.frombuffer(b"".join(words) + bytes(16), np.uint8)
+    sizes = np.array(list(map(len, words)))
+    low, high = tokens.Memo.keys(data, np.cumsum(sizes) - sizes, sizes)
+    memo, values = tokens.Memo(4), np.arange(1, len(words) + 1, dtype=np.uint64)
+    assert not memo.find(low, high).any()
+    for k in range(0, len(words), 500):
+        memo.put(low[k:k + 500], high[k:k + 500], values[k:k + 500])
+        assert (memo.find(low, high) == np.where(np.arange(len(words)) < k + 500, values, 0)).all()
+
+
 def test_damaged_block_is_found():
     data = bytearray(tokens.write_block([(1, np.arange(50)), (None, np.array([], int))], 50))
     assert [(i, x.tolist()) for i, x in tokens.read_block(bytes(data))] == [(1, list(range(50))), (None, [])]

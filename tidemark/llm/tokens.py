@@ -17,18 +17,15 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import PATTERN
-from tidemark.llm.common import NULL_ID, ranges, slices, spread, stored
+from tidemark.llm.common import NULL_ID, ranges, slices_by_bytes, spread, stored
 from tidemark.llm.files import new_folder, open_folder, unique_name
 
 #: Ids of a block (a longer document makes a longer one), and lanes at most.
@@ -38,57 +35,95 @@ END_ID = 0
 END = np.uint32(END_ID)
 #: Fixed values of the format: block magic, and header (crc of what follows,
 #: documents, ids, ids' crc, alphabet, lanes, bytes of documents and of words).
-MAGIC = b"TIB1"
+MAGIC = b"TIB2"
 HEAD = struct.Struct("<4sIIQIIIII")
 
-#: Chunks and words remembered by one worker before it starts afresh.
-MEMO_CHUNKS = 1 << 20
+#: Words remembered by one worker before it starts afresh; bytes of texts, and
+#: words of a longer text, encoded at a time.
+MEMO_WORDS, SLICE, STRETCH = 1 << 20, 1 << 21, 1 << 20
 
 _BITS2 = 20
 _BOTTOM = np.uint64(1 << 40)
 _16, _48 = np.uint64(16), np.uint64(48)
+#: Odds of the predictions and frequencies of ids are shares of powers of two,
+#: which leave a range of at least 2 ** 40 its whole numbers.
+_ODDS, _SEEN = 16, 24
+_ODDS_BITS, _SEEN_BITS, _SEEN_TOP = np.uint64(_ODDS), np.uint64(_SEEN), np.uint64((1 << _SEEN) - 1)
+#: Bits of a frequency's place within the stretches that ``Mixer.find`` looks up.
+_NEAR = 10
 
 
 class Mixer:
     """The shared models of a block."""
 
     def __init__(self, alphabet: int):
+        if alphabet >= 1 << _SEEN:
+            raise ValueError("the alphabet is too large for the block's frequencies")
         # an entry is the predicted id and, in its last two bits, the confidence
         self.table1, self.table2 = np.zeros(alphabet, np.int32), np.zeros(1 << _BITS2, np.int32)
         self.odds = np.tile(np.array([8, 8, 16]), (32, 1))
+        self.edges, self.widths = np.zeros((32, 4), np.uint64), np.zeros((32, 4), np.uint64)
         self.seen, self.fresh, self.step = np.ones(alphabet, np.int64), [], 0
         self._cumulate()
 
     def _cumulate(self) -> None:
         if self.fresh:
             self.seen += 32 * np.bincount(np.concatenate(self.fresh), minlength=len(self.seen))
-        self.fresh = []
-        self.cum = np.zeros(len(self.seen) + 1, np.uint64)
-        np.cumsum(self.seen, out=self.cum[1:].view(np.int64))
+        self.fresh, self.starts = [], None
+        size, cum = len(self.seen), np.cumsum(self.seen)
+        self.cum = np.zeros(size + 1, np.uint64)  # every id keeps a share
+        self.cum[1:] = cum * ((1 << _SEEN) - size) // int(cum[-1]) + np.arange(1, size + 1)
+        self.wide = np.diff(self.cum)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose shares hold the values."""
+        if self.starts is None:  # the id at the start of each stretch
+            ends = (self.cum[1:-1].view(np.int64) + ((1 << _NEAR) - 1)) >> _NEAR
+            self.starts = np.cumsum(np.bincount(ends, minlength=(1 << _SEEN - _NEAR) + 1))
+        near = (value >> np.uint64(_NEAR)).view(np.int64)
+        ids = self.starts.take(near)
+        several = np.flatnonzero(self.starts.take(near + 1) != ids)
+        if len(several):
+            among = value.take(several)
+            order = np.argsort(among)  # a sorted search stays in the cache
+            ids[several.take(order)] = np.searchsorted(self.cum, among.take(order), side="right") - 1
+        return ids
 
     def look(self, last: np.ndarray, before: np.ndarray) -> None:
         """Predictions in the context of the last two ids of each lane."""
-        key = (last << 20 ^ before).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        self.at1, self.at2 = last, (key >> np.uint64(64 - _BITS2)).view(np.int64)
-        self.entry1, self.entry2 = self.table1[last], self.table2[self.at2]
+        key = (last << 20 ^ before).view(np.uint64)
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key >>= np.uint64(64 - _BITS2)
+        self.at1, self.at2 = last, key.view(np.int64)
+        self.entry1, self.entry2 = self.table1.take(last), self.table2.take(self.at2)
         self.id1, self.id2 = self.entry1 >> 2, self.entry2 >> 2
         self.sure1, self.sure2 = self.entry1 & 3, self.entry2 & 3
-        self.state = ((self.id1 == self.id2).astype(np.int64) << 4) + (self.sure1 << 2) + self.sure2
-        edges = np.zeros((32, 4), np.int64)
-        np.cumsum(self.odds, 1, out=edges[:, 1:])
-        self.edges, self.base = edges.ravel().view(np.uint64), self.state << 2
-
-    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        """Take in the ids of one step, in lane order."""
-        self.odds += 24 * np.bincount(self.state * 3 + outcome, minlength=96).reshape(32, 3)
+        base = (self.id1 == self.id2).astype(np.int32)
+        base <<= 2
+        base += self.sure1
+        base <<= 2
+        base += self.sure2
+        base <<= 2
+        self.base = base.astype(np.int64)
+        share = self.odds[:, :2] * ((1 << _ODDS) - 3) // self.odds.sum(1, keepdims=True) + 1  # every outcome keeps a share
+        self.widths[:, :2] = share
+        self.edges[:, 1] = share[:, 0]
+        self.edges[:, 2] = share[:, 0] + share[:, 1]
+        self.widths[:, 2] = np.uint64(1 << _ODDS) - self.edges[:, 2]
+
+    def learn(self, now: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, at: np.ndarray, others: np.ndarray) -> None:
+        """Take in the ids of one step, in lane order: whether they are the
+        predicted ones, their outcomes' places among the odds, and those that
+        no table predicted."""
+        self.odds += 24 * np.bincount(at, minlength=128).reshape(32, 4)[:, :3]
         heavy = self.odds.sum(1) > 1 << 16
-        self.odds[heavy] = self.odds[heavy] // 2 + 1
-        ids32 = ids.astype(np.int32)
-        blank = ids32 << 2
-        for table, at, guess, old, sure in ((self.table1, self.at1, self.id1, self.entry1, self.sure1),
-                                            (self.table2, self.at2, self.id2, self.entry2, self.sure2)):
-            table[at] = np.where(guess == ids32, old + (sure < 3), np.where(sure > 0, old - 1, blank))
-        self.fresh.append(ids[outcome == 2])
+        if heavy.any():
+            self.odds[heavy] = self.odds[heavy] // 2 + 1
+        blank = now << 2
+        for table, place, hit, old, sure in ((self.table1, self.at1, hit1, self.entry1, self.sure1),
+                                             (self.table2, self.at2, hit2, self.entry2, self.sure2)):
+            table[place] = np.where(hit, old + (sure < 3), np.where(sure > 0, old - 1, blank))
+        self.fresh.append(others)
         self.step += 1
         if self.step & (self.step - 1) == 0 or self.step % 16 == 0:
             self._cumulate()
@@ -99,10 +134,12 @@ def _settled(low: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
     those whose leading 16 bits are settled, or forced to be."""
     at = None
     while at is None or len(at):
-        x, y = (low, size) if at is None else (low[at], size[at])
-        out = (x ^ (x + y)) >> _48 == 0
-        small = np.flatnonzero(~out & (y < _BOTTOM))
-        if len(small):
+        x, y = (low, size) if at is None else (low.take(at), size.take(at))
+        out = (x ^ (x + y)) < np.uint64(1 << 48)
+        small = y < _BOTTOM
+        small &= ~out
+        if small.any():
+            small = np.flatnonzero(small)
             size[small if at is None else at[small]] = (~x[small] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
             out[small] = True
         at = np.flatnonzero(out) if at is None else at[out]
@@ -118,36 +155,35 @@ def pack(ids: np.ndarray, alphabet: int) -> tuple[int, bytes]:
     """(lanes, coded words) of a block's ids."""
     lanes = _lanes_for(len(ids))
     steps = -(-len(ids) // lanes)
-    line = np.zeros(lanes * steps, np.int64)
+    line = np.zeros(lanes * steps, np.int32)
     line[:len(ids)] = ids
-    grid = np.ascontiguousarray(line.reshape(lanes, steps).T)
+    line, grid = line.reshape(lanes, steps), np.empty((steps, lanes), np.int32)
+    for k in range(0, lanes, 64):  # turned in stretches that stay in the cache
+        grid[:, k:k + 64] = line[k:k + 64].T
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     who, words = [], []
-
-    def put(lane: np.ndarray | slice, first: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        share = size[lane] // total
-        x, y = low[lane] + share * first, share * width
-        for out in _settled(x, y):
-            settled = x[out]
-            who.append(out if lane is every else lane[out])
-            words.append((settled >> _48).astype(np.uint16))
-            x[out] = settled << _16
-            y[out] <<= _16
-        low[lane], size[lane] = x, y
-
-    mix, every, blank = Mixer(alphabet), slice(None), np.zeros(lanes, np.int64)
-    for t in range(steps):
-        now = grid[t]
-        mix.look(grid[t - 1] if t else blank, grid[t - 2] if t > 1 else blank)
-        outcome = np.where(now == mix.id2, 0, np.where(now == mix.id1, 1, 2))
+    mix, last, before = Mixer(alphabet), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    for now in grid:
+        mix.look(last, before)
+        hit1, hit2 = now == mix.id1, now == mix.id2
+        outcome = (~hit2).view(np.uint8) + (~(hit1 | hit2)).view(np.uint8)
         at = mix.base + outcome
-        first = mix.edges[at]
-        put(every, first, mix.edges[at + 1] - first, mix.edges[mix.base + 3])
+        last, before = now.astype(np.int64), last
+        size >>= _ODDS_BITS
+        low += size * mix.edges.take(at)
+        size *= mix.widths.take(at)
         other = np.flatnonzero(outcome == 2)
-        if len(other):
-            first = mix.cum[now[other]]
-            put(other, first, mix.cum[now[other] + 1] - first, mix.cum[-1])
-        mix.learn(now, outcome)
+        others = last.take(other)
+        share = size.take(other) >> _SEEN_BITS
+        low[other] += share * mix.cum.take(others)
+        size[other] = share * mix.wide.take(others)
+        for out in _settled(low, size):
+            settled = low.take(out)
+            who.append(out)
+            words.append((settled >> _48).astype(np.uint16))
+            low[out] = settled << _16
+            size[out] <<= _16
+        mix.learn(now, hit1, hit2, at, others)
     for k in range(4):  # the rest of each lane
         who.append(np.arange(lanes))
         words.append((low >> _48).astype(np.uint16))
@@ -160,49 +196,47 @@ def pack(ids: np.ndarray, alphabet: int) -> tuple[int, bytes]:
 def unpack(data: bytes, n: int, alphabet: int, lanes: int) -> np.ndarray:
     """The ids that ``pack`` coded."""
     counts = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(data, "<u2", offset=4 * lanes), np.zeros(8, np.uint16)]).astype(np.uint64)
+    words = np.concatenate([np.frombuffer(data, "<u2", offset=4 * lanes), np.zeros(8, np.uint16)])
     nth = np.cumsum(counts) - counts  # next word of each lane
     steps = -(-n // lanes)
-    low, size, code = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.uint64)
+    # the code is kept as its distance above the low end of the range
+    low, size, above = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.uint64)
     for _ in range(4):
-        code = (code << _16) | words[nth]
+        above = (above << _16) | words[nth]
         nth += 1
-
-    def value(lane, total):
-        share = size[lane] // total
-        return share, np.minimum((code[lane] - low[lane]) // share, total - np.uint64(1))
-
-    def drop(lane, share, first, width) -> None:
-        x, y, c, p = low[lane] + share * first, share * width, code[lane], nth[lane]
-        for out in _settled(x, y):
-            at = p[out]
-            c[out] = (c[out] << _16) | words[at]
-            p[out] = at + 1
-            x[out] <<= _16
-            y[out] <<= _16
-        low[lane], size[lane], code[lane], nth[lane] = x, y, c, p
-
-    mix, every = Mixer(alphabet), slice(None)
-    grid = np.zeros((steps + 2, lanes), np.int64)  # two blank steps lead
+    mix, last, before = Mixer(alphabet), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    grid = np.empty((steps, lanes), np.int32)
     for t in range(steps):
-        mix.look(grid[t + 1], grid[t])
-        share, v = value(every, mix.edges[mix.base + 3])
-        outcome = (v >= mix.edges[mix.base + 1]).astype(np.int64) + (v >= mix.edges[mix.base + 2])
+        mix.look(last, before)
+        size >>= _ODDS_BITS
+        outcome = (above >= size * mix.edges.take(mix.base + 1)).view(np.uint8) + (above >= size * mix.edges.take(mix.base + 2)).view(np.uint8)
         at = mix.base + outcome
-        first = mix.edges[at]
-        drop(every, share, first, mix.edges[at + 1] - first)
+        first = size * mix.edges.take(at)
+        low += first
+        above -= first
+        size *= mix.widths.take(at)
         now = np.where(outcome == 0, mix.id2, mix.id1)
         other = np.flatnonzero(outcome == 2)
-        if len(other):
-            share, v = value(other, mix.cum[-1])
-            order = np.argsort(v)  # a sorted search stays in the cache
-            sym = np.empty(len(v), np.int64)
-            sym[order] = np.searchsorted(mix.cum, v[order], side="right") - 1
-            now[other] = sym
-            drop(other, share, mix.cum[sym], mix.cum[sym + 1] - mix.cum[sym])
-        mix.learn(now, outcome)
-        grid[t + 2] = now
-    return grid[2:].T.reshape(-1)[:n].astype(np.uint32)
+        share, rest = size.take(other) >> _SEEN_BITS, above.take(other)
+        others = mix.find(np.minimum(rest // share, _SEEN_TOP))
+        now[other] = others
+        first = share * mix.cum.take(others)
+        low[other] += first
+        above[other] = rest - first
+        size[other] = share * mix.wide.take(others)
+        for out in _settled(low, size):
+            place = nth.take(out)
+            low[out] <<= _16
+            size[out] <<= _16
+            above[out] = (above.take(out) << _16) | words.take(place)
+            nth[out] = place + 1
+        mix.learn(now, now == mix.id1, now == mix.id2, at, others)
+        last, before = now.astype(np.int64), last
+        grid[t] = now
+    line = np.empty((lanes, steps), np.uint32)
+    for k in range(0, lanes, 64):
+        line[k:k + 64] = grid[:, k:k + 64].T
+    return line.reshape(-1)[:n]
 
 
 def write_block(docs: list[tuple[int | None, np.ndarray]], alphabet: int) -> bytes:
@@ -232,18 +266,146 @@ def read_block(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     return [(None if z else d, x) for z, d, x in zip(null.tolist(), doc.tolist(), np.split(ids, np.cumsum(lens)[:-1]))] if n_docs else []
 
 
+#: Kinds of characters in the vocabulary's pattern.
+_LETTER, _NUMBER, _OTHER, _WHITE = range(4)
+
+
+class Kinds:
+    """Kinds of code points as the library has them, which knows fewer letters
+    than newer modules do; asked once for each that occurs."""
+
+    def __init__(self, library):
+        self.cut = library.pre_tokenizer.pre_tokenize_str
+        self.table = np.full(0x110000, 255, np.uint8)
+        self.ascii = self.of(np.arange(128)).tobytes() * 2  # of bytes; those above 127 are told by the whole character
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        kinds = self.table[points]
+        if (unseen := kinds == 255).any():
+            for c in np.unique(points[unseen]).tolist():  # what it joins tells its kind
+                joins = (k for k, x in ((_LETTER, "a"), (_NUMBER, "1"), (_WHITE, "\n")) if len(self.cut(x + chr(c))) == 1)
+                self.table[c] = next(joins, _OTHER)
+            kinds = self.table[points]
+        return kinds
+
+
+def word_starts(data: np.ndarray, texts: np.ndarray, kinds: Kinds) -> np.ndarray:
+    """Where the words of the vocabulary's pattern begin in UTF-8 bytes of
+    texts, which begin at ``texts`` and follow each other."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    head = np.zeros(n + 4, bool)  # texts begin here
+    head[texts] = True
+    head[n:] = True
+    kind = np.frombuffer(bytearray(data).translate(kinds.ascii), np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):  # all bytes of a character are of its kind
+        first = data[lead].astype(np.int64)
+        length = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> length)
+        for k in range(1, 4):
+            more = length > k
+            point[more] = point[more] << 6 | (data[lead[more] + k] & 0x3F)
+        of = kinds.of(point)
+        for k in range(4):
+            more = length > k
+            kind[lead[more] + k] = of[more]
+    start = np.ones(n, bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= head[:n]
+    # the last character of white space before a word stands alone, or begins the word if it is a space
+    white = kind == _WHITE
+    before = white[:-1] & ~white[1:] & ~head[1:n]
+    joins = before & (data[:-1] == 32)
+    start[:-1] |= joins
+    start[1:] &= ~joins
+    before &= ~joins
+    at = np.flatnonzero(before)
+    while len(at):
+        inside = (data[at] & 0xC0) == 0x80
+        start[at[~inside]] = True
+        at = at[inside] - 1
+    quote = np.flatnonzero(data == 39)
+    if len(quote := quote[start[quote]]):  # 's and the like where a word begins
+        text = np.r_[data, np.zeros(3, np.uint8)]
+        one, two = text[quote + 1], text[quote + 2]
+        short = np.isin(one, np.frombuffer(b"sdmt", np.uint8)) & ~head[quote + 1]
+        long = np.isin(one.astype(np.int64) << 8 | two, [int.from_bytes(x) for x in (b"ll", b"ve", b"re")]) & ~head[quote + 1] & ~head[quote + 2]
+        start[quote[short | long] + 1] = False
+        ends = np.r_[quote[short] + 2, quote[long] + 3]
+        start[ends[ends < n]] = True
+    return np.flatnonzero(start)
+
+
+class Memo:
+    """A value for each short word, many at a time. A word's key is exact: its
+    bytes, padded to 15, and how many they are. An open table holds, a row a
+    word, both halves of the key and the value."""
+
+    LONGEST = 15
+    _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.used = bits, 0
+        self.rows = np.zeros((1 << bits, 3), np.uint64)
+
+    @classmethod
+    def keys(cls, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Halves of the keys of words in the bytes; 16 more bytes follow the last word."""
+        at_byte = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        low, high = at_byte[starts], at_byte[starts + 8]
+        low &= cls._KEEP.take(np.minimum(sizes, 8))
+        high &= cls._KEEP.take(np.clip(sizes - 8, 0, 7))
+        return low, high | sizes.astype(np.uint64) << np.uint64(56)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ high * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
+        return (h >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The words' values, 0 where there is none."""
+        slot = self._slot(low, high)
+        rows = self.rows.take(slot, 0)
+        values = rows[:, 2].copy()
+        other = (rows[:, 0] != low) | (rows[:, 1] != high)
+        values[other] = 0
+        todo = np.flatnonzero(other & (rows[:, 1] > 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.rows) - 1)
+            rows = self.rows.take(slot[todo], 0)
+            same = (rows[:, 0] == low[todo]) & (rows[:, 1] == high[todo])
+            values[todo[same]] = rows[same, 2]
+            todo = todo[~same & (rows[:, 1] > 0)]
+        return values
+
+    def put(self, low: np.ndarray, high: np.ndarray, values: np.ndarray) -> None:
+        """Take in words that the memo does not hold, each once."""
+        self.used += len(low)
+        rows = np.stack([low, high, values], 1)
+        if self.used * 2 > len(self.rows):
+            rows = np.concatenate([self.rows[self.rows[:, 1] > 0], rows])
+            self.bits = (self.used * 2).bit_length()
+            self.rows = np.zeros((1 << self.bits, 3), np.uint64)
+        slot = self._slot(rows[:, 0], rows[:, 1])
+        while len(slot):
+            free = np.flatnonzero(self.rows[slot, 1] == 0)
+            self.rows[slot[free]] = rows[free]  # of words that meet in a slot one stays
+            left = (self.rows[slot, :2] != rows[:, :2]).any(1)
+            slot, rows = (slot[left] + 1) & (len(self.rows) - 1), rows[left]
+
+
 class LibraryEncoder:
     """Encodes whole texts with the library, each distinct word once.
 
-    A text is cut before its single spaces, where the vocabulary's pattern
-    never joins; Arrow cuts and numbers the chunks, the pattern splits new ones
-    into words, and the library encodes words not met before. Texts with longer runs of white space around a space,
-    or with a special token in them, go to the library whole.
+    All texts of a batch are cut into the words of the vocabulary's pattern at
+    once, by the kinds of their bytes; Arrow numbers the words, and the library
+    encodes those not met before. Texts with a special token in them go to the
+    library whole.
     """
 
-    #: White space as the pattern sees it (Unicode's), written for Arrow.
-    _WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -252,84 +414,88 @@ class LibraryEncoder:
             library.no_padding()
             library.no_truncation()
         self.by_word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pattern = regex.compile(PATTERN)
-        vocab = self.library.get_vocab()
+        self.kinds, vocab = Kinds(self.library), self.library.get_vocab()
         self.alphabet = max(vocab.values()) + 1
         self.bytes = np.zeros(self.alphabet, np.int64)  # of each token: one for each character
         self.bytes[list(vocab.values())] = list(map(len, vocab))
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = "|".join([self._WHITE + " (?:" + self._WHITE + "|$)", *map(re.escape, special)])
+        self.special = "|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
         self._forget()
 
     def _forget(self) -> None:
-        # numbers of chunks at the start of a text and after a space, and of words
-        self.first, self.later, self.words = {"": 0}, {}, {}
-        self.ids, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.used, self.known = 0, 1
-
-    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> range:
-        """Numbers under which the ids are found from now on."""
-        first, end = self.known, self.known + len(sizes)
+        # of short and of long words: place << 32 | how many of the word's ids
+        self.memo, self.words = Memo(), {}
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Have the library encode new words; where their ids are from now on."""
+        ids = np.array(self.by_word.encode_batch_fast([words.to_pylist()], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        # tokens of a word hold its bytes, so byte counts tell where each word ends
+        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right")
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while end > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
         self.ids[self.used:self.used + len(ids)] = ids
-        self.at[first:end] = self.used + np.cumsum(sizes) - sizes
-        self.size[first:end] = sizes
+        starts = np.r_[0, ends[:-1]]
+        places = (self.used + starts) << 32 | (ends - starts)
         self.used += len(ids)
-        self.known = end
-        return range(first, end)
-
-    def _learn(self, chunks: list[str]) -> list[int]:
-        """Numbers of new chunks, each with the space before it if there is one."""
-        # ASCII letters, after a space or not, are one word, as the pattern has it
-        split = [[c] if c.isascii() and c.removeprefix(" ").isalpha() else self.pattern.findall(c) for c in chunks]
-        if new := [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.words]:
-            ids = np.array(self.by_word.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
-            # tokens of a word hold its bytes, so byte counts tell where each word ends
-            ends = np.cumsum(pc.binary_length(pa.array(new, pa.large_string()).cast(pa.large_binary())).to_numpy())
-            sizes = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right"), prepend=0)
-            self.words.update(zip(new, self._store(ids, sizes)))
-        # a chunk of one word is found where the word is
-        numbers = [self.words[w[0]] if len(w) == 1 else -1 for w in split]
-        if several := [k for k, n in enumerate(numbers) if n < 0]:
-            at = np.array([self.words[w] for k in several for w in split[k]], np.int64)
-            ends = np.cumsum([len(split[k]) for k in several])
-            sizes = np.diff(np.cumsum(self.size[at])[ends - 1], prepend=0)
-            for k, n in zip(several, self._store(self.ids[ranges(self.at[at], self.size[at])], sizes)):
-                numbers[k] = n
-        return numbers
-
-    def batch(self, texts: pa.Array) -> list[np.ndarray]:
-        """Token ids of each text; a null text is empty."""
-        if len(self.first) + len(self.later) + len(self.words) > MEMO_CHUNKS:
+        return places.view(np.uint64)
+
+    def _places(self, words: pa.Array, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the ids of each word are, those of new words too."""
+        low, high = Memo.keys(data, starts, np.minimum(sizes, Memo.LONGEST))
+        is_long = sizes > Memo.LONGEST
+        places = self.memo.find(low, high)
+        if len(new := np.flatnonzero((places == 0) & ~is_long)):
+            found = words.take(pa.array(new)).dictionary_encode()
+            learned, nth = self._learn(found.dictionary), found.indices.to_numpy()
+            first = np.empty(len(learned), np.int64)
+            first[nth] = new
+            self.memo.put(low[first], high[first], learned)
+            places[new] = learned[nth]
+        if len(long := np.flatnonzero(is_long)):
+            found = words.take(pa.array(long)).dictionary_encode()
+            keys = found.dictionary.to_pylist()
+            if unknown := [w for w in keys if w not in self.words]:
+                self.words.update(zip(unknown, self._learn(pa.array(unknown, pa.large_string())).tolist()))
+            places[long] = np.fromiter(map(self.words.__getitem__, keys), np.uint64, len(keys))[found.indices.to_numpy()]
+        return places
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts, and where each text's end; a null text is empty."""
+        if self.memo.used + len(self.words) > MEMO_WORDS:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, self.whole)
-        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        cut = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
-        offsets = cut.offsets.to_numpy().astype(np.int64)
-        chunks = cut.values.slice(offsets[0], offsets[-1] - offsets[0])
-        coded, heads = chunks.dictionary_encode(), offsets[:-1] - offsets[0]
-        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        first = chunks.take(pa.array(heads)).to_pylist()
-        for memo, found, space in ((self.later, keys, " "), (self.first, dict.fromkeys(first), "")):
-            if new := [c for c in found if c not in memo]:
-                memo.update(zip(new, self._learn([space + c for c in new])))
-        at = np.fromiter(map(self.later.__getitem__, keys), np.int64, len(keys))[coded.indices.to_numpy()]
-        at[heads] = np.fromiter(map(self.first.__getitem__, first), np.int64, len(first))
-        sizes = self.size[at]
-        ids = self.ids[ranges(self.at[at], sizes)]
-        ends = np.r_[0, np.cumsum(sizes)][offsets[1:] - offsets[0]]
-        out: list = [None] * len(texts)
-        for k, x in zip(np.flatnonzero(~odd.to_numpy(zero_copy_only=False)).tolist(), np.split(ids, ends[:-1]) if len(ends) else []):
-            out[k] = x
+        whole = np.zeros(0, np.int64)
+        if self.special:
+            odd = pc.match_substring_regex(texts, self.special)
+            if len(whole := np.flatnonzero(odd.to_numpy(zero_copy_only=False))):
+                found = self.library.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
+                texts = pc.if_else(odd, "", texts)
+        _, offsets, buffer = texts.buffers()
+        edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(buffer or b"", np.uint8)[edges[0]:edges[-1]]
+        edges = edges - edges[0]
+        starts = word_starts(data, edges[:-1][edges[:-1] < len(data)], self.kinds)
+        bounds, data = np.r_[starts, len(data)], np.r_[data, np.zeros(16, np.uint8)]
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data))
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for k in range(0, len(starts), STRETCH):  # of a long text
+            some = starts[k:k + STRETCH]
+            places = self._places(words.slice(k, STRETCH), data, some, np.diff(bounds[k:k + STRETCH + 1]))
+            counts.append((places & np.uint64(0xFFFFFFFF)).view(np.int64))
+            ids.append(self.ids[ranges((places >> np.uint64(32)).view(np.int64), counts[-1])])
+        ids, ends = np.concatenate(ids), np.cumsum(np.concatenate(counts))[np.searchsorted(starts, edges[1:])]
         if len(whole):
-            found = self.library.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
+            parts = np.split(ids, ends[:-1])
             for k, e in zip(whole.tolist(), found):
-                out[k] = np.array(e.ids, np.uint32)
-        return out
+                parts[k] = np.array(e.ids, np.uint32)
+            ids, ends = np.concatenate(parts), np.cumsum(list(map(len, parts)))
+        return ids, ends
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Token ids of each text."""
+        ids, ends = self.encode(texts)
+        return np.split(ids, ends[:-1]) if len(ends) else []
 
 
 @functools.lru_cache(1)
@@ -364,7 +530,7 @@ def write(docs: DataFrame, vocab_path: str, folder: str, id_col: str = "doc_id",
             held.clear()
 
         n = 0
-        for b in slices(batches, 1024):
+        for b in slices_by_bytes(batches, 1, SLICE):
             if out is None and b.num_rows:
                 fs, path = open_folder(folder)
                 fs.create_dir(path, recursive=True)
