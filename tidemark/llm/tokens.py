@@ -29,7 +29,7 @@ from tidemark.llm.common import NULL_ID, ranges, slices_by_bytes, spread, stored
 from tidemark.llm.files import new_folder, open_folder, unique_name
 
 #: Ids of a block (a longer document makes a longer one), and lanes at most.
-BLOCK_IDS, LANES = 1 << 21, 4096
+BLOCK_IDS, LANES = 1 << 22, 6144
 #: Id appended to every document.
 END_ID = 0
 END = np.uint32(END_ID)
@@ -160,6 +160,7 @@ def pack(ids: np.ndarray, alphabet: int) -> tuple[int, bytes]:
     line, grid = line.reshape(lanes, steps), np.empty((steps, lanes), np.int32)
     for k in range(0, lanes, 64):  # turned in stretches that stay in the cache
         grid[:, k:k + 64] = line[k:k + 64].T
+    del line
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     who, words = [], []
     mix, last, before = Mixer(alphabet), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -179,18 +180,18 @@ def pack(ids: np.ndarray, alphabet: int) -> tuple[int, bytes]:
         size[other] = share * mix.wide.take(others)
         for out in _settled(low, size):
             settled = low.take(out)
-            who.append(out)
+            who.append(out.astype(np.uint16))
             words.append((settled >> _48).astype(np.uint16))
             low[out] = settled << _16
             size[out] <<= _16
         mix.learn(now, hit1, hit2, at, others)
     for k in range(4):  # the rest of each lane
-        who.append(np.arange(lanes))
+        who.append(np.arange(lanes, dtype=np.uint16))
         words.append((low >> _48).astype(np.uint16))
         low <<= _16
     who, words = np.concatenate(who), np.concatenate(words)
     counts = np.bincount(who, minlength=lanes).astype("<u4")
-    return lanes, counts.tobytes() + words[np.argsort(who.astype(np.uint16), kind="stable")].astype("<u2").tobytes()
+    return lanes, counts.tobytes() + words[np.argsort(who, kind="stable")].astype("<u2").tobytes()
 
 
 def unpack(data: bytes, n: int, alphabet: int, lanes: int) -> np.ndarray:
