@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, gam, jaccard, kmtree, lbl, mixing, rules, suffix, tokens, warc
 from tidemark.llm.common import concat, ranges, table
@@ -241,6 +244,71 @@ def test_lbl_trigrams_are_counted_in_pieces(spark, docs, texts, monkeypatch):
     assert (after == np.r_[corpus.ends, corpus.sent_counts[:corpus.own], corpus.class_tokens]).all()
 
 
+def test_lbl_shards_are_packed():
+    """A shard of half a million grams is one row: of megabytes, not of 16 bytes a gram."""
+    g = np.random.default_rng(1)
+    grams, counts = np.unique(g.integers(0, 1_880 ** 3, 100_000)), None
+    for counts in (g.zipf(1.6, len(grams)).clip(max=200), g.integers(1, 1 << 40, len(grams))):
+        row = lbl._packed(3, grams, counts)
+        got = lbl._added([lbl._pieces([row])])
+        assert (got[0] == grams).all() and (got[1] == counts).all()
+        twice = lbl._added([lbl._pieces([row, lbl._piece(3, grams[::2], counts[::2])])])  # packed or not
+        assert (twice[0] == grams).all() and (twice[1] == counts + counts * (np.arange(len(grams)) % 2 == 0)).all()
+    assert sum(map(len, lbl._packed(3, grams, np.minimum(counts, 200))[2:])) <= 5 * len(grams)
+
+
+def test_lbl_tables_without_a_copy():
+    """Besides the tables, one array of their size and a few of their rows."""
+    model, v = lbl.Model.start(np.full(1_500, 1 / 1_500), 1), 1_500
+    tracemalloc.start()
+    far, near, z = model.tables()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3.6 * 8 * v * v
+    assert np.allclose(z, np.log(np.exp(far.astype(float)) @ np.exp(near.astype(float)).T))
+
+
+def test_lbl_tasks_count_several_stretches(spark, docs, monkeypatch):
+    for name, n in (("SHARD_GRAMS", 5_000), ("HELD", 1_000), ("OWN_SCALE", 10)):
+        monkeypatch.setattr(lbl, name, n)
+    train = docs.select("text").toDF("_text")
+    corpus, _ = lbl.survey(train)
+    got = lbl.trigrams(train, corpus).select("part", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.part for r in got) == list(range(-(-corpus.tokens // 5_000))) and all(r.p == r.part // lbl.STRETCHES for r in got)
+
+
+def test_lbl_parameters_are_averaged_in_runs(monkeypatch):
+    """No row that is averaged holds a whole model, and the runs make up their weighted mean."""
+    monkeypatch.setattr(lbl, "ADDED_NUMBERS", 1_000)
+    models, tokens = [lbl.Model.start(np.full(40, 1 / 40), k) for k in range(3)], [5, 2, 9]
+    flat, out = [m.flat() for m in models], []
+    for run, i in enumerate(range(0, len(flat[0]), 1_000)):
+        rows = [(k, run, n, x[i:i + 1_000].tobytes()) for k, (n, x) in enumerate(zip(tokens, flat))]
+        mean = lbl._mean(pa.table([list(c) for c in zip(*rows[::-1])], schema=lbl.RUN))
+        assert mean["tokens"].to_pylist() == [16] and mean["run"].to_pylist() == [run]
+        out.append(np.frombuffer(mean["numbers"][0].as_py(), np.float32))
+    got = lbl.Model.of_flat(np.concatenate(out))
+    for f in ("r", "q", "b", "c"):
+        want = sum(getattr(m, f) * (n / 16) for m, n in zip(models, tokens))
+        assert getattr(got, f).shape == want.shape and np.allclose(getattr(got, f), want, atol=1e-6)
+
+
+def test_lbl_survey_drops_the_last_scorer():
+    """A worker that has scored keeps no tables while it works on the next query."""
+    corpus = lbl.Corpus(9, 3, 1, 1, pa.array([b"a"], pa.large_binary()), np.ones(1, np.int64), np.ones(1, int), np.ones(1, int))
+    lbl._scorer(pickle.dumps((corpus, lbl.Model.start(np.full(3, 1 / 3), 1))))
+    step = []
+
+    class Texts:
+        def mapInArrow(self, f, kind):
+            step.append(f)
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        lbl.survey(Texts())
+    assert lbl._scorer.cache_info().currsize == 1 and list(step[0](iter([]))) == [] and lbl._scorer.cache_info().currsize == 0
+
+
 def test_lbl_awkward(awkward, empty, monkeypatch):
     monkeypatch.setattr(lbl, "ROUNDS", 1)
     monkeypatch.setattr(lbl, "STEPS", 3)

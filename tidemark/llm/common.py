@@ -161,9 +161,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 output bits."""
     x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def frequent(counts: DataFrame, key: str, n: str, limit: int) -> list:

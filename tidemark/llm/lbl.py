@@ -16,9 +16,8 @@ from __future__ import annotations
 import functools
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +34,18 @@ OWN_SCALE, WORDS_FOR_ENDING, ENDING_BYTES = 115, 3, 3
 #: Bytes of texts that a worker takes at a time; a longer text is taken alone.
 SLICE = 1 << 20
 #: Trigrams that a worker holds before it hands their sums on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Most words whose counts are sent to the executors; others are joined.
 SENT_WORDS = 1 << 17
 #: Vector size; rounds, after each of which the shards' parameters are averaged;
 #: least steps of a round; samples and noise of a step.
 SIZE, ROUNDS, STEPS, SAMPLES, NOISE = 32, 4, 160, 2048, 64
-#: Trigrams of a shard, about, and shards whose parameters are added up in one task.
-SHARD_GRAMS, ADDED = 1 << 19, 64
+#: Trigrams of a shard, about, and stretches of the trigrams' hashes counted in one task.
+SHARD_GRAMS, STRETCHES = 1 << 19, 4
+#: Shards whose parameters are added up in one group, and parameters of a row that is added.
+ADDED, ADDED_NUMBERS = 64, 1 << 14
+#: Contexts whose normalisers are worked out at a time.
+CONTEXTS = 256
 
 
 def ending(word: bytes, endings: int) -> int:
@@ -131,13 +134,21 @@ def _sequences(classes: np.ndarray, n: np.ndarray):
     return line[i - 2], line[i - 1], line[i], np.repeat(np.arange(len(n)), n + 1)
 
 
+def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``slices_by_bytes``; after the last one a worker, which outlives its task,
+    gives back what Arrow keeps for more."""
+    yield from slices_by_bytes(batches, column, most)
+    pa.default_memory_pool().release_unused()
+
+
 def survey(train: DataFrame) -> tuple[Corpus, DataFrame]:
     """Counts of the training texts (column _text): (corpus, (word, n) table)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _scorer.cache_clear()  # a worker outlives a query: the tables of the last one go
         texts = 0
         # coding a larger slice at once is cheaper than adding up the words of small ones
-        for b in slices_by_bytes(batches, 0, 4 * SLICE):
+        for b in _texts(batches, 0, 4 * SLICE):
             distinct, codes, _ = _coded(b.column(0))
             n = np.bincount(codes, minlength=len(distinct))
             texts += b.num_rows
@@ -169,7 +180,11 @@ def survey(train: DataFrame) -> tuple[Corpus, DataFrame]:
 
 def _part(grams: np.ndarray, parts: int) -> np.ndarray:
     """Which of so many equal stretches of the hashes a gram's hash is in."""
-    return ((mix64(grams) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    part = mix64(grams)
+    part >>= np.uint64(32)
+    part *= np.uint64(parts)
+    part >>= np.uint64(32)
+    return part.view(np.int64)
 
 
 def _piece(part: int, grams: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes, bytes]:
@@ -178,13 +193,23 @@ def _piece(part: int, grams: np.ndarray, counts: np.ndarray) -> tuple[int, int,
     return part, len(grams), np.diff(grams, prepend=0).tobytes(), counts.tobytes()
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of all pieces, ascending, and the sums of their counts."""
+def _packed(part: int, grams: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """``_piece``, with as few bytes a number as the largest takes: a shard is one
+    row, which every buffer on its way holds whole."""
+    return part, len(grams), *(x.astype(np.min_scalar_type(x.max())).tobytes() for x in (np.diff(grams, prepend=0), counts))
+
+
+def _added(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all pieces, packed or not, ascending, and the sums of their counts."""
     grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for b in batches:
-        grams += [np.cumsum(np.frombuffer(x, np.int64)) for x in b.column(2).to_pylist()]
-        counts += [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+        for k, x, n in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            grams.append(np.cumsum(np.frombuffer(x, f"u{len(x) // k}"), dtype=np.int64))
+            counts.append(np.frombuffer(n, f"u{len(n) // k}").astype(np.int64))
     g, n = np.concatenate(grams), np.concatenate(counts)
+    if len(grams) == 2:  # one piece is ascending
+        return g, n
+    del grams, counts
     order = np.argsort(g)
     g = g[order]
     first = np.flatnonzero(np.diff(g, prepend=-1))
@@ -211,28 +236,35 @@ def trigrams(train: DataFrame, corpus: Corpus) -> DataFrame:
 
         def summed() -> pa.RecordBatch:
             g = np.concatenate(lists)
+            lists.clear()
             g += _part(g, parts) * size ** 3
-            g, total = np.unique(g, return_counts=True)
+            g.sort()
+            first = np.flatnonzero(np.diff(g, prepend=-1))
+            total, g = np.diff(first, append=len(g)), g[first]
             edges = np.searchsorted(g, np.arange(parts + 1) * size ** 3)
-            return _pieces([_piece(k, g[i:j] - k * size ** 3, total[i:j]) for k, (i, j) in enumerate(zip(edges, edges[1:])) if i < j])
+            return _pieces([_packed(k, g[i:j] - k * size ** 3, total[i:j]) for k, (i, j) in enumerate(zip(edges, edges[1:])) if i < j])
 
-        for b in slices_by_bytes(batches, 0, SLICE):
+        for b in _texts(batches, 0, SLICE):
             distinct, codes, lens = _coded(b.column(0))
             c2, c1, w, _ = _sequences(held.value.class_of(distinct)[codes], lens)
             lists.append((c2 * size + c1) * size + w)
             n += len(w)
             if n > HELD:
                 yield summed()
-                lists, n = [], 0
+                n = 0
         if n:
             yield summed()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, n = _added(batches)
-        if len(g):
-            yield _pieces([_piece(int(_part(g[:1], parts)[0]), g, n)])
+        own: dict[int, list[pa.RecordBatch]] = {}
+        for b in batches:
+            for i, part in enumerate(b.column(0).to_pylist()):
+                own.setdefault(part, []).append(b.slice(i, 1))
+        for part in sorted(own):
+            yield _pieces([_piece(part, *_added(own.pop(part)))])
 
-    return train.mapInArrow(count, _PIECE).repartitionById(parts, "part").mapInArrow(add, _PIECE)
+    task = F.floor(F.col("part") / STRETCHES).cast("int")
+    return train.mapInArrow(count, _PIECE).repartitionById(-(-parts // STRETCHES), task).mapInArrow(add, _PIECE)
 
 
 def _stretches(grams: int) -> int:
@@ -254,6 +286,16 @@ class Model:
         start = g.normal(0, 0.1, (v, SIZE)), g.normal(0, 0.1, (v, SIZE)), np.log(unigram), np.full((2, SIZE), 0.7)
         return cls(*(x.astype(np.float32) for x in start))
 
+    def flat(self) -> np.ndarray:
+        """All parameters in a row."""
+        return np.concatenate([x.ravel() for x in (self.r, self.q, self.b, self.c)])
+
+    @classmethod
+    def of_flat(cls, x: np.ndarray) -> Model:
+        v = (len(x) - 2 * SIZE) // (2 * SIZE + 1)
+        r, q, b, c = np.split(x, np.cumsum([v * SIZE, v * SIZE, v]))
+        return cls(r.reshape(v, SIZE), q.reshape(v, SIZE), b, c.reshape(2, SIZE))
+
     def train(self, grams: np.ndarray, counts: np.ndarray, unigram: np.ndarray, seed: int, rate: float = 0.08) -> None:
         """One round of noise-contrastive steps: whole passes over the grams,
         as many as ``STEPS`` steps take, one at least. A pass takes every gram,
@@ -332,7 +374,12 @@ class Model:
         far = (self.r * self.c[0]) @ self.q.T
         near = (self.r * self.c[1]) @ self.q.T + self.b
         top_far, top_near = far.max(1, keepdims=True).astype(np.float64), near.max(1, keepdims=True).astype(np.float64)
-        z = np.exp(far - top_far) @ np.exp(near - top_near).T
+        shares = near - top_near
+        np.exp(shares, out=shares)
+        z = np.empty((len(far), len(near)))
+        for i in range(0, len(far), CONTEXTS):  # products of all contexts at once would take as much again as the tables
+            rows = slice(i, i + CONTEXTS)
+            np.matmul(np.exp(far[rows] - top_far[rows]), shares.T, out=z[rows])
         np.log(np.maximum(z, 1e-300, out=z), out=z)
         z += top_far
         z += top_near.T
@@ -351,12 +398,12 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
             for i in range(b.num_rows):
                 g, n = _added([b.slice(i, 1)])
                 part = _part(g, shards)
-                yield _pieces([_piece(int(k), g[part == k], n[part == k]) for k in np.unique(part)])
+                yield _pieces([_packed(int(k), g[part == k], n[part == k]) for k in np.unique(part)])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, n = _added(batches)
         if len(g):
-            yield _pieces([_piece(int(_part(g[:1], shards)[0]), g, n)])
+            yield _pieces([_packed(int(_part(g[:1], shards)[0]), g, n)])
 
     # a shard is a row in a file of its own; rounds scan them without a shuffle
     dealt = kept.mapInArrow(cut, _PIECE).repartitionById(shards, "part").mapInArrow(join, _PIECE)
@@ -365,6 +412,21 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
         return _fit(table, corpus, seed)
 
 
+#: A run of the parameters that a shard has come to.
+RUN = pa.schema([("shard", pa.int64()), ("run", pa.int32()), ("tokens", pa.int64()), ("numbers", pa.binary())])
+_RUN = "shard long, run int, tokens long, numbers binary"
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """Mean of one run of the shards' parameters, weighted by tokens, as such a row."""
+    rows, mean = table.sort_by("shard"), 0.0
+    tokens = rows["tokens"].to_pylist()
+    total = sum(tokens)
+    for n, x in zip(tokens, rows["numbers"]):
+        mean = mean + np.frombuffer(x.as_buffer(), np.float32) * (n / total)
+    return pa.table([rows["shard"][:1], rows["run"][:1], [total], pa.array([mean.tobytes()], pa.binary())], schema=RUN)
+
+
 def _fit(shards: DataFrame, corpus: Corpus, seed: int) -> Model:
     unigram = 1.0 + np.r_[corpus.ends, corpus.sent_counts[:corpus.own], corpus.class_tokens]
     unigram /= unigram.sum()
@@ -382,29 +444,22 @@ def _fit(shards: DataFrame, corpus: Corpus, seed: int) -> Model:
                     shard, (g, n) = b.column(0)[i].as_py(), _added([b.slice(i, 1)])
                     m = Model(*(x.copy() for x in (start.r, start.q, start.b, start.c)))
                     m.train(g, n, noise, seed * 1000 + k + (shard << 20), 0.08 / (1 + k))
-                    yield pa.RecordBatch.from_pydict({"shard": [shard], "tokens": [int(n.sum())], "model": pa.array([pickle.dumps(m)], pa.binary())})
-
-        def add(table: pa.Table) -> pa.Table:
-            rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
-            total = sum(r["tokens"] for r in rows)
-            out: list = [0.0] * 4
-            for r in rows:
-                m = pickle.loads(r["model"])
-                out = [x + getattr(m, f) * (r["tokens"] / total) for x, f in zip(out, ("r", "q", "b", "c"))]
-            return pa.table({"shard": [rows[0]["shard"]], "tokens": [total], "model": pa.array([pickle.dumps(Model(*out))], pa.binary())})
-
-        kind = "shard long, tokens long, model binary"
-        done = shards.mapInArrow(each, kind)
-        got = done.groupBy(F.shiftright("shard", ADDED.bit_length() - 1)).applyInArrow(add, kind).toArrow()  # a row for ADDED shards
-        model = pickle.loads(add(got)["model"][0].as_py())
+                    tokens, x = int(n.sum()), m.flat()
+                    rows = [(shard, run, tokens, x[j:j + ADDED_NUMBERS].tobytes()) for run, j in enumerate(range(0, len(x), ADDED_NUMBERS))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), RUN.types)], schema=RUN)
+
+        # rows of one group and one run of the parameters are added up at a time
+        done = shards.mapInArrow(each, _RUN)
+        got = done.groupBy(F.shiftright("shard", ADDED.bit_length() - 1), "run").applyInArrow(_mean, _RUN).toArrow()
+        runs = [_mean(got.filter(pc.equal(got["run"], r))) for r in range(pc.max(got["run"]).as_py() + 1)]
+        model = Model.of_flat(np.concatenate([np.frombuffer(r["numbers"][0].as_py(), np.float32) for r in runs]))
     return model
 
 
 @functools.lru_cache(1)
 def _scorer(data: bytes):
     corpus, model = pickle.loads(data)
-    place = {w: k for k, w in enumerate(corpus.sent.to_pylist())}
-    return corpus, place.get, [x.ravel() for x in model.tables()], np.log10(corpus.class_tokens + corpus.class_types + 1.0)
+    return corpus, [x.ravel() for x in model.tables()], np.log10(corpus.class_tokens + corpus.class_types + 1.0)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
@@ -425,12 +480,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: in
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, find, (far, near, z), class_size = _scorer(sent.value)
+        corpus, (far, near, z), class_size = _scorer(sent.value)
         first, v = 1 + corpus.own, corpus.classes
         end_log, counted = np.log10(corpus.ends + 1.0), np.r_[corpus.sent_counts, 0]
-        for b in slices_by_bytes(batches, 3, SLICE):
+        for b in _texts(batches, 3, SLICE):
             distinct, codes, n = _coded(b.column(3))
-            place = np.fromiter(map(find, distinct.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(distinct))
+            place = pc.fill_null(pc.index_in(distinct, value_set=corpus.sent), -1).to_numpy().astype(np.int64)
             cls = corpus.class_of(distinct, place)
             known = np.where(place >= 0, counted[place], 0)
             log_count, doc = np.log10(known + 1.0), np.repeat(np.arange(len(n)), n)
