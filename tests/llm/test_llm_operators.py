@@ -273,8 +273,11 @@ def test_lbl_tasks_count_several_stretches(spark, docs, monkeypatch):
         monkeypatch.setattr(lbl, name, n)
     train = docs.select("text").toDF("_text")
     corpus, _ = lbl.survey(train)
-    got = lbl.trigrams(train, corpus).select("part", F.spark_partition_id().alias("p")).collect()
-    assert sorted(r.part for r in got) == list(range(-(-corpus.tokens // 5_000))) and all(r.p == r.part // lbl.STRETCHES for r in got)
+    plain, packed = ({r.part: r for r in lbl.trigrams(train, corpus, row).select("*", F.spark_partition_id().alias("p")).collect()} for row in (lbl._piece, lbl._packed))
+    assert sorted(plain) == sorted(packed) == list(range(-(-corpus.tokens // 5_000))) and all(r.p == k // lbl.STRETCHES for k, r in packed.items())
+    for k, r in plain.items():
+        both = [lbl._added([lbl._pieces([(k, x.distinct, bytes(x.grams), bytes(x.counts))])]) for x in (r, packed[k])]
+        assert (both[0][0] == both[1][0]).all() and (both[0][1] == both[1][1]).all() and 2 * len(packed[k].grams) <= len(r.grams)
 
 
 def test_lbl_parameters_are_averaged_in_runs(monkeypatch):

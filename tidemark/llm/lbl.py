@@ -16,7 +16,7 @@ from __future__ import annotations
 import functools
 import pickle
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +40,7 @@ SENT_WORDS = 1 << 17
 #: Vector size; rounds, after each of which the shards' parameters are averaged;
 #: least steps of a round; samples and noise of a step.
 SIZE, ROUNDS, STEPS, SAMPLES, NOISE = 32, 4, 160, 2048, 64
-#: Trigrams of a shard, about, and stretches of the trigrams' hashes counted in one task.
+#: Trigrams of a shard, about, and stretches of the trigrams' hashes joined in one task.
 SHARD_GRAMS, STRETCHES = 1 << 19, 4
 #: Shards whose parameters are added up in one group, and parameters of a row that is added.
 ADDED, ADDED_NUMBERS = 64, 1 << 14
@@ -225,10 +225,11 @@ PIECE = pa.schema([("part", pa.int32()), ("distinct", pa.int64()), ("grams", pa.
 _PIECE = "part int, distinct long, grams binary, counts binary"
 
 
-def trigrams(train: DataFrame, corpus: Corpus) -> DataFrame:
+def trigrams(train: DataFrame, corpus: Corpus, row: Callable = _piece) -> DataFrame:
     """Counts of class trigrams of all training texts, ends included: a piece for
     each stretch of the grams' hashes, of which there are as many as keep one to
-    ``SHARD_GRAMS`` grams; a gram is its classes as digits of the number of classes."""
+    ``SHARD_GRAMS`` grams; a gram is its classes as digits of the number of classes.
+    ``row`` makes the pieces, ``_packed`` smaller ones."""
     held, size, parts = train.sparkSession.sparkContext.broadcast(corpus), corpus.classes, _stretches(corpus.tokens)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,16 +256,22 @@ def trigrams(train: DataFrame, corpus: Corpus) -> DataFrame:
         if n:
             yield summed()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _joined(train.mapInArrow(count, _PIECE), parts, row)
+
+
+def _joined(pieces: DataFrame, parts: int, row: Callable) -> DataFrame:
+    """A row for each part, of all its pieces; a task makes ``STRETCHES`` of them."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, list[pa.RecordBatch]] = {}
         for b in batches:
             for i, part in enumerate(b.column(0).to_pylist()):
                 own.setdefault(part, []).append(b.slice(i, 1))
         for part in sorted(own):
-            yield _pieces([_piece(part, *_added(own.pop(part)))])
+            yield _pieces([row(part, *_added(own.pop(part)))])
 
     task = F.floor(F.col("part") / STRETCHES).cast("int")
-    return train.mapInArrow(count, _PIECE).repartitionById(-(-parts // STRETCHES), task).mapInArrow(add, _PIECE)
+    return pieces.repartitionById(-(-parts // STRETCHES), task).mapInArrow(join, _PIECE)
 
 
 def _stretches(grams: int) -> int:
@@ -400,14 +407,8 @@ def fit(grams: DataFrame, corpus: Corpus, seed: int = 1) -> Model:
                 part = _part(g, shards)
                 yield _pieces([_packed(int(k), g[part == k], n[part == k]) for k in np.unique(part)])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, n = _added(batches)
-        if len(g):
-            yield _pieces([_packed(int(_part(g[:1], shards)[0]), g, n)])
-
-    # a shard is a row in a file of its own; rounds scan them without a shuffle
-    dealt = kept.mapInArrow(cut, _PIECE).repartitionById(shards, "part").mapInArrow(join, _PIECE)
-    with passing(dealt, "shards") as table:
+    # a shard is a row, a few are a file; rounds scan them without a shuffle
+    with passing(_joined(kept.mapInArrow(cut, _PIECE), shards, _packed), "shards") as table:
         discard(kept)
         return _fit(table, corpus, seed)
 
@@ -475,7 +476,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", folds: in
     rows = docs.select(F.col(id_col).alias("_id"), (part == held).alias("_held"), F.col(text).alias("_text"))
     train = rows.where(~F.col("_held")).select("_text")
     corpus, counts = survey(train)
-    model = fit(trigrams(train, corpus), corpus)
+    model = fit(trigrams(train, corpus, _packed), corpus)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((corpus, model)))
     kind = docs.schema[id_col].dataType.simpleString()
 
