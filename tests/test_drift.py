@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from conftest import write_file
 from tidemark import ingest
-from tidemark.errors import BadDatetimeError, IncompatibleTypesError, MissingColumnsError, MonthSpillError
+from tidemark.errors import BadDatetimeError, EmptyLoadError, IncompatibleTypesError, MissingColumnsError, MonthSpillError
 from tidemark.functions.coerce import DATETIME_FORMATS, datetime_fits, fitting_formats, to_datetime
 from tidemark.operators.conform import datetime_formats
 from tidemark.operators.publish import published_parts, read_published
@@ -172,6 +172,44 @@ def test_first_landed_file_gives_the_order_of_columns(spark, db, tmp_path):
     assert sorted(spark.table(f"{db}.order_of").collect()) == [(1, 10.0), (2, 1.5), (3, 3.0)]
 
 
+def _land(spark, tmp_path, name, at, cols, rows=()):
+    """One Parquet file, with rows or without, in the landing folder."""
+    spark.createDataFrame(list(rows), cols).coalesce(1).write.parquet(str(tmp_path / name))
+    (tmp_path / "in").mkdir(exist_ok=True)
+    next((tmp_path / name).glob("part-*")).rename(tmp_path / "in" / f"{name}.parquet")
+    os.utime(tmp_path / "in" / f"{name}.parquet", (at, at))
+
+
+def test_landed_files_without_rows_publish_nothing(spark, db, tmp_path):
+    landing, ckpt = tmp_path / "in", tmp_path / "ck"
+    _land(spark, tmp_path, "a", 1_000, "id bigint, x bigint")
+    _land(spark, tmp_path, "b", 2_000, "x double, id int", [(1.5, 2)])
+    _land(spark, tmp_path, "c", 3_000, "x double, id int")
+    _land(spark, tmp_path, "d", 4_000, "id bigint, x bigint", [(1, 10)])
+    assert _stream(spark, landing, "rowless", db, ckpt, max_files_per_trigger=1) is None
+    assert spark.table(f"{db}.rowless").dtypes == [("id", "bigint"), ("x", "double")]
+    assert sorted(spark.table(f"{db}.rowless").collect()) == [(1, 10.0), (2, 1.5)]
+    assert stream_report(spark, "rowless", db, str(ckpt))["totals"] == {"rowcount": 2, "batches": 2, "datetime_nulls": {}, "fraction_nulls": {}}
+    _land(spark, tmp_path, "e", 5_000, "id bigint, x bigint")      # alone in its batch
+    _land(spark, tmp_path, "f", 6_000, "id bigint")                # without a column too
+    assert "missing columns" in str(_stream(spark, landing, "rowless", db, ckpt, max_files_per_trigger=1))
+    assert sorted(spark.table(f"{db}.rowless").collect()) == [(1, 10.0), (2, 1.5)]
+    tables = [r.tableName for r in spark.sql(f"SHOW TABLES IN {db} LIKE 'rowless__r_*'").collect()]
+    assert sorted(tables) == sorted(published_parts(spark, db, "rowless"))     # no staged table is left
+
+
+def test_first_stream_of_files_without_rows_fails(spark, db, tmp_path):
+    landing, ckpt = tmp_path / "in", tmp_path / "ck"
+    _land(spark, tmp_path, "a", 1_000, "id bigint, x bigint")
+    _land(spark, tmp_path, "b", 2_000, "x double, id int")
+    with pytest.raises(EmptyLoadError, match="no file in .* has rows"):
+        _stream(spark, landing, "rowless", db, ckpt)
+    assert not spark.catalog.tableExists(f"{db}.rowless")
+    _land(spark, tmp_path, "c", 3_000, "id bigint, x bigint", [(1, 10)])
+    assert _stream(spark, landing, "rowless", db, ckpt, max_files_per_trigger=1) is None
+    assert spark.table(f"{db}.rowless").collect() == [(1, 10.0)]
+
+
 def test_landed_partition_folders(spark, db, tmp_path):
     landing = tmp_path / "in"
     spark.range(6).selectExpr("id", "CAST(id % 2 AS INT) AS p").write.partitionBy("p").parquet(str(landing))

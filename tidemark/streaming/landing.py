@@ -12,7 +12,9 @@ compaction has merged the batch's table away.
 
 A Parquet stream carries file names, not rows: each micro-batch reads its own
 files by their own footers, as a batch load does, so a file without a required
-column fails its batch and a file of drifted types is conformed.
+column fails its batch and a file of drifted types is conformed. Which files share
+a batch is chance, and Spark's writers leave files without rows (the first task's):
+a batch without rows publishes nothing, and a first load fails if no file has rows.
 
 Beside the batch id the view keeps a report: counts of each of the last batches
 and totals over all of them, changed in the same call. The totals are the state
@@ -165,6 +167,8 @@ def landing_stream(spark: SparkSession, landing_dir: str, table: str, *, fmt: st
             if len(scans) > 1:      # Spark's own file names are random: they tell no order
                 scans.sort(key=lambda scan: _landed_first(spark, scan[0]))
             target = merged_target_schema([(files[0], raw.schema) for files, raw in scans])
+            if all(raw.isEmpty() for _, raw in scans):
+                raise EmptyLoadError(f"validation failed: no file in {landing_dir} has rows")
         src = reader.format("binaryFile").schema(_FILES).load(landing_dir).select("path")   # names only, no content
     else:
         s = check_delimiter(sep if sep is not None else DEFAULT_SEP[f.value], f.value)
@@ -258,6 +262,10 @@ def batch_loader(db: str, final: str, checkpoint: str, f: FileFormat, target: T.
             batches = [*report["batches"], {"batch_id": batch_id, **own}][-REPORTED_BATCHES:]
             pub.publish_staged(sess, db, final, staged, "append" if parts else "replace",
                                {mark: str(batch_id), told: json.dumps({"totals": totals, "batches": batches})})
+        except EmptyLoadError as e:     # only Parquet files get here, with all columns but no rows
+            pub.cleanup_best_effort(sess, pub.fq(db, staged))
+            log.warning("batch %d publishes nothing: %s", batch_id, e)
+            return
         except BaseException:
             pub.cleanup_best_effort(sess, pub.fq(db, staged))
             raise
